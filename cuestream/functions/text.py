@@ -291,7 +291,7 @@ def spoken_text(
     def closed(c: Column) -> Column:
         return F.when(c == "", "").when(c.rlike(r"[.!?]$"), c).otherwise(F.concat(c, F.lit(".")))
 
-    said = F.array_join(F.transform(F.array_remove(F.transform(items, F.trim), ""), closed), " ")
+    said = F.array_join(F.transform(F.array_remove(F.transform(items, lambda i: F.trim(i)), ""), closed), " ")
     stat = F.trim(F.coalesce(value, F.lit("")))
     return (
         F.when(narration.isNotNull(), trim_all(narration))

@@ -267,7 +267,7 @@ def apply_measured_cues(
     )
     df = lines.join(cues, ["track_id", "cue_id"], "left")
     has = F.col("_ms").isNotNull()
-    df = df.withColumns({"_ms": F.greatest(F.lit(0), F.col("_ms"))})
+    df = df.withColumn("_ms", F.when(has, F.greatest(F.lit(0), F.col("_ms"))))
     df = df.withColumns(
         {
             "_me": F.when(has, F.greatest(F.col("_ms") + 100_000, F.col("_me"))),
