@@ -7,12 +7,15 @@ from pyspark.sql import functions as F
 
 from cuestream.functions.text import trim_all
 from cuestream.functions.timecode import round_half_up
+from cuestream.plans.session import spread
 
 HOUR_US = 3_600_000_000
+TEXT_TABLES = ("documents", "pages")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df) if name in TEXT_TABLES else df
 
 
 def epoch_us(ts: str) -> Column:
@@ -38,9 +41,8 @@ def doc_lines(spark: SparkSession, sf_dir: str, *extra: str) -> DataFrame:
         *extra,
         F.posexplode(F.split("text", "\n")).alias("seq", "text"),
     )
-    return lines.withColumns({"seq": F.col("seq").cast("long"), "text": trim_all(F.col("text"))}).filter(
-        F.col("text") != ""
-    )
+    shown = lines.filter(F.col("text").rlike(r"(?U)[^\s\x{FEFF}]"))
+    return shown.withColumns({"seq": F.col("seq").cast("long"), "text": trim_all(F.col("text"))})
 
 
 def dialogue(spark: SparkSession, sf_dir: str) -> DataFrame:

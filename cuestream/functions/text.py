@@ -41,28 +41,43 @@ def fold_text(value: str) -> str:
     return " ".join(s.split())
 
 
+def _ranges(points: list[int]) -> str:
+    """Regex class body for sorted code points, as few ranges as possible."""
+    runs: list[list[int]] = []
+    for p in points:
+        if runs and p == runs[-1][1] + 1:
+            runs[-1][1] = p
+        else:
+            runs.append([p, p])
+    return "".join(rf"\x{{{a:X}}}-\x{{{b:X}}}" for a, b in runs)
+
+
 def _fold_table() -> tuple[str, str, str]:
-    """Per-character folding for the table ranges, and the characters it cannot express."""
-    points = [*range(0x300), *range(0x2010, 0x2028), 0x20AC]
-    source, target, dropped, hard = [], [], [], []
+    """Per-character folding for Latin text, and the class of characters it covers."""
+    points = [*range(0x180), *range(0x2010, 0x2028), 0x20AC]
+    source, target, dropped, covered = [], [], [], []
     for p in points:
         c = chr(p)
         folded = fold_text(f"x{c}x")[1:-1]
-        if folded == c:
+        if len(folded) <= 1:
+            covered.append(p)
+        if folded == c or len(folded) > 1:
             continue
         if folded == "":
             dropped.append(c)
-        elif len(folded) == 1:
+        else:
             source.append(c)
             target.append(folded)
-        else:
-            hard.append(c)
-    return "".join(source + dropped), "".join(target), "".join(hard)
+    return "".join(source + dropped), "".join(target), _ranges(covered)
+
 
+FOLD_FROM, FOLD_TO, FOLD_COVERED = _fold_table()
+PLAIN_LATIN = r"[^\x{0}-\x{BB}\x{BF}-\x{131}]"
 
-FOLD_FROM, FOLD_TO, FOLD_HARD = _fold_table()
-_HARD_CLASS = "".join(rf"\x{{{ord(c):X}}}" for c in FOLD_HARD)
-NEEDS_FOLD = f"[^{NFC_SAFE}]|[{_HARD_CLASS}]"
+
+def _needs_fold(text: Column) -> Column:
+    # the first class is cheap and settles most rows
+    return text.rlike(PLAIN_LATIN) & text.rlike(f"[^{FOLD_COVERED}]")
 
 
 @F.pandas_udf(T.StringType())
@@ -91,8 +106,9 @@ def norm_display(text: Column | str) -> Column:
 def norm_match(text: Column | str) -> Column:
     """Case, accent and punctuation free form used as a join and grouping signature."""
     text = col(text)
-    needs = text.rlike(NEEDS_FOLD)
-    fast = F.trim(F.regexp_replace(F.translate(text, FOLD_FROM, FOLD_TO), r"(?U)\s+", " "))
+    needs = _needs_fold(text)
+    # the table maps every covered space and mark to one blank
+    fast = F.trim(F.regexp_replace(F.translate(text, FOLD_FROM, FOLD_TO), " {2,}", " "))
     return F.when(needs, _fold(F.when(needs, text))).otherwise(fast)
 
 
@@ -178,7 +194,9 @@ def token_offsets(line: Column | str) -> Column:
 
 
 def grapheme_count(text: Column | str) -> Column:
-    return F.regexp_count(col(text), F.lit(r"\X")).cast("long")
+    text = col(text)
+    single = ~text.rlike(r"[^\x{20}-\x{2FF}]")
+    return F.when(single, F.length(text)).otherwise(F.regexp_count(text, F.lit(r"\X"))).cast("long")
 
 
 def word_count(text: Column | str) -> Column:
@@ -188,7 +206,7 @@ def word_count(text: Column | str) -> Column:
 def syllables(signature: Column | str) -> Column:
     """Syllable estimate of a ``norm_match`` value: at least one per word and overall."""
     s = col(signature)
-    words = F.regexp_count(s, F.lit(r"\S+"))
+    words = F.when(s == "", 0).otherwise(F.length(s) - F.length(F.replace(s, F.lit(" "), F.lit(""))) + 1)
     latin = F.regexp_replace(s, "[^a-z ]", "")
     voiced = F.regexp_replace(latin, r"(?:[b-df-hj-km-np-tv-xz]es|ed|[b-df-hj-km-np-tv-xz]e)(?= |$)", "")
     groups = F.regexp_count(voiced, F.lit("[aeiouy]{1,2}"))

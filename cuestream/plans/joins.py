@@ -42,7 +42,8 @@ def asof_join(
         *keys,
         F.col(left_time).alias("_t"),
         F.lit(1).alias("_side"),
-        F.col(left_tie).cast("string").alias("_tie"),
+        F.col(left_tie).alias("_ltie"),
+        F.lit(None).cast(right.schema[right_tie].dataType).alias("_rtie"),
         lrow.alias("_l"),
         F.lit(None).cast(right.select(rrow.alias("r")).schema["r"].dataType).alias("_r"),
     )
@@ -50,7 +51,8 @@ def asof_join(
         *keys,
         F.col(right_time).alias("_t"),
         F.lit(0).alias("_side"),
-        F.col(right_tie).cast("string").alias("_tie"),
+        F.lit(None).cast(left.schema[left_tie].dataType).alias("_ltie"),
+        F.col(right_tie).alias("_rtie"),
         F.lit(None).cast(left.select(lrow.alias("l")).schema["l"].dataType).alias("_l"),
         rrow.alias("_r"),
     )
@@ -59,7 +61,7 @@ def asof_join(
         steps[backward] = last_upto("_r")
     if forward:
         steps[forward] = first_after("_r")
-    scan = OrderedScan.over(lside.unionByName(rside), keys, ["_t", "_side", "_tie"], hot=hot).add(**steps)
+    scan = OrderedScan.over(lside.unionByName(rside), keys, ["_t", "_side", "_ltie", "_rtie"], hot=hot).add(**steps)
     return scan.done().filter(F.col("_side") == 1).select("_l.*", *steps)
 
 
@@ -120,3 +122,17 @@ def interval_join(
     ]
     joined = points.withColumn("_pbucket", F.floor(F.col(point) / width)).join(buckets, on, how)
     return joined.drop("_pbucket", "_bucket", "_start", "_end", *[f"_s_{k}" for k in keys])
+
+
+def nearest_on_grid(
+    time: Column, first: Column, interval: Column, n_beats: Column, tolerance_us: int
+) -> Column:
+    """Nearest beat of a regular grid by arithmetic: rounded index, then one before, then one after."""
+    at = F.floor((time - first) / interval + F.lit(0.5)).cast("long")
+
+    def beat(offset: int) -> Column:
+        i = at + offset
+        value = first + i * interval
+        return F.when((i >= 0) & (i < n_beats) & (F.abs(value - time) <= tolerance_us), value)
+
+    return F.coalesce(beat(0), beat(-1), beat(1))
