@@ -326,7 +326,7 @@ def band(spark, sf_dir, name, scale):
 MIX_SQL = f"""WITH {SIGNAL}, m AS (SELECT frame, value / 500 AS v FROM signal WHERE band = 'click'), v AS (SELECT frame, value / 800 AS v FROM signal WHERE band = 'view'),
 n AS (SELECT max(frame) + 1 AS n FROM v), p AS (SELECT frame, v AS bg, (frame / 2.0::DOUBLE - 6.5) * 1.5 AS pos FROM m),
 i AS (SELECT p.*, CAST(floor(pos) AS BIGINT) AS a FROM p)
-SELECT CAST(0 AS BIGINT) AS track_id, i.frame, round(greatest(-1.0, least(1.0, bg * 0.9 + CASE WHEN pos >= 0 AND pos < n THEN v0.v * (1 - (pos - a)) + v1.v * (pos - a) ELSE 0 END * 0.7)), 6) AS value
+SELECT CAST(0 AS BIGINT) AS track_id, i.frame, round(greatest(-1.0, least(1.0, bg * 0.9 + CASE WHEN pos >= 0 AND pos < n THEN v0.v * (1 - (pos - a)) + v1.v * (pos - a) ELSE 0 END * 0.7)), 12) AS value
 FROM i CROSS JOIN n LEFT JOIN v v0 ON v0.frame = a LEFT JOIN v v1 ON v1.frame = least(n - 1, a + 1)"""
 
 
@@ -335,7 +335,7 @@ def join13(spark, sf_dir):
     out = MX.mix_voiceover(
         band(spark, sf_dir, "click", 500), band(spark, sf_dir, "view", 800), 2.0, 1.5, 6_500_000, 0.9, 0.7
     )
-    return out.withColumn("value", F.round("value", 6))
+    return out.withColumn("value", F.round("value", 12))
 
 
 @query(

@@ -279,15 +279,16 @@ def sliding(
     keys: Sequence[str],
     index: str,
     radius: int,
-    columns: dict[str, Callable[[object], Column]],
+    *stages: dict[str, Callable[[object], Column]],
     chunk_rows: int = 65_536,
 ) -> DataFrame:
-    """Window columns whose frame reaches at most ``radius`` rows, for dense integer indexes.
+    """Window columns with a bounded reach, for dense integer indexes.
 
     Each chunk of the index is one window partition. Rows near a border are
     copied into the neighbouring chunk as a halo and dropped afterwards, so one
-    long signal spreads over many tasks. ``columns`` maps a name to a function
-    of the ordered window.
+    long signal spreads over many tasks. Each stage maps names to functions of
+    the ordered window and may use the columns of earlier stages; ``radius`` is
+    the reach of all stages together. All stages share one shuffle.
     """
     if chunk_rows <= 2 * radius:
         raise ValueError("chunk_rows must exceed twice the radius")
@@ -301,7 +302,14 @@ def sliding(
             F.when(offset >= chunk_rows - radius, home + 1),
         )
     )
-    spread = df.withColumn("_home", home).withColumn(CHUNK, F.explode(halo))
+    out = df.withColumn("_home", home).withColumn(CHUNK, F.explode(halo))
     w = W.partitionBy(*keys, CHUNK).orderBy(index)
-    out = spread.withColumns({name: make(w) for name, make in columns.items()})
+    for stage in stages:
+        out = out.withColumns({name: make(w) for name, make in stage.items()})
     return out.filter(F.col(CHUNK) == F.col("_home")).drop(CHUNK, "_home")
+
+
+def top_k(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int) -> DataFrame:
+    """First k rows per key. Spark applies the limit before the shuffle too, so a hot key stays small."""
+    w = W.partitionBy(*keys).orderBy(*order)
+    return df.withColumn("_rank", F.row_number().over(w)).filter(F.col("_rank") <= k).drop("_rank")
