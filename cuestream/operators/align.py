@@ -62,7 +62,8 @@ def align_tokens(left: list[str], right: list[str], match: float = 2.0, gap: flo
         return [(i, -1, 0.0) for i in range(n)] + [(-1, j, 0.0) for j in range(m)]
     lu, li = np.unique(np.array(left, dtype=object), return_inverse=True)
     ru, ri = np.unique(np.array(right, dtype=object), return_inverse=True)
-    table = token_similarity(list(lu), list(ru))
+    block = max(1, 8_000_000 // (len(ru) * (LONG_TOKEN + 1)))
+    table = np.vstack([token_similarity(list(lu[k : k + block]), list(ru)) for k in range(0, len(lu), block)])
     steps = np.arange(m + 1) * gap
     score = steps.copy()
     moves = np.zeros((n, m), dtype=np.int8)
@@ -100,12 +101,12 @@ def align_pairs(pairs: DataFrame, keys: Sequence[str], left: str, right: str) ->
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for row in pdf.itertuples(index=False):
-                got = align_tokens(list(getattr(row, left)), list(getattr(row, right)))
+            for i in range(len(pdf)):
+                got = align_tokens(list(pdf[left].iat[i]), list(pdf[right].iat[i]))
                 if not got:
                     continue
                 out = pd.DataFrame(got, columns=["left_idx", "right_idx", "score"])
-                yield out.assign(**{k: getattr(row, k) for k in keys}, pos=np.arange(len(out)))
+                yield out.assign(**{k: pdf[k].iat[i] for k in keys}, pos=np.arange(len(out)))
 
     fields = ", ".join(f"{k} {pairs.schema[k].dataType.simpleString()}" for k in keys)
     return pairs.select(*keys, left, right).mapInPandas(
