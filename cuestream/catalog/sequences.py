@@ -126,22 +126,22 @@ def seq05(spark, sf_dir):
     return O.fill_unmatched_words(timed, cues)
 
 
-def nation_lines(spark, sf_dir):
-    return A.table(spark, sf_dir, "nation").select(
-        F.lit(0).cast("long").alias("track_id"),
-        F.col("n_nationkey").cast("long").alias("seq"),
-        F.col("n_nationkey").cast("long").alias("cue_id"),
-        F.col("n_name").alias("text"),
-        X.norm_match("n_name").alias("sig"),
-    )
+def name_lines(spark, sf_dir):
+    """Two tracks of lines: region names on the signal's track, nation names on a track without onsets."""
+    regions = A.table(spark, sf_dir, "region").select(F.lit(0).alias("track_id"), F.col("r_regionkey").alias("seq"), F.col("r_name").alias("text"))
+    nations = A.table(spark, sf_dir, "nation").select(F.lit(1).alias("track_id"), F.col("n_nationkey").alias("seq"), F.col("n_name").alias("text"))
+    both = regions.unionByName(nations).select(*[F.col(c).cast("long").alias(c) for c in ("track_id", "seq")], "text")
+    return both.withColumns({"cue_id": F.col("seq"), "sig": X.norm_match("text")})
 
 
-@query("seq06_align_to_onsets")
+@query("seq06_sync_to_onsets")
 def seq06(spark, sf_dir):
-    """Nation names as lines of the one signal track, placed on its onsets."""
+    """Lines placed on the onsets of the event signal, or estimated where it has none."""
     spectrum = A.signal(spark, sf_dir)
-    tracks = spectrum.groupBy("track_id").agg(((F.max("frame") + 1) * FRAME_US).alias("duration_us"))
-    return O.align_lines_to_onsets(nation_lines(spark, sf_dir), anchors(spark, sf_dir), tracks)
+    length = spectrum.groupBy("track_id").agg(((F.max("frame") + 1) * FRAME_US).alias("duration_us"))
+    tracks = length.withColumn("track_id", F.explode(F.array(F.lit(0), F.lit(1)).cast("array<bigint>")))
+    out = O.sync_lines(name_lines(spark, sf_dir), anchors(spark, sf_dir), tracks)
+    return out.select("track_id", "seq", "start_us", "end_us", F.round("confidence", 6).alias("confidence"), "source")
 
 
 def tap_log(spark, sf_dir):

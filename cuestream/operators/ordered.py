@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cuestream.functions.timecode import ms, round_half_up
-from cuestream.operators.estimate import weight_tenths
+from cuestream.operators.estimate import estimate_line_timings, weight_tenths
+from cuestream.operators.postprocess import PostProcessOptions, post_process
 from cuestream.plans.scan import OrderedScan, first_after, group_count, last_before, position, prev_row, sum_upto, top_k
 
 KEYS = ["track_id"]
@@ -109,6 +110,22 @@ def align_lines_to_onsets(
     )
 
 
+def sync_lines(lines: DataFrame, anchors: DataFrame, tracks: DataFrame) -> DataFrame:
+    """Onset placement where it works, a marked estimate elsewhere, then the clean-up passes.
+
+    ``lines`` carry ``track_id, seq, cue_id, text, sig``.
+    """
+    length = tracks.select("track_id", "duration_us")
+    placed = align_lines_to_onsets(lines, anchors, tracks)
+    done = placed.select("track_id").distinct()
+    rest = estimate_line_timings(lines.join(done, "track_id", "left_anti").join(length, "track_id"), F.col("duration_us"))
+    rest = rest.withColumn("confidence", F.lit(0.25))
+    cols = ["track_id", "seq", "start_us", "end_us", "confidence", "source"]
+    timed = placed.select(*cols).unionByName(rest.select(*cols))
+    full = lines.join(timed, ["track_id", "seq"]).join(length, "track_id")
+    return post_process(full, PostProcessOptions(apply_lead_in=True), F.col("duration_us")).drop("duration_us")
+
+
 def coalesce_edits(log: DataFrame, hot: bool | None = None) -> DataFrame:
     """One undo step per run of commands with the same key: first "before", last "after"."""
     scan = OrderedScan.over(log, KEYS, ["seq"], hot=hot).add(_prev=prev_row("coalesce_key"))
