@@ -90,12 +90,16 @@ def _fold(values: pd.Series) -> pd.Series:
     return values.map(fold_text, na_action="ignore")
 
 
-def norm_display(text: Column | str) -> Column:
-    """Composed form with clean line ends and spaces; safe to show."""
+def compose(text: Column | str) -> Column:
+    """Canonical composition; rows already composed by table do not reach Python."""
     text = col(text)
     needs = text.rlike(f"[^{NFC_SAFE}]")
-    s = F.when(needs, _nfc(F.when(needs, text))).otherwise(text)
-    s = F.regexp_replace(s, ZERO_WIDTH, "")
+    return F.when(needs, _nfc(F.when(needs, text))).otherwise(text)
+
+
+def clean_display(composed: Column) -> Column:
+    """The native part of ``norm_display``; usable inside higher-order functions."""
+    s = F.regexp_replace(composed, ZERO_WIDTH, "")
     s = F.regexp_replace(s, "\r\n?", "\n")
     s = F.regexp_replace(s, "\t", "    ")
     s = F.regexp_replace(s, " {2,}", " ")
@@ -103,6 +107,11 @@ def norm_display(text: Column | str) -> Column:
     return trim_all(s)
 
 
+def norm_display(text: Column | str) -> Column:
+    """Composed form with clean line ends and spaces; safe to show."""
+    return clean_display(compose(text))
+
+
 def norm_match(text: Column | str) -> Column:
     """Case, accent and punctuation free form used as a join and grouping signature."""
     text = col(text)

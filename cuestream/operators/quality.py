@@ -69,9 +69,13 @@ def _names(values: tuple[str, ...]) -> str:
     return " | ".join(f"'{v}'" for v in values)
 
 
+TYPE_NAME = """CASE WHEN {t} RLIKE '^(BIGINT|DOUBLE|FLOAT|DECIMAL)' THEN 'number' WHEN {t} = 'STRING' THEN 'string'
+ WHEN {t} = 'BOOLEAN' THEN 'boolean' WHEN {t} = 'VOID' THEN 'null' WHEN {t} LIKE 'ARRAY%' THEN 'array' WHEN {t} LIKE 'OBJECT%' THEN 'object' END"""
+
+
 def _type_name(t: Column) -> Column:
     return (
-        F.when(t.isin("BIGINT", "DOUBLE", "FLOAT") | F.startswith(t, F.lit("DECIMAL")), "number")
+        F.when(t.rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)"), "number")
         .when(t == "STRING", "string")
         .when(t == "BOOLEAN", "boolean")
         .when(t == "VOID", "null")
@@ -85,89 +89,94 @@ def _issue(path: Column, message: Column | str, code: str) -> Column:
     return F.struct(path.alias("path"), message.alias("message"), F.lit(code).alias("code"))
 
 
+def _quote(value: str) -> str:
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _issue_sql(path: str, message: str, code: str) -> str:
+    return f"named_struct('path', {path}, 'message', {message}, 'code', '{code}')"
+
+
 def _show(value: float) -> str:
     return str(int(value)) if float(value).is_integer() else str(value)
 
 
-def _value_issues(rule: Rule, v: Column, path: Column) -> list[Column]:
-    """Range and membership checks of a value whose type is already right."""
+def _value_checks(rule: Rule, read: str, path: str) -> list[str]:
+    """SQL of range and membership checks of a value whose type is already right."""
+
+    def check(condition: str, message: str, code: str) -> str:
+        return f"CASE WHEN {condition} THEN {_issue_sql(path, message, code)} END"
+
     out = []
     if rule.kind == "number":
-        n = F.try_variant_get(v, "$", "double")
+        n = read.format("double")
         if rule.whole:
-            out.append(F.when(n != F.floor(n), _issue(path, "Expected integer, received float", "invalid_type")))
+            out.append(check(f"{n} <> floor({n})", "'Expected integer, received float'", "invalid_type"))
         if rule.low is not None:
-            bad, words = (n <= rule.low, "greater than") if rule.above else (n < rule.low, "greater than or equal to")
-            out.append(F.when(bad, _issue(path, f"Number must be {words} {_show(rule.low)}", "too_small")))
+            sign, words = ("<=", "greater than") if rule.above else ("<", "greater than or equal to")
+            out.append(check(f"{n} {sign} {rule.low}", f"'Number must be {words} {_show(rule.low)}'", "too_small"))
         if rule.high is not None:
-            out.append(F.when(n > rule.high, _issue(path, f"Number must be less than or equal to {_show(rule.high)}", "too_big")))
+            out.append(check(f"{n} > {rule.high}", f"'Number must be less than or equal to {_show(rule.high)}'", "too_big"))
     elif rule.kind == "string":
-        size = F.length(F.try_variant_get(v, "$", "string"))
+        n = f"length({read.format('string')})"
         if rule.low:
-            out.append(F.when(size < rule.low, _issue(path, f"String must contain at least {rule.low} character(s)", "too_small")))
+            out.append(check(f"{n} < {rule.low}", f"'String must contain at least {rule.low} character(s)'", "too_small"))
         if rule.high is not None:
-            out.append(F.when(size > rule.high, _issue(path, f"String must contain at most {rule.high} character(s)", "too_big")))
+            out.append(check(f"{n} > {rule.high}", f"'String must contain at most {rule.high} character(s)'", "too_big"))
     elif rule.kind == "enum":
-        s = F.try_variant_get(v, "$", "string")
-        said = F.concat(F.lit(f"Invalid enum value. Expected {_names(rule.values)}, received '"), s, F.lit("'"))
-        out.append(F.when(~s.isin(*rule.values), _issue(path, said, "invalid_enum_value")))
+        value = read.format("string")
+        said = f"concat({_quote(f'Invalid enum value. Expected {_names(rule.values)}, received ')}, {_quote(chr(39))}, {value}, {_quote(chr(39))})"
+        out.append(check(f"{value} NOT IN ({', '.join(map(_quote, rule.values))})", said, "invalid_enum_value"))
     elif rule.kind == "array":
-        n = F.size(F.try_variant_get(v, "$", "array<variant>"))
+        n = f"size({read.format('array<variant>')})"
         if rule.low:
-            out.append(F.when(n < rule.low, _issue(path, f"Array must contain at least {rule.low} element(s)", "too_small")))
+            out.append(check(f"{n} < {rule.low}", f"'Array must contain at least {rule.low} element(s)'", "too_small"))
         if rule.high is not None:
-            out.append(F.when(n > rule.high, _issue(path, f"Array must contain at most {rule.high} element(s)", "too_big")))
+            out.append(check(f"{n} > {rule.high}", f"'Array must contain at most {rule.high} element(s)'", "too_big"))
     return out
 
 
-def _has_type(kind: str, t: Column) -> Column:
-    """Cheap test of one wanted type; the name of a wrong type is only worked out for its message."""
-    if kind == "number":
-        return t.rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)")
-    if kind in ("object", "array"):
-        return F.startswith(t, F.lit(kind.upper()))
-    return t == kind.upper()
-
-
-def rule_issues(rule: Rule, root: Column, at: str, path: Column, brackets: bool) -> Column:
-    """Array of issues of the value at ``root`` + ``at`` under a rule, children included, in rule order.
+def rule_sql(rule: Rule, root: str, at: str, path: str, brackets: bool, depth: int = 0) -> str:
+    """SQL for the array of issues of the value at ``root`` + ``at``, children included, in rule order.
 
     Every node reads its value by one path from the nearest bound variant (the
-    document, or an array element), so expressions grow linearly with the tree.
+    document, or an array element), so the expression grows linearly with the tree.
     """
-    v = F.try_variant_get(root, f"${at}", "variant")
-    t = F.schema_of_variant(v)
+    read = f"try_variant_get({root}, '${at}', '{{}}')"
+    kind = f"schema_of_variant({read.format('variant')})"
     want = {"enum": "string"}.get(rule.kind, rule.kind)
-    none = F.array().cast(ISSUE)
-    label = F.when(path == "", "(root)").otherwise(path)
+    label = f"if({path} = '', '(root)', {path})"
+    none = f"cast(array() AS {ISSUE})"
     expected = _names(rule.values) if rule.kind == "enum" else rule.kind
-    wrong = _issue(label, F.concat(F.lit(f"Expected {expected}, received "), _type_name(t)), "invalid_type")
-    checks = _value_issues(rule, v, label)
-    right = [F.array_compact(F.array(*checks)).cast(ISSUE)] if checks else []
+    wrong = f"array({_issue_sql(label, f'concat({_quote(f"Expected {expected}, received ")}, {TYPE_NAME.format(t=kind)})', 'invalid_type')})"
+    has_type = {
+        "number": f"{kind} RLIKE '^(BIGINT|DOUBLE|FLOAT|DECIMAL)'",
+        "object": f"{kind} LIKE 'OBJECT%'",
+        "array": f"{kind} LIKE 'ARRAY%'",
+    }.get(want, f"{kind} = '{want.upper()}'")
+    checks = _value_checks(rule, read, label)
+    right = [f"array_compact(array({', '.join(checks)}))"] if checks else []
     if rule.kind == "object":
         for name, child in rule.fields.items():
-            sub = F.concat_ws(".", F.nullif(path, F.lit("")), F.lit(name))
-            right.append(rule_issues(child, root, f"{at}.{name}", sub, brackets))
+            sub = f"concat_ws('.', nullif({path}, ''), '{name}')"
+            right.append(rule_sql(child, root, f"{at}.{name}", sub, brackets, depth))
         if rule.strict:
-            keys = F.map_keys(F.try_variant_get(v, "$", "map<string,variant>"))
-            extra = F.array_except(keys, F.array(*[F.lit(n) for n in rule.fields]))
-            said = F.concat(F.lit("Unrecognized key(s) in object: '"), F.array_join(extra, "', '"), F.lit("'"))
-            right.append(F.when(F.size(extra) > 0, F.array(_issue(label, said, "unrecognized_keys")).cast(ISSUE)).otherwise(none))
+            extra = f"array_except(map_keys({read.format('map<string,variant>')}), array({', '.join(map(_quote, rule.fields))}))"
+            said = f"concat({_quote('Unrecognized key(s) in object: ' + chr(39))}, array_join({extra}, {_quote(chr(39) + ', ' + chr(39))}), {_quote(chr(39))})"
+            right.append(f"if(size({extra}) > 0, array({_issue_sql(label, said, 'unrecognized_keys')}), {none})")
     if rule.kind == "array":
+        x, i = f"x{depth}", f"i{depth}"
+        index = f"'[', {i}, ']'" if brackets else f"'.', {i}"
+        item = rule_sql(rule.item, x, "", f"concat({path}, {index})", brackets, depth + 1)
+        right.append(f"flatten(transform({read.format('array<variant>')}, ({x}, {i}) -> {item}))")
+    inner = right[0] if len(right) == 1 else f"concat({', '.join(right)})" if right else none
+    missing = none if rule.optional else f"array({_issue_sql(label, chr(39) + 'Required' + chr(39), 'invalid_type')})"
+    null = f"WHEN {kind} = 'VOID' THEN {none} " if rule.nullable else ""
+    return f"CASE WHEN {kind} IS NULL THEN {missing} {null}WHEN {has_type} THEN {inner} ELSE {wrong} END"
 
-        def element(x: Column, i: Column) -> Column:
-            opening, closing = ("[", "]") if brackets else (".", "")
-            sub = F.concat(path, F.lit(opening), i.cast("string"), F.lit(closing))
-            return rule_issues(rule.item, x, "", sub, brackets)
 
-        items = F.try_variant_get(v, "$", "array<variant>")
-        right.append(F.flatten(F.transform(items, element)))
-    inner = right[0] if len(right) == 1 else F.concat(*right) if right else none
-    missing = none if rule.optional else F.array(_issue(label, "Required", "invalid_type")).cast(ISSUE)
-    out = F.when(v.isNull(), missing)
-    if rule.nullable:
-        out = out.when(t == "VOID", none)
-    return out.when(_has_type(want, t), inner).otherwise(F.array(wrong).cast(ISSUE))
+def rule_issues(rule: Rule, brackets: bool) -> Column:
+    return F.expr(rule_sql(rule, DOCUMENT, "", "''", brackets)).cast(ISSUE)
 
 
 us = num(low=0)
@@ -380,7 +389,7 @@ def _parsed(docs: DataFrame) -> DataFrame:
 def validate_documents(docs: DataFrame, rule: Rule = PROJECT, limit: int = PROJECT_ISSUES, brackets: bool = False) -> DataFrame:
     """Add ``issues`` (at most ``limit``, in rule order) and ``ok``; bad JSON is one issue at the root."""
     broken = F.array(_issue(F.lit("(root)"), "Invalid JSON", "invalid_json")).cast(ISSUE)
-    found = rule_issues(rule, F.col(DOCUMENT), "", F.lit(""), brackets)
+    found = rule_issues(rule, brackets)
     df = _parsed(docs).withColumn("issues", F.when(F.col("_v").isNull(), broken).otherwise(F.slice(found, 1, limit)))
     return df.withColumn("ok", F.size("issues") == 0).drop("_v")
 
@@ -530,7 +539,7 @@ def validate_specs(docs: DataFrame, kind: str = SPEC_KIND) -> DataFrame:
 
     scenes = F.try_variant_get(v, "$.scenes", "array<variant>")
     cross = F.coalesce(F.flatten(F.transform(scenes, crossed)), F.array().cast(ISSUE))
-    found = F.slice(F.concat(rule_issues(rule, v, "", F.lit(""), True), cross), 1, SPEC_ISSUES)
+    found = F.slice(F.concat(rule_issues(rule, True), cross), 1, SPEC_ISSUES)
     issues = (
         F.when(F.trim("raw_json") == "", one("(root)", "Spec is empty — paste JSON or choose a template.", "empty"))
         .when(v.isNull(), one("JSON", "Invalid JSON syntax.", "invalid_json"))

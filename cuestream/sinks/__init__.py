@@ -1,0 +1 @@
+"""Writers: subtitle formats as ordered line rows, timed JSON, project bundles."""

@@ -1,0 +1 @@
+"""Readers: timed text in several formats, recogniser output, audio files."""
