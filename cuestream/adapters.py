@@ -61,13 +61,10 @@ def signal(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.floor(epoch_us("ts") / HOUR_US).alias("hour"), F.col("event_type").alias("band"), "value"
     )
     sums = events.groupBy("hour", "band").agg(F.sum(F.col("value").cast("decimal(20,4)")).alias("v"))
-    bounds = events.agg(F.min("hour").alias("lo"), F.max("hour").alias("hi"))
-    frames = bounds.select("lo", F.explode(F.sequence("lo", "hi")).alias("hour"))
-    # a handful of event types: the grid below is hours x types
-    bands = F.broadcast(events.select("band").distinct())
-    grid = frames.withColumn("_one", F.lit(1)).join(
-        bands.withColumn("_one", F.lit(1)), "_one"
-    )
+    # one row: the hour range and the few event types there are
+    bounds = events.agg(F.min("hour").alias("lo"), F.max("hour").alias("hi"), F.collect_set("band").alias("bands"))
+    frames = bounds.select("lo", "bands", F.explode(F.sequence("lo", "hi")).alias("hour"))
+    grid = frames.select("lo", "hour", F.explode("bands").alias("band"))
     return grid.join(sums, ["hour", "band"], "left").select(
         F.lit(0).cast("long").alias("track_id"),
         (F.col("hour") - F.col("lo")).alias("frame"),

@@ -131,16 +131,11 @@ def relink_missing(projects: DataFrame, manifest: DataFrame, present: DataFrame)
 
 def lookup_with_default(facts: DataFrame, dimension: DataFrame, key: str, dim_key: str, default_key) -> DataFrame:
     """Left lookup where an unknown key takes the default row of a fixed small dimension."""
-    cols = [c for c in dimension.columns if c != dim_key]
-    row = F.struct(dim_key, *cols)
-    wanted = F.coalesce(F.col("_hit"), F.col("_default"))
-    # the dimension is a constant table of this package (tens of rows)
-    hits = F.broadcast(dimension.select(F.col(dim_key).alias(key), row.alias("_hit")))
-    default = F.broadcast(
-        dimension.filter(F.col(dim_key) == default_key).select(F.lit(1).alias("_one"), row.alias("_default"))
-    )
-    out = facts.join(hits, key, "left").withColumn("_one", F.lit(1)).join(default, "_one", "left")
-    return out.select(*facts.columns, *[wanted[c].alias(c) for c in (dim_key, *cols)])
+    # the dimension is a constant table of this package (tens of rows); both joins are hash joins
+    known = F.broadcast(dimension.select(F.col(dim_key).alias(key), F.lit(True).alias("_known")))
+    resolved = F.when(F.col("_known"), F.col(key)).otherwise(F.lit(default_key))
+    out = facts.join(known, key, "left").withColumn(dim_key, resolved).drop("_known")
+    return out.join(F.broadcast(dimension), dim_key).select(*facts.columns, *dimension.columns)
 
 
 def first_fit(tiers: Sequence[dict], value: str, **demands: Column) -> Column:

@@ -1,0 +1 @@
+"""Structured Streaming jobs; every column transform also runs on batch tables."""
