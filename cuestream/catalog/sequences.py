@@ -128,8 +128,8 @@ def seq05(spark, sf_dir):
 
 def name_lines(spark, sf_dir):
     """Two tracks of lines: region names on the signal's track, nation names on a track without onsets."""
-    regions = A.table(spark, sf_dir, "region").select(F.lit(0).alias("track_id"), F.col("r_regionkey").alias("seq"), F.col("r_name").alias("text"))
-    nations = A.table(spark, sf_dir, "nation").select(F.lit(1).alias("track_id"), F.col("n_nationkey").alias("seq"), F.col("n_name").alias("text"))
+    regions = A.table(spark, sf_dir, "region").select((F.col("r_regionkey") - F.col("r_regionkey")).alias("track_id"), F.col("r_regionkey").alias("seq"), F.col("r_name").alias("text"))
+    nations = A.table(spark, sf_dir, "nation").select((F.col("n_nationkey") - F.col("n_nationkey") + 1).alias("track_id"), F.col("n_nationkey").alias("seq"), F.col("n_name").alias("text"))
     both = regions.unionByName(nations).select(*[F.col(c).cast("long").alias(c) for c in ("track_id", "seq")], "text")
     return both.withColumns({"cue_id": F.col("seq"), "sig": X.norm_match("text")})
 

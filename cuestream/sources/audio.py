@@ -58,7 +58,11 @@ def duration_verdict(duration_us: Column) -> Column:
 
 
 def audit_files(spark: SparkSession, path: str) -> DataFrame:
-    """Verdict per file from metadata alone; contents are not read."""
+    """Verdict per file from metadata alone; contents are not read.
+
+    Spark's file scan leaves out files of zero bytes; where those must be
+    reported, apply ``intake_verdict`` to a listing table.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length")
     kind = file_kind(F.col("path"), F.lit(""))
     return files.select("path", "length", kind.alias("kind"), intake_verdict(kind, F.col("length")).alias("verdict"))
