@@ -351,8 +351,9 @@ def test_mix(spark):
 
 
 def test_sentences(spark):
-    text = "Dr. Rivera launched v3.5 in 1.5 seconds. It renders Mr. Chen’s charts… Ready to ship?"
-    assert len(one(spark, text, X.sentences)) == 2 + 0 or len(one(spark, text, X.sentences)) == 3
+    text = "Dr. Rivera launched v3.5 in 1.5 seconds. It renders Mr. Chen’s charts locally! Ready to ship?"
+    got = one(spark, text, X.sentences)
+    assert len(got) == 3 and "1.5 seconds." in got[0] and "Mr. Chen" in got[1] and got[2] == "Ready to ship?"
     assert one(spark, 'He said "Stop!" Then J. Doe left. e.g. this', X.sentences) == ['He said "Stop!"', "Then J. Doe left.", "e.g. this"]
 
 
