@@ -287,9 +287,9 @@ OFFSET = -2_000_000
 
 
 def sink_cues(spark, sf_dir, words=False):
-    """Dialogue turns as cues: first text line, every seventh blank, optional words with confidence."""
+    """Dialogue turns as cues: the text on one line, every seventh blank, optional words with confidence."""
     n = F.col("seq")
-    text = F.when(n % 7 == 6, " ").otherwise(F.regexp_replace(F.element_at(F.split("text", "\n"), 1), r"\s+", " "))
+    text = F.when(n % 7 == 6, " ").otherwise(F.regexp_replace("text", r"\s+", " "))
     cues = A.dialogue(spark, sf_dir).select(
         "track_id", n.alias("cue_id"), F.trim(text).alias("text"), "speaker", (n * 4_000_000).alias("start_us"), (n * 4_000_000 + 3_500_000).alias("end_us"), F.lit("asr").alias("source")
     )
@@ -305,7 +305,7 @@ def sink_cues(spark, sf_dir, words=False):
     return SK.select_cues(cues, OFFSET)
 
 
-SINK = f"""{DIALOGUE}, sc AS (SELECT track_id, seq AS cue_id, trim(CASE WHEN seq % 7 = 6 THEN ' ' ELSE regexp_replace(string_split(text, chr(10))[1], '\\s+', ' ', 'g') END) AS text, speaker, seq * 4000000 AS s0, seq * 4000000 + 3500000 AS e0 FROM dialogue),
+SINK = f"""{DIALOGUE}, sc AS (SELECT track_id, seq AS cue_id, trim(CASE WHEN seq % 7 = 6 THEN ' ' ELSE regexp_replace(text, '\\s+', ' ', 'g') END) AS text, speaker, seq * 4000000 AS s0, seq * 4000000 + 3500000 AS e0 FROM dialogue),
 cs AS (SELECT *, greatest(0, s0 + {OFFSET}) AS s, greatest(s0, e0 + {OFFSET}) AS e, row_number() OVER (PARTITION BY track_id ORDER BY greatest(0, s0 + {OFFSET}), cue_id) AS n,
    CASE WHEN cue_id % 3 = 1 THEN [] ELSE regexp_extract_all(text, '\\S+') END AS w FROM sc WHERE text <> '')"""
 _HMS = "printf('%02d:%02d:%02d{0}%03d', {1} // 3600000000, {1} // 60000000 % 60, {1} // 1000000 % 60, {1} // 1000 % 1000)"
@@ -381,7 +381,7 @@ def snk06_json(spark, sf_dir):
 
 @query(
     "snk08_safe_names",
-    f"""WITH n AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN '' ELSE lang END AS artist, CASE WHEN doc_id % 10 = 0 THEN '???' ELSE string_split(text, chr(10))[1] END AS title FROM documents),
+    f"""WITH n AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN '' ELSE lang END AS artist, CASE WHEN doc_id % 10 = 0 THEN '???' ELSE text END AS title FROM documents),
     b AS (SELECT doc_id, title, CASE WHEN artist = '' THEN title WHEN title = '' THEN artist ELSE artist || ' - ' || title END AS base FROM n),
     s AS (SELECT doc_id, title, substr(regexp_replace(trim(regexp_replace(strip_accents(base), '[^\\w\\s-]', '', 'g')), '\\s+', '-', 'g'), 1, 80) AS nm FROM b)
     SELECT doc_id, CASE WHEN nm = '' THEN 'lyric-video' ELSE nm END || '.srt' AS name,
@@ -390,7 +390,7 @@ def snk06_json(spark, sf_dir):
 def snk08(spark, sf_dir):
     n = F.col("doc_id")
     artist = F.when(n % 3 == 0, "").otherwise(F.col("lang"))
-    title = F.when(n % 10 == 0, "???").otherwise(F.element_at(F.split("text", "\n"), 1))
+    title = F.when(n % 10 == 0, "???").otherwise(F.col("text"))
     return A.table(spark, sf_dir, "documents").select(
         "doc_id", X.safe_name(artist, title, ".srt").alias("name"), X.sanitize_file_name(title).alias("shown")
     )

@@ -49,7 +49,7 @@ def join01(spark, sf_dir):
     return merged.select("track_id", "seq", "start_us", "end_us", "source")
 
 
-WORD_SQL = f"""WITH {DIALOGUE}, cues AS (SELECT track_id, seq AS cue_id, string_split(text, chr(10))[1] AS text, seq * 10000000 AS c0, seq * 10000000 + 8000000 AS c1 FROM dialogue),
+WORD_SQL = f"""WITH {DIALOGUE}, cues AS (SELECT track_id, seq AS cue_id, text, seq * 10000000 AS c0, seq * 10000000 + 8000000 AS c1 FROM dialogue),
 tok AS (SELECT track_id, cue_id, c0, c1, i, tks[i + 1] AS text, {sig("tks[i + 1]")} AS k, sum(length_grapheme(tks[i + 1])) OVER w AS tw, length_grapheme(tks[i + 1]) AS gw, len(tks) AS n
    FROM (SELECT *, unnest(range(0, len(tks))) AS i FROM (SELECT *, regexp_extract_all(text, '\\S+') AS tks FROM cues)) WINDOW w AS (PARTITION BY track_id, cue_id)),
 pw AS (SELECT track_id, cue_id, k, i, c0 + i * 200000 AS ps, c0 + i * 200000 + 150000 AS pe FROM tok WHERE i % 3 = 0 AND cue_id % 4 <> 3 AND k <> ''),
@@ -71,7 +71,7 @@ def join02(spark, sf_dir):
     cues = A.dialogue(spark, sf_dir).select(
         "track_id",
         n.alias("cue_id"),
-        F.element_at(F.split("text", "\n"), 1).alias("text"),
+        "text",
         (n * 10_000_000).alias("start_us"),
         (n * 10_000_000 + 8_000_000).alias("end_us"),
         F.lit(0.8).alias("confidence"),

@@ -32,14 +32,14 @@ def udf01_match(spark, sf_dir):
     "udf02_column_functions",
     f"""WITH {DOC_LINES}, s AS (SELECT track_id, seq, text, {sig('text')} AS sg FROM doc_lines)
     SELECT track_id, seq, CAST({syllables_sql('sg')} AS BIGINT) AS syllables, {reading_sql('text')} AS reading_us,
-      round(CASE WHEN 'chorus' = w6 THEN 1.0 WHEN w6 = '' THEN 0.0 ELSE greatest(0.0, 1 - levenshtein('chorus', w6)::DOUBLE / greatest(6, length(w6))) END::DOUBLE, 9) AS score FROM (SELECT *, substr(regexp_replace(sg, '[^a-z]', '', 'g'), 1, 6) AS w6 FROM s)""",
+      round(CASE WHEN 'chorus' = w6 THEN 1.0 WHEN w6 = '' THEN 0.0 WHEN length(w6) > 24 THEN CASE WHEN starts_with(w6, 'chorus') THEN 0.6 ELSE 0.0 END ELSE greatest(0.0, 1 - levenshtein('chorus', w6)::DOUBLE / greatest(6, length(w6))) END::DOUBLE, 9) AS score FROM (SELECT *, regexp_replace(sg, '[^a-z]', '', 'g') AS w6 FROM s)""",
 )
 def udf02(spark, sf_dir):
     lines = A.doc_lines(spark, sf_dir)
     return run(
         spark,
         sf_dir,
-        """SELECT track_id, seq, syllables(sg) AS syllables, reading_time_us(text, 155D) AS reading_us, round(similarity('chorus', substr(regexp_replace(sg, '[^a-z]', ''), 1, 6)), 9) AS score
+        """SELECT track_id, seq, syllables(sg) AS syllables, reading_time_us(text, 155D) AS reading_us, round(similarity('chorus', regexp_replace(sg, '[^a-z]', '')), 9) AS score
            FROM (SELECT track_id, seq, text, norm_match(text) AS sg FROM {lines})""",
         lines=lines,
     )
@@ -57,7 +57,7 @@ def udf03(spark, sf_dir):
     """Lines of each document aligned with its sorted lines, through the two-table form."""
     from pyspark.sql import functions as F
 
-    lines = A.doc_lines(spark, sf_dir).select("track_id", F.col("seq").alias("idx"), F.substring("text", 1, 20).alias("token"))
+    lines = A.doc_lines(spark, sf_dir).select("track_id", F.col("seq").alias("idx"), F.col("text").alias("token"))
     short = lines.withColumn("idx", F.xxhash64("token"))
     pairs = AL.align(lines, short, ["track_id"], "token", "token")
     return AL.alignment_score(pairs, ["track_id"]).withColumn("score", F.round("score", 9))

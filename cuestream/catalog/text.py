@@ -196,25 +196,24 @@ def txt11(spark, sf_dir):
     )
 
 
-SPOKEN_LINE = """CASE seq % 5 WHEN 0 THEN 'Host: ' WHEN 1 THEN 'co-host : ' WHEN 2 THEN 'b:  ' WHEN 3 THEN 'Speaker 1: ' ELSE '' END
-  || string_split(text, chr(10))[1]"""
+SPOKEN = """ex AS (SELECT track_id, seq, CAST(i AS BIGINT) AS line_no, ls[i + 1] AS raw FROM (SELECT track_id, seq, ls, unnest(range(0, len(ls))) AS i FROM (SELECT *, string_split(text, chr(10)) AS ls FROM dialogue))),
+l AS (SELECT track_id, seq, line_no, trim(CASE (seq + line_no) % 5 WHEN 0 THEN 'Host: ' WHEN 1 THEN 'co-host : ' WHEN 2 THEN 'b:  ' WHEN 3 THEN 'Speaker 1: ' ELSE '' END || raw) AS line FROM ex)"""
 _SPK = "(?i)^(?:(A|B)|(host|narrator|speaker\\s*1)|(guest|co-?host|speaker\\s*2))\\s*:\\s+(.+)$"
 
 
 @query(
     "txt12_speaker_prefix",
-    f"""WITH {DIALOGUE}, l AS (SELECT track_id, seq, trim({SPOKEN_LINE}) AS line FROM dialogue)
-    SELECT track_id, seq, CASE WHEN regexp_matches(line, '{_SPK}') THEN CASE WHEN upper(regexp_extract(line, '{_SPK}', 1)) = 'B'
+    f"""WITH {DIALOGUE}, {SPOKEN}
+    SELECT track_id, seq, line_no, CASE WHEN regexp_matches(line, '{_SPK}') THEN CASE WHEN upper(regexp_extract(line, '{_SPK}', 1)) = 'B'
         OR regexp_extract(line, '{_SPK}', 3) <> '' THEN 'B' ELSE 'A' END END AS speaker,
       CASE WHEN regexp_matches(line, '{_SPK}') THEN trim(regexp_extract(line, '{_SPK}', 4)) ELSE line END AS text FROM l""",
 )
 def txt12(spark, sf_dir):
-    n = F.col("seq") % 5
+    lines = A.dialogue(spark, sf_dir).select("track_id", "seq", F.posexplode(F.split("text", "\n")).alias("line_no", "raw"))
+    n = (F.col("seq") + F.col("line_no")) % 5
     head = F.when(n == 0, "Host: ").when(n == 1, "co-host : ").when(n == 2, "b:  ").when(n == 3, "Speaker 1: ").otherwise("")
-    line = F.concat(head, F.element_at(F.split("text", "\n"), 1))
-    return A.dialogue(spark, sf_dir).select("track_id", "seq", X.speaker_prefix(line).alias("x")).select(
-        "track_id", "seq", "x.*"
-    )
+    out = lines.select("track_id", "seq", F.col("line_no").cast("long").alias("line_no"), X.speaker_prefix(F.concat(head, "raw")).alias("x"))
+    return out.select("track_id", "seq", "line_no", "x.*")
 
 
 def reading_sql(t: str, floor_ms: int = 1600) -> str:
