@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cuestream.plans.scan import CHUNK, MAX_GROUP_ROWS, has_hot_group, range_chunks
+from cuestream.plans.scan import CHUNK, has_hot_group, range_chunks
 
 
 def greedy_mask(times: np.ndarray, gap: int, last: float | None) -> np.ndarray:
@@ -50,7 +50,7 @@ def debounce(
     tie: str,
     gap: int,
     hot: bool | None = None,
-    max_group_rows: int = MAX_GROUP_ROWS,
+    max_group_rows: int | None = None,
 ) -> DataFrame:
     """Rows surviving the greedy gap per key, in time order; the tie column is unique per key."""
     keys = list(keys)

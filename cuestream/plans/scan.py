@@ -95,8 +95,14 @@ def group_count():
     return Step("group_count")
 
 
-def has_hot_group(df: DataFrame, keys: Sequence[str], max_group_rows: int = MAX_GROUP_ROWS) -> bool:
+def group_limit(df: DataFrame) -> int:
+    """Largest group one task may order; ``spark.cuestream.maxGroupRows`` overrides the default."""
+    return int(df.sparkSession.conf.get("spark.cuestream.maxGroupRows", str(MAX_GROUP_ROWS)))
+
+
+def has_hot_group(df: DataFrame, keys: Sequence[str], max_group_rows: int | None = None) -> bool:
     """True when some key holds more rows than one task should order."""
+    max_group_rows = group_limit(df) if max_group_rows is None else max_group_rows
     sizes = df.groupBy(*keys).count().filter(F.col("count") > max_group_rows)
     return bool(sizes.take(1))
 
@@ -122,7 +128,7 @@ class OrderedScan:
         keys: Sequence[str],
         order: Sequence[str],
         hot: bool | None = None,
-        max_group_rows: int = MAX_GROUP_ROWS,
+        max_group_rows: int | None = None,
     ) -> OrderedScan:
         """``hot=None`` checks group sizes; pass the flag when already known.
 
@@ -254,23 +260,23 @@ class OrderedScan:
         part = W.partitionBy(*self.keys) if self.keys else W.partitionBy(F.lit(0))
         summary = self.df.groupBy(*keys).agg(*[self._summary(s).alias(n) for n, s in steps.items()])
         carries = (
-            summary.withColumn("_n", F.count(F.lit(1)).over(part))
+            summary.withColumn("_scan_n", F.count(F.lit(1)).over(part))
             .select(
-                *[F.col(k).alias(f"_k_{k}") for k in keys],
-                "_n",
-                *[self._carry(n, s).alias(f"_c_{n}") for n, s in steps.items()],
+                *[F.col(k).alias(f"_scan_k_{k}") for k in keys],
+                "_scan_n",
+                *[self._carry(n, s).alias(f"_scan_c_{n}") for n, s in steps.items()],
             )
-            .filter(F.col("_n") > 1)
+            .filter(F.col("_scan_n") > 1)
         )
-        local = self.df.withColumns({f"_l_{n}": self._local(s, keys) for n, s in steps.items()})
-        on = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys]
+        local = self.df.withColumns({f"_scan_l_{n}": self._local(s, keys) for n, s in steps.items()})
+        on = [F.col(k).eqNullSafe(F.col(f"_scan_k_{k}")) for k in keys]
         # at most two rows per chunk: see the module text
         joined = local.join(F.broadcast(carries), on, "left")
         out = joined.withColumns(
-            {n: self._merge(s, F.col(f"_l_{n}"), F.col(f"_c_{n}")) for n, s in steps.items()}
+            {n: self._merge(s, F.col(f"_scan_l_{n}"), F.col(f"_scan_c_{n}")) for n, s in steps.items()}
         )
         return out.drop(
-            "_n", *[f"_k_{k}" for k in keys], *[f"_l_{n}" for n in steps], *[f"_c_{n}" for n in steps]
+            "_scan_n", *[f"_scan_k_{k}" for k in keys], *[f"_scan_l_{n}" for n in steps], *[f"_scan_c_{n}" for n in steps]
         )
 
 

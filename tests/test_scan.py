@@ -37,7 +37,7 @@ def steps():
     return {
         "a": S.max_before("v"), "b": S.max_upto("v"), "c": S.sum_before("v"), "d": S.sum_upto("v"), "e1": S.last_before("v"),
         "f": S.last_upto("v"), "g": S.first_after("v"), "h": S.prev_row("v"), "i": S.next_row("v"), "j": S.position(),
-        "l": S.group_sum("v"), "m": S.group_max("v"), "n": S.group_count(), "o": S.group_min("v"),
+        "l": S.group_sum("v"), "m": S.group_max("v"), "_n": S.group_count(), "o": S.group_min("v"),
     }
 
 
@@ -165,3 +165,26 @@ def test_cursor_recurrences_against_plain_loops(spark, hot):
             cursor[track] = c + length
             want.append((track, seq, c, c + length))
     assert got == sorted(want, key=lambda r: tuple((v is None, str(v)) for v in r))
+
+
+def test_whole_queries_with_every_group_hot(spark, sf_dir):
+    """Chunking forced everywhere leaves the results of whole operators as they are."""
+    from cuestream import catalog
+
+    catalog.load()
+    names = ("tim14_post_process", "tim21_suggest_compensation", "seq01_debounce", "seq08_coalesce_edits", "str06_presence")
+    plain = {n: rows(df := catalog.QUERIES[n](spark, sf_dir), *df.columns) for n in names}
+    spark.conf.set("spark.cuestream.maxGroupRows", "3")
+    try:
+        hot = {n: rows(df := catalog.QUERIES[n](spark, sf_dir), *df.columns) for n in names}
+    finally:
+        spark.conf.unset("spark.cuestream.maxGroupRows")
+    assert plain == hot
+
+
+def test_estimates_hot_equal_plain(skewed):
+    from cuestream.operators.estimate import estimate_line_timings
+
+    lines = skewed.select(F.col("k").alias("track_id"), F.col("id").alias("seq"), F.lit("").alias("sig"), F.lit("x").alias("text"))
+    got = [rows(estimate_line_timings(lines, hot=hot), "track_id", "seq", "start_us", "end_us") for hot in (False, True)]
+    assert got[0] == got[1]
