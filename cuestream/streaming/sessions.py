@@ -23,7 +23,8 @@ def tap_stream(log: DataFrame) -> DataFrame:
 
     ``log(track_id, seq, type, time_us, line_index, amount, n_lines)``; rows of
     a micro-batch are applied in ``seq`` order. Take the rows of the highest
-    ``as_of_seq`` per session for the final state.
+    ``as_of_seq`` per session for the final state. A micro-batch of one session
+    is sorted in memory, so bound it at the source (``max_files``).
     """
 
     def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:

@@ -4,8 +4,8 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from conftest import rows
-from cuestream import catalog
 from cuestream.catalog import streams as ST
+from cuestream.catalog.sequences import tap_log
 from cuestream.operators.ordered import fold_tap_log
 from cuestream.sources.audio import mel_frames
 from cuestream.streaming import metrics as ME
@@ -13,9 +13,6 @@ from cuestream.streaming import presence as PR
 from cuestream.streaming import runner as RU
 from cuestream.streaming import sessions as SE
 
-catalog.load()
-
-
 def ordered_files(df, path, order, n):
     """Write n files whose names follow the order, so micro-batches arrive in it."""
     df.repartitionByRange(n, order).sortWithinPartitions(order).write.parquet(path)
@@ -23,7 +20,7 @@ def ordered_files(df, path, order, n):
 
 
 def test_tap_stream_equals_fold(spark, sf_dir, tmp_path):
-    log = catalog.registry.QUERIES and __import__("cuestream.catalog.sequences", fromlist=["tap_log"]).tap_log(spark, sf_dir)
+    log = tap_log(spark, sf_dir)
     counts = log.groupBy("track_id").agg(F.count(F.lit(1)).alias("n_lines"))
     full = log.join(counts, "track_id")
     path = ordered_files(full, str(tmp_path / "log"), "seq", 1)
@@ -77,3 +74,15 @@ def test_forward_sink_is_idempotent(spark, tmp_path):
     write(df, 0)
     write(df, 0)
     assert spark.read.parquet(str(tmp_path / "out")).count() == 1
+
+
+def test_peak_windows_equal_peak_buckets(spark):
+    from cuestream.operators.peaks import compute_peaks
+
+    data = [(1, i, float(np.sin(i / 5.0))) for i in range(200)]
+    samples = spark.createDataFrame(data, "track_id long, frame long, value double")
+    timed = samples.withColumn("ts", F.timestamp_micros(F.col("frame") * 1_000))
+    got = SE.peak_stream(timed).withColumn("bucket", F.floor(F.unix_micros("bucket_start") / 10_000))
+    cols = ["bucket", *[F.round(c, 9).alias(c) for c in ("min", "max", "rms")]]
+    want = compute_peaks(samples, 10)
+    assert rows(got.select(*cols), "bucket", "min", "max", "rms") == rows(want.select(*cols), "bucket", "min", "max", "rms")
