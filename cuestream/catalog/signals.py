@@ -186,7 +186,7 @@ def sig10(spark, sf_dir):
 )
 def sig11(spark, sf_dir):
     points = A.table(spark, sf_dir, "events").select(
-        "event_id", F.lit(0).cast("long").alias("track_id"), (F.col("event_id") * 1613).alias("t_us")
+        "event_id", (F.col("event_id") - F.col("event_id")).alias("track_id"), (F.col("event_id") * 1613).alias("t_us")
     )
     return rhythm.beat_strength(points, grid_of(spark, sf_dir), 90_000).select("event_id", "strength")
 
@@ -200,7 +200,7 @@ def sig11(spark, sf_dir):
 def sig12(spark, sf_dir):
     spectrum = A.signal(spark, sf_dir)
     points = A.table(spark, sf_dir, "events").select(
-        "event_id", F.col("event_type").alias("band"), F.lit(0).cast("long").alias("track_id"), (F.col("event_id") * 1700 - 50_000).alias("t_us")
+        "event_id", F.col("event_type").alias("band"), (F.col("event_id") - F.col("event_id")).alias("track_id"), (F.col("event_id") * 1700 - 50_000).alias("t_us")
     )
     out = peaks.energy_at(points, spectrum, peaks.band_means(spectrum), FRAME_US)
     return rounded(rounded(out.select("event_id", "value", "energy"), "value", digits=6), "energy")
