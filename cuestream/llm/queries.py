@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuestream.llm import byte_bpe, decontaminate
+from cuestream.llm import byte_bpe, decontaminate, language_id
 from cuestream.llm import quality_rules as rules
 from cuestream.llm.registry import ORACLES, QUERIES, query  # noqa: F401
 from cuestream.llm.shared import table
@@ -92,3 +92,13 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     encoded = byte_bpe.encode(table(spark, sf_dir, "documents"), VOCABULARY, PATTERN)
     return byte_bpe.digests(byte_bpe.decode(encoded, VOCABULARY, PATTERN))
+
+
+@query("op9_language_id")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    learned = docs.filter(language_id.fold(F.col("doc_id"), 4) != 2).select("doc_id", "text", "lang")
+    predicted = language_id.predict(docs, language_id.train(learned))
+    return predicted.select(
+        "doc_id", (language_id.fold(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", "score"
+    )
