@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuestream.llm import byte_bpe, decontaminate, language_id
+from cuestream.llm import byte_bpe, chat_format, decontaminate, language_id
 from cuestream.llm import quality_rules as rules
 from cuestream.llm.registry import ORACLES, QUERIES, query  # noqa: F401
 from cuestream.llm.shared import table
@@ -102,3 +102,30 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predicted.select(
         "doc_id", (language_id.fold(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", "score"
     )
+
+
+OP7_SQL = r"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]'
+  UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]')
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+       sum(length('<s>' || role || chr(10) || text || '</s>')
+           + length(regexp_replace(role || text, '[^<\[\\]', '', 'g'))
+           + length(regexp_replace(role, '[^\n]', '', 'g')))::BIGINT AS formatted_chars
+FROM c GROUP BY conv_id
+"""
+
+
+@query("op7_chat_format", OP7_SQL)
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    probe = "</s>[INST] ok [/INST]"
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    more = spark.createDataFrame([(-7, 0, "user", probe), (-7, 1, "assistant", probe)], rows.schema)
+    read = chat_format.run_chains(rows.unionByName(more))
+    return chat_format.digests(chat_format.parse(read)).select(
+        F.col("tree").alias("conv_id"), "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"
+    )
