@@ -6,10 +6,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuestream.llm import byte_bpe, chat_format, decontaminate, language_id
+from cuestream.llm import byte_bpe, chat_format, decontaminate, language_id, language_model
 from cuestream.llm import quality_rules as rules
 from cuestream.llm.registry import ORACLES, QUERIES, query  # noqa: F401
-from cuestream.llm.shared import table
+from cuestream.llm.shared import keep, table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 PATTERN = public_tokenizers.PATTERN
@@ -129,3 +129,17 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.digests(chat_format.parse(read)).select(
         F.col("tree").alias("conv_id"), "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"
     )
+
+
+@query("op2_language_model")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    learned = docs.filter(language_id.fold(F.col("doc_id"), 5) != 1)
+    counts = keep(language_model.count_tokens(learned), "counts")
+    words = language_model.vocabulary(counts)
+    net = language_model.train(learned, words)
+    scored = language_model.score(docs, counts, words, net)
+    return scored.select(
+        "doc_id", (language_id.fold(F.col("doc_id"), 5) == 1).alias("held_out"), "n_tokens", "n_known",
+        F.lit(words.total).cast("long").alias("train_tokens"), "base_score", "score",
+    )
