@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuestream.llm import byte_bpe, chat_format, decontaminate, language_id, language_model
+from cuestream.llm import byte_bpe, chat_format, decontaminate, language_id, language_model, line_dedup
 from cuestream.llm import quality_rules as rules
 from cuestream.llm.registry import ORACLES, QUERIES, query  # noqa: F401
 from cuestream.llm.shared import keep, table
@@ -143,3 +143,28 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", (language_id.fold(F.col("doc_id"), 5) == 1).alias("held_out"), "n_tokens", "n_known",
         F.lit(words.total).cast("long").alias("train_tokens"), "base_score", "score",
     )
+
+
+OP6_SQL = r"""
+WITH l AS (
+  SELECT doc_id, source, i - 1 AS place, t[i] AS line
+  FROM (SELECT doc_id, source, string_split(text, chr(10)) AS t, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i
+        FROM documents)),
+words AS (SELECT * FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+boiler AS (SELECT line, min((doc_id, place)) AS first FROM words GROUP BY line HAVING count(DISTINCT source) >= 10),
+marked AS (
+  SELECT l.*, regexp_matches(l.line, '[^\x20\x09-\x0D]') AS counted,
+         b.line IS NOT NULL AND (l.doc_id, l.place) <> b.first AS gone
+  FROM l LEFT JOIN boiler b ON l.line = b.line)
+SELECT d.doc_id, count(m.place) FILTER (WHERE counted) AS n_lines, count(m.place) FILTER (WHERE gone) AS n_removed,
+       sha256(coalesce(string_agg(m.line, chr(10) ORDER BY m.place) FILTER (WHERE NOT gone), '')) AS kept_sha256
+FROM documents d LEFT JOIN marked m ON d.doc_id = m.doc_id GROUP BY d.doc_id
+"""
+
+
+@query("op6_line_dedup", OP6_SQL)
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    cleaned = line_dedup.clean(docs, with_counts=True)
+    kept = F.coalesce(F.col("d.text"), F.lit(""))
+    return cleaned.select("d.doc_id", "n_lines", "n_removed", F.sha2(kept, 256).alias("kept_sha256"))
