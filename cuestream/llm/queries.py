@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuestream.llm import byte_bpe, chat_format, decontaminate, language_id, language_model, line_dedup
+from cuestream.llm import byte_bpe, chat_format, decontaminate, jaccard_join, language_id, language_model, line_dedup
 from cuestream.llm import quality_rules as rules
 from cuestream.llm.registry import ORACLES, QUERIES, query  # noqa: F401
 from cuestream.llm.shared import keep, table
@@ -168,3 +168,31 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     cleaned = line_dedup.clean(docs, with_counts=True)
     kept = F.coalesce(F.col("d.text"), F.lit(""))
     return cleaned.select("d.doc_id", "n_lines", "n_removed", F.sha2(kept, 256).alias("kept_sha256"))
+
+
+OP4_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+sh AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + least(5, len(w)) - 1], ' ') || ' ' || least(5, len(w)) AS g
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - least(5, len(w)) + 2)) AS i FROM w WHERE len(w) > 0)),
+size AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM sh a JOIN sh b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+link AS (
+  SELECT a, b, c = x.n AND c = y.n AS same
+  FROM common JOIN size x ON a = x.doc_id JOIN size y ON b = y.doc_id WHERE 9 * c >= 4 * (x.n + y.n)),
+reach(a, b) AS (SELECT a, b FROM link UNION SELECT r.a, l.b FROM reach r JOIN link l ON r.b = l.a),
+class AS (SELECT a, min(b) AS m FROM reach GROUP BY a),
+copies AS (SELECT a, min(b) AS m FROM link WHERE same GROUP BY a),
+n AS (SELECT a, count(*) AS n FROM link GROUP BY a)
+SELECT w.doc_id, least(w.doc_id, class.m) AS class_id, least(w.doc_id, copies.m) AS copy_of,
+       coalesce(n.n, 0)::BIGINT AS n_links, coalesce(size.n, 0)::BIGINT AS n_shingles
+FROM w LEFT JOIN class ON w.doc_id = class.a LEFT JOIN copies ON w.doc_id = copies.a LEFT JOIN n ON w.doc_id = n.a
+LEFT JOIN size ON w.doc_id = size.doc_id
+"""
+
+
+@query("op4_jaccard_join", OP4_SQL)
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join(table(spark, sf_dir, "documents").select("doc_id", "text"))
