@@ -14,7 +14,7 @@ A text of any length stays one cell: work and memory are in proportion to its wo
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
@@ -28,22 +28,22 @@ MEASURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_r
 
 @dataclass(frozen=True)
 class Rule:
-    """A rule fails where ``fails`` (SQL over the measures) is true; ``bit`` never changes its meaning."""
+    """A rule fails where ``fails`` of the measures (by name) is true; ``bit`` never changes its meaning."""
 
     name: str
     bit: int
-    fails: str
+    fails: Callable[[Column], Column]
 
 
 #: Bits are append-only: a ledger written today stays readable under later rule lists.
 RULES = (
-    Rule("too_few_words", 0, "n_words < 50"),
-    Rule("repeated_trigrams", 1, "100 * n_repeat_words > 50 * n_words"),
-    Rule("symbols", 2, "10 * n_symbols > n_words"),
-    Rule("duplicate_lines", 3, "100 * n_dup_lines > 50 * n_lines"),
-    Rule("upper_case", 4, "2 * n_upper > word_chars"),
-    Rule("short_words", 5, "word_chars < 2 * n_words"),
-    Rule("long_words", 6, "word_chars > 20 * n_words"),
+    Rule("too_few_words", 0, lambda m: m["n_words"] < 50),
+    Rule("repeated_trigrams", 1, lambda m: 100 * m["n_repeat_words"] > 50 * m["n_words"]),
+    Rule("symbols", 2, lambda m: 10 * m["n_symbols"] > m["n_words"]),
+    Rule("duplicate_lines", 3, lambda m: 100 * m["n_dup_lines"] > 50 * m["n_lines"]),
+    Rule("upper_case", 4, lambda m: 2 * m["n_upper"] > m["word_chars"]),
+    Rule("short_words", 5, lambda m: m["word_chars"] < 2 * m["n_words"]),
+    Rule("long_words", 6, lambda m: m["word_chars"] > 20 * m["n_words"]),
 )
 
 
@@ -113,40 +113,41 @@ def _words_of(text: Column) -> Column:
     return F.array_remove(F.split(spaced, " "), "")
 
 
-def measure(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Add the measures of ``MEASURES`` (long) to each row."""
-    t = F.coalesce(F.col(text), F.lit(""))
-    keep = [c for c in docs.columns if c.lower() not in MEASURES]
+def judge(text: Column, rules: Sequence[Rule] = RULES) -> Column:
+    """Struct of all measures (long) and ``failed_bits`` of one text, each evaluated once.
+
+    The words, the lines and the measures are bound as lambda variables. A filter on the
+    result can thus be pushed anywhere without computing its parts again for every use.
+    """
+    t = F.coalesce(text, F.lit(""))
+
+    def measures(words: Column, lines: Column) -> Column:
+        values = {
+            "n_words": F.size(words),
+            "word_chars": F.length(F.array_join(words, "")),
+            "n_symbols": F.length(F.regexp_replace(t, r"[^#*$%&|<>]+", "")),
+            "n_lines": F.size(lines),
+            "n_dup_lines": F.size(lines) - F.size(F.array_distinct(lines)),
+            "n_repeat_words": _repeat_words(words),
+            "n_upper": F.length(F.regexp_replace(t, r"[^A-Z]+", "")),
+        }
+        return F.struct(*[values[m].cast("long").alias(m) for m in MEASURES])
+
+    def entry(m: Column) -> Column:
+        bits = [F.when(r.fails(m), F.lit(1 << r.bit)).otherwise(F.lit(0)).cast("long") for r in rules]
+        return F.struct(*[m[k].alias(k) for k in MEASURES], reduce(lambda a, b: a.bitwiseOR(b), bits).alias("failed_bits"))
+
     lines = F.filter(F.split(t, "\n"), lambda x: x.rlike(HAS_WORD))
-    first = docs.select(
-        *[F.col(f"`{c}`") for c in keep],
-        _words_of(t).alias("_words"),
-        _bound(lines, lambda x: F.struct(F.size(x).alias("n"), F.size(F.array_distinct(x)).alias("d"))).alias("_lines"),
-        F.length(F.regexp_replace(t, r"[^#*$%&|<>]+", "")).alias("_symbols"),
-        F.length(F.regexp_replace(t, r"[^A-Z]+", "")).alias("_upper"),
-    )
-    values = {
-        "n_words": F.size("_words"),
-        "word_chars": F.length(F.array_join("_words", "")),
-        "n_symbols": F.col("_symbols"),
-        "n_lines": F.col("_lines.n"),
-        "n_dup_lines": F.col("_lines.n") - F.col("_lines.d"),
-        "n_repeat_words": _repeat_words(F.col("_words")),
-        "n_upper": F.col("_upper"),
-    }
-    return first.select(
-        *[F.col(f"`{c}`") for c in keep], *[values[m].cast("long").alias(m) for m in MEASURES]
-    )
+    return _bound(_words_of(t), lambda w: _bound(_bound(lines, lambda x: measures(w, x)), entry))
 
 
 def evaluate(docs: DataFrame, text: str = "text", rules: Sequence[Rule] = RULES) -> DataFrame:
     """The ledger: the input's columns, the measures, and ``failed_bits`` (long)."""
-    bits = reduce(
-        lambda a, b: a.bitwiseOR(b),
-        [F.when(F.expr(r.fails), F.lit(1 << r.bit)).otherwise(F.lit(0)).cast("long") for r in rules],
+    own = [*MEASURES, "failed_bits"]
+    others = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in own]
+    return docs.select(*others, judge(F.col(f"`{text}`"), rules).alias("_ledger")).select(
+        *others, *[F.col(f"_ledger.{k}") for k in own]
     )
-    measured = measure(docs, text)
-    return measured.select(*[F.col(f"`{c}`") for c in measured.columns if c.lower() != "failed_bits"], bits.alias("failed_bits"))
 
 
 def apply_policy(ledger: DataFrame, policy: Policy = STANDARD, rules: Sequence[Rule] = RULES) -> DataFrame:
@@ -183,9 +184,7 @@ def ablations(ledger: DataFrame, policy: Policy = STANDARD, rules: Sequence[Rule
     return wide.select(F.lit(policy.version).alias("policy"), one).select("policy", "r.*")
 
 
-def reject(docs: DataFrame, policy: Policy = STANDARD, text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that the policy keeps, with their own columns, names and order."""
-    names = [f"c{i}" for i in range(len(docs.columns))]
-    inner = docs.toDF(*names)
-    judged = apply_policy(evaluate(inner.withColumn("_text", F.col(names[docs.columns.index(text)])), "_text"), policy)
-    return judged.filter("kept").select(names).toDF(*docs.columns)
+def reject(docs: DataFrame, policy: Policy = STANDARD, text: str = "text", rules: Sequence[Rule] = RULES) -> DataFrame:
+    """The rows of ``docs`` that the policy keeps, with their own columns."""
+    failed = judge(F.col(f"`{text}`"), rules)["failed_bits"]
+    return docs.filter(failed.bitwiseAND(F.lit(policy.mask(rules))) == 0)
