@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -85,9 +86,11 @@ def chain(rows: DataFrame, tree: str, turn: str, role: str, text: str) -> DataFr
 
 
 def _jumps(nodes: DataFrame) -> list[DataFrame]:
-    """Per round k: the ancestor 2^k steps up, with score and count of the messages passed on the way.
+    """Per round k, for the nodes still below an ancestor: the ancestor 2^k steps up, and
+    the score and number of the messages up to it.
 
-    ``up`` is null once the root is passed. The last table has no ancestor left but on cycles.
+    ``up`` is null once the root is passed; such a node is done and leaves the rounds. A
+    round that ends no node shows that all that are left hang on cycles.
     """
     known = nodes.select(F.col("tree").alias("t"), F.col("node").alias("p"))
     linked = (
@@ -95,24 +98,24 @@ def _jumps(nodes: DataFrame) -> list[DataFrame]:
         .join(known, (F.col("tree") == F.col("t")) & (F.col("parent") == F.col("p")), "left")
         .select("tree", "node", F.col("p").alias("up"), F.col("score").alias("total"), F.lit(1).cast("long").alias("count"))
     )
-    tables = [keep(linked, "jumps")]
+    rounds = [keep(linked, "jumps")]
     open_before = None
     while True:
-        now = tables[-1]
-        still = now.filter("up is not null").count()
+        left = rounds[-1].filter("up is not null")
+        still = left.count()
         if still == 0 or still == open_before:
-            return tables  # all at a root, or only cycles are left
-        # nodes on cycles never end; a round that ends none shows that only they are left
-        a, b = now.alias("a"), now.alias("b")
-        step = a.join(b, (F.col("a.tree") == F.col("b.tree")) & (F.col("a.up") == F.col("b.node")), "left").select(
-            "a.tree",
-            "a.node",
-            F.col("b.up").alias("up"),
-            (F.col("a.total") + F.coalesce("b.total", F.lit(0.0))).alias("total"),
-            (F.col("a.count") + F.coalesce("b.count", F.lit(0))).alias("count"),
+            return rounds
+        passed = left
+        for done in rounds:
+            passed = passed.unionByName(done.filter("up is null"))
+        passed = passed.select(
+            F.col("tree").alias("t"), F.col("node").alias("at"), F.col("up").alias("next"), F.col("total").alias("more"), F.col("count").alias("n")
+        )
+        step = left.join(passed, (F.col("tree") == F.col("t")) & (F.col("up") == F.col("at"))).select(
+            "tree", "node", F.col("next").alias("up"), (F.col("total") + F.col("more")).alias("total"), (F.col("count") + F.col("n")).alias("count")
         )
         open_before = still
-        tables.append(keep(step, "jumps"))
+        rounds.append(keep(step, "jumps"))
 
 
 def paths(nodes: DataFrame, branches: int = 1) -> DataFrame:
@@ -121,7 +124,7 @@ def paths(nodes: DataFrame, branches: int = 1) -> DataFrame:
     Position counts from the root, from 0. Branch 0 has the highest mean score.
     """
     tables = _jumps(nodes)
-    last = tables[-1].filter("up is null")
+    last = reduce(DataFrame.unionByName, [t.filter("up is null") for t in tables])
     parents = tables[0].filter("up is not null").select("tree", F.col("up").alias("node")).distinct()
     leaves = last.join(parents, ["tree", "node"], "left_anti")
     rank = F.struct((-F.col("total") / F.col("count")).alias("a"), (-F.col("count")).alias("b"), F.col("node").alias("node"))
