@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from cuestream.llm.shared import keep, pieces, utf8
 
 HEAD = 1 << 18
-PIECE_BYTES = 2 << 20
+PIECE_BYTES = 6 << 20
 FLUSH = 200_000
 LOG10 = math.log(10.0)
 
@@ -129,16 +129,26 @@ class GatedNet:
         lanes, steps = words.shape
         xs = w["embed"][words] @ w["x"] + w["b"]
         out = np.empty((lanes, steps, h), np.float32)
-        stay = (~fresh).astype(np.float32)[:, :, None]
+        xs[:, :, : 2 * h] *= 0.5
+        recurrent = w["h"].copy()
+        recurrent[:, : 2 * h] *= 0.5  # a logistic function is a tanh of half its argument
+        starts = fresh.any(axis=0).tolist()
         for t in range(steps):
-            state = state * stay[:, t]
-            x, r = xs[:, t], state @ w["h"]
-            gates = 1 / (1 + np.exp(-(x[:, : 2 * h] + r[:, : 2 * h])))
-            z, g = gates[:, :h], gates[:, h:]
-            c = np.tanh(x[:, 2 * h :] + g * r[:, 2 * h :])
+            if starts[t]:
+                state = state * ~fresh[:, t, None]
+            x, r = xs[:, t], state @ recurrent
+            gates = np.tanh(x[:, : 2 * h] + r[:, : 2 * h])
+            gates *= 0.5
+            gates += 0.5
+            z, g, rc = gates[:, :h], gates[:, h:], r[:, 2 * h :]
+            c = g * rc
+            c += x[:, 2 * h :]
+            np.tanh(c, out=c)
             if trace is not None:
-                trace.append((state, z, g, c, r[:, 2 * h :]))
-            state = c + z * (state - c)
+                trace.append((state, z, g, c, rc))
+            state = state - c
+            state *= z
+            state += c
             out[:, t] = state
         return out, state
 
@@ -228,10 +238,9 @@ class Trainer:
         words, fresh, target, real, _ = lay_out(texts, s.lanes, len(net.w["embed"]) - 1)
         state = np.zeros((len(words), s.hidden), np.float32)
         for at in range(0, words.shape[1], s.window):
-            part = slice(at, at + s.window)
-            if not real[:, part].any():
-                break
-            grads, _, state = net.step(words[:, part], fresh[:, part], target[:, part], real[:, part], state)
+            n = int(real[:, at].sum())  # lanes are sorted by length
+            part = (slice(0, n), slice(at, at + s.window))
+            grads, _, state = net.step(words[part], fresh[part], target[part], real[part], state[:n])
             self.update(grads, s.lanes * s.window)  # windows of few lanes weigh less
         return int(real.sum())
 
@@ -248,11 +257,13 @@ class Trainer:
 
 
 def lay_out(texts: list[np.ndarray], lanes: int, start: int):
-    """Texts on lanes: the longest first, each on the lane that is shortest so far.
+    """Texts on lanes: the longest first, each on the lane that is shortest so far; long lanes come first.
 
     Returns inputs, first-word marks, targets, which steps are real, and each text's (lane, from, to).
     """
-    lanes = max(1, min(lanes, len(texts)))
+    longest = max((len(t) for t in texts), default=1)
+    # one very long text among short ones: more lanes would be padding, and memory
+    lanes = max(1, min(lanes, len(texts), 4 * -(-sum(map(len, texts)) // longest)))
     length = [0] * lanes
     place: list = [None] * len(texts)
     import heapq
@@ -263,6 +274,9 @@ def lay_out(texts: list[np.ndarray], lanes: int, start: int):
         place[i] = (k, used, used + len(texts[i]))
         length[k] = used + len(texts[i])
         heapq.heappush(heap, (length[k], k))
+    order = sorted(range(lanes), key=lambda k: -length[k])
+    moved = {k: i for i, k in enumerate(order)}
+    place = [(moved[k], a, b) for k, a, b in place]
     steps = max([*length, 1])
     target = np.zeros((lanes, steps), np.int64)
     real = np.zeros((lanes, steps), bool)
@@ -286,13 +300,14 @@ def score_texts(net: GatedNet, texts: list[np.ndarray], lanes: int = 128) -> np.
     state = np.zeros((len(words), net.shape.hidden), np.float32)
     logp = np.zeros(words.shape)
     for at in range(0, words.shape[1], 64):
-        part = slice(at, at + 64)
-        out, state = net.run(words[:, part], fresh[:, part], state)
-        flat = real[:, part].reshape(-1)
-        got, _ = net.log_probs(out.reshape(-1, net.shape.hidden)[flat], target[:, part].reshape(-1)[flat])
+        n = int(real[:, at].sum())
+        part = (slice(0, n), slice(at, at + 64))
+        out, state = net.run(words[part], fresh[part], state[:n])
+        flat = real[part].reshape(-1)
+        got, _ = net.log_probs(out.reshape(-1, net.shape.hidden)[flat], target[part].reshape(-1)[flat])
         inner = np.zeros(flat.shape)
         inner[flat] = got
-        logp[:, part] = inner.reshape(real[:, part].shape)
+        logp[part] = inner.reshape(real[part].shape)
     sums = np.concatenate((np.zeros((len(words), 1)), np.cumsum(logp, axis=1)), axis=1)
     return np.array([sums[k, b] - sums[k, a] for k, a, b in place])
 
