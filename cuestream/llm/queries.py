@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuestream.llm import byte_bpe, chat_format, decontaminate, jaccard_join, language_id, language_model, line_dedup
+from cuestream.llm import byte_bpe, chat_format, decontaminate, jaccard_join, language_id, language_model, line_dedup, token_shards
 from cuestream.llm import quality_rules as rules
 from cuestream.llm.registry import ORACLES, QUERIES, query  # noqa: F401
 from cuestream.llm.shared import keep, table
@@ -196,3 +196,10 @@ LEFT JOIN size ON w.doc_id = size.doc_id
 @query("op4_jaccard_join", OP4_SQL)
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.join(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query("op8_token_shards")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shards = token_shards.materialise(table(spark, sf_dir, "documents"), VOCABULARY, PATTERN, key=2024)
+    rows = token_shards.read_slots(shards)
+    return rows.select("slot", "shard", "doc_id", "part", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"))
