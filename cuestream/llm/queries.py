@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuestream.llm import byte_bpe, chat_format, decontaminate, jaccard_join, language_id, language_model, line_dedup, token_shards
+from cuestream.llm import byte_bpe, chat_format, decontaminate, jaccard_join, language_id, language_model, line_dedup, suffix_dedup, token_shards
 from cuestream.llm import quality_rules as rules
 from cuestream.llm.registry import ORACLES, QUERIES, query  # noqa: F401
 from cuestream.llm.shared import keep, table
@@ -203,3 +203,27 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     shards = token_shards.materialise(table(spark, sf_dir, "documents"), VOCABULARY, PATTERN, key=2024)
     rows = token_shards.read_slots(shards)
     return rows.select("slot", "shard", "doc_id", "part", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"))
+
+
+OP5_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(hex(encode(text)), '') AS h FROM documents),
+w AS (
+  SELECT doc_id, p, substr(h, 2 * p + 1, 200) AS g
+  FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2 - 99)) AS p FROM d WHERE length(h) >= 200)),
+late AS (SELECT doc_id, p FROM w QUALIFY row_number() OVER (PARTITION BY g ORDER BY doc_id, p) > 1),
+gone AS (SELECT DISTINCT doc_id, p + unnest(range(0, 100)) AS b FROM late),
+bytes AS (
+  SELECT x.doc_id, x.b, substr(x.h, 2 * x.b + 1, 2) AS v, gone.b IS NOT NULL AS gone
+  FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2)) AS b FROM d) x
+  LEFT JOIN gone ON gone.doc_id = x.doc_id AND gone.b = x.b),
+marked AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY b), false) AS first FROM bytes)
+SELECT d.doc_id, count(m.b) AS n_bytes, count(m.b) FILTER (WHERE gone) AS n_removed, count(m.b) FILTER (WHERE first) AS n_spans,
+       sha256(unhex(coalesce(string_agg(v, '' ORDER BY b) FILTER (WHERE NOT gone), ''))) AS kept_sha256
+FROM d LEFT JOIN marked m ON d.doc_id = m.doc_id GROUP BY d.doc_id
+"""
+
+
+@query("op5_suffix_dedup", OP5_SQL)
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = suffix_dedup.dedup(table(spark, sf_dir, "documents"))
+    return cleaned.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
