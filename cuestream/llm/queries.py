@@ -211,15 +211,17 @@ w AS (
   SELECT doc_id, p, substr(h, 2 * p + 1, 200) AS g
   FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2 - 99)) AS p FROM d WHERE length(h) >= 200)),
 late AS (SELECT doc_id, p FROM w QUALIFY row_number() OVER (PARTITION BY g ORDER BY doc_id, p) > 1),
-gone AS (SELECT DISTINCT doc_id, p + unnest(range(0, 100)) AS b FROM late),
-bytes AS (
-  SELECT x.doc_id, x.b, substr(x.h, 2 * x.b + 1, 2) AS v, gone.b IS NOT NULL AS gone
-  FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2)) AS b FROM d) x
-  LEFT JOIN gone ON gone.doc_id = x.doc_id AND gone.b = x.b),
-marked AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY b), false) AS first FROM bytes)
-SELECT d.doc_id, count(m.b) AS n_bytes, count(m.b) FILTER (WHERE gone) AS n_removed, count(m.b) FILTER (WHERE first) AS n_spans,
-       sha256(unhex(coalesce(string_agg(v, '' ORDER BY b) FILTER (WHERE NOT gone), ''))) AS kept_sha256
-FROM d LEFT JOIN marked m ON d.doc_id = m.doc_id GROUP BY d.doc_id
+starts AS (SELECT doc_id, p, p > lag(p, 1, -1000) OVER (PARTITION BY doc_id ORDER BY p) + 100 AS new FROM late),
+numbered AS (SELECT doc_id, p, sum(new::INT) OVER (PARTITION BY doc_id ORDER BY p) AS k FROM starts),
+runs AS (SELECT doc_id, min(p) AS s, max(p) + 100 AS e FROM numbered GROUP BY doc_id, k),
+gaps AS (SELECT doc_id, s, e, lag(e, 1, 0) OVER (PARTITION BY doc_id ORDER BY s) AS before FROM runs),
+cut AS (
+  SELECT d.doc_id, sum(e - s) AS n, count(*) AS k,
+         string_agg(substr(h, 2 * before + 1, 2 * (s - before)), '' ORDER BY s) || substr(any_value(h), 2 * max(e) + 1) AS kept
+  FROM gaps JOIN d ON d.doc_id = gaps.doc_id GROUP BY d.doc_id)
+SELECT d.doc_id, length(h) // 2 AS n_bytes, coalesce(n, 0)::BIGINT AS n_removed, coalesce(k, 0)::BIGINT AS n_spans,
+       sha256(unhex(coalesce(kept, h))) AS kept_sha256
+FROM d LEFT JOIN cut ON d.doc_id = cut.doc_id
 """
 
 
