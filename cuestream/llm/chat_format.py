@@ -11,7 +11,8 @@ role and text a backslash follows each ``<``, ``[`` and backslash, and a line fe
 role becomes ``<n``; so no control string (all begin with ``<`` or ``[``) can appear in
 them, and the change is undone by reading from left to right.
 
-Defined results: null text or role is empty. A parent that is missing, null or of another
+Defined results: null text or role is empty. Rows without a tree (or node) id belong to no
+conversation; a null turn comes first. A parent that is missing, null or of another
 tree makes its child a root. Messages on a cycle have no root and belong to no path.
 Repeated rows of one message (same tree and node) are one message, the smallest by score,
 role and text; ties between leaves go to the longer path, then to the smaller node id. An

@@ -210,7 +210,10 @@ def clean_spans(docs: DataFrame, bench: DataFrame, doc_id: str = "doc_id", text:
     return got.select(*[new.alias(c) if c == text else F.col(f"d.`{c}`") for c in docs.columns])
 
 
-def cut_words(text: str, spans) -> str:
+def cut_words(text: str | None, spans) -> str | None:
+    """The text without the words of the spans and what lies between them."""
+    if text is None or not len(spans):
+        return text
     raw = text.encode()
     folded = np.frombuffer(raw.translate(FOLD), dtype=np.uint8) != 0x20
     edges = np.flatnonzero(np.diff(np.concatenate(([0], folded.view(np.int8), [0]))))

@@ -197,10 +197,10 @@ def verified(pairs: np.ndarray, left: list[np.ndarray], right: list[np.ndarray],
 
 
 class Bucket:
-    """Members of one pair of blocks of a bucket."""
+    """Members of one pair of blocks of a bucket; ``same`` if it is a block with itself."""
 
-    def __init__(self, band: int):
-        self.band = band
+    def __init__(self, band: int, same: bool):
+        self.band, self.same = band, same
         self.rows: dict[tuple[int, int], tuple] = {}
 
     def add(self, node: int, side: int, weight: int, sig: bytes, values: bytes, kept: bytes) -> None:
@@ -209,11 +209,12 @@ class Bucket:
     def links(self, threshold: Fraction, cuts: dict[int, int]) -> list[tuple[int, int, int]]:
         """(node, documents it links to here, node its component is named after)."""
         sides = [[v for (side, _), v in sorted(self.rows.items(), key=lambda x: x[0]) if side == s] for s in (0, 1)]
-        same = not sides[1]
-        left, right = sides[0], sides[0] if same else sides[1]
+        left, right = sides[0], sides[0] if self.same else sides[1]
         if not left or not right:
             return []
-        open_pairs = np.triu(np.ones((len(left), len(right)), bool), 1) if same else np.ones((len(left), len(right)), bool)
+        open_pairs = np.ones((len(left), len(right)), bool)
+        if self.same:
+            open_pairs = np.triu(open_pairs, 1)
         lk, rk = np.stack([v[4] for v in left]), np.stack([v[4] for v in right])
         for j in range(self.band):  # a pair that shares an earlier bucket was counted there
             open_pairs &= (lk[:, j][:, None] != rk[:, j][None, :]) | (lk[:, j] == 0)[:, None]
@@ -251,7 +252,7 @@ def _match(rows: DataFrame, threshold: float, tolerance: float) -> DataFrame:
                 if now != (key, lo, hi):
                     if bucket is not None:
                         out += bucket.links(exact, cuts)
-                    now, bucket = (key, lo, hi), Bucket(band)
+                    now, bucket = (key, lo, hi), Bucket(band, lo == hi)
                 node, weight, sig, values, kept = member
                 bucket.add(node, side, weight, sig, values, kept)
             yield _link_rows(out)
@@ -401,8 +402,11 @@ def join(
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **how) -> DataFrame:
-    """The rows of ``docs`` whose id names their class; of repeated rows all stay that bear that id."""
-    found = join(docs, doc_id, text, **how).filter("doc_id = class_id").select(F.col("doc_id").alias("keep_id")).distinct()
+    """The rows of ``docs`` whose id names their class; of repeated rows all stay that bear that id.
+
+    A row without an id stays, as it cannot be told from others.
+    """
+    others = join(docs, doc_id, text, **how).filter("doc_id <> class_id").select(F.col("doc_id").alias("drop_id")).distinct()
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("d"))
-    kept = packed.join(found, F.col(f"d.`{doc_id}`").cast("long") == F.col("keep_id"), "left_semi")
+    kept = packed.join(others, F.col(f"d.`{doc_id}`").cast("long") == F.col("drop_id"), "left_anti")
     return kept.select(*[F.col(f"d.`{c}`") for c in docs.columns])

@@ -7,7 +7,7 @@ their distinct sites. A line of at least ``min_sites`` sites is boilerplate: it
 first place (smallest document id, then smallest line number) and goes everywhere else.
 
 Defined results: null text has no lines and stays null; lines without a word are never
-removed; a null site is no site. Rows that share a document id are one document: equal
+removed; a null site is no site; a row without an id loses nothing. Rows that share a document id are one document: equal
 lines at equal places of such rows are one place. A document may end up empty but stays a
 row. Ties cannot arise, as a place is unique. Empty tables give empty results. All columns
 pass through, whatever their names; a very long text is split inside its own row.
@@ -33,7 +33,7 @@ def lines_of(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", site:
         cols.append(F.col(f"`{site}`").cast("string").alias("site"))
     split = docs.select(*cols, F.posexplode(F.split(F.col(f"`{text}`"), "\n")).alias("place", "line"))
     keys = (F.xxhash64("line").alias("k1"), F.xxhash64(F.lit(1), "line").alias("k2"))
-    kept = split.filter(F.col("line").rlike(HAS_WORD))
+    kept = split.filter(F.col("line").rlike(HAS_WORD) & F.col("doc_id").isNotNull())
     return kept.select("doc_id", "place", *keys, *(["site"] if site else []))
 
 

@@ -145,8 +145,11 @@ def evaluate(docs: DataFrame, text: str = "text", rules: Sequence[Rule] = RULES)
     """The ledger: the input's columns, the measures, and ``failed_bits`` (long)."""
     own = [*MEASURES, "failed_bits"]
     others = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in own]
-    return docs.select(*others, judge(F.col(f"`{text}`"), rules).alias("_ledger")).select(
-        *others, *[F.col(f"_ledger.{k}") for k in own]
+    name = "_ledger"
+    while name in [c.lower() for c in docs.columns]:
+        name += "_"
+    return docs.select(*others, judge(F.col(f"`{text}`"), rules).alias(name)).select(
+        *others, *[F.col(f"{name}.{k}") for k in own]
     )
 
 

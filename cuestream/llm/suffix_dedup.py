@@ -17,7 +17,7 @@ document of smaller id, or earlier in the same one). Texts are compared as UTF-8
    each class stays, all others are marked in a 64-bit mask of the suffix.
 
 Defined results: null or empty text has no bytes; texts under LENGTH bytes lose nothing. A
-document id names one text: rows that repeat id and text get the same result each. Columns
+document id names one text: rows that repeat id and text get the same result each; a row without an id loses nothing. Columns
 of any other name are not read. An empty table gives an empty result. Long texts are worked
 off in overlapping stretches. Texts of one repeated byte have a suffix at each byte.
 """
@@ -320,7 +320,7 @@ def cut(text: bytes, places: np.ndarray, masks: np.ndarray) -> tuple[int, int, b
 def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row: doc_id, n_bytes, n_removed, n_spans and ``kept`` (binary: what is left of the text)."""
     slim = id_and_text(docs, doc_id, text)
-    repeated = _repeated(slim).groupBy("doc_id").agg(F.collect_set("place").alias("places"))
+    repeated = _repeated(slim.filter("doc_id is not null")).groupBy("doc_id").agg(F.collect_set("place").alias("places"))
     repeated = keep(repeated, "repeated")
     total = repeated.agg(F.sum(F.size("places"))).first()[0] or 0
     named = repeated.select(F.col("doc_id").alias("of"), "places")
