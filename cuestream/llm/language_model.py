@@ -12,12 +12,11 @@ it grows with the corpus) is dealt to ``replicas`` tasks; each streams its docum
 its own copy of the network, and the copies are averaged, for several rounds.
 
 Counts cover all training tokens. A word held by at least one in ``head`` tokens is in the
-broadcast table, which therefore has at most ``head`` entries; all other words meet their
+broadcast table, which therefore has at most ``head`` entries beside the end; all other words meet their
 counts in a join, after each text has summed its own repeats.
 
-Defined results: a null or empty text is one end token. Without training texts the base
-score is that of an empty count table (every token has probability one half of one half)
-and the model is uniform over its single class. Repeated rows are counted and scored each
+Defined results: a null or empty text is one end token. Without training texts every token
+of the empty count table has base score 0, and the model is at its untrained start. Repeated rows are counted and scored each
 on its own. Only the named columns are read.
 """
 
@@ -336,9 +335,9 @@ class Vocabulary:
 
 
 def vocabulary(counts: DataFrame, shape: Shape = Shape(), head: int = HEAD) -> Vocabulary:
-    """``counts`` as of ``count_tokens``; collects only words with at least total / head tokens."""
+    """``counts`` as of ``count_tokens``; collects the end and words with at least total / head tokens."""
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    rows = counts.filter(F.col("n") * F.lit(head) >= F.lit(total)).collect()
+    rows = counts.filter((F.col("n") * F.lit(head) >= F.lit(total)) | (F.length("token") == 0)).collect()
     known = {bytes(r["token"]): r["n"] for r in rows}
     ends = known.get(b"", 0)
     inner = [t for t, _ in sorted(known.items(), key=lambda x: (-x[1], x[0])) if t != b""][: shape.words - 2]
