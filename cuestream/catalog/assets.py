@@ -140,8 +140,9 @@ def agg12_totals(spark, sf_dir):
 
 @query(
     "agg14_bundle_id",
-    f"""WITH {ASSETS} SELECT kind AS bundle, count(*) AS n_entries, substr(sha256(string_agg(e, chr(30) ORDER BY encode(e))), 1, 24) AS bundle_id
-    FROM (SELECT kind, asset_id || chr(31) || content_hash || chr(31) || bytes AS e FROM assets) GROUP BY kind""",
+    f"""WITH {ASSETS}, e AS (SELECT kind, asset_id || chr(31) || content_hash || chr(31) || bytes AS e FROM assets),
+    b AS (SELECT kind, substr(sha256(e), 1, 3) AS b, count(*) AS k, sha256(string_agg(e, chr(30) ORDER BY encode(e))) AS h FROM e GROUP BY ALL)
+    SELECT kind AS bundle, sum(k)::BIGINT AS n_entries, substr(sha256(string_agg(h, chr(30) ORDER BY b)), 1, 24) AS bundle_id FROM b GROUP BY kind""",
 )
 def agg14(spark, sf_dir):
     d = A.assets(spark, sf_dir).select(

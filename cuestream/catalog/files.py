@@ -383,16 +383,16 @@ def snk06_json(spark, sf_dir):
     "snk08_safe_names",
     f"""WITH n AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN '' ELSE lang END AS artist, CASE WHEN doc_id % 10 = 0 THEN '???' ELSE text END AS title FROM documents),
     b AS (SELECT doc_id, title, CASE WHEN artist = '' THEN title WHEN title = '' THEN artist ELSE artist || ' - ' || title END AS base FROM n),
-    s AS (SELECT doc_id, title, substr(regexp_replace(trim(regexp_replace(strip_accents(base), '[^\\w\\s-]', '', 'g')), '\\s+', '-', 'g'), 1, 80) AS nm FROM b)
-    SELECT doc_id, CASE WHEN nm = '' THEN 'lyric-video' ELSE nm END || '.srt' AS name,
-      CASE WHEN regexp_replace(title, '[\\\\/:*?"<>|]', '', 'g') = '' THEN 'untitled' ELSE substr(regexp_replace(regexp_replace(regexp_replace(title, '[\\\\/:*?"<>|\\x00-\\x1f]', '', 'g'), '{EDGE}', ' ', 'g'), '^ | $', '', 'g'), 1, 120) END AS shown FROM s""",
+    s AS (SELECT doc_id, title, regexp_replace(trim(regexp_replace(strip_accents(base), '[^\\w\\s-]', '', 'g')), '\\s+', '-', 'g') AS nm FROM b)
+    SELECT doc_id, CASE WHEN nm = '' THEN 'lyric-video' ELSE nm END || '-' || doc_id || '.srt' AS name,
+      CASE WHEN regexp_replace(title, '[\\\\/:*?"<>|]', '', 'g') = '' THEN 'untitled' ELSE regexp_replace(regexp_replace(regexp_replace(title, '[\\\\/:*?"<>|\\x00-\\x1f]', '', 'g'), '{EDGE}', ' ', 'g'), '^ | $', '', 'g') END AS shown FROM s""",
 )
 def snk08(spark, sf_dir):
     n = F.col("doc_id")
     artist = F.when(n % 3 == 0, "").otherwise(F.col("lang"))
     title = F.when(n % 10 == 0, "???").otherwise(F.col("text"))
     return A.table(spark, sf_dir, "documents").select(
-        "doc_id", X.safe_name(artist, title, ".srt").alias("name"), X.sanitize_file_name(title).alias("shown")
+        "doc_id", X.safe_name(artist, title, n, ".srt").alias("name"), X.sanitize_file_name(title).alias("shown")
     )
 
 

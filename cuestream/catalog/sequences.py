@@ -189,7 +189,7 @@ def seq09(spark, sf_dir):
     kind = F.col("event_type")
     op = F.when(kind == "error", "undo").when(kind == "signup", "redo").otherwise("do")
     log = A.spans(spark, sf_dir).select("track_id", F.col("cue_id").alias("seq"), op.alias("op"))
-    return O.replay_history(log, limit=20)
+    return O.replay_history(log)
 
 
 PIECES = (

@@ -32,7 +32,7 @@ def udf01_match(spark, sf_dir):
     "udf02_column_functions",
     f"""WITH {DOC_LINES}, s AS (SELECT track_id, seq, text, {sig('text')} AS sg FROM doc_lines)
     SELECT track_id, seq, CAST({syllables_sql('sg')} AS BIGINT) AS syllables, {reading_sql('text')} AS reading_us,
-      round(CASE WHEN 'chorus' = w6 THEN 1.0 WHEN w6 = '' THEN 0.0 WHEN length(w6) > 24 THEN CASE WHEN starts_with(w6, 'chorus') THEN 0.6 ELSE 0.0 END ELSE greatest(0.0, 1 - levenshtein('chorus', w6)::DOUBLE / greatest(6, length(w6))) END::DOUBLE, 9) AS score FROM (SELECT *, regexp_replace(sg, '[^a-z]', '', 'g') AS w6 FROM s)""",
+      round(CASE WHEN 'chorus' = w6 THEN 1.0 WHEN w6 = '' THEN 0.0 ELSE greatest(0.0, 1 - levenshtein('chorus', w6)::DOUBLE / greatest(6, length(w6))) END::DOUBLE, 9) AS score FROM (SELECT *, regexp_replace(sg, '[^a-z]', '', 'g') AS w6 FROM s)""",
 )
 def udf02(spark, sf_dir):
     lines = A.doc_lines(spark, sf_dir)

@@ -264,8 +264,7 @@ def txt16(spark, sf_dir):
     "txt17_similarity",
     """WITH p AS (SELECT a.p_partkey, a.p_name || CASE WHEN a.p_size % 3 = 0 THEN ' ' || lower(a.p_type) || ' edition' ELSE '' END AS x,
       b.p_name AS y FROM part a JOIN part b ON b.p_partkey = a.p_partkey + 1)
-    SELECT p_partkey, round(CASE WHEN x = y THEN 1.0 WHEN greatest(length(x), length(y)) > 24 THEN
-       CASE WHEN starts_with(x, y) OR starts_with(y, x) THEN 0.6 ELSE 0.0 END
+    SELECT p_partkey, round(CASE WHEN x = y THEN 1.0
        ELSE greatest(0.0, 1 - levenshtein(x, y)::DOUBLE / greatest(length(x), length(y))) END::DOUBLE, 6) AS score FROM p""",
 )
 def txt17(spark, sf_dir):

@@ -40,7 +40,7 @@ def register_functions(spark: SparkSession) -> list[str]:
         shown = f"regexp_replace({shown}, {_lit(pattern)}, {_lit(repl)})"
     longest = "greatest(length(a), length(b))"
     similar = (
-        f"CASE WHEN a = b THEN 1D WHEN a = '' OR b = '' THEN 0D WHEN {longest} > 24 THEN CASE WHEN startswith(a, b) OR startswith(b, a) THEN 0.6D ELSE 0D END "
+        f"CASE WHEN a = b THEN 1D WHEN a = '' OR b = '' THEN 0D "
         f"ELSE greatest(0D, 1D - levenshtein(a, b) / {longest}) END"
     )
     voiced = r"regexp_replace(regexp_replace(s, '[^a-z ]', ''), '(?:[b-df-hj-km-np-tv-xz]es|ed|[b-df-hj-km-np-tv-xz]e)(?= |$)', '')"

@@ -341,16 +341,12 @@ def spoken_text(
 
 
 def similarity(a: Column | str, b: Column | str) -> Column:
-    """Edit-distance ratio of short tokens; long ones only match by prefix."""
+    """Edit-distance ratio, at every length."""
     a, b = col(a), col(b)
     longest = F.greatest(F.length(a), F.length(b))
     return (
         F.when(a == b, F.lit(1.0))
         .when((a == "") | (b == ""), F.lit(0.0))
-        .when(
-            longest > 24,
-            F.when(F.startswith(a, b) | F.startswith(b, a), F.lit(0.6)).otherwise(F.lit(0.0)),
-        )
         .otherwise(F.greatest(F.lit(0.0), F.lit(1.0) - F.levenshtein(a, b) / longest))
     )
 
@@ -370,14 +366,14 @@ def matches_search(text: Column | str, query: str) -> Column:
     return F.lit(True) if not q else F.contains(F.lower(col(text)), F.lit(q))
 
 
-def safe_name(artist: Column, title: Column, extension: str, fallback: str = "lyric-video") -> Column:
-    """Portable file or partition name from two labels."""
+def safe_name(artist: Column, title: Column, key: Column, extension: str, fallback: str = "lyric-video") -> Column:
+    """Portable file or partition name from two labels and the key that keeps equal labels apart."""
     base = F.array_join(F.array_remove(F.array_compact(F.array(artist, title)), ""), " - ")
     base = F.when(base == "", F.lit(fallback)).otherwise(base)
     plain = F.translate(base, NAME_FROM, NAME_TO)
     s = F.trim(F.regexp_replace(plain, r"[^\w\s-]", ""))
-    s = F.substring(F.regexp_replace(s, r"\s+", "-"), 1, 80)
-    return F.concat(F.when(s == "", F.lit(fallback)).otherwise(s), F.lit(extension))
+    s = F.regexp_replace(s, r"\s+", "-")
+    return F.concat(F.when(s == "", F.lit(fallback)).otherwise(s), F.lit("-"), key.cast("string"), F.lit(extension))
 
 
 def _name_table() -> tuple[str, str]:
@@ -396,5 +392,5 @@ NAME_FROM, NAME_TO = _name_table()
 
 def sanitize_file_name(name: Column | str, fallback: str = "untitled") -> Column:
     s = F.regexp_replace(col(name), r'[\\/:*?"<>|\x00-\x1f]', "")
-    s = F.substring(trim_all(F.regexp_replace(s, r"(?U)\s+", " ")), 1, 120)
+    s = trim_all(F.regexp_replace(s, r"(?U)\s+", " "))
     return F.when(s == "", F.lit(fallback)).otherwise(s)

@@ -11,16 +11,37 @@ from pyspark.sql import functions as F
 
 from cuestream.functions import text as X
 
-LONG_TOKEN = 24
+#: Width of the tables in which all pairs advance together; pairs beyond it take the bit-parallel way.
+TABLE_CHARS = 24
+
+
+def edit_distance(a: str, b: str) -> int:
+    """Levenshtein distance with a whole column of the table as bits of one integer."""
+    if not a or not b:
+        return len(a) + len(b)
+    full, top = (1 << len(a)) - 1, 1 << (len(a) - 1)
+    where: dict[str, int] = {}
+    for i, c in enumerate(a):
+        where[c] = where.get(c, 0) | 1 << i
+    up, down, score = full, 0, len(a)
+    for c in b:
+        same = where.get(c, 0)
+        across = (((same & up) + up) ^ up) | same
+        rise, fall = down | (full & ~(across | up)), up & across
+        score += bool(rise & top) - bool(fall & top)
+        rise, fall = (rise << 1 | 1) & full, fall << 1 & full
+        level = same | down
+        up, down = fall | (full & ~(level | rise)), rise & level
+    return score
 
 
 def token_similarity(left: list[str], right: list[str]) -> np.ndarray:
     """Similarity of every pair of two token lists; edit distances advance for all pairs at once."""
     def codes(tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
         size = np.array([len(t) for t in tokens])
-        grid = np.zeros((len(tokens), LONG_TOKEN), dtype=np.int32)
+        grid = np.zeros((len(tokens), TABLE_CHARS), dtype=np.int32)
         for i, t in enumerate(tokens):
-            short = t[:LONG_TOKEN]
+            short = t[:TABLE_CHARS]
             grid[i, : len(short)] = [ord(c) for c in short]
         return grid, size
 
@@ -28,11 +49,11 @@ def token_similarity(left: list[str], right: list[str]) -> np.ndarray:
     b, lb = codes(right)
     n, m = len(left), len(right)
     longest = np.maximum(la[:, None], lb[None, :])
-    width = int(min(LONG_TOKEN, lb.max(initial=0)))
+    width = int(min(TABLE_CHARS, lb.max(initial=0)))
     row = np.broadcast_to(np.arange(width + 1, dtype=np.int32), (n, m, width + 1)).copy()
     distance = np.where(la[:, None] == 0, lb[None, :], 0).astype(np.int32)
     columns = np.minimum(lb, width)
-    for i in range(int(min(LONG_TOKEN, la.max(initial=0)))):
+    for i in range(int(min(TABLE_CHARS, la.max(initial=0)))):
         new = np.empty_like(row)
         new[:, :, 0] = i + 1
         for j in range(width):
@@ -44,9 +65,9 @@ def token_similarity(left: list[str], right: list[str]) -> np.ndarray:
             distance[done] = row[done][:, np.arange(m), columns]
     score = np.maximum(0.0, 1.0 - distance / np.maximum(longest, 1))
     score[(la[:, None] == 0) | (lb[None, :] == 0)] = 0.0
-    for i, j in zip(*np.nonzero(longest > LONG_TOKEN), strict=True):
+    for i, j in zip(*np.nonzero(longest > TABLE_CHARS), strict=True):
         x, y = left[i], right[j]
-        score[i, j] = 1.0 if x == y else 0.6 if x and y and (x.startswith(y) or y.startswith(x)) else 0.0
+        score[i, j] = max(0.0, 1.0 - edit_distance(x, y) / max(len(x), len(y))) if x and y else 0.0
     score[(la[:, None] == 0) & (lb[None, :] == 0)] = 1.0
     return score
 
@@ -62,7 +83,7 @@ def align_tokens(left: list[str], right: list[str], match: float = 2.0, gap: flo
         return [(i, -1, 0.0) for i in range(n)] + [(-1, j, 0.0) for j in range(m)]
     lu, li = np.unique(np.array(left, dtype=object), return_inverse=True)
     ru, ri = np.unique(np.array(right, dtype=object), return_inverse=True)
-    block = max(1, 8_000_000 // (len(ru) * (LONG_TOKEN + 1)))
+    block = max(1, 8_000_000 // (len(ru) * (TABLE_CHARS + 1)))
     table = np.vstack([token_similarity(list(lu[k : k + block]), list(ru)) for k in range(0, len(lu), block)])
     steps = np.arange(m + 1) * gap
     score = steps.copy()

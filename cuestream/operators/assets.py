@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cuestream.functions.timecode import round_half_up
-from cuestream.plans.scan import OrderedScan, position, top_k
+from cuestream.plans.scan import top_k
 
 KEYS = ["track_id"]
 FIELD, RECORD = "\x1f", "\x1e"
@@ -57,23 +57,26 @@ def stale_tracks(current: DataFrame, stored: DataFrame) -> DataFrame:
     return current.join(old, "track_id", "full").select("track_id", changed.alias("stale"))
 
 
-def bundle_id(descriptors: DataFrame, entries_per_part: int = 50_000, hot: bool | None = None) -> DataFrame:
-    """Order-independent id per bundle: hash of its sorted ``id, sha, bytes`` entries, 24 characters.
+#: Hexadecimal digits of an entry's hash that name its bucket, so 4096 buckets a bundle.
+BUCKET_DIGITS = 3
 
-    A bundle of more than ``entries_per_part`` entries is hashed in sorted parts
-    and the part hashes are hashed again, so no task holds a whole bundle.
+
+def bundle_id(descriptors: DataFrame) -> DataFrame:
+    """Order-independent id per bundle, 24 characters of a two-level hash of ``id, sha, bytes`` entries.
+
+    Entries fall into buckets by the first digits of their own hash. The sorted entries of
+    a bucket are hashed, then the bucket hashes in bucket order. The rule is the same for
+    every number of entries, and a task holds one bucket, not a bundle.
     """
     entry = F.concat_ws(FIELD, F.col("id").cast("string"), "sha256", F.col("bytes").cast("string"))
-    ranked = OrderedScan.over(descriptors.withColumn("_e", entry), ["bundle"], ["_e"], hot=hot).add(_p=position())
-    part = F.floor((F.col("_p") - 1) / entries_per_part)
-    parts = ranked.done().groupBy("bundle", part.alias("_part")).agg(
+    named = descriptors.select("bundle", entry.alias("_e")).withColumn("_b", F.substring(F.sha2("_e", 256), 1, BUCKET_DIGITS))
+    buckets = named.groupBy("bundle", "_b").agg(
         F.sha2(F.array_join(F.array_sort(F.collect_list("_e")), RECORD), 256).alias("h"), F.count(F.lit(1)).alias("k")
     )
-    whole = parts.groupBy("bundle").agg(
-        F.sum("k").alias("n_entries"), F.array_sort(F.collect_list(F.struct("_part", "h"))).alias("hs")
+    whole = buckets.groupBy("bundle").agg(
+        F.sum("k").alias("n_entries"), F.array_sort(F.collect_list(F.struct("_b", "h"))).alias("hs")
     )
-    joined = F.sha2(F.array_join(F.transform("hs", lambda x: x["h"]), RECORD), 256)
-    digest = F.when(F.size("hs") == 1, F.element_at("hs", 1)["h"]).otherwise(joined)
+    digest = F.sha2(F.array_join(F.transform("hs", lambda x: x["h"]), RECORD), 256)
     return whole.select("bundle", "n_entries", F.substring(digest, 1, 24).alias("bundle_id"))
 
 

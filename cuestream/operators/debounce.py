@@ -95,4 +95,7 @@ def debounce(
 
     runs = chunked.select(*part, time).groupBy(*part).applyInPandas(steps, f"{key_fields}, {CHUNK} int, upto bigint, leave bigint")
     entries = runs.groupBy(*keys).applyInPandas(chain, f"{CHUNK} int, _entry bigint, {key_fields}")
-    return chunked.join(entries, part).groupBy(*part).applyInPandas(mark, schema)
+    named = entries.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(part)], "_entry")
+    same = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(part)]
+    met = chunked.join(named, same).drop(*[f"_k{i}" for i in range(len(part))])
+    return met.groupBy(*part).applyInPandas(mark, schema)

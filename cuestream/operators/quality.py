@@ -15,7 +15,6 @@ PROJECT_KIND = "cuestream.project"
 SPEC_KIND = "cuestream.spec"
 PROJECT_VERSION = 3
 SPEC_VERSION = 1
-PROJECT_ISSUES, SPEC_ISSUES = 40, 20
 ISSUE = "array<struct<path:string,message:string,code:string>>"
 DOCUMENT = "_v"
 
@@ -386,11 +385,11 @@ def _parsed(docs: DataFrame) -> DataFrame:
     return docs.withColumn("_v", F.try_parse_json("raw_json"))
 
 
-def validate_documents(docs: DataFrame, rule: Rule = PROJECT, limit: int = PROJECT_ISSUES, brackets: bool = False) -> DataFrame:
-    """Add ``issues`` (at most ``limit``, in rule order) and ``ok``; bad JSON is one issue at the root."""
+def validate_documents(docs: DataFrame, rule: Rule = PROJECT, brackets: bool = False) -> DataFrame:
+    """Add ``issues`` (all of them, in rule order) and ``ok``; bad JSON is one issue at the root."""
     broken = F.array(_issue(F.lit("(root)"), "Invalid JSON", "invalid_json")).cast(ISSUE)
     found = rule_issues(rule, brackets)
-    df = _parsed(docs).withColumn("issues", F.when(F.col("_v").isNull(), broken).otherwise(F.slice(found, 1, limit)))
+    df = _parsed(docs).withColumn("issues", F.when(F.col("_v").isNull(), broken).otherwise(found))
     return df.withColumn("ok", F.size("issues") == 0).drop("_v")
 
 
@@ -539,7 +538,7 @@ def validate_specs(docs: DataFrame, kind: str = SPEC_KIND) -> DataFrame:
 
     scenes = F.try_variant_get(v, "$.scenes", "array<variant>")
     cross = F.coalesce(F.flatten(F.transform(scenes, crossed)), F.array().cast(ISSUE))
-    found = F.slice(F.concat(rule_issues(rule, True), cross), 1, SPEC_ISSUES)
+    found = F.concat(rule_issues(rule, True), cross)
     issues = (
         F.when(F.trim("raw_json") == "", one("(root)", "Spec is empty — paste JSON or choose a template.", "empty"))
         .when(v.isNull(), one("JSON", "Invalid JSON syntax.", "invalid_json"))

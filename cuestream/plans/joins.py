@@ -9,14 +9,6 @@ from pyspark.sql import functions as F
 
 from cuestream.plans.scan import OrderedScan, first_after, last_upto
 
-SMALL_TABLE_ROWS = 10_000
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int = SMALL_TABLE_ROWS) -> DataFrame:
-    """Broadcast hint only after counting; a larger side keeps the shuffle join."""
-    return F.broadcast(df) if len(df.limit(max_rows + 1).select(F.lit(1)).take(max_rows + 1)) <= max_rows else df
-
-
 def asof_join(
     left: DataFrame,
     right: DataFrame,

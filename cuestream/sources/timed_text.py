@@ -26,9 +26,9 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def detect_format(name: Column, contents: Column, project_kind: str = PROJECT_KIND) -> Column:
-    """Format by extension, then by the first 4096 characters; ``.txt`` is never trusted."""
+    """Format by extension, then by the contents; ``.txt`` is never trusted."""
     ext = F.lower(F.substring_index(name, ".", -1))
-    head = F.regexp_replace(F.substring(contents, 1, 4096), r"(?U)^[\s\x{FEFF}]+", "")
+    head = F.regexp_replace(contents, r"(?U)^[\s\x{FEFF}]+", "")
     kind = F.try_variant_get(F.try_parse_json(contents), "$.kind", "string")
     marked = contents.rlike(rf'"kind": ?"{project_kind}"')
     braced = head.rlike(r"^[\[{]")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cuestream.plans.scan import top_k
+from cuestream.plans.scan import OrderedScan, position
 
 # The accepted event names and limits.
 EVENTS = (
@@ -16,7 +16,6 @@ EVENTS = (
     "subtitle_exported", "project_exported", "project_imported", "theme_changed", "aspect_changed",
 )
 KEYS = ("event", "bucket", "outcome")
-MAX_BATCH = 20
 BUCKET = r"^[a-z0-9][a-z0-9:._-]{0,31}$"
 
 
@@ -71,7 +70,6 @@ def admit_batches(batches: DataFrame) -> DataFrame:
         F.when(F.col("_v").isNull(), "invalid_json")
         .when(~root.rlike("^(OBJECT|ARRAY)"), "expected an object")
         .when(F.col("_e").isNull(), "expected an events array")
-        .when(F.size("_e") > MAX_BATCH, f"batch larger than {MAX_BATCH}")
     )
     return df.withColumns({"invalid": invalid, "entries": F.when(invalid.isNull(), F.col("_e")), "n_entries": F.coalesce(F.size("_e"), F.lit(0))}).drop("_v", "_e", "raw_json")
 
@@ -85,16 +83,16 @@ def explode_batches(batches: DataFrame) -> DataFrame:
 
 
 def batch_report(batches: DataFrame) -> DataFrame:
-    """Accepted and rejected counts per batch; a refused batch rejects all its entries."""
+    """Size of each batch, and how many of its entries are accepted and rejected; batches of any size are read."""
     df = admit_batches(batches)
     kept = F.filter(F.transform("entries", sanitise), lambda s: s["reason"].isNull())
     n = F.coalesce(F.size(kept), F.lit(0))
-    refused = F.when(F.startswith(F.col("invalid"), F.lit("batch larger")), F.col("n_entries")).otherwise(0)
     return df.select(
         "batch_id",
         "invalid",
         F.when(F.col("invalid").isNull(), n).otherwise(0).cast("long").alias("accepted"),
-        F.when(F.col("invalid").isNull(), F.col("n_entries") - n).otherwise(refused).cast("long").alias("rejected"),
+        F.when(F.col("invalid").isNull(), F.col("n_entries") - n).otherwise(0).cast("long").alias("rejected"),
+        F.when(F.col("invalid").isNull(), F.col("n_entries")).otherwise(0).cast("long").alias("n_entries"),
     )
 
 
@@ -105,25 +103,24 @@ def roll_up(events: DataFrame, length: str = "15 seconds", lateness: str = "1 mi
     return counts.select(F.col("window.start").alias("window_start"), *KEYS, "n")
 
 
-def client_batches(events: DataFrame, client: str, order: str, length_us: int = 15_000_000, limit: int = MAX_BATCH) -> DataFrame:
-    """What a client would send: the first ``limit`` events of each interval, the overflow dropped by design."""
-    cell = F.floor(F.col("at_us") / length_us)
-    return top_k(events.withColumn("_cell", cell), [client, "_cell"], [F.col("at_us"), F.col(order)], limit).drop("_cell")
+def client_batches(events: DataFrame, client: str, order: str, length_us: int = 15_000_000, size: int = 20) -> DataFrame:
+    """What a client sends: the events of each interval in order, ``size`` to a batch (``batch`` counts from 0)."""
+    cells = events.withColumn("_cell", F.floor(F.col("at_us") / length_us))
+    ranked = OrderedScan.over(cells, [client, "_cell"], ["at_us", order]).add(_p=position()).done()
+    return ranked.withColumn("batch", F.floor((F.col("_p") - 1) / size)).drop("_cell", "_p")
 
 
 def forward_sink(path: str) -> Callable[[DataFrame, int], None]:
     """Batch writer that keeps accepted counters only, adds no fields, and may be retried.
 
     A retried batch overwrites its own folder, so forwarding twice changes
-    nothing; a failing sink is logged and never fails the stream.
+    nothing. A failed write raises, so that the stream stops before the batch is
+    committed and sends it again when it is restarted.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         kept = batch.filter(F.col("reason").isNull()).select(*[c for c in batch.columns if c != "reason"])
-        try:
-            kept.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
-        except Exception as problem:  # best effort by contract
-            print(f"forwarding batch {batch_id} failed: {type(problem).__name__}")
+        kept.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
     return write
 

@@ -1,5 +1,6 @@
 """Small cases with known results, and properties every timing output must have."""
 
+import hashlib
 import io
 import math
 import wave
@@ -413,12 +414,19 @@ def test_signature_sensitivity(spark):
     assert base != sign(("a", "x", 1, 5), ("b", "y", 9, 12)) and base != sign(("b", "y", 9, 12), ("a", "x", 0, 5))
 
 
-def test_bundle_id_splits_large_bundles(spark):
-    df = spark.range(40).select(F.lit("b").alias("bundle"), F.col("id"), F.sha2(F.col("id").cast("string"), 256).alias("sha256"), (F.col("id") * 2).alias("bytes"))
-    whole, again = AS.bundle_id(df).first(), AS.bundle_id(df.orderBy(F.desc("id"))).first()
-    assert whole == again and whole.n_entries == 40
-    parts = [AS.bundle_id(df, 7, hot).first().bundle_id for hot in (False, True)]
-    assert parts[0] == parts[1] != whole.bundle_id
+def test_bundle_id_has_one_rule_for_all_sizes(spark):
+    def expected(n):
+        buckets = {}
+        for i in range(n):
+            e = f"{i}\x1f{hashlib.sha256(str(i).encode()).hexdigest()}\x1f{i * 2}"
+            buckets.setdefault(hashlib.sha256(e.encode()).hexdigest()[:3], []).append(e)
+        hashes = [hashlib.sha256("\x1e".join(sorted(buckets[b])).encode()).hexdigest() for b in sorted(buckets)]
+        return hashlib.sha256("\x1e".join(hashes).encode()).hexdigest()[:24]
+
+    for n in (1, 40, 20_000):
+        df = spark.range(n).select(F.lit("b").alias("bundle"), F.col("id"), F.sha2(F.col("id").cast("string"), 256).alias("sha256"), (F.col("id") * 2).alias("bytes"))
+        for parts in (df.coalesce(1), df.repartition(7)):
+            assert tuple(AS.bundle_id(parts).first()) == ("b", n, expected(n))
 
 
 def test_chunks_round_trip(spark):
@@ -430,7 +438,7 @@ def test_metric_batches(spark):
     good, bad = '{"event":"project_created"}', '{"event":"unknown"}'
     big = ",".join([good] * 21)
     df = spark.createDataFrame([(1, f'{{"events":[{good},{good},{bad}]}}'), (2, f'{{"events":[{big}]}}')], "batch_id long, raw_json string")
-    assert rows(ME.batch_report(df), "batch_id", "accepted", "rejected", "invalid") == [(1, 2, 1, None), (2, 0, 21, "batch larger than 20")]
+    assert rows(ME.batch_report(df), "batch_id", "accepted", "rejected", "n_entries", "invalid") == [(1, 2, 1, 3, None), (2, 21, 0, 21, None)]
     buckets = ["a@b.c", "a/b", "x://y", "0b0ccafe-beef", "a b", "a" * 33, "ok-1"]
     entries = spark.createDataFrame([(i, f'{{"event":"project_created","bucket":"{b}"}}') for i, b in enumerate(buckets)], "i long, raw_json string")
     assert [r.reason for r in ME.sanitise_entries(entries).orderBy("i").collect()] == ["bad_bucket"] * 6 + [None]
