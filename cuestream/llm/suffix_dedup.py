@@ -80,7 +80,9 @@ def samples(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray
         edges = np.flatnonzero(np.diff(mins, prepend=-1))
         last = np.append(edges[1:], len(mins)) - 1
         where = mins[edges]
-        found.append((where + at, edges + at, last + at, h[where]))
+        # the least of many hashes is small; spread again, they cut into equal ranges
+        spread = (h[where] ^ (h[where] >> np.uint64(33))) * np.uint64(0xD6E8FEB86659FD93)
+        found.append((where + at, edges + at, last + at, spread ^ (spread >> np.uint64(32))))
     if not found:
         none = np.empty(0, np.int64)
         return none, none, none, np.empty(0, np.uint64)
