@@ -77,8 +77,8 @@ def half_words(spark, sf_dir, broken=False):
 
 
 EST_FREE = EST.replace("seq % 7 = 3 AS keep", "false AS keep")
-HALF = f"""{EST_FREE}, even AS (SELECT * FROM est WHERE cue_id % 2 = 0), {words_sql("even", "ew")},
-stored AS (SELECT * REPLACE (start_us + CASE WHEN cue_id % 8 = 0 THEN 40000000 ELSE 0 END AS start_us,
+HALF = f"""{EST_FREE.replace("est AS (", "est AS MATERIALIZED (")}, even AS MATERIALIZED (SELECT * FROM est WHERE cue_id % 2 = 0), {words_sql("even", "ew")},
+stored AS MATERIALIZED (SELECT * REPLACE (start_us + CASE WHEN cue_id % 8 = 0 THEN 40000000 ELSE 0 END AS start_us,
    end_us + CASE WHEN cue_id % 8 = 0 THEN 40000000 ELSE 0 END AS end_us) FROM ew)"""
 
 
@@ -95,9 +95,9 @@ def tim03(spark, sf_dir):
     "tim04_usable_words",
     f"""WITH {HALF}, o AS (SELECT s.*, e.start_us AS c0, e.end_us AS c1, e.text AS ct, lag(s.start_us) OVER (PARTITION BY track_id, cue_id ORDER BY word_idx) AS ps
       FROM stored s JOIN est e USING (track_id, cue_id)),
-    g AS (SELECT track_id, cue_id FROM o GROUP BY ALL HAVING count(*) = len(regexp_extract_all(any_value(ct), '{TOK}')) AND
+    g AS MATERIALIZED (SELECT track_id, cue_id FROM o GROUP BY ALL HAVING count(*) = len(regexp_extract_all(any_value(ct), '{TOK}')) AND
       bool_and(start_us >= c0 - 1 AND end_us <= c1 + 1 AND end_us >= start_us AND (ps IS NULL OR start_us >= ps - 1) AND (ps IS NOT NULL OR end_us > start_us))),
-    rest AS (SELECT * FROM est ANTI JOIN g USING (track_id, cue_id)), {words_sql("rest", "rw", "length")}
+    rest AS MATERIALIZED (SELECT * FROM est ANTI JOIN g USING (track_id, cue_id)), {words_sql("rest", "rw", "length")}
     SELECT *, false AS stored FROM rw UNION ALL SELECT *, true FROM stored SEMI JOIN g USING (track_id, cue_id)""",
 )
 def tim04(spark, sf_dir):

@@ -318,23 +318,25 @@ def join12(spark, sf_dir):
     return A.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", codec.alias("codec"))
 
 
-def band(spark, sf_dir, name, scale):
-    s = A.signal(spark, sf_dir).filter(F.col("band") == name)
-    return s.select("track_id", "frame", (F.col("value") / scale).alias("value"))
+def by_band(spark, sf_dir, scale):
+    """All bands, each a track of its own."""
+    s = A.signal(spark, sf_dir)
+    track = (F.ascii("band") * 256 + F.length("band")).cast("long")
+    return s.select(track.alias("track_id"), "frame", (F.col("value") / scale).alias("value"))
 
 
-MIX_SQL = f"""WITH {SIGNAL}, m AS (SELECT frame, value / 500 AS v FROM signal WHERE band = 'click'), v AS (SELECT frame, value / 800 AS v FROM signal WHERE band = 'view'),
-n AS (SELECT max(frame) + 1 AS n FROM v), p AS (SELECT frame, v AS bg, (frame / 2.0::DOUBLE - 6.5) * 1.5 AS pos FROM m),
-i AS (SELECT p.*, CAST(floor(pos) AS BIGINT) AS a FROM p)
-SELECT CAST(0 AS BIGINT) AS track_id, i.frame, round(greatest(-1.0, least(1.0, bg * 0.9 + CASE WHEN pos >= 0 AND pos < n THEN v0.v * (1 - (pos - a)) + v1.v * (pos - a) ELSE 0 END * 0.7)), 12) AS value
-FROM i CROSS JOIN n LEFT JOIN v v0 ON v0.frame = a LEFT JOIN v v1 ON v1.frame = least(n - 1, a + 1)"""
+BY_BAND = f"""{SIGNAL}, tr AS (SELECT CAST(ascii(band) * 256 + length(band) AS BIGINT) AS track_id, frame, value AS v FROM signal)"""
+
+MIX_SQL = f"""WITH {BY_BAND}, m AS (SELECT track_id, frame, v / 500 AS v FROM tr), v AS (SELECT track_id, frame, v / 800 AS v FROM tr),
+n AS (SELECT track_id, max(frame) + 1 AS n FROM v GROUP BY track_id), p AS (SELECT track_id, frame, v AS bg, (frame / 2.0::DOUBLE - 6.5) * 1.5 AS pos FROM m),
+i AS (SELECT p.*, n, CAST(floor(pos) AS BIGINT) AS a FROM p JOIN n USING (track_id))
+SELECT i.track_id, i.frame, round(greatest(-1.0, least(1.0, bg * 0.9 + CASE WHEN pos >= 0 AND pos < n THEN v0.v * (1 - (pos - a)) + v1.v * (pos - a) ELSE 0 END * 0.7)), 12) AS value
+FROM i LEFT JOIN v v0 ON v0.track_id = i.track_id AND v0.frame = a LEFT JOIN v v1 ON v1.track_id = i.track_id AND v1.frame = least(n - 1, a + 1)"""
 
 
 @query("join13_mix_series", MIX_SQL)
 def join13(spark, sf_dir):
-    out = MX.mix_voiceover(
-        band(spark, sf_dir, "click", 500), band(spark, sf_dir, "view", 800), 2.0, 1.5, 6_500_000, 0.9, 0.7
-    )
+    out = MX.mix_voiceover(by_band(spark, sf_dir, 500), by_band(spark, sf_dir, 800), 2.0, 1.5, 6_500_000, 0.9, 0.7)
     return out.withColumn("value", F.round("value", 12))
 
 
@@ -350,28 +352,29 @@ def join14(spark, sf_dir):
     return MX.overlap_add(clips).withColumn("value", F.round("value", 8))
 
 
-RES_SQL = f"""WITH {SIGNAL}, s AS (SELECT frame, value AS v FROM signal WHERE band = 'purchase'), n AS (SELECT max(frame) + 1 AS n, CAST(greatest(1, floor((max(frame) + 1) * 10 / 24.0::DOUBLE + 0.5)) AS BIGINT) AS m FROM s),
-o AS (SELECT unnest(range(0, m)) AS o, n FROM n),
-w AS (SELECT o, v, greatest(0, least(least(n, (o + 1) * 2.4::DOUBLE), frame + 1) - greatest(o * 2.4::DOUBLE, frame)) AS w FROM o JOIN s ON frame >= floor(o * 2.4) - 1 AND frame <= (o + 1) * 2.4 + 1)
-SELECT CAST(0 AS BIGINT) AS track_id, o AS frame, round(sum(v * w) / sum(w), 6) AS value FROM w GROUP BY o"""
+RES_SQL = f"""WITH {BY_BAND}, n AS (SELECT track_id, max(frame) + 1 AS n, CAST(greatest(1, floor((max(frame) + 1) * 10 / 24.0::DOUBLE + 0.5)) AS BIGINT) AS m FROM tr GROUP BY track_id),
+o AS (SELECT track_id, unnest(range(0, m)) AS o, n FROM n),
+w AS (SELECT o.track_id, o, v, greatest(0, least(least(n, (o + 1) * 2.4::DOUBLE), frame + 1) - greatest(o * 2.4::DOUBLE, frame)) AS w
+  FROM o JOIN tr ON tr.track_id = o.track_id AND frame >= floor(o * 2.4) - 1 AND frame <= (o + 1) * 2.4 + 1)
+SELECT track_id, o AS frame, round(sum(v * w) / sum(w), 6) AS value FROM w GROUP BY ALL"""
 
 
 @query("join15_resample_down", RES_SQL)
 def join15_down(spark, sf_dir):
-    s = band(spark, sf_dir, "purchase", 1)
+    s = by_band(spark, sf_dir, 1)
     lengths = s.groupBy("track_id").agg((F.max("frame") + 1).alias("n"))
     return MX.resample(s, lengths, 24.0, 10.0).withColumn("value", F.round("value", 6))
 
 
 @query(
     "join15_resample_up",
-    f"""WITH {SIGNAL}, s AS (SELECT frame, value AS v FROM signal WHERE band = 'purchase'), n AS (SELECT max(frame) + 1 AS n, CAST(floor((max(frame) + 1) * 25 / 10.0::DOUBLE + 0.5) AS BIGINT) AS m FROM s),
-    o AS (SELECT o, n, o * 0.4::DOUBLE AS pos, least(n - 1, CAST(floor(o * 0.4::DOUBLE) AS BIGINT)) AS i FROM (SELECT unnest(range(0, m)) AS o, n FROM n))
-    SELECT CAST(0 AS BIGINT) AS track_id, o AS frame, round(a.v * (1 - (pos - i)) + b.v * (pos - i), 6) AS value
-    FROM o JOIN s a ON a.frame = i JOIN s b ON b.frame = least(n - 1, i + 1)""",
+    f"""WITH {BY_BAND}, n AS (SELECT track_id, max(frame) + 1 AS n, CAST(floor((max(frame) + 1) * 25 / 10.0::DOUBLE + 0.5) AS BIGINT) AS m FROM tr GROUP BY track_id),
+    o AS (SELECT track_id, o, n, o * 0.4::DOUBLE AS pos, least(n - 1, CAST(floor(o * 0.4::DOUBLE) AS BIGINT)) AS i FROM (SELECT track_id, unnest(range(0, m)) AS o, n FROM n))
+    SELECT o.track_id, o AS frame, round(a.v * (1 - (pos - i)) + b.v * (pos - i), 6) AS value
+    FROM o JOIN tr a ON a.track_id = o.track_id AND a.frame = i JOIN tr b ON b.track_id = o.track_id AND b.frame = least(n - 1, i + 1)""",
 )
 def join15_up(spark, sf_dir):
-    s = band(spark, sf_dir, "purchase", 1)
+    s = by_band(spark, sf_dir, 1)
     lengths = s.groupBy("track_id").agg((F.max("frame") + 1).alias("n"))
     return MX.resample(s, lengths, 10.0, 25.0).withColumn("value", F.round("value", 6))
 

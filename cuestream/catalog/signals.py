@@ -62,14 +62,15 @@ def agg02(spark, sf_dir):
 
 @query(
     "agg03_decimate",
-    f"""WITH {PEAKS}, w AS (SELECT DISTINCT track_id FROM pk), q AS (SELECT track_id, p AS pixel, {DAY} + p * ({20 * DAY} / 64.0::DOUBLE) AS s, {DAY} + (p + 1) * ({20 * DAY} / 64.0::DOUBLE) AS e FROM w, range(0, 64) t(p)),
-    b AS (SELECT q.track_id, pixel, min(mn) AS mn, max(mx) AS mx, avg(rms) AS rms FROM q JOIN pk ON pk.track_id = q.track_id
-      AND bucket BETWEEN greatest(0, floor(s / {BUCKET_US}::DOUBLE)) AND ceil(e / {BUCKET_US}::DOUBLE) GROUP BY ALL)
+    f"""WITH {PEAKS}, w AS (SELECT track_id, (max(bucket) + 1) * {BUCKET_US} AS len FROM pk GROUP BY track_id),
+    q AS (SELECT track_id, p AS pixel, p * (len / 64::DOUBLE) AS s, (p + 1) * (len / 64::DOUBLE) AS e FROM w, range(0, 64) t(p)),
+    qb AS (SELECT track_id, pixel, unnest(range(CAST(floor(s / {BUCKET_US}::DOUBLE) AS BIGINT), CAST(ceil(e / {BUCKET_US}::DOUBLE) AS BIGINT) + 1)) AS bucket FROM q),
+    b AS (SELECT track_id, pixel, min(mn) AS mn, max(mx) AS mx, avg(rms) AS rms FROM qb JOIN pk USING (track_id, bucket) GROUP BY ALL)
     SELECT q.track_id, pixel, round(coalesce(mn, 0.0), 9)::DOUBLE AS min, round(coalesce(mx, 0.0), 9)::DOUBLE AS max, round(coalesce(rms, 0.0), 9)::DOUBLE AS rms FROM q LEFT JOIN b USING (track_id, pixel)""",
 )
 def agg03(spark, sf_dir):
     pk = peaks.compute_peaks(samples(spark, sf_dir), BUCKET)
-    windows = pk.select("track_id").distinct().select("track_id", F.lit(DAY).alias("start_us"), F.lit(21 * DAY).alias("end_us"))
+    windows = pk.groupBy("track_id").agg(F.lit(0).cast("long").alias("start_us"), ((F.max("bucket") + 1) * BUCKET_US).alias("end_us"))
     return rounded(peaks.decimate(pk, windows, 64, BUCKET_US), "min", "max", "rms")
 
 
