@@ -101,26 +101,31 @@ def dq02_strip(spark, sf_dir):
     return Q.unknown_keys(prop_docs(spark, sf_dir), ["k"], strict=False).drop("raw_json")
 
 
-VERSIONED = (
-    '{"id":"a","formatVersion":1,"voiceover":{"voiceId":"x"}}', '{"formatVersion":2,"voiceover":{"voiceId":"x","mode":"sequential"}}',
-    '{"formatVersion":3}', '{"formatVersion":9}', "[1]", '{"id":"b"}', f'{{"kind":"{Q.PROJECT_KIND}","project":{{"formatVersion":0}}}}',
-)
+#: Documents put together from order columns; one text for Spark and for the check.
+VERSIONED = f"""CASE WHEN o_custkey % 41 = 7 THEN concat('[', o_custkey, ']')
+WHEN o_custkey % 43 = 5 THEN concat('{{"id":"', o_orderkey)
+ELSE concat(CASE WHEN o_orderstatus = 'P' THEN '{{"kind":"{Q.PROJECT_KIND}","project":' ELSE '' END,
+  '{{"id":"', o_orderkey, '"',
+  CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN ',"formatVersion":1' WHEN '2' THEN ',"formatVersion":2' WHEN '3' THEN ',"formatVersion":3'
+    WHEN '4' THEN '' ELSE concat(',"formatVersion":', o_custkey % 6) END,
+  CASE WHEN o_totalprice > 120000 THEN concat(',"voiceover":{{"voiceId":"v', o_custkey, '"', CASE WHEN o_custkey % 3 = 0 THEN ',"mode":"sequential"' ELSE '' END, '}}') ELSE '' END,
+  '}}', CASE WHEN o_orderstatus = 'P' THEN '}}' ELSE '' END) END"""
 
 
 def versioned_docs(spark, sf_dir):
-    docs = F.array(*[F.lit(v) for v in VERSIONED])
-    return A.table(spark, sf_dir, "orders").select(
-        F.col("o_orderkey").alias("project_id"), F.element_at(docs, (F.col("o_orderkey") % 7 + 1).cast("int")).alias("raw_json")
-    )
+    return A.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("project_id"), F.expr(VERSIONED).alias("raw_json"))
 
 
 @query(
     "dq03_migrate_projects",
-    f"""WITH k AS (SELECT o_orderkey AS project_id, o_orderkey % 7 AS k FROM orders)
-    SELECT project_id, CASE WHEN k IN (0, 1, 2, 5) THEN 'ok' WHEN k = 3 THEN 'FUTURE_VERSION' WHEN k = 4 THEN 'NOT_A_PROJECT' ELSE 'CORRUPT' END AS status,
-      CASE k WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 3 WHEN 3 THEN 9 WHEN 6 THEN 0 ELSE 1 END::DOUBLE AS from_version,
-      CASE WHEN k IN (0, 5) THEN '{Q.MIGRATIONS[1]}; {Q.MIGRATIONS[2]}' WHEN k = 1 THEN '{Q.MIGRATIONS[2]}' WHEN k = 2 THEN '' END AS steps,
-      CASE k WHEN 0 THEN 'timed' WHEN 1 THEN 'sequential' END AS voice_mode FROM k""",
+    f"""WITH j AS (SELECT o_orderkey AS project_id, try_cast({VERSIONED} AS JSON) AS r FROM orders),
+    p AS (SELECT project_id, CASE WHEN r->>'$.kind' = '{Q.PROJECT_KIND}' THEN r->'$.project' ELSE r END AS p FROM j),
+    v AS (SELECT project_id, p, coalesce(json_type(p) = 'OBJECT', false) AS obj,
+      CASE WHEN json_type(p, '$.formatVersion') IN ('UBIGINT', 'BIGINT', 'DOUBLE') THEN (p->>'$.formatVersion')::DOUBLE ELSE 1.0::DOUBLE END AS v FROM p),
+    st AS (SELECT *, CASE WHEN NOT obj THEN 'NOT_A_PROJECT' WHEN v > {Q.PROJECT_VERSION} THEN 'FUTURE_VERSION' WHEN v NOT IN (1, 2, 3) THEN 'CORRUPT' ELSE 'ok' END AS status FROM v)
+    SELECT project_id, status, v AS from_version,
+      CASE WHEN status = 'ok' THEN concat_ws('; ', CASE WHEN v <= 1 THEN '{Q.MIGRATIONS[1]}' END, CASE WHEN v <= 2 THEN '{Q.MIGRATIONS[2]}' END) END AS steps,
+      CASE WHEN status = 'ok' AND json_type(p, '$.voiceover') = 'OBJECT' THEN coalesce(p->>'$.voiceover.mode', CASE WHEN v <= 2 THEN 'timed' END) END AS voice_mode FROM st""",
 )
 def dq03(spark, sf_dir):
     out = Q.migrate_documents(versioned_docs(spark, sf_dir))
@@ -184,16 +189,22 @@ def dq05(spark, sf_dir):
     return out.select("conv_id", "turn", "ok", F.array_join("issues.path", ",").alias("paths"))
 
 
-KINDS = (f'{{"kind":"{Q.SPEC_KIND}"}}', f'{{"kind":"{Q.PROJECT_KIND}","scenes":[]}}', '{"scenes":[1]}', '{"scenes":1}', "[]", "nope")
+#: Documents put together from event columns; one text for Spark and for the check.
+ROUTED = f"""CASE WHEN value < 12 THEN substr(props, 1, length(props) - 1) WHEN value > 180 THEN concat('[', props, ']')
+WHEN event_type = 'click' THEN concat('{{"kind":"{Q.SPEC_KIND}","user":', user_id, ',"props":', props, '}}')
+WHEN event_type = 'view' THEN concat('{{"scenes":[', props, '],"kind":', CASE WHEN user_id % 2 = 0 THEN '"{Q.PROJECT_KIND}"' ELSE '"other"' END, '}}')
+WHEN event_type = 'purchase' THEN concat('{{"scenes":[', props, ',', props, ']}}')
+WHEN event_type = 'error' THEN concat('{{"scenes":', props, '}}') ELSE props END"""
 
 
 @query(
     "dq06_route_documents",
-    "SELECT event_id, CASE event_id % 6 WHEN 0 THEN 'spec' WHEN 1 THEN 'project' WHEN 2 THEN 'spec' ELSE 'other' END AS route FROM events",
+    f"""WITH j AS (SELECT event_id, try_cast({ROUTED} AS JSON) AS r FROM events)
+    SELECT event_id, CASE WHEN coalesce(json_type(r), '') <> 'OBJECT' THEN 'other' WHEN r->>'$.kind' = '{Q.SPEC_KIND}' THEN 'spec'
+      WHEN r->>'$.kind' = '{Q.PROJECT_KIND}' THEN 'project' WHEN json_type(r, '$.scenes') = 'ARRAY' THEN 'spec' ELSE 'other' END AS route FROM j""",
 )
 def dq06(spark, sf_dir):
-    docs = F.array(*[F.lit(v) for v in KINDS])
-    raw = A.table(spark, sf_dir, "events").select("event_id", F.element_at(docs, (F.col("event_id") % 6 + 1).cast("int")).alias("raw_json"))
+    raw = A.table(spark, sf_dir, "events").select("event_id", F.expr(ROUTED).alias("raw_json"))
     return Q.route_documents(raw).drop("raw_json")
 
 
