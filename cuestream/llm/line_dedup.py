@@ -18,6 +18,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cuestream.llm.shared import keep
+
 HAS_WORD = r"[^\x20\x09-\x0D]"
 MIN_SITES = 10
 #: Relative half-width of the band around the threshold that is counted exactly: over five
@@ -66,7 +68,9 @@ def boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, doc_id: str = "doc_
 
 def removed_lines(docs: DataFrame, min_sites: int = MIN_SITES, doc_id: str = "doc_id", text: str = "text", site: str = "source") -> DataFrame:
     """Per document that loses lines: doc_id and the line numbers (from 0) to remove."""
-    found = boilerplate(docs, min_sites, doc_id, text, site).select(F.col("k1").alias("b1"), F.col("k2").alias("b2"), "first")
+    # written, so that the join below has plain exchanges, which adaptive execution splits for a hot line
+    kept = keep(boilerplate(docs, min_sites, doc_id, text, site), "boilerplate")
+    found = kept.select(F.col("k1").alias("b1"), F.col("k2").alias("b2"), "first")
     lines = lines_of(docs, doc_id, text, None)
     hits = lines.join(found, (F.col("k1") == F.col("b1")) & (F.col("k2") == F.col("b2")))
     later = hits.filter((F.col("doc_id") != F.col("first.doc_id")) | (F.col("place") != F.col("first.place")))
