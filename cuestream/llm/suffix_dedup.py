@@ -90,7 +90,12 @@ def samples(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray
 
 
 def _repeated(docs: DataFrame) -> DataFrame:
-    """(doc_id, place) of sampled suffixes whose hash occurs more than once."""
+    """(doc_id, place) of sampled suffixes whose hash occurs more than once.
+
+    A hash that occurs twice within a piece of the input is known to repeat: its places are
+    dealt at random, and one row without a document tells the other pieces of it. A hot
+    hash thus has a row per piece in its task.
+    """
 
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -101,29 +106,42 @@ def _repeated(docs: DataFrame) -> DataFrame:
                     ids.append(np.full(len(at), doc, np.int64))
                     places.append(at)
                     hashes.append(h.view(np.int64))
+                h, doc, place = (np.concatenate(x) for x in (hashes, ids, places))
+                _, first, where, count = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
+                known = count[where] > 1
+                tell = h[first[count > 1]]
+                anywhere = (doc * np.int64(-7046029254386353131)) ^ (place * np.int64(-4658895280553007687))
+                none = np.full(len(tell), -1)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(x), pa.int64()) for x in (hashes, ids, places)], ["h", "doc_id", "place"]
+                    [
+                        pa.array(np.concatenate([np.where(known, anywhere, h), tell])),
+                        pa.array(np.concatenate([doc, none]), mask=np.concatenate([np.zeros(len(doc), bool), np.ones(len(tell), bool)])),
+                        pa.array(np.concatenate([place, none])),
+                        pa.array(np.concatenate([known, np.zeros(len(tell), bool)])),
+                    ],
+                    ["h", "doc_id", "place", "known"],
                 )
 
     def several(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: tuple | None = None  # last row so far, and whether one like it came before
+        held: tuple | None = None  # last row so far; known if one like it came before
         for batch in batches:
-            h, doc, place = (batch.column(c).to_numpy() for c in ("h", "doc_id", "place"))
+            h, place, known = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("h", "place", "known"))
             if not len(h):
                 continue
-            seen = False
+            named = np.asarray(batch.column("doc_id").is_valid())
+            doc = batch.column("doc_id").fill_null(-1).to_numpy()
             if held is not None:
-                h, doc, place = (np.concatenate(([held[i]], x)) for i, x in enumerate((h, doc, place)))
-                seen = held[3]
+                h, doc, place, known, named = (np.concatenate(([held[i]], x)) for i, x in enumerate((h, doc, place, known, named)))
             same = h[1:] == h[:-1]
-            hit = np.concatenate(([seen], same)) | np.concatenate((same, [False]))
-            held = (h[-1], doc[-1], place[-1], bool(hit[-1]))
+            hit = known | np.concatenate(([False], same)) | np.concatenate((same, [False]))
+            held = (h[-1], doc[-1], place[-1], bool(hit[-1]), bool(named[-1]))
             hit[-1] = False
+            hit &= named
             yield pa.RecordBatch.from_arrays([pa.array(doc[hit]), pa.array(place[hit])], ["doc_id", "place"])
-        if held is not None and held[3]:
+        if held is not None and held[3] and held[4]:
             yield pa.RecordBatch.from_arrays([pa.array([held[1]], pa.int64()), pa.array([held[2]], pa.int64())], ["doc_id", "place"])
 
-    rows = docs.mapInArrow(sample, "h long, doc_id long, place long")
+    rows = docs.mapInArrow(sample, "h long, doc_id long, place long, known boolean")
     return rows.repartition("h").sortWithinPartitions("h").mapInArrow(several, "doc_id long, place long")
 
 
@@ -269,13 +287,26 @@ def _runs(candidates: DataFrame, ranges: int) -> DataFrame:
 
 
 def _blocks(held: list[tuple], width: int) -> pa.RecordBatch:
+    """A run in blocks by range. Of suffixes alike in all their windows only the earliest goes
+    on; the others are known to be late and leave as a block of masks (a negative range)."""
     held.sort()
-    parts = [int.from_bytes(r[0][:8]) // width for r in held]
+    kept, late = [], []
+    for r in held:
+        if kept and r[:4] == kept[-1][:4]:
+            if r[4:] != kept[-1][4:]:
+                mask = ((1 << r[3] - r[2] + 1) - 1) << r[2]
+                late.append((*r[4:], mask - (1 << 64) if mask >> 63 else mask))
+        else:
+            kept.append(r)
+    parts = [int.from_bytes(r[0][:8]) // width for r in kept]
     edges = [0, *(i for i in range(1, len(parts)) if parts[i] != parts[i - 1]), len(parts)]
     names, blocks = [], []
     for a, b in zip(edges, edges[1:], strict=False):
         names.append(parts[a])
-        blocks.append(Run.pack(*[list(x) for x in zip(*held[a:b], strict=True)]))
+        blocks.append(Run.pack(*[list(x) for x in zip(*kept[a:b], strict=True)]))
+    if late:
+        names.append(-1 - (late[0][0] * 31 + late[0][1]) % (1 << 40))
+        blocks.append(np.array(late, np.int64).tobytes())
     return pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(blocks, pa.binary())], ["part", "block"])
 
 
@@ -284,6 +315,10 @@ def _merged(blocks: DataFrame) -> DataFrame:
         now, held = None, []
         for batch in batches:
             for part, block in zip(batch.column("part").to_pylist(), batch.column("block").to_pylist(), strict=True):
+                if part < 0:
+                    rows = np.frombuffer(block, np.int64).reshape(-1, 3)
+                    yield pa.RecordBatch.from_arrays([pa.array(rows[:, i]) for i in range(3)], ["doc_id", "place", "mask"])
+                    continue
                 if part != now:
                     if held:
                         yield _mask_rows(held)

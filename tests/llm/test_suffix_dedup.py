@@ -40,7 +40,7 @@ def rows():
         out.append(rng.choice([" ", ""]).join(parts))
     out += [out[20], out[21], out[21] + "!", "!" + out[22], text(4000), passages[2] * 6]
     rng.shuffle(out)
-    return [(7 * i + 2, t) for i, t in enumerate(out)]
+    return [(7 * i - 200, t) for i, t in enumerate(out)]
 
 
 def test_every_removed_byte_matches(spark, rows, monkeypatch):
