@@ -28,6 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -168,9 +169,10 @@ class Run:
         parts += [np.asarray(values[name], kind).tobytes() for name, kind in Run.FIELDS]
         parts += [k[n:] for k, n in zip(keys, lcp, strict=True)]
         parts += lefts  # as long as ``far`` says
-        return b"".join(parts)
+        return zstandard.ZstdCompressor(level=1).compress(b"".join(parts))
 
-    def __init__(self, raw: bytes):
+    def __init__(self, packed: bytes):
+        raw = zstandard.ZstdDecompressor().decompress(packed)
         n = self.n = int(np.frombuffer(raw, np.int64, 1)[0])
         at = 8
         for name, kind in Run.FIELDS:
