@@ -7,9 +7,10 @@ into windows and propagates back through one window at a time, with the state ca
 window to window. Scoring carries the state through the whole document as well, so a score
 is the log-likelihood of the complete text.
 
-Training is data-parallel: a fixed share of the training documents (by a hash of the id, so
-it grows with the corpus) is dealt to ``replicas`` tasks; each streams its documents through
-its own copy of the network, and the copies are averaged, for several rounds.
+Training is data-parallel: every training document is dealt to one round (by a hash of the id)
+and there to one of the round's replicas, whose number grows with the tokens of the corpus; each
+streams its documents through its own copy of the network, and the copies are averaged, in groups
+first, so that the driver gets about the square root of their number.
 
 Counts cover all training tokens. A word held by at least one in ``head`` tokens is in the
 broadcast table, which therefore has at most ``head`` entries beside the end; all other words meet their
@@ -37,6 +38,7 @@ from cuestream.llm.shared import keep, pieces, utf8
 HEAD = 1 << 18
 PIECE_BYTES = 6 << 20
 FLUSH = 200_000
+REPLICA_TOKENS = 4_000_000
 LOG10 = math.log(10.0)
 
 
@@ -363,20 +365,38 @@ def text_ids(v: Vocabulary, tokens: list[bytes]) -> np.ndarray:
     return np.array([*[get(t, unknown) for t in tokens], v.ids[b""]], dtype=np.int64)
 
 
+def _weighted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row: the tokens of all copies, and the sum of their weights times tokens."""
+    seen, total = 0, 0.0
+    for batch in batches:
+        for n, w in zip(batch.column("seen"), batch.column("weights"), strict=True):
+            seen += n.as_py()
+            total = total + np.frombuffer(w.as_py(), np.float32).astype(np.float64) * n.as_py()
+    if seen:
+        yield pa.RecordBatch.from_arrays([pa.array([seen], pa.int64()), pa.array([total.tobytes()], pa.binary())], ["seen", "weights"])
+
+
 def train(
     docs: DataFrame,
     v: Vocabulary,
     shape: Shape = Shape(),
-    share: int = 12,
-    replicas: int = 6,
+    share: int = 1,
+    replicas: int | None = None,
     doc_id: str = "doc_id",
     text: str = "text",
 ) -> GatedNet:
-    """Train on one document in ``share`` (by a hash of its id), averaged over ``replicas`` tasks per round."""
+    """Train once on each document, averaged over ``replicas`` tasks per round; ``trained`` of the result counts the tokens.
+
+    Without ``replicas`` there is one for each ``REPLICA_TOKENS`` of a round, and six at least. A ``share``
+    above 1 asks for a sample, one document in ``share``.
+    """
     spark = docs.sparkSession
+    replicas = replicas or max(6, math.ceil(v.total / (share * shape.rounds * REPLICA_TOKENS)))
+    groups = math.isqrt(replicas - 1) + 1
     net = GatedNet(len(v.ids) + 1, shape).start_from(model_counts(v))
     words = spark.sparkContext.broadcast(v)
     slim = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
+    net.trained = 0
     deal = F.pmod(F.xxhash64("doc_id", F.lit("train")), F.lit(share * shape.rounds))
     for k in range(shape.rounds):
         model = spark.sparkContext.broadcast(net)
@@ -393,11 +413,13 @@ def train(
                 )
 
         part = slim.filter(deal == k).repartition(replicas, F.xxhash64("doc_id", "text"))
-        rows = part.mapInArrow(run, "seen long, weights binary").collect()
+        trained = part.mapInArrow(run, "seen long, weights binary")
+        rows = trained.repartition(groups, F.xxhash64("weights")).mapInArrow(_weighted, "seen long, weights binary").collect()
         total = sum(r["seen"] for r in rows)
+        net.trained += total
         if not total:
             continue
-        mean = sum(np.frombuffer(r["weights"], np.float32).astype(np.float64) * (r["seen"] / total) for r in rows)
+        mean = sum(np.frombuffer(r["weights"], np.float64) for r in rows) / total
         at, fresh = 0, {}
         for name, x in net.w.items():
             fresh[name] = mean[at : at + x.size].reshape(x.shape).astype(np.float32)

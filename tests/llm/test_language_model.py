@@ -89,6 +89,20 @@ def test_counts_and_base_score(spark, monkeypatch, head):
         assert math.isclose(r.base_score, base, rel_tol=1e-9) and r.score < 0
 
 
+@pytest.mark.parametrize("replica_tokens", [L.REPLICA_TOKENS, 300])
+def test_every_training_document_reaches_the_network(spark, monkeypatch, replica_tokens):
+    monkeypatch.setattr(L, "REPLICA_TOKENS", replica_tokens)
+    docs = spark.createDataFrame(ROWS, "doc_id long, text string")
+    shape = L.Shape(words=10, classes=2, hidden=4)
+    v = L.vocabulary(L.keep(L.count_tokens(docs), "counts"), shape)
+    net = L.train(docs, v, shape)
+    assert net.trained == v.total == sum(len((t or "").split()) + 1 for _, t in ROWS)
+    start = L.GatedNet(len(v.ids) + 1, shape).start_from(L.model_counts(v))
+    assert all(np.isfinite(x).all() and x.shape == start.w[k].shape for k, x in net.w.items())
+    texts = [L.text_ids(v, L.tokens_of((t or "").encode())) for _, t in ROWS]
+    assert L.score_texts(net, texts).sum() > L.score_texts(start, texts).sum()
+
+
 def test_empty_tables(spark):
     docs = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
     counts = L.keep(L.count_tokens(docs.limit(0)), "counts")
