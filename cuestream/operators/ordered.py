@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -12,10 +13,9 @@ from pyspark.sql import functions as F
 from cuestream.functions.timecode import ms, round_half_up
 from cuestream.operators.estimate import estimate_line_timings, weight_tenths
 from cuestream.operators.postprocess import PostProcessOptions, post_process
-from cuestream.plans.scan import OrderedScan, first_after, group_count, last_before, position, prev_row, sum_upto, top_k
+from cuestream.plans.scan import OrderedScan, first_after, group_count, last_before, position, prev_row, sum_upto
 
 KEYS = ["track_id"]
-POOL = 240
 MIN_ANCHOR_GAP = ms(380)
 
 
@@ -42,29 +42,56 @@ def fill_unmatched_words(words: DataFrame, cues: DataFrame) -> DataFrame:
 
 
 def choose_anchors(times: np.ndarray, strengths: np.ndarray, expected: np.ndarray) -> list[int]:
-    """One anchor per line, maximising strength minus the deviation from the expected gaps."""
+    """One anchor per line, maximising strength minus the deviation from the expected gaps.
+
+    A deviation costs 3 at most, which any gap of four times the expected one reaches. So a
+    line looks at the anchors in that range one by one, and at all earlier ones by their
+    running best. Every so many lines the scores are kept and the choices in between are
+    computed again on the way back, so memory holds about 2 sqrt(lines) rows of anchors.
+    """
     n, k = len(expected), len(times)
     if n == 0 or k < n:
         return []
-    score = strengths * 2.0
-    parents = np.full((n, k), -1)
-    gap = (times[None, :] - times[:, None]).astype(float)
-    later = np.arange(k)[:, None] < np.arange(k)[None, :]
+    gain, at = strengths * 2.0, np.arange(k)
+    last = np.searchsorted(times, times - MIN_ANCHOR_GAP, side="right") - 1
+
+    def line(i: int, score: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Scores with line i on each anchor, and the anchor of the line before."""
+        e = expected[i - 1]
+        top = np.maximum.accumulate(score)
+        record = np.isfinite(score) & (score > np.concatenate(([-np.inf], top[:-1])))
+        before = np.maximum.accumulate(np.where(record, at, -1))
+        parent = np.where(last >= 0, before[last], -1)
+        total = np.where(parent >= 0, score[parent] + gain - 3.0, -np.inf)
+        reach = int((at - np.searchsorted(times, times - 4 * max(1.0, e), side="right")).max())
+        for far in range(min(reach, k - 1), 0, -32):  # the earliest of equals
+            j = at[:, None] - np.arange(far, max(0, far - 32), -1)
+            gap = (times[:, None] - times[j]).astype(float)
+            cost = np.minimum(3.0, np.abs(gap - e) / max(1.0, e))
+            new = np.where((j >= 0) & (gap >= MIN_ANCHOR_GAP), score[j] + gain[:, None] - cost, -np.inf)
+            pick = new.argmax(axis=1)
+            better = new[at, pick] > total
+            total[better] = new[at, pick][better]
+            parent[better] = j[at, pick][better]
+        return total, parent
+
+    step = max(1, math.isqrt(n))
+    score, kept = gain, {}
     for i in range(1, n):
-        cost = np.minimum(3.0, np.abs(gap - expected[i - 1]) / max(1.0, expected[i - 1]))
-        allowed = later & (gap >= MIN_ANCHOR_GAP) & np.isfinite(score)[:, None]
-        total = np.where(allowed, score[:, None] + (strengths * 2.0)[None, :] - cost, -np.inf)
-        parents[i] = np.where(np.isfinite(total.max(axis=0)), total.argmax(axis=0), -1)
-        score = total.max(axis=0)
+        if (i - 1) % step == 0:
+            kept[i] = score
+        score, _ = line(i, score)
     best = int(score.argmax())
-    if not np.isfinite(score[best]) or parents[n - 1][best] == -1:
+    if n == 1 or not np.isfinite(score[best]):
         return []
     chosen = [best]
-    for i in range(n - 1, 0, -1):
-        best = int(parents[i][best])
-        if best < 0:
-            return []
-        chosen.append(best)
+    for start in sorted(kept, reverse=True):
+        score, parents = kept[start], []
+        for i in range(start, min(start + step, n)):
+            score, parent = line(i, score)
+            parents.append(parent)
+        for parent in reversed(parents):
+            chosen.append(int(parent[chosen[-1]]))
     return chosen[::-1]
 
 
@@ -73,14 +100,11 @@ def align_lines_to_onsets(
 ) -> DataFrame:
     """Place each line on an onset; tracks without a full set of onsets return no rows.
 
-    The anchors per track are cut to the 240 strongest, as the selection is
-    defined, and a track with more lines than that cannot be placed, so no
-    group given to Python exceeds 240 rows a side. Unplaced tracks are for
-    ``estimate_line_timings``.
+    All anchors and all lines of a track count. They meet in one task per track,
+    as a few numbers each. Unplaced tracks are for ``estimate_line_timings``.
     """
-    pool = top_k(anchors, KEYS, [F.col("strength").desc(), F.col("frame")], POOL)
     counted = lines.groupBy("track_id").agg(F.count(F.lit(1)).alias("_n"), F.sum(weight_tenths("sig")).alias("_tw"))
-    short = counted.filter(F.col("_n") <= POOL).join(tracks.select("track_id", "duration_us"), "track_id")
+    short = counted.join(tracks.select("track_id", "duration_us"), "track_id")
     usable = F.greatest(F.lit(1_000_000), F.col("duration_us") - lead_in_us)
     share = usable * weight_tenths("sig") / F.col("_tw")
     placed = lines.join(short, "track_id").select("track_id", "seq", share.alias("share"), "duration_us")
@@ -97,7 +121,7 @@ def align_lines_to_onsets(
         ]
 
     schema = "track_id bigint, seq bigint, at_us bigint, strength double, share double, duration_us bigint"
-    hits = placed.groupBy("track_id").cogroup(pool.groupBy("track_id")).applyInPandas(place, schema)
+    hits = placed.groupBy("track_id").cogroup(anchors.groupBy("track_id")).applyInPandas(place, schema)
     scan = OrderedScan.over(hits, KEYS, ["seq"], hot=False).add(_next=first_after("at_us"))
     at = F.col("at_us")
     end = F.when(F.col("_next").isNotNull(), F.greatest(F.col("_next") - 150_000, at + 600_000)).otherwise(

@@ -255,6 +255,29 @@ def test_anchor_choice_against_brute_force():
         assert (got == [] and score(best) == -math.inf) or math.isclose(score(got), score(best))
 
 
+def test_anchor_choice_of_a_long_track(spark):
+    rng = np.random.default_rng(4)
+    n, k = 300, 700
+    times = np.cumsum(rng.integers(350_000, 900_000, size=k))
+    power = rng.random(k).round(6)
+    power[:300] /= 8  # the strongest are all at the end
+    expected = rng.integers(400_000, 2_000_000, size=n).astype(float)
+    score = power * 2
+    for e in expected[:-1]:  # every pair of anchors
+        gap = (times[None, :] - times[:, None]).astype(float)
+        cost = np.minimum(3.0, np.abs(gap - e) / e)
+        score = np.where(gap >= 380_000, score[:, None] + 2 * power[None, :] - cost, -np.inf).max(axis=0)
+    got = O.choose_anchors(times, power, expected)
+    gaps = np.diff(times[got])
+    assert len(got) == n and (gaps >= 380_000).all()
+    assert math.isclose(2 * power[got].sum() - np.minimum(3.0, np.abs(gaps - expected[:-1]) / expected[:-1]).sum(), score.max())
+    anchors = spark.createDataFrame([(1, i, int(t), float(p)) for i, (t, p) in enumerate(zip(times, power))], "track_id long, frame long, time_us long, strength double")
+    lines = spark.createDataFrame([(1, i, "word " * int(1 + i % 5)) for i in range(n)], "track_id long, seq long, sig string")
+    tracks = spark.createDataFrame([(1, int(times[-1]) + 1_000_000)], "track_id long, duration_us long")
+    placed = O.align_lines_to_onsets(lines, anchors, tracks).collect()
+    assert len(placed) == n and {r.start_us for r in placed} & set(times[:300].tolist())
+
+
 def pcm(spark, x, size=512, track=1):
     data = [(track, i, len(x), 22_050, [float(v) for v in x[i * size : (i + 1) * size]]) for i in range(-(-len(x) // size))]
     return spark.createDataFrame(data, "track_id long, chunk_idx long, n_samples long, sample_rate long, samples array<float>")
