@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuestream.llm import byte_bpe, chat_format, decontaminate, jaccard_join, language_id, language_model, line_dedup, suffix_dedup, token_shards
+from cuestream.llm import byte_bpe, chat_format, decontaminate, jaccard_join, language_id, language_model, line_dedup, merkle_manifest, suffix_dedup, token_shards
 from cuestream.llm import quality_rules as rules
 from cuestream.llm.registry import ORACLES, QUERIES, query  # noqa: F401
 from cuestream.llm.shared import keep, table
@@ -229,3 +229,76 @@ FROM d LEFT JOIN cut ON d.doc_id = cut.doc_id
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     cleaned = suffix_dedup.dedup(table(spark, sf_dir, "documents"))
     return cleaned.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+#: Unsigned CRC-32 of decimal numbers in SQL: its table by rule, then one step per character.
+CRC_SQL = r"""
+bits(b, k, v) AS (
+  SELECT range, 0, range FROM range(256)
+  UNION ALL SELECT b, k + 1, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END FROM bits WHERE k < 8),
+steps(id, rest, r) AS (
+  SELECT id, id::VARCHAR, 4294967295::BIGINT FROM ids
+  UNION ALL SELECT id, substr(rest, 2), xor(v, r >> 8) FROM steps JOIN bits ON k = 8 AND b = xor(r, ascii(rest)) & 255 WHERE rest <> ''),
+crc AS (SELECT id, xor(r, 4294967295) AS c FROM steps WHERE rest = '')
+"""
+
+OP13_SQL = (
+    r"""
+WITH RECURSIVE ids AS (SELECT DISTINCT doc_id AS id FROM documents),
+"""
+    + CRC_SQL
+    + r""",
+own AS (
+  SELECT doc_id, lang, text, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS small,
+         coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-')
+         || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') AS head FROM documents),
+leaves AS (
+  SELECT doc_id, lang, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+         sha256(head || coalesce(strlen(small) || ':' || small, '-')) AS other FROM own),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY lang) AS n FROM leaves),
+up(lang, lvl, pos, n, d) AS (
+  SELECT lang, 0, pos, n, leaf FROM placed
+  UNION ALL
+  SELECT lang, lvl + 1, pos // 8, (n + 7) // 8, sha256(string_agg(d, '' ORDER BY pos)) FROM up WHERE n > 1 GROUP BY lang, lvl, n, pos // 8),
+subs AS (SELECT lang, d, lvl, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS pos, count(*) OVER () AS n FROM up WHERE n = 1),
+top(lvl, pos, n, d) AS (
+  SELECT 0, pos, n, d FROM subs
+  UNION ALL
+  SELECT lvl + 1, pos // 8, (n + 7) // 8, sha256(string_agg(d, '' ORDER BY pos)) FROM top WHERE n > 1 GROUP BY lvl, n, pos // 8),
+-- the siblings of every node below the root, the levels of a language's tree first
+steps1 AS (
+  SELECT a.lang, a.lvl, a.pos, coalesce(string_agg(b.d, '' ORDER BY b.pos) FILTER (WHERE b.pos < a.pos), '') AS l,
+         coalesce(string_agg(b.d, '' ORDER BY b.pos) FILTER (WHERE b.pos > a.pos), '') AS r
+  FROM up a JOIN up b ON a.lang IS NOT DISTINCT FROM b.lang AND a.lvl = b.lvl AND a.pos // 8 = b.pos // 8
+  WHERE a.n > 1 GROUP BY a.lang, a.lvl, a.pos),
+steps2 AS (
+  SELECT a.lvl, a.pos, coalesce(string_agg(b.d, '' ORDER BY b.pos) FILTER (WHERE b.pos < a.pos), '') AS l,
+         coalesce(string_agg(b.d, '' ORDER BY b.pos) FILTER (WHERE b.pos > a.pos), '') AS r
+  FROM top a JOIN top b ON a.lvl = b.lvl AND a.pos // 8 = b.pos // 8 WHERE a.n > 1 GROUP BY a.lvl, a.pos),
+walk(doc_id, leaf, lang, lvl, pos, proof, folded) AS (
+  SELECT doc_id, leaf, lang, 0, pos, '', CASE WHEN c % 3 = 0 THEN other ELSE leaf END FROM placed LEFT JOIN crc ON crc.id = doc_id
+  UNION ALL
+  SELECT w.doc_id, w.leaf, w.lang, w.lvl + 1, w.pos // 8, proof || l || r, sha256(l || folded || r)
+  FROM walk w JOIN steps1 s ON w.lang IS NOT DISTINCT FROM s.lang AND w.lvl = s.lvl AND w.pos = s.pos),
+there AS (
+  SELECT w.*, s.d AS subroot, s.pos AS top_pos FROM walk w JOIN subs s ON w.lang IS NOT DISTINCT FROM s.lang AND w.lvl = s.lvl),
+climb(doc_id, leaf, subroot, lvl, pos, proof, folded) AS (
+  SELECT doc_id, leaf, subroot, 0, top_pos, proof, folded FROM there
+  UNION ALL
+  SELECT c.doc_id, c.leaf, c.subroot, c.lvl + 1, c.pos // 8, proof || l || r, sha256(l || folded || r)
+  FROM climb c JOIN steps2 s ON c.lvl = s.lvl AND c.pos = s.pos)
+SELECT doc_id, leaf, subroot, t.d AS root, sha256(proof) AS proof_sha256, folded AS folded_root, folded = t.d AS verified
+FROM climb c JOIN top t ON t.n = 1 AND t.lvl = c.lvl
+"""
+)
+
+
+@query("op13_merkle_manifest", OP13_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def tampered(fields):
+        hit = F.pmod(F.crc32(fields["doc_id"].cast("string").cast("binary")), F.lit(3)) == 0
+        small = {**fields, "text": merkle_manifest.lower_ascii(fields["text"])}
+        return F.when(hit, merkle_manifest.leaf(list(small.values())))
+
+    return merkle_manifest.verify(merkle_manifest.manifest(table(spark, sf_dir, "documents"), changed=tampered))

@@ -6,7 +6,8 @@ import uuid
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cuestream.plans.session import shared_dir
@@ -50,7 +51,7 @@ def utf8(column: pa.Array) -> list[bytes]:
 
 def pieces(batch: pa.RecordBatch, max_bytes: int, column: str = "text") -> Iterator[pa.RecordBatch]:
     """Slices of a batch whose texts take about ``max_bytes``; a longer single text is its own slice."""
-    sizes = [len(x) for x in utf8(batch.column(column))]
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
     start, total = 0, 0
     for i, n in enumerate(sizes):
         if total and total + n > max_bytes:
@@ -61,5 +62,26 @@ def pieces(batch: pa.RecordBatch, max_bytes: int, column: str = "text") -> Itera
         yield batch.slice(start)
 
 
+def numbered(rows: DataFrame, group: str, order: Sequence[str], name: str) -> DataFrame:
+    """``rows`` with ``pos`` (from 0, by ``order`` within ``group``) and ``n``, the size of the group.
+
+    Ranges of (group, order) are written by one task each; the first number of each task
+    and group follows from a table with a row per task and group, so a group of any size
+    is numbered by many tasks. Null is a group of its own.
+    """
+    keys = [F.col(c).asc_nulls_first() for c in (group, *order)]
+    ranged = rows.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    kept = keep(ranged.withColumn("mark", F.monotonically_increasing_id()), name)
+    task = F.shiftright("mark", 33)
+    parts = kept.groupBy(F.col(group).alias("of"), task.alias("task")).agg(F.min("mark").alias("first"), F.count(F.lit(1)).alias("here"))
+    upto = Window.partitionBy("of").orderBy("task")
+    parts = parts.select(
+        "of", "task", "first",
+        (F.sum("here").over(upto) - F.col("here")).alias("before"), F.sum("here").over(Window.partitionBy("of")).alias("n"),
+    )
+    met = kept.join(parts, F.col(group).eqNullSafe(F.col("of")) & (task == F.col("task")))
+    return met.select(*rows.columns, (F.col("mark") - F.col("first") + F.col("before")).alias("pos"), "n")
+
+
 def own_columns(df: DataFrame, wanted: Sequence[str]) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in wanted])
