@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuestream.llm import byte_bpe, chat_format, decontaminate, jaccard_join, language_id, language_model, line_dedup, merkle_manifest, suffix_dedup, token_shards
+from cuestream.llm import byte_bpe, chat_format, decontaminate, jaccard_join, language_id, language_model, line_dedup, merkle_manifest, prefix_trie, suffix_dedup, token_shards
 from cuestream.llm import quality_rules as rules
 from cuestream.llm.registry import ORACLES, QUERIES, query  # noqa: F401
 from cuestream.llm.shared import keep, table
@@ -302,3 +302,46 @@ def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
         return F.when(hit, merkle_manifest.leaf(list(small.values())))
 
     return merkle_manifest.verify(merkle_manifest.manifest(table(spark, sf_dir, "documents"), changed=tampered))
+
+
+OP11_SQL = (
+    r"""
+WITH RECURSIVE ids AS (SELECT DISTINCT conv_id AS id FROM conversations WHERE conv_id IS NOT NULL),
+"""
+    + CRC_SQL
+    + r""",
+t AS (
+  SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS i
+  FROM conversations WHERE conv_id IS NOT NULL),
+heads AS (SELECT id, c % 6 AS h, id - id % 100 AS b FROM crc),
+convs AS (SELECT id, h, b, count(t.i) AS m FROM heads LEFT JOIN t ON t.c = b AND t.i <= h GROUP BY id, h, b),
+rebuilt AS (
+  SELECT id AS c, i AS d, role, text FROM convs JOIN t ON t.c = b AND i <= h
+  UNION ALL SELECT id, m + i - h, role, text FROM convs JOIN t ON t.c = id AND i > h),
+p AS (
+  SELECT c, d, text, string_agg(sha256(role || chr(31) || text), '') OVER (PARTITION BY c ORDER BY d) AS key FROM rebuilt
+  UNION ALL SELECT id, 0, '', '' FROM convs),
+member AS (SELECT *, min(c) OVER (PARTITION BY d, key) AS node, max(d) OVER (PARTITION BY c) AS len FROM p),
+nodes AS (
+  SELECT node, d, count(*) AS n_convs, (count(*) - 1) * max(length(text)) AS saved,
+         sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (WHERE d = len), '')) AS ends FROM member GROUP BY node, d),
+up AS (SELECT n.node, n.d, n.saved, a.node AS over_node, a.d AS over_d FROM nodes n JOIN member a ON a.c = n.node AND a.d <= n.d),
+kids AS (SELECT over_node, over_d, count(*) AS n FROM up WHERE over_d = d - 1 GROUP BY over_node, over_d),
+sums AS (
+  SELECT u.over_node, u.over_d, sum(u.saved) AS saved, count(*) FILTER (WHERE k.n IS NULL) AS leaves
+  FROM up u LEFT JOIN kids k ON u.node = k.over_node AND u.d = k.over_d GROUP BY u.over_node, u.over_d)
+SELECT n.node AS conv_id, n.d AS depth, u.over_node AS parent_conv_id, n.n_convs, coalesce(k.n, 0) AS n_children,
+       s.leaves AS n_leaves, s.saved::BIGINT AS saved_tokens, n.ends AS ends_sha256
+FROM nodes n JOIN sums s ON n.node = s.over_node AND n.d = s.over_d
+LEFT JOIN kids k ON n.node = k.over_node AND n.d = k.over_d
+LEFT JOIN up u ON n.node = u.node AND n.d = u.d AND u.over_d = n.d - 1
+"""
+)
+
+
+@query("op11_prefix_trie", OP11_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = prefix_trie.turns_of(table(spark, sf_dir, "conversations"))
+    head = F.pmod(F.crc32(F.col("c").cast("string").cast("binary")), F.lit(6))
+    return prefix_trie.trie(prefix_trie.with_shared_heads(turns, F.col("c") - F.col("c") % 100, head, 5))
