@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuestream.llm import byte_bpe, chat_format, decontaminate, jaccard_join, language_id, language_model, line_dedup, merkle_manifest, prefix_trie, suffix_dedup, token_shards
+from cuestream.llm import byte_bpe, chat_format, decontaminate, jaccard_join, language_id, language_model, lempel_ziv_dedup, line_dedup, merkle_manifest, prefix_trie, suffix_dedup, token_shards
 from cuestream.llm import quality_rules as rules
 from cuestream.llm.registry import ORACLES, QUERIES, query  # noqa: F401
 from cuestream.llm.shared import keep, table
@@ -345,3 +345,25 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = prefix_trie.turns_of(table(spark, sf_dir, "conversations"))
     head = F.pmod(F.crc32(F.col("c").cast("string").cast("binary")), F.lit(6))
     return prefix_trie.trie(prefix_trie.with_shared_heads(turns, F.col("c") - F.col("c") % 100, head, 5))
+
+
+OP12_SQL = r"""
+WITH d AS (
+  SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+g AS (
+  SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS g
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d WHERE len(w) >= 13)),
+late AS (SELECT doc_id, i FROM g QUALIFY min(doc_id) OVER (PARTITION BY g) < doc_id),
+gone AS (SELECT DISTINCT doc_id, i + unnest(range(13)) AS i FROM late),
+words AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS i, unnest(w) AS word FROM d),
+stays AS (SELECT a.doc_id, a.i, a.word FROM words a LEFT JOIN gone b ON a.doc_id = b.doc_id AND a.i = b.i WHERE b.i IS NULL),
+kept AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY i) AS t FROM stays GROUP BY doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN kept k ON d.doc_id = k.doc_id
+"""
+
+
+@query("op12_lempel_ziv_dedup", OP12_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = lempel_ziv_dedup.dedup(table(spark, sf_dir, "documents"))
+    return cleaned.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
