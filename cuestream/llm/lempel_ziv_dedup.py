@@ -80,26 +80,42 @@ def stretches(text: bytes, size: int = STRETCH) -> Iterator[tuple[int, list[byte
         at = end
 
 
-def anchors(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Anchor hash, first and last window start of each phrase of a stretch, in order."""
-    n = len(words) - WINDOW + 1
-    if n < 1:
-        none = np.empty(0, np.int64)
-        return none, none, none
-    h = np.fromiter(map(_WORD_HASH.__getitem__, words), np.uint64, len(words))
-    gram = np.zeros(len(h) - GRAM + 1, np.uint64)
-    for j in range(GRAM):
-        gram = gram * FACTOR + h[j : len(h) - GRAM + 1 + j]
-    gram = (gram ^ (gram >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-    gram ^= gram >> np.uint64(29)
-    best, where = gram[:n], np.arange(n)
-    for j in range(1, SPAN):  # ties go to the left
-        less = gram[j : j + n] < best
-        best = np.where(less, gram[j : j + n], best)
-        where = np.where(less, np.arange(j, j + n), where)
-    edges = np.flatnonzero(np.diff(where, prepend=-1))
-    last = np.append(edges[1:], n) - 1
-    return best[edges].view(np.int64), edges, last
+class Anchored:
+    """The anchors of several stretches of words at once.
+
+    ``hash``, ``lo`` and ``hi``: anchor hash, first and last window start of each phrase, as
+    places in ``words``; the phrases of stretch k are those from ``edges[k]`` to ``edges[k + 1]``.
+    """
+
+    def __init__(self, parts: list[list[bytes]]):
+        self.words = [w for p in parts for w in p]
+        sizes = np.array([len(p) for p in parts], np.int64)
+        self.starts = np.cumsum(sizes) - sizes
+        n = len(self.words) - WINDOW + 1
+        if n < 1:
+            self.hash, self.lo, self.hi = (np.empty(0, np.int64) for _ in range(3))
+            self.edges = np.zeros(len(parts) + 1, np.int64)
+            return
+        h = np.fromiter(map(_WORD_HASH.__getitem__, self.words), np.uint64, len(self.words))
+        gram = np.zeros(len(h) - GRAM + 1, np.uint64)
+        for j in range(GRAM):
+            gram = gram * FACTOR + h[j : len(h) - GRAM + 1 + j]
+        gram = (gram ^ (gram >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+        gram ^= gram >> np.uint64(29)
+        bits = np.uint64(len(gram).bit_length())
+        least = gram >> bits << bits | np.arange(len(gram), dtype=np.uint64)  # ties go to the left
+        width = 1
+        while 2 * width <= SPAN:
+            least = np.minimum(least[:-width], least[width:])
+            width *= 2
+        least = np.minimum(least[:n], least[SPAN - width : SPAN - width + n])
+        where = (least & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+        owner = np.repeat(np.arange(len(parts)), sizes)
+        at = np.flatnonzero(owner[:n] == owner[WINDOW - 1 :])  # no window runs on into the next stretch
+        first = np.flatnonzero(np.diff(where[at], prepend=-1))
+        self.lo, self.hi = at[first], at[np.append(first[1:], len(at)) - 1] if len(first) else at[first]
+        self.hash = gram[where[self.lo]].view(np.int64)
+        self.edges = np.searchsorted(self.lo, np.append(self.starts, len(self.words)))
 
 
 def _slim(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -107,20 +123,34 @@ def _slim(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), t.alias("text"))
 
 
+def _grouped(part: pa.RecordBatch) -> Iterator[tuple[list[int], list[int], list[list[bytes]]]]:
+    """Document ids (or places in ``part`` without that column), first word numbers, and words of the stretches of a
+    piece, so many at a time that they are about as long as one."""
+    docs, firsts, parts, size = [], [], [], 0
+    names = part.column("doc_id").to_pylist()
+    for name, text in zip(names, utf8(part.column("text")), strict=True):
+        for first, words in stretches(text):
+            docs.append(name)
+            firsts.append(first)
+            parts.append(words)
+            size += min(len(text), STRETCH)
+            if size >= PIECE_BYTES:
+                yield docs, firsts, parts
+                docs, firsts, parts, size = [], [], [], 0
+    if docs:
+        yield docs, firsts, parts
+
+
 def _listed(docs: DataFrame) -> DataFrame:
-    """(h, doc_id) of every anchor, once per piece of a document."""
+    """(h, doc_id) of every anchor."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in pieces(batch, PIECE_BYTES):
-                ids, hashes = [], []
-                for doc, text in zip(part.column("doc_id").to_pylist(), utf8(part.column("text")), strict=True):
-                    for _, words in stretches(text):
-                        h = np.unique(anchors(words)[0])
-                        hashes.append(h)
-                        ids.append(np.full(len(h), doc, np.int64))
-                if hashes:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hashes)), pa.array(np.concatenate(ids))], ["h", "doc_id"])
+                for docs, _, parts in _grouped(part):
+                    found = Anchored(parts)
+                    ids = np.repeat(np.array(docs, np.int64), np.diff(found.edges))
+                    yield pa.RecordBatch.from_arrays([pa.array(found.hash), pa.array(ids)], ["h", "doc_id"])
 
     return docs.mapInArrow(run, "h long, doc_id long")
 
@@ -129,6 +159,7 @@ def shared_anchors(docs: DataFrame, hot: int = HOT) -> DataFrame:
     """(doc_id, hashes, hot): of each document its anchors that other documents have too, and which of them are frequent."""
     listed = keep(_listed(docs), "anchors")
     spread = listed.groupBy("h").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.count(F.lit(1)).alias("n"))
+    # n counts places, so it is at least the number of documents
     several = spread.filter("least < most").select(F.col("h").alias("g"), (F.col("n") > hot).alias("hot"))
     # written, so that the join has plain exchanges, which adaptive execution splits for a frequent anchor
     several = keep(several, "several")
@@ -141,7 +172,7 @@ def shared_anchors(docs: DataFrame, hot: int = HOT) -> DataFrame:
 
 # ---------------------------------------------------------------- phrases
 
-PHRASES = "key long, doc_id long, row long, first long, last long, words binary"
+PHRASES = "key long, doc_id long, row long, firsts array<long>, n long, words binary"
 RUN_BYTES = 64 << 20
 
 
@@ -156,63 +187,90 @@ def merged(ranges: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int,
     return out
 
 
+class Held:
+    """Phrases of a run by key and words, each with its places in the smallest document that has it.
+
+    Places in other documents are ``late``: the phrase is known to be repeated there.
+    """
+
+    def __init__(self, late: list[tuple[int, int, int, int]]):
+        self.known: dict[tuple[int, bytes], tuple[int, int, list[tuple[int, int]]]] = {}
+        self.late, self.size = late, 0
+
+    def add(self, key: int, words: bytes, n: int, doc: int, places: list[tuple[int, int]]) -> None:
+        self.size += 120
+        old = self.known.get((key, words))
+        if old is None:
+            self.known[(key, words)] = (doc, n, places)
+            self.size += len(words) + 350
+        elif old[0] == doc:
+            old[2].extend(places)
+        elif old[0] < doc:
+            self.late.extend((doc, row, first, first + n - 1) for row, first in places)
+        else:
+            self.late.extend((old[0], row, first, first + n - 1) for row, first in old[2])
+            self.known[(key, words)] = (doc, n, places)
+
+    def rows(self) -> Iterator[tuple]:
+        for (key, words), (doc, n, places) in self.known.items():
+            by_row: dict[int, list[int]] = {}
+            for row, first in places:
+                by_row.setdefault(row, []).append(first)
+            for row, firsts in by_row.items():
+                yield key, doc, row, firsts, n, words
+
+
+def _windows(held: Held, late: list) -> Held:
+    """The phrases of frequent anchors as single windows, each by its own hash."""
+    out = Held(late)
+    for (_, words), (doc, n, places) in held.known.items():
+        split = words.split()
+        for w in range(n):
+            window = b" ".join(split[w : w + WINDOW])
+            key = xxhash.xxh3_64_intdigest(window)
+            out.add(key - (1 << 64) if key >> 63 else key, window, 1, doc, [(row, first + w) for row, first in places])
+    return out
+
+
 def _phrases(candidates: DataFrame) -> DataFrame:
     """``candidates``: doc_id, row, text, hashes, hot. Phrases by key; a null key tells of windows known to be repeated."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[int, bytes], list[tuple]] = {}  # the places of one phrase in its smallest document
-        late: list[tuple] = []
-        size = 0
-
-        def add(key: int, words: bytes, place: tuple) -> None:
-            nonlocal size
-            size += 150
-            old = held.get((key, words))
-            if old is None:
-                held[(key, words)] = [place]
-                size += len(words) + 300
-            elif old[0][0] == place[0]:
-                old.append(place)
-            elif old[0][0] < place[0]:
-                late.append(place)
-            else:
-                late.extend(old)
-                held[(key, words)] = [place]
-
-        def rows() -> Iterator[pa.RecordBatch]:
-            out = [(key, *place, words) for (key, words), places in held.items() for place in places]
-            out += [(None, *place, b"") for place in merged(late)]
-            held.clear()
-            late.clear()
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-            for at in range(0, len(out), 20_000):
-                some = out[at : at + 20_000]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([r[i] for r in some], kind) for i, kind in enumerate(kinds)], ["key", "doc_id", "row", "first", "last", "words"]
-                )
+    def emit(plain: Held, frequent: Held, late: list) -> Iterator[pa.RecordBatch]:
+        out = [*plain.rows(), *_windows(frequent, late).rows()]
+        out += [(None, doc, row, [first], last - first + 1, b"") for doc, row, first, last in merged(late)]
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.int64(), pa.binary())
+        for at in range(0, len(out), 20_000):
+            some = out[at : at + 20_000]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([r[i] for r in some], kind) for i, kind in enumerate(kinds)], ["key", "doc_id", "row", "firsts", "n", "words"]
+            )
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        late: list[tuple[int, int, int, int]] = []
+        plain, frequent = Held(late), Held(late)
         for batch in batches:
             for part in pieces(batch, PIECE_BYTES):
                 docs, names = part.column("doc_id").to_pylist(), part.column("row").to_pylist()
-                some, hot = part.column("hashes"), part.column("hot")
-                for i, text in enumerate(utf8(part.column("text"))):
-                    known, frequent = some[i].values.to_numpy(), hot[i].values.to_numpy()
-                    for first, words in stretches(text):
-                        h, lo, hi = anchors(words)
-                        hit = np.isin(h, known)
-                        for key, a, b in zip(h[hit].tolist(), lo[hit].tolist(), hi[hit].tolist(), strict=True):
-                            add(key, b" ".join(words[a : b + WINDOW]), (docs[i], names[i], first + a, first + b))
-                        if len(frequent):
-                            hit = np.isin(h, frequent)
-                            for a, b in zip(lo[hit].tolist(), hi[hit].tolist(), strict=True):
-                                for w in range(a, b + 1):
-                                    window = b" ".join(words[w : w + WINDOW])
-                                    key = xxhash.xxh3_64_intdigest(window)
-                                    add(key - (1 << 64) if key >> 63 else key, window, (docs[i], names[i], first + w, first + w))
-                if size > RUN_BYTES:
-                    yield from rows()
-                    size = 0
-        yield from rows()
+                known, hot = part.column("hashes"), part.column("hot")
+                numbered = pa.RecordBatch.from_arrays([pa.array(range(part.num_rows), pa.int64()), part.column("text")], ["doc_id", "text"])
+                for at, firsts, parts in _grouped(numbered):
+                    found = Anchored(parts)
+                    base = np.array(firsts) - found.starts
+                    for k, i in enumerate(at):
+                        a, b = found.edges[k], found.edges[k + 1]
+                        h = found.hash[a:b]
+                        for held, listed in ((plain, known[i]), (frequent, hot[i])):
+                            if not len(listed.values):
+                                continue
+                            hit = np.flatnonzero(np.isin(h, listed.values.to_numpy())) + a
+                            lo, hi = found.lo[hit], found.hi[hit]
+                            for key, p, q, first in zip(found.hash[hit].tolist(), lo.tolist(), hi.tolist(), (lo + base[k]).tolist(), strict=True):
+                                held.add(key, b" ".join(found.words[p : q + WINDOW]), q - p + 1, docs[i], [(names[i], first)])
+                if plain.size + frequent.size + 120 * len(late) > RUN_BYTES:
+                    yield from emit(plain, frequent, late)
+                    late = []
+                    plain, frequent = Held(late), Held(late)
+        yield from emit(plain, frequent, late)
 
     return candidates.mapInArrow(run, PHRASES)
 
@@ -262,30 +320,32 @@ def _parsed(phrases: DataFrame) -> DataFrame:
     """(doc_id, row, first, last): repeated windows by number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, doc_now, reference, waiting = None, None, Reference(), []
+        now, doc_now, reference, waiting = None, None, None, []
         for batch in batches:
             out = []
-            columns = [batch.column(c).to_pylist() for c in ("key", "doc_id", "row", "first", "last", "words")]
-            for key, doc, row, first, last, raw in zip(*columns, strict=True):
+            columns = [batch.column(c).to_pylist() for c in ("key", "doc_id", "row", "firsts", "n", "words")]
+            for key, doc, row, firsts, n, raw in zip(*columns, strict=True):
                 if key is None:
-                    out.append((doc, row, first, last))
+                    out.append((doc, row, firsts[0], firsts[0] + n - 1))
                     continue
-                words = raw.split()
                 if key != now:
-                    now, doc_now, reference, waiting = key, doc, Reference(), []
+                    now, doc_now, reference, waiting = key, doc, None, []
                 elif doc != doc_now:
-                    for w in waiting:
-                        reference.add(w, list(reference.factors(w)))
+                    reference = reference or Reference()
+                    for earlier in waiting:
+                        words = earlier.split()
+                        reference.add(words, list(reference.factors(words)))
                     doc_now, waiting = doc, []
-                factors = list(reference.factors(words))
-                out.extend((doc, row, first + a, first + b - WINDOW) for a, b in factors)
-                waiting.append(words)
+                waiting.append(raw)
+                if reference is not None:
+                    for a, b in reference.factors(raw.split()):
+                        out.extend((doc, row, first + a, first + b - WINDOW) for first in firsts)
             out = merged(out)
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.int64()) for i in range(4)], ["doc_id", "row", "first", "last"])
 
     # windows known to be repeated need no partner, so they stay spread
-    key = F.coalesce("key", F.xxhash64("doc_id", "row", "first"))
-    dealt = phrases.repartition(key).sortWithinPartitions("key", "doc_id", "row", "first")
+    key = F.coalesce("key", F.xxhash64("doc_id", "row", "firsts"))
+    dealt = phrases.repartition(key).sortWithinPartitions("key", "doc_id", "row")
     return dealt.mapInArrow(run, "doc_id long, row long, first long, last long")
 
 
