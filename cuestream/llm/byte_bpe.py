@@ -28,9 +28,9 @@ from pyspark.sql import functions as F
 
 from cuestream.llm.shared import id_and_text, pieces
 
-PIECE_CHARS = 2 << 20
-#: Words remembered by a Python worker; it starts anew beyond, so its memory is bounded.
-MEMO = 600_000
+PIECE_CHARS = 1 << 20
+#: Bytes that a Python worker spends on words it remembers; it starts anew beyond.
+MEMO_BYTES = 32 << 20
 MEMO_TOKEN_CHARS = 64
 
 
@@ -167,13 +167,17 @@ class _Memo(dict):
     def __init__(self, bpe: Bpe):
         super().__init__()
         self.bpe = bpe
+        self.size = 0
 
     def __missing__(self, token: str) -> bytes:
         ids = self.bpe.ids_of(token.encode())
         packed = struct.pack(f"<{len(ids)}I", *ids)
         if len(token) <= MEMO_TOKEN_CHARS:
-            if len(self) >= MEMO:
+            # two objects with their heads, and their place in the table
+            self.size += 220 + 2 * len(token) + len(packed)
+            if self.size > MEMO_BYTES:
                 self.clear()
+                self.size = 0
             self[token] = packed
         return packed
 
@@ -226,6 +230,37 @@ def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
     return encoded.mapInArrow(run, schema)
 
 
+def round_trip(
+    docs: DataFrame, path: str, pattern: str, with_ids: bool = True, doc_id: str = "doc_id", text: str = "text"
+) -> DataFrame:
+    """Per row: doc_id, n_tokens, ids_sha256, decoded_sha256 and, if asked for, ``ids``.
+
+    Encodes, decodes what came out, and hashes both in one Python worker, which holds one
+    tokenizer and sends no text back.
+    """
+    bpe = share(docs.sparkSession, path, pattern)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, texts in texts_of(batch):
+                ids, decoded = [], []
+                for t in texts:
+                    ids.append(bpe.value.encode(t))
+                    decoded.append(sha256(bpe.value.decode(ids[-1])))
+                columns = {
+                    "doc_id": part.column("doc_id"),
+                    "n_tokens": pa.array([len(x) // 4 for x in ids], pa.int64()),
+                    "ids_sha256": pa.array(list(map(sha256, ids)), pa.string()),
+                    "decoded_sha256": pa.array(decoded, pa.string()),
+                }
+                if with_ids:
+                    columns["ids"] = pa.array(ids, pa.binary())
+                yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
+
+    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids binary" if with_ids else "")
+    return id_and_text(docs, doc_id, text).mapInArrow(run, schema)
+
+
 def _slices(batch: pa.RecordBatch, at: int, rows: int = 256) -> Iterator[pa.RecordBatch]:
     for i in range(0, batch.num_rows, rows):
         yield batch.slice(i, rows)

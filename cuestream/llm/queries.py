@@ -90,8 +90,7 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op3_byte_bpe")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    encoded = byte_bpe.encode(table(spark, sf_dir, "documents"), VOCABULARY, PATTERN)
-    return byte_bpe.digests(byte_bpe.decode(encoded, VOCABULARY, PATTERN))
+    return byte_bpe.round_trip(table(spark, sf_dir, "documents"), VOCABULARY, PATTERN, with_ids=False)
 
 
 @query("op9_language_id")
