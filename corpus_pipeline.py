@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from cuestream.llm import byte_bpe, decontaminate, jaccard_join, line_dedup, quality_rules
 from cuestream.llm.shared import keep, table
@@ -36,11 +35,7 @@ def drop_benchmark_documents(spark: SparkSession, docs: DataFrame, sf_dir: str)
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids (little-endian unsigned 32-bit), their digest and that of the decoded bytes."""
     vocabulary = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    encoded = byte_bpe.encode(docs, vocabulary, public_tokenizers.PATTERN)
-    both = byte_bpe.decode(encoded, vocabulary, public_tokenizers.PATTERN)
-    return both.select(
-        "doc_id", "n_tokens", "ids", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
-    )
+    return byte_bpe.round_trip(docs, vocabulary, public_tokenizers.PATTERN)
 
 
 STAGES = [
@@ -51,7 +46,7 @@ STAGES = [
     ("byte_level_bpe", encode),
 ]
 
-#: The merges of the last stage cannot be expressed in SQL; tests/llm/test_pipeline.py has a brute-force version.
+#: The merges of the last stage cannot be expressed in SQL; tests/llm/test_queries.py has a brute-force version.
 ORACLE_SQL = None
 
 
