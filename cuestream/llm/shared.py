@@ -36,6 +36,11 @@ def drop_path(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+
+
 def id_and_text(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """Just ``doc_id`` and ``text``, null text as empty; other columns can't clash any more."""
     return docs.select(

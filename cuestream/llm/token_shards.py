@@ -25,12 +25,11 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import tiktoken
-import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuestream.llm.byte_bpe import read_ranks
-from cuestream.llm.shared import id_and_text, keep, pieces
+from cuestream.llm.byte_bpe import Bpe, read_ranks
+from cuestream.llm.shared import exists, id_and_text, keep, pieces
 
 LENGTH = 512
 PER_SHARD = 1024
@@ -101,32 +100,64 @@ def _encoding(tokens: tuple[bytes, ...], pattern: str) -> tiktoken.Encoding:
     return tiktoken.Encoding("shards", pat_str=pattern, mergeable_ranks={t: i for i, t in enumerate(tokens)}, special_tokens={})
 
 
+@lru_cache(maxsize=2)
+def _own_encoder(tokens: tuple[bytes, ...], pattern: str) -> Bpe:
+    return Bpe(list(tokens), pattern)
+
+
 def dtype_for(vocabulary: int) -> str:
     return "<u2" if vocabulary <= 1 << 16 else "<u4"
 
 
+def binary_array(data: np.ndarray, offsets: np.ndarray) -> pa.Array:
+    """Arrow binaries over one buffer of bytes."""
+    return pa.Array.from_buffers(
+        pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data))]
+    )
+
+
+def bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of a binary column without nulls, one after another, and the size of each value."""
+    if pa.types.is_large_binary(column.type):
+        column = column.cast(pa.binary())
+    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    if not len(column) or column.buffers()[2] is None:
+        return np.empty(0, np.uint8), np.zeros(len(column), np.int64)
+    return np.frombuffer(column.buffers()[2], np.uint8)[offsets[0] : offsets[-1]], np.diff(offsets).astype(np.int64)
+
+
 def sequences(docs: DataFrame, path: str, pattern: str, length: int = LENGTH, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Rows (doc_id, part, n_tokens, ids): the tokens of each text in pieces of at most ``length``."""
+    """Rows (doc_id, part, n_tokens, ids): the tokens of each text in pieces of at most ``length``.
+
+    The library gives up on very long runs of blanks; operator 3 encodes such a text.
+    """
     tokens = docs.sparkSession.sparkContext.broadcast(tuple(read_ranks(path)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoding, kind = _encoding(tokens.value, pattern), dtype_for(len(tokens.value))
+        encoding, kind = _encoding(tokens.value, pattern), np.dtype(dtype_for(len(tokens.value)))
+
+        def encode(t: str) -> np.ndarray:
+            try:
+                return encoding.encode_to_numpy(t, disallowed_special=())
+            except ValueError:
+                return np.frombuffer(_own_encoder(tokens.value, pattern).encode(t), "<u4")
+
         for batch in batches:
             for part in pieces(batch, PIECE_BYTES):
-                ids, parts, cut = [], [], []
-                for doc, t in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), strict=True):
-                    flat = encoding.encode_to_numpy(t, disallowed_special=()).astype(kind)
-                    for k, at in enumerate(range(0, len(flat), length)):
-                        ids.append(doc)
-                        parts.append(k)
-                        cut.append(flat[at : at + length].tobytes())
-                size = np.dtype(kind).itemsize
+                flat = [encode(t) for t in part.column("text").to_pylist()]
+                sizes = np.array([len(f) for f in flat], np.int64)
+                count = -(-sizes // length)
+                doc = np.repeat(np.arange(len(flat)), count)
+                which = np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count)
+                starts = np.repeat(np.cumsum(sizes) - sizes, count) + which * length
+                edges = np.append(starts, sizes.sum())
+                data = np.concatenate([*flat, np.empty(0, np.uint32)]).astype(kind).view(np.uint8)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(ids, pa.int64()),
-                        pa.array(parts, pa.int64()),
-                        pa.array([len(c) // size for c in cut], pa.int64()),
-                        pa.array(cut, pa.binary()),
+                        part.column("doc_id").take(pa.array(doc, pa.int64())),
+                        pa.array(which, pa.int64()),
+                        pa.array(np.diff(edges), pa.int64()),
+                        binary_array(data, edges * kind.itemsize),
                     ],
                     ["doc_id", "part", "n_tokens", "ids"],
                 )
@@ -144,7 +175,10 @@ def _numbered(kept: DataFrame) -> tuple[dict[int, int], int]:
     return first, total
 
 
-SHARDS = "shard long, first_slot long, n_sequences long, stride long, doc_ids array<long>, parts array<long>, n_tokens array<long>, block binary"
+SHARDS = (
+    "shard long, first_slot long, n_sequences long, stride long, id_bytes long, "
+    "doc_ids array<long>, parts array<long>, n_tokens array<long>, block binary"
+)
 
 
 def materialise(
@@ -155,52 +189,54 @@ def materialise(
     length: int = LENGTH,
     per_shard: int = PER_SHARD,
     target: str | None = None,
+    tokenised: str | None = None,
     doc_id: str = "doc_id",
     text: str = "text",
 ) -> DataFrame:
     """Write all shards below ``target`` (default: a new path in the shared folder) and read them back.
 
     A shard row has ``block`` and, in slot order, the document, part and number of tokens of
-    each of its sequences. Every shard but the last has ``per_shard`` sequences.
+    each of its sequences, and ``id_bytes``, the width of an id. Every shard but the last has
+    ``per_shard`` sequences. With ``tokenised``, a path, a job that is started again goes on
+    from the numbered sequences that an earlier one finished there.
     """
-    vocabulary = len(read_ranks(path))
-    stride = length * np.dtype(dtype_for(vocabulary)).itemsize
-    cut = sequences(docs, path, pattern, length, doc_id, text)
-    kept = keep(cut.withColumn("mark", F.monotonically_increasing_id()), "sequences")
+    spark = docs.sparkSession
+    id_bytes = np.dtype(dtype_for(len(read_ranks(path)))).itemsize
+    stride = length * id_bytes
+    columns = "doc_id long, part long, n_tokens long, ids binary, mark long"
+    if tokenised and exists(spark, f"{tokenised}/_SUCCESS"):
+        kept = spark.read.schema(columns).parquet(tokenised)
+    else:
+        cut = sequences(docs, path, pattern, length, doc_id, text)
+        kept = keep(cut.withColumn("mark", F.monotonically_increasing_id()), "sequences", tokenised)
     first, total = _numbered(kept)
+    starts = spark.sparkContext.broadcast(first)
     order = Permutation(max(1, total), key)
+    rest = ("doc_id", "part", "n_tokens", "ids")
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pack = zstandard.ZstdCompressor(level=1).compress
         for batch in batches:
             marks = batch.column("mark").to_numpy()
-            start = np.array([first[t] for t in (marks >> 33).tolist()], dtype=np.int64)
+            task, where = np.unique(marks >> 33, return_inverse=True)
+            start = np.array([starts.value[t] for t in task.tolist()], dtype=np.int64)[where] if len(marks) else marks
             slots = order.forward(start + (marks & ((1 << 33) - 1)))
-            for at in range(0, batch.num_rows, 2048):
-                part = batch.slice(at, 2048)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(slots[at : at + 2048], pa.int64()),
-                        *[part.column(c) for c in ("doc_id", "part", "n_tokens")],
-                        pa.array([pack(x) for x in part.column("ids").to_pylist()], pa.binary()),
-                    ],
-                    ["slot", "doc_id", "part", "n_tokens", "packed"],
-                )
+            yield pa.RecordBatch.from_arrays([pa.array(slots, pa.int64()), *[batch.column(c) for c in rest]], ["slot", *rest])
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unpack = zstandard.ZstdDecompressor().decompress
-        now, rows = None, []
+        now, held = None, []
         for batch in batches:
-            for slot, *row in zip(*[batch.column(c).to_pylist() for c in ("slot", "doc_id", "part", "n_tokens", "packed")], strict=True):
-                if now != slot // per_shard:
-                    if rows:
-                        yield _shard(now, rows, per_shard, stride)
-                    now, rows = slot // per_shard, []
-                rows.append((*row[:3], unpack(row[3]).ljust(stride, b"\0")))
-        if rows:
-            yield _shard(now, rows, per_shard, stride)
-
-    placed = kept.mapInArrow(place, "slot long, doc_id long, part long, n_tokens long, packed binary")
+            shards = batch.column("slot").to_numpy() // per_shard
+            edges = [*np.flatnonzero(np.diff(shards, prepend=-1)).tolist(), len(shards)]
+            for a, b in zip(edges, edges[1:], strict=False):
+                if now != shards[a]:
+                    if held:
+                        yield _shard(now, held, per_shard, stride, id_bytes)
+                    now, held = int(shards[a]), []
+                held.append(batch.slice(a, b - a))
+        if held:
+            yield _shard(now, held, per_shard, stride, id_bytes)
+
+    placed = kept.mapInArrow(place, "slot long, doc_id long, part long, n_tokens long, ids binary")
     per_task = per_shard * SHARDS_PER_TASK
     tasks = max(1, math.ceil(total / per_task))
     # slots are dense, so equal ranges of them are equal partitions
@@ -208,18 +244,23 @@ def materialise(
     return keep(ranged.mapInArrow(write, SHARDS), "shards", target)
 
 
-def _shard(shard: int, rows: list[tuple], per_shard: int, stride: int) -> pa.RecordBatch:
-    columns = [[r[i] for r in rows] for i in range(4)]
+def _shard(shard: int, held: list[pa.RecordBatch], per_shard: int, stride: int, id_bytes: int) -> pa.RecordBatch:
+    blocks = []
+    for batch in held:
+        data, sizes = bytes_of(batch.column("ids"))
+        block = np.zeros((len(sizes), stride), np.uint8)
+        block[np.arange(stride) < sizes[:, None]] = data
+        blocks.append(block.tobytes())
+    n = sum(b.num_rows for b in held)
+    lists = [pa.concat_arrays([b.column(c) for b in held]) for c in ("doc_id", "part", "n_tokens")]
+    numbers = {"shard": shard, "first_slot": shard * per_shard, "n_sequences": n, "stride": stride, "id_bytes": id_bytes}
     return pa.RecordBatch.from_arrays(
         [
-            pa.array([shard], pa.int64()),
-            pa.array([shard * per_shard], pa.int64()),
-            pa.array([len(rows)], pa.int64()),
-            pa.array([stride], pa.int64()),
-            *[pa.array([columns[i]], pa.list_(pa.int64())) for i in range(3)],
-            pa.array([b"".join(columns[3])], pa.binary()),
+            *[pa.array([v], pa.int64()) for v in numbers.values()],
+            *[pa.ListArray.from_arrays(pa.array([0, n], pa.int32()), x) for x in lists],
+            pa.array([b"".join(blocks)], pa.binary()),
         ],
-        ["shard", "first_slot", "n_sequences", "stride", "doc_ids", "parts", "n_tokens", "block"],
+        [*numbers, "doc_ids", "parts", "n_tokens", "block"],
     )
 
 
@@ -227,7 +268,7 @@ def open_shards(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(SHARDS).parquet(path)
 
 
-def read_slots(shards: DataFrame, first: int = 0, count: int | None = None, vocabulary: int = 1 << 16) -> DataFrame:
+def read_slots(shards: DataFrame, first: int = 0, count: int | None = None) -> DataFrame:
     """Rows (slot, shard, doc_id, part, n_tokens, ids) from slot ``first`` on, cut out of the blocks by stride.
 
     The bounds reach the scan as a range of shards, so a resumed reader opens only what is left.
@@ -235,20 +276,23 @@ def read_slots(shards: DataFrame, first: int = 0, count: int | None = None, voca
     end = None if count is None else first + count
     some = shards.filter(F.col("first_slot") + F.col("n_sequences") > first)
     some = some if end is None else some.filter(F.col("first_slot") < end)
-    size = np.dtype(dtype_for(vocabulary)).itemsize
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
-                one = {c: batch.column(c)[row].as_py() for c in batch.schema.names}
-                block, stride = memoryview(one["block"]), one["stride"]
-                at = [k for k in range(one["n_sequences"]) if one["first_slot"] + k >= first and (end is None or one["first_slot"] + k < end)]
+                at, n, stride, width = (batch.column(c)[row].as_py() for c in ("first_slot", "n_sequences", "stride", "id_bytes"))
+                a, b = max(0, first - at), n if end is None else min(n, end - at)
+                lists = [batch.column(c)[row].values.slice(a, b - a) for c in ("doc_ids", "parts", "n_tokens")]
+                block = np.frombuffer(batch.column("block")[row].as_buffer(), np.uint8).reshape(n, stride)[a:b]
+                sizes = lists[2].to_numpy() * width
+                data = block[np.arange(stride) < sizes[:, None]]
+                shard = np.full(b - a, batch.column("shard")[row].as_py(), np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array([one["first_slot"] + k for k in at], pa.int64()),
-                        pa.array([one["shard"]] * len(at), pa.int64()),
-                        *[pa.array([one[c][k] for k in at], pa.int64()) for c in ("doc_ids", "parts", "n_tokens")],
-                        pa.array([bytes(block[k * stride : k * stride + one["n_tokens"][k] * size]) for k in at], pa.binary()),
+                        pa.array(np.arange(at + a, at + b, dtype=np.int64)),
+                        pa.array(shard),
+                        *lists,
+                        binary_array(data, np.concatenate(([0], np.cumsum(sizes)))),
                     ],
                     ["slot", "shard", "doc_id", "part", "n_tokens", "ids"],
                 )

@@ -4,6 +4,7 @@ import base64
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import tiktoken
 
 from cuestream.llm import token_shards as S
@@ -46,3 +47,31 @@ def test_every_sequence_is_at_its_slot(spark):
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert S.materialise(docs, PATH, PATTERN).count() == 0
+
+
+def test_long_blanks_and_a_job_that_starts_again(spark, tmp_path, monkeypatch):
+    docs = spark.createDataFrame([(1, " " * 1_000_000 + "x"), (2, "two words")], "doc_id long, text string")
+    where = f"file://{tmp_path}/tokens"
+    once = S.read_slots(S.materialise(docs, PATH, PATTERN, key=4, length=32, tokenised=where)).collect()
+    assert {r.doc_id for r in once} == {1, 2}
+
+    def no_second_pass(*args):
+        raise AssertionError
+
+    monkeypatch.setattr(S, "sequences", no_second_pass)
+    again = S.read_slots(S.materialise(docs, PATH, PATTERN, key=4, length=32, tokenised=where)).collect()
+    assert sorted(map(str, again)) == sorted(map(str, once))
+
+
+def test_wide_ids_are_read_as_written(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, "some words " * 30 * i) for i in range(5)], "doc_id long, text string")
+    narrow = {(r.doc_id, r.part): np.frombuffer(bytes(r.ids), "<u2").tolist() for r in S.read_slots(S.materialise(docs, PATH, PATTERN, length=32)).collect()}
+    ids = S.sequences(docs, PATH, PATTERN, 32).collect()
+    assert narrow == {(r.doc_id, r.part): np.frombuffer(bytes(r.ids), "<u2").tolist() for r in ids}
+    data = np.arange(20, dtype="<u4")
+    batch = pa.RecordBatch.from_arrays(
+        [*[pa.array([7, 7], pa.int64())] * 2, pa.array([16, 4], pa.int64()), S.binary_array(data.view(np.uint8), np.array([0, 64, 80]))],
+        ["doc_id", "part", "n_tokens", "ids"],
+    )
+    wide = spark.createDataFrame(S._shard(0, [batch], 1024, 128, 4).to_pylist(), S.SHARDS)
+    assert [np.frombuffer(bytes(r.ids), "<u4").tolist() for r in S.read_slots(wide).collect()] == [list(range(16)), list(range(16, 20))]
