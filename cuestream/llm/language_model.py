@@ -30,6 +30,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -83,8 +84,8 @@ class Shape:
     words: int = 2048  # the model's vocabulary, end and unknown included
     classes: int = 32
     window: int = 24
-    lanes: int = 64
-    rate: float = 0.005
+    lanes: int = 256
+    rate: float = 0.01
     rounds: int = 2
     seed: int = 5
 
@@ -219,7 +220,9 @@ class GatedNet:
         flat_words = words.reshape(-1)
         grads["x"] += w["embed"][flat_words].T @ flat_dx
         grads["b"] += flat_dx.sum(0)
-        np.add.at(grads["embed"], flat_words, flat_dx @ w["x"].T)
+        order = np.argsort(flat_words, kind="stable")
+        names, first = np.unique(flat_words[order], return_index=True)
+        grads["embed"][names] = np.add.reduceat((flat_dx @ w["x"].T)[order], first, axis=0)
         return grads, logp, last
 
     def __getstate__(self):
@@ -249,12 +252,21 @@ class Trainer:
         self.t += 1
         norm = math.sqrt(sum(float((g * g).sum()) for g in grads.values())) / n
         scale = min(1.0, 1.0 / max(norm, 1e-9)) / n
+        rate, spread = self.net.shape.rate / (1 - 0.9**self.t), 1 / math.sqrt(1 - 0.99**self.t)
         for k, g in grads.items():
-            g = g * scale
-            self.m[k] += 0.1 * (g - self.m[k])
-            self.v[k] += 0.01 * (g * g - self.v[k])
-            step = self.m[k] / (1 - 0.9**self.t) / (np.sqrt(self.v[k] / (1 - 0.99**self.t)) + 1e-6)
-            self.net.w[k] -= (self.net.shape.rate * step).astype(np.float32)
+            g *= np.float32(scale)
+            m, v = self.m[k], self.v[k]
+            m *= np.float32(0.9)
+            m += np.float32(0.1) * g
+            g *= g
+            v *= np.float32(0.99)
+            v += np.float32(0.01) * g
+            np.sqrt(v, out=g)
+            g *= np.float32(spread)
+            g += np.float32(1e-6)
+            np.divide(m, g, out=g)
+            g *= np.float32(rate)
+            self.net.w[k] -= g
 
 
 def lay_out(texts: list[np.ndarray], lanes: int, start: int):
@@ -293,16 +305,16 @@ def lay_out(texts: list[np.ndarray], lanes: int, start: int):
     return words, fresh, target, real, place
 
 
-def score_texts(net: GatedNet, texts: list[np.ndarray], lanes: int = 128) -> np.ndarray:
+def score_texts(net: GatedNet, texts: list[np.ndarray], lanes: int = 512) -> np.ndarray:
     """Natural log-likelihood of each text, the state carried from its first word to its end."""
     if not texts:
         return np.zeros(0)
     words, fresh, target, real, place = lay_out(texts, lanes, len(net.w["embed"]) - 1)
     state = np.zeros((len(words), net.shape.hidden), np.float32)
     logp = np.zeros(words.shape)
-    for at in range(0, words.shape[1], 64):
+    for at in range(0, words.shape[1], 32):
         n = int(real[:, at].sum())
-        part = (slice(0, n), slice(at, at + 64))
+        part = (slice(0, n), slice(at, at + 32))
         out, state = net.run(words[part], fresh[part], state[:n])
         flat = real[part].reshape(-1)
         got, _ = net.log_probs(out.reshape(-1, net.shape.hidden)[flat], target[part].reshape(-1)[flat])
@@ -365,15 +377,47 @@ def text_ids(v: Vocabulary, tokens: list[bytes]) -> np.ndarray:
     return np.array([*[get(t, unknown) for t in tokens], v.ids[b""]], dtype=np.int64)
 
 
+COPIES = "replica long, seen long, weights binary"
+
+
+def _copy_row(replica: int, seen: int, weights: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [pa.array([replica], pa.int64()), pa.array([seen], pa.int64()), pa.array([weights.tobytes()], pa.binary())], ["replica", "seen", "weights"]
+    )
+
+
+class _Places(dict):
+    def __missing__(self, word: bytes) -> int:
+        return -1
+
+
+class HeadTable:
+    """Words of the broadcast head by place, and what each adds to the sums of a text.
+
+    The end of a text has place 0; the last place, also -1, is that of words outside the head, which add nothing here.
+    """
+
+    def __init__(self, v: Vocabulary):
+        words = [b"", *(w for w in v.counts if w != b"")]
+        self.places = _Places((w, i) for i, w in enumerate(words))
+        counts = [v.counts.get(w, 0) for w in words]
+        self.base = np.array([*map(v.base, counts), 0.0])
+        self.more = np.array([*(0.0 if w in v.ids else v.outside(n) for w, n in zip(words, counts, strict=True)), 0.0])
+        self.known = np.array([*(int(n > 0) for n in counts), 0], np.int64)
+        self.model_id = np.array([*(v.ids.get(w, v.unknown) for w in words), v.unknown], np.int64)
+        del self.places[b""]
+
+
 def _weighted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row: the tokens of all copies, and the sum of their weights times tokens."""
-    seen, total = 0, 0.0
+    """One row: the tokens of all copies, and the sum of their weights times tokens, in order of the copies."""
+    first, seen, total = -1, 0, 0.0
     for batch in batches:
-        for n, w in zip(batch.column("seen"), batch.column("weights"), strict=True):
+        for k, n, w in zip(*[batch.column(c) for c in ("replica", "seen", "weights")], strict=True):
+            first = k.as_py() if first < 0 else first
             seen += n.as_py()
             total = total + np.frombuffer(w.as_py(), np.float32).astype(np.float64) * n.as_py()
     if seen:
-        yield pa.RecordBatch.from_arrays([pa.array([seen], pa.int64()), pa.array([total.tobytes()], pa.binary())], ["seen", "weights"])
+        yield _copy_row(first, seen, total)
 
 
 def train(
@@ -408,13 +452,13 @@ def train(
                     seen += trainer.texts([text_ids(words.value, tokens_of(t)) for t in utf8(part.column("text"))])
             if seen:
                 flat = np.concatenate([x.reshape(-1) for x in trainer.net.w.values()]).astype(np.float32)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([seen], pa.int64()), pa.array([flat.tobytes()], pa.binary())], ["seen", "weights"]
-                )
+                yield _copy_row(TaskContext.get().partitionId(), seen, flat)
 
-        part = slim.filter(deal == k).repartition(replicas, F.xxhash64("doc_id", "text"))
-        trained = part.mapInArrow(run, "seen long, weights binary")
-        rows = trained.repartition(groups, F.xxhash64("weights")).mapInArrow(_weighted, "seen long, weights binary").collect()
+        # in order of a hash, so that a task that is run again, or another run, trains the same network
+        mark = F.xxhash64("doc_id", "text")
+        part = slim.filter(deal == k).repartition(replicas, mark).sortWithinPartitions(mark, "doc_id")
+        trained = part.mapInArrow(run, COPIES).repartition(groups, "replica").sortWithinPartitions("replica")
+        rows = sorted(trained.mapInArrow(_weighted, COPIES).collect(), key=lambda r: r["replica"])
         total = sum(r["seen"] for r in rows)
         net.trained += total
         if not total:
@@ -441,42 +485,35 @@ def score(docs: DataFrame, counts: DataFrame, v: Vocabulary, net: GatedNet, doc_
     the head leave it with their number per text and meet their counts in a join.
     """
     spark = docs.sparkSession
-    model = spark.sparkContext.broadcast((v, net))
+    model = spark.sparkContext.broadcast((HeadTable(v), net))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v, net = model.value
-        # per head word: base score, and what a word outside the model's own adds to its score
-        known = {t: (v.base(n), 0.0 if t in v.ids else v.outside(n)) for t, n in v.counts.items()}
-        end_count = v.counts.get(b"", 0)
+        head, net = model.value
         for batch in batches:
             for part in pieces(batch, PIECE_BYTES):
-                tokens = [tokens_of(t) for t in utf8(part.column("text"))]
-                model_score = score_texts(net, [text_ids(v, t) for t in tokens]) / LOG10
-                base, more, hits, rare = [], [], [], []
-                for t in tokens:
-                    b = m = 0.0
-                    n = 0
-                    left = []
-                    for word, times in Counter(t).items():
-                        got = known.get(word)
-                        if got is None:
-                            left.append({"token": word, "n": times})
-                        else:
-                            b += got[0] * times
-                            m += got[1] * times
-                            n += times
-                    base.append(b + v.base(end_count))
-                    more.append(m)
-                    hits.append(n + (end_count > 0))
-                    rare.append(left)
+                places, sizes, rare = [], [], []
+                for t in utf8(part.column("text")):
+                    tokens = tokens_of(t)
+                    at = [*map(head.places.__getitem__, tokens), 0]
+                    places += at
+                    sizes.append(len(at))
+                    # place -1 is that of words outside the head
+                    left = Counter(w for w, p in zip(tokens, at, strict=False) if p < 0) if -1 in at else {}
+                    rare.append([{"token": w, "n": n} for w, n in left.items()])
+                flat, edges = np.array(places, np.int64), np.cumsum([0, *sizes])[:-1]
+                del places
+                ids = head.model_id[flat]
+                texts = np.split(ids, edges[1:])
+                model_score = score_texts(net, texts) / LOG10
+                base, more, hits = (np.add.reduceat(x[flat], edges) for x in (head.base, head.more, head.known))
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column("row_no"),
                         part.column("doc_id"),
-                        pa.array([len(t) + 1 for t in tokens], pa.int64()),
-                        pa.array(hits, pa.int64()),
-                        pa.array(base, pa.float64()),
-                        pa.array(model_score + np.array(more), pa.float64()),
+                        pa.array(np.array(sizes, np.int64)),
+                        pa.array(hits),
+                        pa.array(base),
+                        pa.array(model_score + more),
                         pa.array(rare, pa.list_(pa.struct([("token", pa.binary()), ("n", pa.int64())]))),
                     ],
                     ["row_no", "doc_id", "n_tokens", "n_known", "base_score", "score", "rare"],

@@ -120,3 +120,44 @@ def test_fold_is_crc32_of_the_id(spark):
 
     got = spark.range(50).select("id", fold(F.col("id"), 5).alias("f")).collect()
     assert all(r.f == zlib.crc32(str(r.id).encode()) % 5 for r in got)
+
+
+def plain_score(net, text):
+    """Natural log-likelihood of a text, step by step: a gated unit, its class and its word within the class."""
+    w = {k: v.astype(float) for k, v in net.w.items()}
+    h = net.shape.hidden
+    squash = lambda x: 1 / (1 + np.exp(-x))
+    state, last, total = np.zeros(h), len(w["embed"]) - 1, 0.0
+    for word in text:
+        x, r = w["embed"][last] @ w["x"] + w["b"], state @ w["h"]
+        z, g = squash(x[:h] + r[:h]), squash(x[h : 2 * h] + r[h : 2 * h])
+        c = np.tanh(x[2 * h :] + g * r[2 * h :])
+        state = z * state + (1 - z) * c
+        cls, k = divmod(int(word), net.per)
+        for logits, at in (
+            (state @ w["class"] + w["class_b"], cls),
+            (state @ w["word"][cls] + w["word_b"][cls] + net.mask[cls], k),
+        ):
+            total += logits[at] - np.log(np.exp(logits - logits.max()).sum()) - logits.max()
+        last = int(word)
+    return total
+
+
+def test_scores_match_a_plain_network(spark):
+    docs = spark.createDataFrame(ROWS, "doc_id long, text string")
+    shape = L.Shape(words=10, classes=2, hidden=4)
+    counts = L.keep(L.count_tokens(docs), "counts")
+    v = L.vocabulary(counts, shape)
+    net = L.train(docs, v, shape)
+    for r in L.score(docs, counts, v, net).filter("doc_id < 60 or doc_id = 502").collect():
+        t = L.tokens_of((dict(ROWS[:-1])[r.doc_id] or "").encode())
+        outside = sum(v.outside(v.counts.get(w, 0)) for w in t if w not in v.ids)
+        assert math.isclose(r.score, plain_score(net, L.text_ids(v, t)) / L.LOG10 + outside, rel_tol=1e-4, abs_tol=1e-3)
+
+
+def test_training_is_the_same_in_another_layout(spark):
+    docs = spark.createDataFrame(ROWS, "doc_id long, text string")
+    shape = L.Shape(words=10, classes=2, hidden=4)
+    v = L.vocabulary(L.keep(L.count_tokens(docs), "counts"), shape)
+    a, b = (L.train(d, v, shape, replicas=5) for d in (docs.repartition(7, "text"), docs.orderBy(docs.doc_id.desc())))
+    assert all((a.w[k] == b.w[k]).all() for k in a.w)
