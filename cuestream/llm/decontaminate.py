@@ -11,7 +11,8 @@ words than that can only be one item longer than the bound.
 
 Defined results: null or empty texts have no words and are clean; an item without words
 has no window and occurs nowhere; items with equal texts all count; several rows with one
-item id are one item; rows repeated in ``docs`` are judged each on its own. Empty tables
+item id are one item; an item without an id marks words like any other and is left out of
+the lists of items; rows repeated in ``docs`` are judged each on its own. Empty tables
 give empty or clean results. Texts of any length are scanned whole. Only the named columns
 are read, so extra columns may have any name.
 """
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cuestream.llm.shared import pieces, utf8
+from cuestream.llm.shared import keep, pieces, utf8
 
 WINDOW = 10
 BLOCK_WORDS = 4_000_000
@@ -64,14 +65,16 @@ def window_hashes(values: np.ndarray, n: int) -> np.ndarray:
 class NGramSet:
     """The windows of a block of items, by length: a bitmap, their hashes, and the words to verify."""
 
-    def __init__(self, items: list[tuple[str, bytes]], n: int = WINDOW):
+    def __init__(self, items: list[tuple[str | None, bytes]], n: int = WINDOW):
         self.ids: dict[bytes, int] = {}
         self.windows: dict[int, dict[tuple[int, ...], set[str]]] = defaultdict(dict)
         for item, text in items:
             seq = [self.ids.setdefault(w, len(self.ids) + 1) for w in words_of(text)]
             k = min(n, len(seq))
             for i in range(len(seq) - k + 1 if k else 0):
-                self.windows[k].setdefault(tuple(seq[i : i + k]), set()).add(item)
+                found = self.windows[k].setdefault(tuple(seq[i : i + k]), set())
+                if item is not None:
+                    found.add(item)
         rng = np.random.default_rng(7)
         self.value = rng.integers(1, 1 << 63, len(self.ids) + 1, dtype=np.uint64)
         self.hashes, self.bitmap = {}, {}
@@ -102,7 +105,7 @@ class NGramSet:
             at = at[known[np.minimum(np.searchsorted(known, hashes[at]), len(known) - 1)] == hashes[at]]
             for i, text_no in zip(at.tolist(), (np.searchsorted(starts, at, side="right") - 1).tolist(), strict=True):
                 items = windows.get(tuple(ids[i : i + k].tolist()))
-                if items:
+                if items is not None:
                     mask[i : i + k] = True
                     found[text_no] |= items
         for j in range(len(texts)):
@@ -114,16 +117,21 @@ def runs(mask: np.ndarray) -> list[dict]:
     return [{"first": a, "last": b - 1} for a, b in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True)]
 
 
-def _blocks(bench: DataFrame, item_id: str, text: str, block_words: int) -> Iterator[list[tuple[str, bytes]]]:
-    items = bench.select(
-        F.col(f"`{item_id}`").cast("string").alias("item"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text")
-    ).filter("item is not null")
-    # two bytes a word at least
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    count = max(1, -(-total // (2 * block_words)))
-    for b in range(count):
-        rows = items if count == 1 else items.filter(F.pmod(F.xxhash64("item", "text"), F.lit(count)) == b)
-        yield [(r["item"], r["text"].encode()) for r in rows.toLocalIterator()]
+class Blocks:
+    """The items of a benchmark, a block at a time; several rows may be in the driver only as far as one block goes."""
+
+    def __init__(self, bench: DataFrame, item_id: str, text: str, block_words: int):
+        self.items = bench.select(
+            F.col(f"`{item_id}`").cast("string").alias("item"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text")
+        )
+        # two bytes a word at least
+        total = self.items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        self.count = max(1, -(-total // (2 * block_words)))
+
+    def __iter__(self) -> Iterator[list[tuple[str | None, bytes]]]:
+        for b in range(self.count):
+            rows = self.items if self.count == 1 else self.items.filter(F.pmod(F.xxhash64("item", "text"), F.lit(self.count)) == b)
+            yield [(r["item"], r["text"].encode()) for r in rows.toLocalIterator()]
 
 
 def find_hits(
@@ -148,8 +156,11 @@ def find_hits(
         F.col(f"`{doc_id}`").cast("long").alias("doc_id"),
         F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"),
     )
+    blocks = Blocks(bench, item_id, item_text, block_words)
+    if blocks.count > 1:
+        slim = keep(slim, "numbered")  # the row numbers of all scans must agree
     scans = []
-    for items in _blocks(bench, item_id, item_text, block_words):
+    for items in blocks:
         grams = spark.sparkContext.broadcast(NGramSet(items, n))
 
         def scan(batches: Iterator[pa.RecordBatch], grams=grams) -> Iterator[pa.RecordBatch]:
@@ -225,13 +236,15 @@ def cut_words(text: str | None, spans) -> str | None:
 
 
 def _with_hits(docs: DataFrame, bench: DataFrame, text: str, **how) -> DataFrame:
-    """Rows as struct ``d`` beside their hits ``h``, matched inside the scan and so without a join."""
+    """Rows as struct ``d`` beside their hits ``h``, matched inside the scan and so without a join; one pass per block."""
     spark = docs.sparkSession
-    blocks = list(_blocks(bench, how.get("item_id", "item_id"), how.get("item_text", "text"), how.get("block_words", BLOCK_WORDS)))
+    blocks = Blocks(bench, how.get("item_id", "item_id"), how.get("item_text", "text"), how.get("block_words", BLOCK_WORDS))
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("d"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("t"))
     empty = F.array().cast("array<struct<first:long,last:long>>")
     packed = packed.withColumn("s", empty)
-    for items in blocks:
+    for k, items in enumerate(blocks):
+        if k:
+            packed = keep(packed, "hits")  # so that a task holds the windows of one block
         grams = spark.sparkContext.broadcast(NGramSet(items, how.get("n", WINDOW)))
 
         @F.pandas_udf("array<struct<first:long,last:long>>")

@@ -103,11 +103,11 @@ def fingerprint(values: np.ndarray) -> tuple[int, int]:
     return int.from_bytes(raw[:8], "little", signed=True), int.from_bytes(raw[8:], "little", signed=True)
 
 
-SETS = "doc_id long, n_shingles long, f1 long, f2 long, bands array<long>"
+SETS = "doc_id long, row long, n_shingles long, f1 long, f2 long, bands array<long>"
 
 
 def describe(docs: DataFrame) -> DataFrame:
-    """Per row: the size and fingerprint of its set, and its band keys. ``docs`` has doc_id and text."""
+    """Per row: the size and fingerprint of its set, and its band keys. ``docs`` has doc_id, row and text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -123,12 +123,13 @@ def describe(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column("doc_id"),
+                        part.column("row"),
                         pa.array([len(s) for s in sets], pa.int64()),
                         pa.array([p[0] for p in prints], pa.int64()),
                         pa.array([p[1] for p in prints], pa.int64()),
                         pa.array(bands, pa.list_(pa.int64())),
                     ],
-                    ["doc_id", "n_shingles", "f1", "f2", "bands"],
+                    ["doc_id", "row", "n_shingles", "f1", "f2", "bands"],
                 )
 
     return docs.mapInArrow(run, SETS)
@@ -310,21 +311,28 @@ def join(
     ``copy_of`` the smallest id with the same set; ``class_id`` the smallest id that can be
     reached over links.
     """
-    slim = id_and_text(docs, doc_id, text)
+    found = _classified(docs, doc_id, text, threshold, tolerance, block)
+    return found.select("doc_id", "class_id", "copy_of", "n_links", "n_shingles")
+
+
+def _classified(docs: DataFrame, doc_id: str, text: str, threshold: float, tolerance: float, block: int) -> DataFrame:
+    """The rows of ``join`` with ``row``, the hash of their text, and ``center``, which tells classes apart (null: alone)."""
+    slim = id_and_text(docs, doc_id, text).withColumn("row", F.xxhash64("text"))
     sets = keep(describe(slim), "sets")
     classes = sets.filter("n_shingles > 0").groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("weight"))
-    classes = keep(classes, "classes")
+    # a number of its own for each class; the fingerprint has 128 bits
+    classes = keep(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
 
     same = [F.col("s.f1") == F.col("c.f1"), F.col("s.f2") == F.col("c.f2"), F.col("s.doc_id") == F.col("c.rep")]
-    reps = sets.alias("s").join(classes.alias("c"), same).select("s.f1", "s.bands").dropDuplicates(["f1"])
-    banded = reps.select(F.col("f1").alias("node"), F.posexplode("bands").alias("band", "key"))
+    reps = sets.alias("s").join(classes.alias("c"), same).select("c.node", "s.bands").dropDuplicates(["node"])
+    banded = reps.select("node", F.posexplode("bands").alias("band", "key"))
     met = banded.groupBy("key").agg(
         F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("node")).alias("x1"), F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("x2")
     )
     # buckets of the same members are one bucket
     buckets = met.filter("n > 1").groupBy("n", "x1", "x2").agg(F.min("key").alias("key")).select("key", "n")
     members = banded.join(buckets, "key").groupBy("node").agg(F.collect_list(F.struct("band", "key", "n")).alias("buckets"))
-    chosen = classes.join(members, F.col("f1") == F.col("node")).select("f1", "f2", "rep", "weight", "buckets")
+    chosen = classes.join(members, "node").select("node", "f1", "f2", "rep", "weight", "buckets")
 
     def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -342,7 +350,7 @@ def join(
                 take = part.take(pa.array(at, pa.int64()))
                 yield pa.RecordBatch.from_arrays(
                     [
-                        take.column("f1"),
+                        take.column("node"),
                         take.column("weight"),
                         take.column("buckets"),
                         pa.array([signature(sets[i]).tobytes() for i in at], pa.binary()),
@@ -352,7 +360,7 @@ def join(
                     ["node", "weight", "buckets", "sig", "values", "kept"],
                 )
 
-    texts = slim.join(chosen, F.col("doc_id") == F.col("rep")).select("f1", "f2", "weight", "buckets", "text")
+    texts = slim.join(chosen, F.col("doc_id") == F.col("rep")).select("node", "f1", "f2", "weight", "buckets", "text")
     loaded = texts.mapInArrow(
         load,
         "node long, weight long, buckets array<struct<band:int,key:long,n:long>>, sig binary, values binary, kept binary",
@@ -380,20 +388,23 @@ def join(
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     centers = components(found.select(F.col("node").alias("a"), F.col("head").alias("b")))
 
-    named = classes.join(centers, F.col("f1") == F.col("node")).select("f1", "rep", "center")
+    named = classes.join(centers, "node").select("node", "rep", "center")
     first = named.groupBy("center").agg(F.min("rep").alias("class_id"))
-    linked = named.join(first, "center").select(F.col("f1").alias("g1"), "class_id").join(links, F.col("g1") == F.col("node"), "left")
-    info = classes.join(linked, F.col("f1") == F.col("g1"), "left").select(
+    linked = named.join(first, "center").select("node", "class_id", "center").join(links, "node", "left")
+    info = classes.join(linked, "node", "left").select(
         F.col("f1").alias("k1"),
         F.col("f2").alias("k2"),
         "rep",
         "weight",
+        F.coalesce("center", "node").alias("center"),
         F.coalesce("class_id", "rep").alias("class_id"),
         F.coalesce("links", F.lit(0)).alias("links"),
     )
     on = [F.col("f1") == F.col("k1"), F.col("f2") == F.col("k2"), F.col("n_shingles") > 0]
     return sets.join(info, on, "left").select(
         "doc_id",
+        "row",
+        "center",
         F.coalesce("class_id", "doc_id").alias("class_id"),
         F.coalesce("rep", "doc_id").alias("copy_of"),
         F.coalesce(F.col("links") + F.col("weight") - 1, F.lit(0)).cast("long").alias("n_links"),
@@ -401,12 +412,25 @@ def join(
     )
 
 
-def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **how) -> DataFrame:
-    """The rows of ``docs`` whose id names their class; of repeated rows all stay that bear that id.
+def keep_one(
+    docs: DataFrame,
+    doc_id: str = "doc_id",
+    text: str = "text",
+    threshold: float = THRESHOLD,
+    tolerance: float = TOLERANCE,
+    block: int = BLOCK,
+) -> DataFrame:
+    """The rows of ``docs`` without those that are not the first of their class.
 
-    A row without an id stays, as it cannot be told from others.
+    First is the smallest id, and of several texts under it the one of the smallest hash; rows
+    that repeat its id and text stay with it. A row without an id stays, as it cannot be told
+    from others.
     """
-    others = join(docs, doc_id, text, **how).filter("doc_id <> class_id").select(F.col("doc_id").alias("drop_id")).distinct()
+    rows = keep(_classified(docs, doc_id, text, threshold, tolerance, block).filter("center is not null and doc_id is not null"), "classified")
+    first = rows.groupBy(F.col("center").alias("of")).agg(F.min(F.struct("doc_id", "row")).alias("first"))
+    later = rows.join(first, F.col("center") == F.col("of")).filter(F.struct("doc_id", "row") != F.col("first"))
+    gone = keep(later.select(F.col("doc_id").alias("drop_id"), F.col("row").alias("drop_row")).distinct(), "gone")
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("d"))
-    kept = packed.join(others, F.col(f"d.`{doc_id}`").cast("long") == F.col("drop_id"), "left_anti")
-    return kept.select(*[F.col(f"d.`{c}`") for c in docs.columns])
+    mine = F.coalesce(F.col(f"d.`{text}`"), F.lit(""))
+    same = (F.col(f"d.`{doc_id}`").cast("long") == F.col("drop_id")) & (F.xxhash64(mine) == F.col("drop_row"))
+    return packed.join(gone, same, "left_anti").select(*[F.col(f"d.`{c}`") for c in docs.columns])

@@ -7,8 +7,9 @@ their distinct sites. A line of at least ``min_sites`` sites is boilerplate: it
 first place (smallest document id, then smallest line number) and goes everywhere else.
 
 Defined results: null text has no lines and stays null; lines without a word are never
-removed; a null site is no site; a row without an id loses nothing. Rows that share a document id are one document: equal
-lines at equal places of such rows are one place. A document may end up empty but stays a
+removed; a null site is no site; a row without an id loses nothing. Rows that share a document id
+are told apart by their texts: each loses its own lines only, and equal lines at the first
+place of several of them all stay. A document may end up empty but stays a
 row. Ties cannot arise, as a place is unique. Empty tables give empty results. All columns
 pass through, whatever their names; a very long text is split inside its own row.
 """
@@ -29,14 +30,14 @@ BAND = 0.2
 
 
 def lines_of(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", site: str | None = "source") -> DataFrame:
-    """Rows (doc_id, place, k1, k2[, site]) of every line with a word; k1, k2 hash the line."""
+    """Rows (doc_id, place, k1, k2) of every line with a word, with the site or else the hash of
+    the text as ``row``; k1, k2 hash the line."""
     cols = [F.col(f"`{doc_id}`").cast("long").alias("doc_id")]
-    if site:
-        cols.append(F.col(f"`{site}`").cast("string").alias("site"))
+    cols.append(F.col(f"`{site}`").cast("string").alias("site") if site else F.xxhash64(f"`{text}`").alias("row"))
     split = docs.select(*cols, F.posexplode(F.split(F.col(f"`{text}`"), "\n")).alias("place", "line"))
     keys = (F.xxhash64("line").alias("k1"), F.xxhash64(F.lit(1), "line").alias("k2"))
     kept = split.filter(F.col("line").rlike(HAS_WORD) & F.col("doc_id").isNotNull())
-    return kept.select("doc_id", "place", *keys, *(["site"] if site else []))
+    return kept.select("doc_id", "place", *keys, "site" if site else "row")
 
 
 def boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, doc_id: str = "doc_id", text: str = "text", site: str = "source") -> DataFrame:
@@ -67,7 +68,7 @@ def boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, doc_id: str = "doc_
 
 
 def removed_lines(docs: DataFrame, min_sites: int = MIN_SITES, doc_id: str = "doc_id", text: str = "text", site: str = "source") -> DataFrame:
-    """Per document that loses lines: doc_id and the line numbers (from 0) to remove."""
+    """Per text that loses lines: doc_id, ``row`` (hash of the text) and the line numbers (from 0) to remove."""
     # written, so that the join below has plain exchanges, which adaptive execution splits for a hot line
     kept = keep(boilerplate(docs, min_sites, doc_id, text, site), "boilerplate")
     found = kept.select(F.col("k1").alias("b1"), F.col("k2").alias("b2"), "first")
@@ -75,7 +76,7 @@ def removed_lines(docs: DataFrame, min_sites: int = MIN_SITES, doc_id: str = "do
     hits = lines.join(found, (F.col("k1") == F.col("b1")) & (F.col("k2") == F.col("b2")))
     later = hits.filter((F.col("doc_id") != F.col("first.doc_id")) | (F.col("place") != F.col("first.place")))
     # the lines of one document came out of one cell
-    return later.groupBy("doc_id").agg(F.collect_set("place").alias("places"))
+    return later.groupBy("doc_id", "row").agg(F.collect_set("place").alias("places"))
 
 
 def clean(
@@ -87,9 +88,10 @@ def clean(
     with_counts: bool = False,
 ) -> DataFrame:
     """``docs`` with boilerplate lines removed; ``with_counts`` returns a struct ``d`` and n_lines, n_removed."""
-    gone = removed_lines(docs, min_sites, doc_id, text, site).select(F.col("doc_id").alias("gone_id"), "places")
+    gone = removed_lines(docs, min_sites, doc_id, text, site).select(F.col("doc_id").alias("gone_id"), F.col("row").alias("gone_row"), "places")
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("d"))
-    joined = packed.join(gone, F.col(f"d.`{doc_id}`").cast("long") == F.col("gone_id"), "left")
+    mine = (F.col(f"d.`{doc_id}`").cast("long") == F.col("gone_id")) & (F.xxhash64(f"d.`{text}`") == F.col("gone_row"))
+    joined = packed.join(gone, mine, "left")
     split = F.split(F.col(f"d.`{text}`"), "\n")
     marked = F.transform(split, lambda line, i: F.when(F.array_contains(F.col("places"), i), None).otherwise(line))
     new = F.when(F.col("places").isNull(), F.col(f"d.`{text}`")).otherwise(F.array_join(F.array_compact(marked), "\n"))
