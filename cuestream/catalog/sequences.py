@@ -11,6 +11,7 @@ from cuestream.catalog.sqlviews import DIALOGUE, DOC_LINES, SPANS, rnd, sig
 from cuestream.functions import text as X
 from cuestream.operators import align as AL
 from cuestream.operators import estimate as E
+from cuestream.operators import history as H
 from cuestream.operators import ordered as O
 from cuestream.operators import script as S
 from cuestream.operators import sections as SE
@@ -184,12 +185,22 @@ def seq08(spark, sf_dir):
     return O.coalesce_edits(log)
 
 
-@query("seq09_undo_replay")
+UNDO_SQL = f"""WITH RECURSIVE {SPANS},
+o AS (SELECT track_id, cue_id AS seq, CASE event_type WHEN 'error' THEN 'undo' WHEN 'signup' THEN 'redo' ELSE 'do' END AS op, row_number() OVER (PARTITION BY track_id ORDER BY cue_id) AS rn FROM spans),
+h(track_id, rn, past, future) AS (SELECT DISTINCT track_id, CAST(0 AS BIGINT), CAST([] AS BIGINT[]), CAST([] AS BIGINT[]) FROM o
+  UNION ALL SELECT h.track_id, o.rn,
+    CASE WHEN op = 'do' THEN list_append(past, o.seq) WHEN op = 'undo' THEN past[:len(past) - 1] WHEN len(future) > 0 THEN list_append(past, future[1]) ELSE past END,
+    CASE WHEN op = 'do' THEN [] WHEN op = 'undo' THEN CASE WHEN len(past) > 0 THEN list_prepend(past[len(past)], future) ELSE future END ELSE future[2:] END
+  FROM h JOIN o ON o.track_id = h.track_id AND o.rn = h.rn + 1)
+SELECT track_id, unnest(arg_max(past, rn)) AS seq, true AS undoable FROM h GROUP BY track_id"""
+
+
+@query("seq09_undo_replay", UNDO_SQL)
 def seq09(spark, sf_dir):
     kind = F.col("event_type")
     op = F.when(kind == "error", "undo").when(kind == "signup", "redo").otherwise("do")
     log = A.spans(spark, sf_dir).select("track_id", F.col("cue_id").alias("seq"), op.alias("op"))
-    return O.replay_history(log)
+    return H.replay_history(log)
 
 
 PIECES = (

@@ -263,32 +263,3 @@ def fold_tap_log(log: DataFrame, line_counts: DataFrame) -> DataFrame:
         step,
         lambda s: [(line, at, n, s.compensation, s.gap) for line, at, n in s.taps],
     )
-
-
-def replay_history(log: DataFrame, limit: int | None = None) -> DataFrame:
-    """Commands in effect after undos and redos: ``(track_id, seq, undoable)``.
-
-    ``log(track_id, seq, op)`` with op ``do``, ``undo`` or ``redo``; a batch is
-    one ``do`` row. With a ``limit``, older commands stay in effect but cannot be
-    undone; without one, every command can.
-    """
-
-    def step(state: dict, row) -> list:
-        past, future = state["past"], state["future"]
-        if row.op == "undo" and past:
-            future.insert(0, past.pop())
-        elif row.op == "redo" and future:
-            past.append(future.pop(0))
-        elif row.op == "do":
-            past.append(int(row.seq))
-            future.clear()
-        return [(past.pop(0), False)] if limit is not None and len(past) > limit else []
-
-    return fold_streaming(
-        log.select("track_id", "seq", "op"),
-        ["seq"],
-        "track_id bigint, seq bigint, undoable boolean",
-        lambda row: {"past": [], "future": []},
-        step,
-        lambda s: [(seq, True) for seq in s["past"]],
-    )

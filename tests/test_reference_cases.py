@@ -15,6 +15,7 @@ from cuestream.functions import timecode as C
 from cuestream.operators import align as AL
 from cuestream.operators import assets as AS
 from cuestream.operators import estimate as E
+from cuestream.operators import history as H
 from cuestream.operators import matching as M
 from cuestream.operators import mixing as MX
 from cuestream.operators import ordered as O
@@ -173,9 +174,9 @@ def test_tap_log_fold_against_all_commands(spark):
 def test_undo_replay(spark):
     ops = ["do", "do", "undo", "redo", "undo", "do", "do", "undo", "undo", "redo"]
     df = spark.createDataFrame([(1, i, op) for i, op in enumerate(ops)], "track_id long, seq long, op string")
-    assert rows(O.replay_history(df), "seq", "undoable") == [(0, True), (5, True)]
+    assert rows(H.replay_history(df), "seq", "undoable") == [(0, True), (5, True)]
     many = spark.createDataFrame([(1, i, "do") for i in range(25)], df.schema)
-    assert sum(1 for r in O.replay_history(many, limit=10).collect() if r.undoable) == 10 and O.replay_history(many, limit=10).count() == 25
+    assert sum(1 for r in H.replay_history(many, limit=10).collect() if r.undoable) == 10 and H.replay_history(many, limit=10).count() == 25
 
 
 def brute_alignment(a, b):
