@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 from cuestream import adapters as A
 from cuestream.catalog.registry import query
 from cuestream.catalog.signals import FRAME_US, anchors
-from cuestream.catalog.sqlviews import DIALOGUE, DOC_LINES, SPANS, rnd, sig
+from cuestream.catalog.sqlviews import DIALOGUE, DOC_LINES, SPANS, nw, rnd, sig
 from cuestream.functions import text as X
 from cuestream.operators import align as AL
 from cuestream.operators import estimate as E
 from cuestream.operators import history as H
 from cuestream.operators import ordered as O
+from cuestream.operators import reconcile as RC
 from cuestream.operators import script as S
 from cuestream.operators import sections as SE
 
@@ -59,7 +60,14 @@ def seq02_list(spark, sf_dir):
     return SE.list_sections(assigned, hot=False)
 
 
-@query("seq03_align_turns")
+TURNS_SQL = f"""WITH RECURSIVE {DIALOGUE},
+t AS (SELECT track_id, seq, string_split({sig("regexp_replace(text, '\\s', ' ', 'g')")}, ' ') AS a FROM dialogue),
+n AS (SELECT l.track_id, l.seq, l.a, r.a AS b, row_number() OVER () AS p FROM t l JOIN t r ON l.track_id = r.track_id AND r.seq = l.seq + 1),
+pr AS MATERIALIZED (SELECT p, a, b FROM n),{nw("pr")}
+SELECT track_id, seq, round(score, 9) AS score FROM n JOIN nw_score USING (p)"""
+
+
+@query("seq03_align_turns", TURNS_SQL)
 def seq03(spark, sf_dir):
     """Each turn aligned with the turn after it, token by token."""
     turns = A.dialogue(spark, sf_dir).select("track_id", "seq", F.split(X.norm_match("text"), " ").alias("a"))
@@ -77,8 +85,8 @@ def corpus(spark, sf_dir):
 @query(
     "seq04_candidate_pairs",
     f"""WITH d AS (SELECT doc_id, string_split({sig("regexp_replace(text, '\\s', ' ', 'g')")}, ' ') AS t FROM documents), b AS (SELECT item_id, string_split({sig("regexp_replace(text, '\\s', ' ', 'g')")}, ' ') AS t FROM benchmark),
-    ds AS (SELECT DISTINCT doc_id AS left_id, array_to_string(t[i:i + 4], ' ') AS s FROM (SELECT *, unnest(range(1, len(t) - 3)) AS i FROM d)),
-    bs AS (SELECT DISTINCT item_id AS right_id, array_to_string(t[i:i + 4], ' ') AS s FROM (SELECT *, unnest(range(1, len(t) - 3)) AS i FROM b))
+    ds AS (SELECT DISTINCT doc_id AS left_id, array_to_string(t[i:i + 4], ' ') AS s FROM (SELECT *, unnest(range(1, greatest(1, len(t) - 4) + 1)) AS i FROM d)),
+    bs AS (SELECT DISTINCT item_id AS right_id, array_to_string(t[i:i + 4], ' ') AS s FROM (SELECT *, unnest(range(1, greatest(1, len(t) - 4) + 1)) AS i FROM b))
     SELECT left_id, right_id, count(*) AS shared FROM ds JOIN bs USING (s) GROUP BY ALL""",
 )
 def seq04_pairs(spark, sf_dir):
@@ -87,7 +95,20 @@ def seq04_pairs(spark, sf_dir):
     return AL.candidate_pairs(docs.select("left_id", tokens.alias("tokens")), items.select("right_id", tokens.alias("tokens")))
 
 
-@query("seq04_align_corpus")
+def _tokens(column: str) -> str:
+    return f"""string_split({sig(f"regexp_replace({column}, '\\s', ' ', 'g')")}, ' ')"""
+
+
+CORPUS_SQL = f"""WITH RECURSIVE d AS (SELECT doc_id, {_tokens("text")} AS t FROM documents), b AS (SELECT item_id, {_tokens("text")} AS t FROM benchmark),
+ds AS (SELECT DISTINCT doc_id, array_to_string(t[i:i + 4], ' ') AS s FROM (SELECT *, unnest(range(1, greatest(1, len(t) - 4) + 1)) AS i FROM d)),
+bs AS (SELECT DISTINCT item_id, array_to_string(t[i:i + 4], ' ') AS s FROM (SELECT *, unnest(range(1, greatest(1, len(t) - 4) + 1)) AS i FROM b)),
+m AS MATERIALIZED (SELECT doc_id, item_id, row_number() OVER () AS p FROM (SELECT DISTINCT doc_id, item_id FROM ds JOIN bs USING (s))),
+pr AS MATERIALIZED (SELECT p, d.t AS a, b.t AS b FROM m JOIN d USING (doc_id) JOIN b USING (item_id)),{nw("pr")}
+SELECT doc_id AS left_id, item_id AS right_id, count(*) AS n_words, min(i - 1) AS first_word, max(i - 1) AS last_word
+FROM nw_pairs JOIN m USING (p) WHERE s >= 0.4 GROUP BY doc_id, item_id"""
+
+
+@query("seq04_align_corpus", CORPUS_SQL)
 def seq04(spark, sf_dir):
     """Benchmark items aligned inside the documents that share a five-word shingle with them."""
     aligned = AL.align_corpus(*corpus(spark, sf_dir))
@@ -96,6 +117,67 @@ def seq04(spark, sf_dir):
     )
 
 
+def heard_and_said(spark, sf_dir):
+    """Documents as transcripts, a word every 0.4 s, and the lines of benchmark texts as what is known to be said."""
+    docs = A.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("left_id"), F.posexplode(X.highlight_tokens("text")).alias("idx", "text"))
+    start = F.col("idx").cast("long") * 400_000
+    heard = docs.select("left_id", "idx", "text", start.alias("start_us"), (start + 300_000).alias("end_us"), (0.5 + F.col("idx") % 5 / 10).alias("confidence"))
+    items = A.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("right_id"), F.posexplode(F.split("text", "\n")).alias("cue_id", "text"))
+    at = F.col("cue_id").cast("long") * 10_000_000
+    said = items.filter(F.trim("text") != "").select("right_id", F.col("cue_id").cast("long").alias("cue_id"), "text", at.alias("start_us"), (at + 9_000_000).alias("end_us"))
+    return heard, said
+
+
+RECONCILE = f"""h AS (SELECT doc_id, regexp_extract_all(text, '\\S+') AS tk FROM documents),
+d AS (SELECT doc_id, list_transform(tk, lambda x: {sig("x")}) AS t FROM h),
+ln AS (SELECT item_id, i - 1 AS cue_id, regexp_extract_all(string_split(text, chr(10))[i], '\\S+') AS tk FROM (SELECT item_id, text, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM benchmark)),
+bw AS (SELECT item_id, cue_id, CAST(k - 1 AS BIGINT) AS word_idx, {sig("tk[k]")} AS norm, row_number() OVER (PARTITION BY item_id ORDER BY cue_id, k) AS i FROM (SELECT *, unnest(range(1, len(tk) + 1)) AS k FROM ln)),
+b AS (SELECT item_id, list(norm ORDER BY i) AS t FROM bw GROUP BY item_id),
+bs AS (SELECT DISTINCT item_id, least(5, len(t)) AS n, array_to_string(t[i:i + least(5, len(t)) - 1], ' ') AS s FROM (SELECT *, unnest(range(1, greatest(1, len(t) - 4) + 1)) AS i FROM b)),
+ds AS (SELECT DISTINCT doc_id, n, array_to_string(t[i:i + n - 1], ' ') AS s FROM (SELECT doc_id, t, n, unnest(range(1, len(t) - n + 2)) AS i FROM d, (SELECT DISTINCT n FROM bs) WHERE len(t) >= n)),
+m AS MATERIALIZED (SELECT doc_id, item_id, row_number() OVER () AS p FROM (SELECT doc_id, item_id, count(*) AS c FROM ds JOIN bs USING (s) GROUP BY ALL)
+  JOIN (SELECT item_id, count(*) AS k FROM bs GROUP BY item_id) USING (item_id) WHERE c >= 0.5 * k),
+pr AS MATERIALIZED (SELECT p, b.t AS a, d.t AS b FROM m JOIN d USING (doc_id) JOIN b USING (item_id)),{nw("pr")},
+tw AS (SELECT m.p, m.doc_id, m.item_id, cue_id, word_idx, CASE WHEN s >= 0.4 THEN (j - 1) * 400000 END AS ws, least(0.95, s * (0.5 + (j - 1) % 5 / 10)) AS conf, cue_id * 10000000 AS c0, cue_id * 10000000 + 9000000 AS c1
+  FROM m JOIN bw USING (item_id) LEFT JOIN nw_pairs q ON q.p = m.p AND q.i = bw.i),
+l AS (SELECT *, last_value(ws + 300000 IGNORE NULLS) OVER (PARTITION BY p, cue_id ORDER BY word_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS le,
+   first_value(ws IGNORE NULLS) OVER (PARTITION BY p, cue_id ORDER BY word_idx ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS ri, count(ws) OVER (PARTITION BY p, cue_id ORDER BY word_idx) AS isl FROM tw),
+k AS (SELECT *, row_number() OVER (PARTITION BY p, cue_id, isl, ws IS NULL ORDER BY word_idx) AS k, count(*) OVER (PARTITION BY p, cue_id, isl, ws IS NULL) AS n, coalesce(le, c0) AS x, greatest(0, coalesce(ri, c1) - coalesce(le, c0)) AS sp FROM l),
+w AS (SELECT p, doc_id, item_id, cue_id, word_idx, CASE WHEN ws IS NOT NULL THEN ws ELSE x + {rnd("sp * (k - 1)::DOUBLE / n")} END AS start_us,
+   CASE WHEN ws IS NOT NULL THEN ws + 300000 ELSE greatest(x + {rnd("sp * (k - 1)::DOUBLE / n")}, x + {rnd("sp * k::DOUBLE / n")}) END AS end_us,
+   CASE WHEN ws IS NOT NULL THEN conf ELSE 0.3 END AS confidence, CASE WHEN ws IS NOT NULL THEN 'asr' ELSE 'estimate' END AS source FROM k)"""
+
+
+@query(
+    "seq04_reconcile",
+    f"WITH RECURSIVE {RECONCILE} SELECT doc_id || ':' || item_id AS track_id, cue_id, word_idx, start_us, end_us, round(confidence, 6) AS confidence, source FROM w",
+)
+def seq04_reconcile(spark, sf_dir):
+    """Words of benchmark texts with the times of the documents that hold them."""
+    _, words = RC.reconcile_corpus(*heard_and_said(spark, sf_dir))
+    return words.select("track_id", "cue_id", "word_idx", "start_us", "end_us", F.round("confidence", 6).alias("confidence"), "source")
+
+
+def _settled(src: str, dst: str) -> str:
+    """Overlap pass and clamping without a duration."""
+    return f"""
+{dst}_p AS (SELECT *, greatest(0, coalesce(max(e) OVER (PARTITION BY p ORDER BY s, cue_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS pe FROM {src}),
+{dst} AS (SELECT p, doc_id, item_id, cue_id, score, greatest(0, CASE WHEN s < pe THEN least(pe, e) ELSE s END) AS s, greatest(greatest(0, CASE WHEN s < pe THEN least(pe, e) ELSE s END), e) AS e FROM {dst}_p)"""
+
+
+@query(
+    "seq04_reconciled_lines",
+    f"""WITH RECURSIVE {RECONCILE}, l0 AS (SELECT p, any_value(doc_id) AS doc_id, any_value(item_id) AS item_id, cue_id, greatest(0, arg_min(start_us, word_idx)) AS s, greatest(arg_min(start_us, word_idx), arg_max(end_us, word_idx)) AS e FROM w GROUP BY p, cue_id),
+    l1 AS (SELECT * EXCLUDE (e), CASE WHEN e - s < 600000 THEN s + 600000 ELSE e END AS e, score FROM l0 JOIN nw_score USING (p)),{_settled("l1", "o1")},
+    g AS (SELECT *, lead(s) OVER (PARTITION BY p ORDER BY s, cue_id) AS ns FROM o1), f AS (SELECT * EXCLUDE (e, ns), CASE WHEN ns > e AND ns - e <= 400000 THEN ns ELSE e END AS e FROM g),{_settled("f", "o2")}
+    SELECT doc_id || ':' || item_id AS track_id, cue_id, s AS start_us, e AS end_us, round(least(0.92, 0.3 + 0.5 * score), 6) AS confidence FROM o2""",
+)
+def seq04_lines(spark, sf_dir):
+    """The same lines with the times of their words, after the clean-up passes."""
+    lines, _ = RC.reconcile_corpus(*heard_and_said(spark, sf_dir))
+    return lines.select("track_id", "cue_id", "start_us", "end_us", F.round("confidence", 6).alias("confidence"))
+
+
 FILL_SQL = f"""WITH {DIALOGUE}, c AS (SELECT track_id, seq AS cue_id, regexp_extract_all(text, '\\S+') AS tk, seq * 10000000 AS c0, seq * 10000000 + 9000000 AS c1 FROM dialogue),
 w AS (SELECT track_id, cue_id, c0, c1, CAST(i AS BIGINT) AS word_idx, i % 4 = 1 AS sure, c0 + i * 50000 AS ws, c0 + i * 50000 + 30000 AS we FROM (SELECT *, unnest(range(0, len(tk))) AS i FROM c)),
 l AS (SELECT *, last_value(CASE WHEN sure THEN we END IGNORE NULLS) OVER (PARTITION BY track_id, cue_id ORDER BY word_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS le,
@@ -160,7 +242,29 @@ def tap_log(spark, sf_dir):
     )
 
 
-@query("seq07_tap_log_fold")
+TAP_STATES = """l AS (SELECT *, row_number() OVER (PARTITION BY track_id ORDER BY seq) AS rn FROM (
+  SELECT track_id, cue_id AS seq, start_us - 1704067200000000 AS t, cue_id % 20 AS line, cue_id % 1000 AS amount,
+    CASE event_type WHEN 'click' THEN 'TAP' WHEN 'view' THEN CASE WHEN cue_id % 2 = 0 THEN 'TAP' ELSE 'NUDGE' END WHEN 'error' THEN 'UNDO'
+      WHEN 'signup' THEN CASE WHEN cue_id % 9 = 0 THEN 'RESET' ELSE 'SET_COMPENSATION' END ELSE 'REDO_LAST_TAP' END AS op FROM spans)),
+s(track_id, rn, n_lines, ts, sq, n, comp) AS (
+  SELECT track_id, CAST(0 AS BIGINT), LINES, CAST([] AS BIGINT[]), CAST([] AS BIGINT[]), CAST(0 AS BIGINT), CAST(0 AS BIGINT) FROM l GROUP BY track_id
+  UNION ALL
+  SELECT track_id, next, n_lines,
+    CASE WHEN tap THEN list_append(ts, now) WHEN redo THEN list_append(ts[:len(ts) - 1], now) WHEN op = 'UNDO' THEN ts[:len(ts) - 1] WHEN op = 'RESET' THEN []
+      WHEN op = 'NUDGE' THEN list_transform(ts, lambda x, i: CASE WHEN i - 1 = line THEN greatest(0, x + amount) ELSE x END) ELSE ts END,
+    CASE WHEN tap THEN list_append(sq, n + 1) WHEN redo THEN list_append(sq[:len(sq) - 1], n + 1) WHEN op = 'UNDO' THEN sq[:len(sq) - 1] WHEN op = 'RESET' THEN [] ELSE sq END,
+    CASE WHEN tap OR redo THEN n + 1 WHEN op = 'RESET' THEN 0 ELSE n END, CASE WHEN op = 'SET_COMPENSATION' THEN amount ELSE comp END
+  FROM (SELECT s.*, l.rn AS next, op, line, amount, greatest(0, t - comp) AS now,
+          op = 'TAP' AND len(ts) < n_lines AND (len(ts) = 0 OR greatest(0, t - comp) - ts[len(ts)] >= 40000) AS tap, op = 'REDO_LAST_TAP' AND len(ts) > 0 AS redo
+        FROM s JOIN l ON l.track_id = s.track_id AND l.rn = s.rn + 1)),
+e AS (SELECT track_id, arg_max(ts, rn) AS ts, arg_max(sq, rn) AS sq, arg_max(comp, rn) AS comp FROM s GROUP BY track_id)"""
+
+
+@query(
+    "seq07_tap_log_fold",
+    f"""WITH RECURSIVE {SPANS}, {TAP_STATES.replace("LINES", "count(*)")}
+    SELECT track_id, CAST(i - 1 AS BIGINT) AS line_index, ts[i] AS time_us, sq[i] AS tap_seq, comp AS compensation_us, CAST(150000 AS BIGINT) AS gap_us FROM (SELECT *, unnest(range(1, len(ts) + 1)) AS i FROM e)""",
+)
 def seq07(spark, sf_dir):
     log = tap_log(spark, sf_dir)
     counts = log.groupBy("track_id").agg(F.count(F.lit(1)).alias("n_lines"))

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from cuestream import adapters as A
 from cuestream.catalog.registry import query
-from cuestream.catalog.sequences import tap_log
+from cuestream.catalog.sequences import TAP_STATES, tap_log
+from cuestream.catalog.sqlviews import SPANS
 from cuestream.sources.audio import CHUNK, mel_frames
 from cuestream.streaming import metrics as ME
 from cuestream.streaming import presence as PR
@@ -69,7 +70,11 @@ def str02(spark, sf_dir):
     return ME.batch_report(batches(spark, sf_dir))
 
 
-@query("str03_tap_stream")
+@query(
+    "str03_tap_stream",
+    f"""WITH RECURSIVE {SPANS}, {TAP_STATES.replace("LINES", "CAST(1000000 AS BIGINT)")}
+    SELECT track_id, as_of_seq, CAST(i - 1 AS BIGINT) AS line_index, ts[i] AS time_us, sq[i] AS tap_seq FROM (SELECT *, unnest(range(1, len(ts) + 1)) AS i FROM e JOIN (SELECT track_id, max(seq) AS as_of_seq FROM l GROUP BY track_id) USING (track_id))""",
+)
 def str03(spark, sf_dir):
     """The tap log as a stream; rows are the sessions' taps after the last command."""
     like = events_of(spark, sf_dir)

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+import math
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -72,44 +73,72 @@ def token_similarity(left: list[str], right: list[str]) -> np.ndarray:
     return score
 
 
+class _Similarities:
+    """Rows of similarities of one side's tokens to the other's, computed for a block of rows at a time."""
+
+    def __init__(self, left: list[str], right: list[str]):
+        self.left, self.right = left, right
+        self.names = sorted(set(right))
+        at = {t: k for k, t in enumerate(self.names)}
+        self.where = np.array([at[t] for t in right])
+        self.cells = max(1, 2_000_000 // (len(self.names) * (TABLE_CHARS + 1)))
+
+    def block(self, start: int, end: int) -> Callable[[int], np.ndarray]:
+        """Row of left token i (start <= i < end) against all right tokens."""
+        names = sorted(set(self.left[start:end]))
+        at = {t: k for k, t in enumerate(names)}
+        table = np.vstack([token_similarity(names[k : k + self.cells], self.names) for k in range(0, len(names), self.cells)])
+        return lambda i: table[at[self.left[i]], self.where]
+
+
 def align_tokens(left: list[str], right: list[str], match: float = 2.0, gap: float = -1.0) -> list[tuple[int, int, float]]:
     """Needleman-Wunsch pairs (left index or -1, right index or -1, similarity), in order.
 
-    One row of scores is kept; the moves take one byte per cell. Ties prefer the
-    diagonal, then skipping a left token.
+    Scores are kept of every so many rows, and the moves between two of them are computed
+    again on the way back, so memory is about 2 sqrt(rows) rows. Ties prefer the diagonal,
+    then skipping a left token.
     """
     n, m = len(left), len(right)
     if not n or not m:
         return [(i, -1, 0.0) for i in range(n)] + [(-1, j, 0.0) for j in range(m)]
-    lu, li = np.unique(np.array(left, dtype=object), return_inverse=True)
-    ru, ri = np.unique(np.array(right, dtype=object), return_inverse=True)
-    block = max(1, 8_000_000 // (len(ru) * (TABLE_CHARS + 1)))
-    table = np.vstack([token_similarity(list(lu[k : k + block]), list(ru)) for k in range(0, len(lu), block)])
+    similar = _Similarities(left, right)
     steps = np.arange(m + 1) * gap
-    score = steps.copy()
-    moves = np.zeros((n, m), dtype=np.int8)
-    for i in range(n):
-        sim = table[li[i], ri]
+
+    def advance(i: int, score: np.ndarray, sim: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         diag = score[:-1] + np.where(sim >= 0.5, sim * match, sim * match - (1 - sim) * match)
         up = score[1:] + gap
-        best = np.maximum(diag, up)
-        open_row = np.r_[(i + 1) * gap, best]
-        new = np.maximum.accumulate(open_row - steps) + steps
-        moves[i] = np.where(np.abs(new[1:] - diag) < 1e-9, 0, np.where(np.abs(new[1:] - up) < 1e-9, 1, 2))
-        score = new
+        new = np.maximum.accumulate(np.r_[(i + 1) * gap, np.maximum(diag, up)] - steps) + steps
+        return new, diag, up
+
+    size = math.isqrt(n - 1) + 1
+    score, kept = steps.copy(), []
+    for start in range(0, n, size):
+        kept.append(score)
+        row = similar.block(start, min(start + size, n))
+        for i in range(start, min(start + size, n)):
+            score, _, _ = advance(i, score, row(i))
     out: list[tuple[int, int, float]] = []
-    i, j = n, m
-    while i > 0 or j > 0:
-        move = moves[i - 1, j - 1] if i > 0 and j > 0 else (1 if i > 0 else 2)
-        if move == 0:
-            out.append((i - 1, j - 1, float(table[li[i - 1], ri[j - 1]])))
-            i, j = i - 1, j - 1
-        elif move == 1:
-            out.append((i - 1, -1, 0.0))
-            i -= 1
-        else:
-            out.append((-1, j - 1, 0.0))
-            j -= 1
+    j = m
+    for k in range(len(kept) - 1, -1, -1):
+        start, end, score = k * size, min((k + 1) * size, n), kept[k]
+        row, moves = similar.block(start, end), []
+        for i in range(start, end):
+            new, diag, up = advance(i, score, row(i))
+            moves.append(np.where(np.abs(new[1:] - diag) < 1e-9, 0, np.where(np.abs(new[1:] - up) < 1e-9, 1, 2)).astype(np.int8))
+            score = new
+        i = end
+        while i > start:
+            move = moves[i - 1 - start][j - 1] if j else 1
+            if move == 0:
+                out.append((i - 1, j - 1, float(row(i - 1)[j - 1])))
+                i, j = i - 1, j - 1
+            elif move == 1:
+                out.append((i - 1, -1, 0.0))
+                i -= 1
+            else:
+                out.append((-1, j - 1, 0.0))
+                j -= 1
+    out += [(-1, k, 0.0) for k in range(j - 1, -1, -1)]
     return out[::-1]
 
 
@@ -152,10 +181,17 @@ def alignment_score(pairs: DataFrame, keys: Sequence[str]) -> DataFrame:
     return pairs.groupBy(*keys).agg((F.sum("score") / F.count(F.lit(1))).alias("score"))
 
 
-def shingles(tokens: Column, size: int) -> Column:
+def windows(tokens: Column, size: int) -> Column:
+    """All runs of ``size`` tokens, joined; none if there are fewer."""
     n = F.size(tokens)
     starts = F.when(n >= size, F.sequence(F.lit(1), n - size + 1)).otherwise(F.array().cast("array<int>"))
-    return F.array_distinct(F.transform(starts, lambda i: F.array_join(F.slice(tokens, i, F.lit(size)), " ")))
+    return F.transform(starts, lambda i: F.array_join(F.slice(tokens, i, F.lit(size)), " "))
+
+
+def shingles(tokens: Column, size: int) -> Column:
+    """Distinct windows; a text of fewer tokens is one shingle."""
+    whole = F.when((F.size(tokens) > 0) & (F.size(tokens) < size), F.array(F.array_join(tokens, " ")))
+    return F.coalesce(whole, F.array_distinct(windows(tokens, size)))
 
 
 def candidate_pairs(left: DataFrame, right: DataFrame, size: int = 5, min_shared: int = 1) -> DataFrame:
