@@ -26,7 +26,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -122,107 +122,145 @@ class GatedNet:
         self.w["word_b"] = np.log(np.maximum(n, 1e-9) / np.maximum(n.sum(1, keepdims=True), 1e-9)).astype(np.float32)
         return self
 
-    def run(self, words: np.ndarray, fresh: np.ndarray, state: np.ndarray, trace: list | None = None):
+    def run(self, words: np.ndarray, fresh: np.ndarray, state: np.ndarray):
         """Hidden states before each word. words, fresh: (lanes, steps); fresh marks the first word of a text.
 
         ``words`` holds the input of each step: the word before the predicted one.
         """
+        out, last = self.forward(words, fresh, state)
+        return out.transpose(1, 0, 2), last
+
+    def forward(self, words: np.ndarray, fresh: np.ndarray, state: np.ndarray, trace: dict | None = None):
+        """``run`` with the steps in front; ``trace`` takes what the way back needs."""
         w, h = self.w, self.shape.hidden
         lanes, steps = words.shape
-        xs = w["embed"][words] @ w["x"] + w["b"]
-        out = np.empty((lanes, steps, h), np.float32)
-        xs[:, :, : 2 * h] *= 0.5
-        recurrent = w["h"].copy()
-        recurrent[:, : 2 * h] *= 0.5  # a logistic function is a tanh of half its argument
+        table = w["embed"] @ w["x"] + w["b"]
+        at = words.T
+        gates, new = np.ascontiguousarray(table[:, : 2 * h])[at], np.ascontiguousarray(table[:, 2 * h :])[at]
+        to_gates, to_new = np.ascontiguousarray(w["h"][:, : 2 * h]), np.ascontiguousarray(w["h"][:, 2 * h :])
+        out = np.empty((steps, lanes, h), table.dtype)
+        before, inner = (np.empty_like(out), np.empty_like(out)) if trace is not None else (None, None)
         starts = fresh.any(axis=0).tolist()
-        for t in range(steps):
-            if starts[t]:
-                state = state * ~fresh[:, t, None]
-            x, r = xs[:, t], state @ recurrent
-            gates = np.tanh(x[:, : 2 * h] + r[:, : 2 * h])
-            gates *= 0.5
-            gates += 0.5
-            z, g, rc = gates[:, :h], gates[:, h:], r[:, 2 * h :]
-            c = g * rc
-            c += x[:, 2 * h :]
-            np.tanh(c, out=c)
-            if trace is not None:
-                trace.append((state, z, g, c, rc))
-            state = state - c
-            state *= z
-            state += c
-            out[:, t] = state
+        with np.errstate(over="ignore"):
+            for t in range(steps):
+                if starts[t]:
+                    state = state * ~fresh[:, t, None]
+                # logistic function and tangent by exponentials, which numpy has in vector form
+                g = gates[t]
+                g += state @ to_gates
+                np.negative(g, out=g)
+                np.exp(g, out=g)
+                g += 1
+                np.reciprocal(g, out=g)
+                z, c = g[:, :h], new[t]
+                rc = state @ to_new
+                if trace is not None:
+                    before[t], inner[t] = state, rc
+                rc *= g[:, h:]
+                c += rc
+                c *= 2
+                np.exp(c, out=c)
+                c += 1
+                np.divide(-2, c, out=c)
+                c += 1
+                state = state - c
+                state *= z
+                state += c
+                out[t] = state
+        if trace is not None:
+            trace.update(before=before, z=gates[:, :, :h], g=gates[:, :, h:], c=new, rc=inner)
         return out, state
 
     def log_probs(self, hidden: np.ndarray, target: np.ndarray, grads: dict | None = None):
-        """Natural log probability of each target word; with ``grads``, also the gradient of their negative sum."""
+        """Natural log probability of each target word; with ``grads``, also the gradient of their negative sum.
+
+        Rows are worked off by class. States lie between -1 and 1, so exponents are bounded by
+        the weights; they are clipped all the same.
+        """
         w, per = self.w, self.per
-        logits = hidden @ w["class"] + w["class_b"]
-        logits -= logits.max(axis=1, keepdims=True)
-        e = np.exp(logits)
-        total = e.sum(axis=1)
-        cls, word = target // per, target % per
-        rows = np.arange(len(target))
-        out = logits[rows, cls] - np.log(total)
+        cls = target // per
+        order = np.argsort(cls, kind="stable")
+        hidden, cls, word = hidden[order], cls[order], (target % per)[order]
+        edges = np.searchsorted(cls, np.arange(self.classes + 1)).tolist()
+        rows = np.arange(len(order))
+
+        def softmax(x: np.ndarray, at: np.ndarray, k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """Log of the share of column ``k``, and exponentials less one there: their gradient."""
+            np.minimum(x, 60, out=x)
+            found = x[at, k]
+            np.exp(x, out=x)
+            total = x @ np.ones(x.shape[1], x.dtype)
+            if grads is not None:
+                x /= total[:, None]
+                x[at, k] -= 1
+            return found - np.log(total), x
+
+        logp, d = softmax(hidden @ w["class"] + w["class_b"], rows, cls)
         dh = None
         if grads is not None:
-            d = e / total[:, None]
-            d[rows, cls] -= 1
             grads["class"] += hidden.T @ d
             grads["class_b"] += d.sum(0)
             dh = d @ w["class"].T
-        order = np.argsort(cls, kind="stable")
-        edges = np.searchsorted(cls[order], np.arange(self.classes + 1))
+        biases = w["word_b"] + self.mask
         for c in range(self.classes):
-            at = order[edges[c] : edges[c + 1]]
-            if not len(at):
+            part = slice(edges[c], edges[c + 1])
+            if edges[c] == edges[c + 1]:
                 continue
-            x = hidden[at]
-            inner = x @ w["word"][c] + (w["word_b"][c] + self.mask[c])
-            inner -= inner.max(axis=1, keepdims=True)
-            e = np.exp(inner)
-            total = e.sum(axis=1)
-            k = np.arange(len(at))
-            out[at] += inner[k, word[at]] - np.log(total)
+            x = hidden[part]
+            more, d = softmax(x @ w["word"][c] + biases[c], rows[: len(x)], word[part])
+            logp[part] += more
             if grads is not None:
-                d = e / total[:, None]
-                d[k, word[at]] -= 1
                 grads["word"][c] += x.T @ d
                 grads["word_b"][c] += d.sum(0)
-                dh[at] += d @ w["word"][c].T
-        return out, dh
+                dh[part] += d @ w["word"][c].T
+        out = np.empty_like(logp)
+        out[order] = logp
+        if dh is None:
+            return out, None
+        back = np.empty_like(dh)
+        back[order] = dh
+        return out, back
 
     def step(self, words, fresh, target, real, state):
         """Gradients of one window, back through its steps only; the state goes on to the next window."""
         w, h = self.w, self.shape.hidden
-        trace: list = []
-        out, last = self.run(words, fresh, state, trace)
+        trace: dict = {}
+        out, last = self.forward(words, fresh, state, trace)
         grads = {k: np.zeros_like(v) for k, v in w.items()}
-        flat = real.reshape(-1)
+        flat = real.T.reshape(-1)
         hidden = out.reshape(-1, h)
-        logp, dh_flat = self.log_probs(hidden[flat], target.reshape(-1)[flat], grads)
+        logp, dh_flat = self.log_probs(hidden[flat], target.T.reshape(-1)[flat], grads)
         dh = np.zeros_like(hidden)
         dh[flat] = dh_flat
         dh = dh.reshape(out.shape)
-        dx_all = np.empty((*words.shape, 3 * h), np.float32)
-        after = np.zeros_like(state)
-        for t in range(words.shape[1] - 1, -1, -1):
-            before, z, g, c, rc = trace[t]
-            d = dh[:, t] + after
-            dc = d * (1 - z) * (1 - c * c)
-            dz = d * (before - c) * z * (1 - z)
-            dg = dc * rc * g * (1 - g)
-            dr = np.concatenate([dz, dg, dc * g], axis=1)
-            dx_all[:, t] = np.concatenate([dz, dg, dc], axis=1)
-            grads["h"] += before.T @ dr
-            after = (d * z + dr @ w["h"].T) * (~fresh[:, t])[:, None]
-        flat_dx = dx_all.reshape(-1, 3 * h)
-        flat_words = words.reshape(-1)
+        before, z, g, c, rc = (trace[k] for k in ("before", "z", "g", "c", "rc"))
+        # what a step's gradient is multiplied by on its way to each part
+        to_z, to_c, to_g = (before - c) * z * (1 - z), (1 - z) * (1 - c * c), rc * g * (1 - g)
+        steps, lanes = out.shape[:2]
+        dr, dc = np.empty((steps, lanes, 3 * h), out.dtype), np.empty_like(out)
+        after, back = np.zeros_like(state), np.ascontiguousarray(w["h"].T)
+        starts = fresh.any(axis=0).tolist()
+        for t in range(steps - 1, -1, -1):
+            d = dh[t]
+            d += after
+            np.multiply(d, to_c[t], out=dc[t])
+            np.multiply(d, to_z[t], out=dr[t, :, :h])
+            np.multiply(dc[t], to_g[t], out=dr[t, :, h : 2 * h])
+            np.multiply(dc[t], g[t], out=dr[t, :, 2 * h :])
+            d *= z[t]
+            after = dr[t] @ back
+            after += d
+            if starts[t]:
+                after *= (~fresh[:, t])[:, None]
+        grads["h"] += before.reshape(-1, h).T @ dr.reshape(-1, 3 * h)
+        dr[:, :, 2 * h :] = dc
+        flat_dx = dr.reshape(-1, 3 * h)
+        flat_words = words.T.reshape(-1)
         grads["x"] += w["embed"][flat_words].T @ flat_dx
         grads["b"] += flat_dx.sum(0)
         order = np.argsort(flat_words, kind="stable")
         names, first = np.unique(flat_words[order], return_index=True)
-        grads["embed"][names] = np.add.reduceat((flat_dx @ w["x"].T)[order], first, axis=0)
+        grads["embed"][names] = np.add.reduceat(flat_dx[order], first, axis=0) @ w["x"].T
         return grads, logp, last
 
     def __getstate__(self):
@@ -305,7 +343,7 @@ def lay_out(texts: list[np.ndarray], lanes: int, start: int):
     return words, fresh, target, real, place
 
 
-def score_texts(net: GatedNet, texts: list[np.ndarray], lanes: int = 512) -> np.ndarray:
+def score_texts(net: GatedNet, texts: list[np.ndarray], lanes: int = 256) -> np.ndarray:
     """Natural log-likelihood of each text, the state carried from its first word to its end."""
     if not texts:
         return np.zeros(0)
@@ -315,12 +353,12 @@ def score_texts(net: GatedNet, texts: list[np.ndarray], lanes: int = 512) -> np.
     for at in range(0, words.shape[1], 32):
         n = int(real[:, at].sum())
         part = (slice(0, n), slice(at, at + 32))
-        out, state = net.run(words[part], fresh[part], state[:n])
-        flat = real[part].reshape(-1)
-        got, _ = net.log_probs(out.reshape(-1, net.shape.hidden)[flat], target[part].reshape(-1)[flat])
+        out, state = net.forward(words[part], fresh[part], state[:n])
+        flat = real[part].T.reshape(-1)
+        got, _ = net.log_probs(out.reshape(-1, net.shape.hidden)[flat], target[part].T.reshape(-1)[flat])
         inner = np.zeros(flat.shape)
         inner[flat] = got
-        logp[part] = inner.reshape(real[part].shape)
+        logp[part] = inner.reshape(real[part].T.shape).T
     sums = np.concatenate((np.zeros((len(words), 1)), np.cumsum(logp, axis=1)), axis=1)
     return np.array([sums[k, b] - sums[k, a] for k, a, b in place])
 
@@ -340,6 +378,10 @@ class Vocabulary:
     outside_total: int
     outside_distinct: int
 
+    def model_words(self) -> Vocabulary:
+        """Just what turns texts into the model's numbers."""
+        return replace(self, counts={})
+
     def base(self, n: float) -> float:
         return math.log10((n + 0.5) / (self.total + 0.5 * (self.distinct + 1)))
 
@@ -351,8 +393,8 @@ class Vocabulary:
 def vocabulary(counts: DataFrame, shape: Shape = Shape(), head: int = HEAD) -> Vocabulary:
     """``counts`` as of ``count_tokens``; collects the end and words with at least total / head tokens."""
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    rows = counts.filter((F.col("n") * F.lit(head) >= F.lit(total)) | (F.length("token") == 0)).collect()
-    known = {bytes(r["token"]): r["n"] for r in rows}
+    rows = counts.filter((F.col("n") * F.lit(head) >= F.lit(total)) | (F.length("token") == 0)).select("token", "n").toArrow()
+    known = dict(zip(rows.column("token").to_pylist(), rows.column("n").to_pylist(), strict=True))
     ends = known.get(b"", 0)
     inner = [t for t, _ in sorted(known.items(), key=lambda x: (-x[1], x[0])) if t != b""][: shape.words - 2]
     used = ends + sum(known[t] for t in inner)
@@ -407,6 +449,14 @@ class HeadTable:
         self.model_id = np.array([*(v.ids.get(w, v.unknown) for w in words), v.unknown], np.int64)
         del self.places[b""]
 
+    def __getstate__(self):
+        # one string of all words in order of their places; no word holds a blank
+        return {**self.__dict__, "places": b" ".join(self.places)}
+
+    def __setstate__(self, state):
+        self.__dict__.update(state)
+        self.places = _Places((w, i + 1) for i, w in enumerate(state["places"].split()))
+
 
 def _weighted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One row: the tokens of all copies, and the sum of their weights times tokens, in order of the copies."""
@@ -438,7 +488,7 @@ def train(
     replicas = replicas or max(6, math.ceil(v.total / (share * shape.rounds * REPLICA_TOKENS)))
     groups = math.isqrt(replicas - 1) + 1
     net = GatedNet(len(v.ids) + 1, shape).start_from(model_counts(v))
-    words = spark.sparkContext.broadcast(v)
+    words = spark.sparkContext.broadcast(v.model_words())
     slim = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
     net.trained = 0
     deal = F.pmod(F.xxhash64("doc_id", F.lit("train")), F.lit(share * shape.rounds))
