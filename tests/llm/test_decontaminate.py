@@ -75,3 +75,14 @@ def test_empty_tables(spark, tables):
     assert D.find_hits(docs.limit(0), bench).count() == 0
     assert all(not r.spans for r in D.find_hits(docs, bench.limit(0)).collect())
     assert D.clean_documents(docs, bench.limit(0)).count() == len(DOCS)
+
+
+def test_items_without_an_id_mark_words_and_have_no_name(spark):
+    docs = spark.createDataFrame([(1, "before some leaked words after"), (2, "clean text")], "doc_id long, text string")
+    bench = spark.createDataFrame([(None, "some leaked words"), (9, "leaked words")], "item_id long, text string")
+    for size in (D.BLOCK_WORDS, 4):
+        hits = {r.doc_id: r for r in D.find_hits(docs, bench, block_words=size).collect()}
+        assert list(hits[1]["items"]) == ["9"] and not hits[2].spans
+        covered = {i for s in hits[1].spans for i in range(s["first"], s["last"] + 1)}
+        assert covered == {1, 2, 3}
+        assert [r.doc_id for r in D.clean_documents(docs, bench, block_words=size).collect()] == [2]

@@ -78,3 +78,9 @@ def test_pruning_rule_is_the_beta_posterior():
         density = x**m * (1 - x) ** (n - m)
         chance = density[x >= 0.8].sum() / density.sum()
         assert (J.least_matches(0.8, chance * 0.999, n) <= m) and (J.least_matches(0.8, chance * 1.001, n) > m)
+
+
+def test_rows_that_share_an_id_keep_one_of_each_group(spark):
+    a, b = "one two three four five six seven", "other words of some other text here"
+    docs = spark.createDataFrame([(5, a, 1), (7, a, 2), (2, b, 3), (5, b, 4), (5, a, 5)], "doc_id long, text string, node int")
+    assert sorted((r.doc_id, r.text) for r in J.keep_one(docs).collect()) == [(2, b), (5, a), (5, a)]

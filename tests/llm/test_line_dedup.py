@@ -35,3 +35,11 @@ def test_lines_match_plain_python(spark, least):
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, source string")
     assert L.clean(docs).count() == 0
+
+
+def test_rows_that_share_an_id_lose_their_own_lines_only(spark):
+    rows = [(3, "own 3\nboiler", "s0"), (3, "different first\nprecious own line", "s1")]
+    rows += [(k, f"boiler\nline of {k}", f"s{k}") for k in range(1, 20) if k != 3]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = sorted(r.text for r in L.clean(docs).filter("doc_id = 3").collect())
+    assert got == ["different first\nprecious own line", "own 3"]
