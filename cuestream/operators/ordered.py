@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -13,6 +12,7 @@ from pyspark.sql import functions as F
 from cuestream.functions.timecode import ms, round_half_up
 from cuestream.operators.estimate import estimate_line_timings, weight_tenths
 from cuestream.operators.postprocess import PostProcessOptions, post_process
+from cuestream.operators.tap_log import TapState, fold_tap_log  # noqa: F401
 from cuestream.plans.scan import OrderedScan, first_after, group_count, last_before, position, prev_row, sum_upto
 
 KEYS = ["track_id"]
@@ -161,105 +161,3 @@ def coalesce_edits(log: DataFrame, hot: bool | None = None) -> DataFrame:
         F.min_by("before", "seq").alias("before"),
         F.max_by("after", "seq").alias("after"),
     )
-
-
-def fold_streaming(
-    df: DataFrame, order: list[str], schema: str, start: Callable, step: Callable, finish: Callable
-) -> DataFrame:
-    """Fold each key's rows in order with a small running state.
-
-    Rows are hash-partitioned by key and sorted inside partitions, then read
-    once batch by batch, so memory holds one state whatever the length of a key.
-    ``step`` and ``finish`` return output tuples.
-    """
-    names = [f.strip().split()[0] for f in schema.split(",")]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, state = None, None
-        for pdf in batches:
-            rows = []
-            for row in pdf.itertuples(index=False):
-                if state is None or row.track_id != key:
-                    if state is not None:
-                        rows += [(key, *r) for r in finish(state)]
-                    key, state = row.track_id, start(row)
-                rows += [(key, *r) for r in step(state, row)]
-            if rows:
-                yield pd.DataFrame(rows, columns=names)
-        if state is not None:
-            rows = [(key, *r) for r in finish(state)]
-            if rows:
-                yield pd.DataFrame(rows, columns=names)
-
-    return df.repartition("track_id").sortWithinPartitions("track_id", *order).mapInPandas(run, schema)
-
-
-class TapState:
-    """Session of the tap log: taps by line, the next line, and the two settings."""
-
-    def __init__(self, line_count: int, compensation: int = 0, gap: int = ms(150)):
-        self.line_count, self.compensation, self.gap = line_count, compensation, gap
-        self.taps: list[list[int]] = []
-        self.next_line = self.seq = 0
-
-    def apply(self, kind: str, time: int, line: int, amount: int) -> None:
-        at = max(0, time - self.compensation)
-        if kind == "TAP":
-            close = bool(self.taps) and at - self.taps[-1][1] < ms(40)
-            if self.next_line >= self.line_count or close:
-                return
-            self.seq += 1
-            kept = [t for t in self.taps if t[0] != self.next_line]
-            self.taps = sorted([*kept, [self.next_line, at, self.seq]])
-            self.next_line += 1
-        elif kind == "REDO_LAST_TAP" and self.taps:
-            self.seq += 1
-            self.taps[-1] = [self.taps[-1][0], at, self.seq]
-        elif kind == "UNDO" and self.taps:
-            self.taps.pop()
-            self.next_line = max(0, self.next_line - 1)
-        elif kind == "RESET":
-            self.__init__(self.line_count, self.compensation, self.gap)
-        elif kind == "SET_COMPENSATION":
-            self.compensation = amount
-        elif kind == "SET_GAP":
-            self.gap = amount
-        elif kind == "NUDGE":
-            for tap in self.taps:
-                if tap[0] == line:
-                    tap[1] = max(0, tap[1] + amount)
-
-
-def fold_tap_log(log: DataFrame, line_counts: DataFrame) -> DataFrame:
-    """Final taps per session of a command log ``(track_id, seq, type, time_us, line_index, amount)``.
-
-    A reset forgets all but the two settings, so only the commands after the
-    last one are folded and the settings before it come from an aggregate.
-    """
-    last = log.groupBy("track_id").agg(F.max(F.when(F.col("type") == "RESET", F.col("seq"))).alias("_reset"))
-    seen = log.join(last, "track_id")
-    live = F.col("_reset").isNull() | (F.col("seq") > F.col("_reset"))
-    old = seen.filter(~live).groupBy("track_id").agg(
-        *[
-            F.max_by("amount", F.when(F.col("type") == kind, F.col("seq"))).alias(name)
-            for kind, name in (("SET_COMPENSATION", "_comp"), ("SET_GAP", "_gap"))
-        ]
-    )
-    rows = seen.filter(live).join(old, "track_id", "left").join(line_counts, "track_id").select(
-        "track_id", "seq", "type", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("time_us", "line_index", "amount")],
-        F.col("n_lines").cast("long").alias("n_lines"), F.coalesce("_comp", F.lit(0)).cast("long").alias("comp"),
-        F.coalesce("_gap", F.lit(ms(150))).cast("long").alias("gap"),
-    )
-
-    def step(state: TapState, row) -> list:
-        state.apply(row.type, int(row.time_us), int(row.line_index), int(row.amount))
-        return []
-
-    return fold_streaming(
-        rows,
-        ["seq"],
-        "track_id bigint, line_index bigint, time_us bigint, tap_seq bigint, compensation_us bigint, gap_us bigint",
-        lambda row: TapState(int(row.n_lines), int(row.comp), int(row.gap)),
-        step,
-        lambda s: [(line, at, n, s.compensation, s.gap) for line, at, n in s.taps],
-    )

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from cuestream.functions.timecode import ms
-from cuestream.operators.ordered import TapState
+from cuestream.operators.tap_log import TapState
 from cuestream.sources.audio import CHUNK, FFT, frame_bands
 
 TAP_OUT = "track_id bigint, as_of_seq bigint, line_index bigint, time_us bigint, tap_seq bigint"
