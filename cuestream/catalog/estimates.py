@@ -50,9 +50,9 @@ def tim01(spark, sf_dir):
 
 def words_sql(src: str, dst: str, size: str = "length_grapheme") -> str:
     return f"""
-{dst}_t AS (SELECT track_id, cue_id, start_us AS c0, end_us AS c1, tk, i FROM
+{dst}_t AS MATERIALIZED (SELECT track_id, cue_id, start_us AS c0, end_us AS c1, tk, i FROM
    (SELECT *, unnest(tks) AS tk, unnest(range(0, len(tks))) AS i FROM (SELECT *, regexp_extract_all(text, '{TOK}') AS tks FROM {src}))),
-{dst}_w AS (SELECT *, greatest(1, {size}(tk)) AS w, sum(greatest(1, {size}(tk))) OVER (PARTITION BY track_id, cue_id) AS tw,
+{dst}_w AS MATERIALIZED (SELECT *, greatest(1, {size}(tk)) AS w, sum(greatest(1, {size}(tk))) OVER (PARTITION BY track_id, cue_id) AS tw,
    count(*) OVER (PARTITION BY track_id, cue_id) AS n FROM {dst}_t),
 {dst}_s AS (SELECT *, {rnd("greatest(0, c1 - c0) * w / tw::DOUBLE")} AS share FROM {dst}_w),
 {dst}_a AS (SELECT *, c0 + coalesce(sum(share) OVER (PARTITION BY track_id, cue_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s FROM {dst}_s),

@@ -242,6 +242,27 @@ def src11(spark, sf_dir):
     return TT.import_report(lines)
 
 
+@query(
+    "src01_mixed_folder",
+    f"""WITH {LN}, f AS (SELECT doc_id, ['lrc', 'srt', 'vtt', 'ass', 'txt', 'project'][doc_id % 6 + 1] AS format FROM documents), c AS (SELECT file, count(*) AS n FROM cue GROUP BY file)
+    SELECT 'd' || doc_id || '.' || CASE format WHEN 'project' THEN 'json' ELSE format END AS file, format, CASE WHEN format = 'project' THEN 0 ELSE coalesce(n, 0) END AS n_cues,
+      format NOT IN ('txt', 'project') AND n > 0 AS has_timings, CASE WHEN format NOT IN ('txt', 'project') AND n > 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS coverage FROM f LEFT JOIN c ON c.file = f.doc_id""",
+)
+def src01_folder(spark, sf_dir):
+    """A folder of files in all formats, project documents among them."""
+    docs = A.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("file"), F.col("text").alias("contents"))
+    project = F.concat(F.lit('{"kind":"'), F.lit(TT.PROJECT_KIND), F.lit('","project":{"id":"'), F.col("file").cast("string"), F.lit('"}}'))
+    kinds = {
+        "lrc": lrc_files(spark, sf_dir), "srt": block_files(spark, sf_dir, "srt"), "vtt": block_files(spark, sf_dir, "vtt"),
+        "ass": ass_files(spark, sf_dir), "txt": docs, "json": docs.withColumn("contents", project),
+    }
+    files = None
+    for k, (ext, df) in enumerate(kinds.items()):
+        own = df.filter(F.col("file") % 6 == k).select(F.concat(F.lit("d"), F.col("file").cast("string"), F.lit(f".{ext}")).alias("file"), "contents")
+        files = own if files is None else files.unionByName(own)
+    return TT.import_files(files)
+
+
 @query(
     "src12_recogniser_segments",
     f"""WITH {SPANS}, s AS (SELECT track_id, cue_id AS seg_idx, event_type AS text, (start_us - 1704067200000000) / 1e3 AS t0, (end_us - 1704067200000000) / 1e3 AS t1 FROM spans),

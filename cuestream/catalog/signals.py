@@ -62,9 +62,9 @@ def agg02(spark, sf_dir):
 
 @query(
     "agg03_decimate",
-    f"""WITH {PEAKS}, w AS (SELECT track_id, (max(bucket) + 1) * {BUCKET_US} AS len FROM pk GROUP BY track_id),
+    f"""WITH {PEAKS.replace("pk AS (", "pk AS MATERIALIZED (")}, w AS MATERIALIZED (SELECT track_id, (max(bucket) + 1) * {BUCKET_US} AS len FROM pk GROUP BY track_id),
     q AS (SELECT track_id, p AS pixel, p * (len / 64::DOUBLE) AS s, (p + 1) * (len / 64::DOUBLE) AS e FROM w, range(0, 64) t(p)),
-    qb AS (SELECT track_id, pixel, unnest(range(CAST(floor(s / {BUCKET_US}::DOUBLE) AS BIGINT), CAST(ceil(e / {BUCKET_US}::DOUBLE) AS BIGINT) + 1)) AS bucket FROM q),
+    qb AS MATERIALIZED (SELECT track_id, pixel, unnest(range(CAST(floor(s / {BUCKET_US}::DOUBLE) AS BIGINT), CAST(ceil(e / {BUCKET_US}::DOUBLE) AS BIGINT) + 1)) AS bucket FROM q),
     b AS (SELECT track_id, pixel, min(mn) AS mn, max(mx) AS mx, avg(rms) AS rms FROM qb JOIN pk USING (track_id, bucket) GROUP BY ALL)
     SELECT q.track_id, pixel, round(coalesce(mn, 0.0), 9)::DOUBLE AS min, round(coalesce(mx, 0.0), 9)::DOUBLE AS max, round(coalesce(rms, 0.0), 9)::DOUBLE AS rms FROM q LEFT JOIN b USING (track_id, pixel)""",
 )

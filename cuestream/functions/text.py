@@ -21,6 +21,7 @@ from cuestream.functions.timecode import col, round_half_up
 # Characters of these ranges are their own canonical composition.
 NFC_SAFE = r"\x{0}-\x{2FF}\x{2010}-\x{2027}\x{20AC}"
 ZERO_WIDTH = r"[\x{200B}-\x{200D}\x{FEFF}]"
+# Scripts written without spaces.
 NO_SPACE_SCRIPT = (
     r"[\x{0E00}-\x{0E7F}\x{1780}-\x{17FF}\x{1000}-\x{109F}\x{4E00}-\x{9FFF}\x{3040}-\x{30FF}\x{AC00}-\x{D7AF}]"
 )
@@ -121,6 +122,7 @@ def norm_match(text: Column | str) -> Column:
     return F.when(needs, _fold(F.when(needs, text))).otherwise(fast)
 
 
+# A line that names a section.
 STRUCTURAL_TAG = r"^\s*[\[(#]+\s*([A-Za-z][A-Za-z0-9 _'-]{0,24})\s*[\])]*\s*$"
 
 
@@ -130,6 +132,7 @@ def structural_tag(line: Column | str) -> Column:
     return F.when(line.rlike(STRUCTURAL_TAG), F.upper(F.trim(F.regexp_extract(line, STRUCTURAL_TAG, 1))))
 
 
+# Lines that stand for music without words.
 INSTRUMENTAL_WORDS = (
     "instrumental|interlude|break|breakdown|solo|drop|ad lib|adlibs|ad libitum|music|repeat|hook"
 )
@@ -141,6 +144,7 @@ def is_instrumental(signature: Column | str) -> Column:
     return s.rlike(f"^({INSTRUMENTAL_WORDS})$") | s.rlike(r"^\(?(music|instrumental)[^)]*\)?$")
 
 
+# An aside in brackets at the end.
 AD_LIB = r"^(.*?)\s*(\(([^()]{1,60})\))\s*$"
 
 
@@ -154,6 +158,7 @@ def split_ad_lib(line: Column | str) -> Column:
     )
 
 
+# What other formats leave of their times.
 TIMING_RESIDUE = (
     r"(?m)^\s*(WEBVTT.*)$",
     r"(?m)^\s*NOTE\s.*$",
@@ -230,6 +235,7 @@ def speech_weight(signature: Column | str) -> Column:
 
 
 # Abbreviations that do not end a sentence.
+# Abbreviations that end no sentence.
 ABBREVIATIONS = (
     "mr", "mrs", "ms", "dr", "prof", "sr", "jr", "st", "vs", "etc", "eg", "ie", "fig", "no", "vol", "inc", "ltd", "co",
 )
@@ -249,6 +255,7 @@ def sentences(text: Column | str) -> Column:
     return F.array_remove(F.split(s, "\x01"), "")
 
 
+# Speakers before a colon.
 SPEAKER = r"(?i)^(?:(A|B)|(host|narrator|speaker\s*1)|(guest|co-?host|speaker\s*2))\s*:\s+(.+)$"
 
 

@@ -130,12 +130,14 @@ def relink_missing(projects: DataFrame, manifest: DataFrame, present: DataFrame)
 
 
 def lookup_with_default(facts: DataFrame, dimension: DataFrame, key: str, dim_key: str, default_key) -> DataFrame:
-    """Left lookup where an unknown key takes the default row of a fixed small dimension."""
-    # the dimension is a constant table of this package (tens of rows); both joins are hash joins
-    known = F.broadcast(dimension.select(F.col(dim_key).alias(key), F.lit(True).alias("_known")))
+    """Left lookup where an unknown key takes the default row of a dimension.
+
+    Spark sees the dimension's size and broadcasts it only where it is small.
+    """
+    known = dimension.select(F.col(dim_key).alias(key), F.lit(True).alias("_known"))
     resolved = F.when(F.col("_known"), F.col(key)).otherwise(F.lit(default_key))
     out = facts.join(known, key, "left").withColumn(dim_key, resolved).drop("_known")
-    return out.join(F.broadcast(dimension), dim_key).select(*facts.columns, *dimension.columns)
+    return out.join(dimension, dim_key).select(*facts.columns, *dimension.columns)
 
 
 def first_fit(tiers: Sequence[dict], value: str, **demands: Column) -> Column:

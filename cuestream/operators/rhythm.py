@@ -15,7 +15,8 @@ from cuestream.plans.scan import sliding
 KEYS = ["track_id"]
 MIN_BPM, MAX_BPM = 60, 190
 PRIOR_CENTRE, PRIOR_SIGMA = 120, 0.9
-MIN_TEMPO_FRAMES = 64
+#: Frames from which on a tempo has its full confidence; with fewer it falls in proportion.
+SURE_FRAMES = 64
 DIGITS = 9
 
 
@@ -39,8 +40,7 @@ def prepare_onsets(onsets: DataFrame) -> DataFrame:
     """Adaptive threshold, peak picking, smoothing and scaling to a maximum of one.
 
     Adds ``residual``, ``peak``, ``smooth`` and ``x``. The three windows reach
-    eight frames together and run in one shuffle. Tracks under eight frames
-    keep their raw onsets as ``x``.
+    eight frames together and run in one shuffle. Tracks of any length are treated alike.
     """
     steps = (
         {"residual": adaptive_residual},
@@ -48,9 +48,9 @@ def prepare_onsets(onsets: DataFrame) -> DataFrame:
         {"smooth": lambda w: F.avg("peak").over(w.rowsBetween(-2, 2))},
     )
     df = sliding(onsets, KEYS, "frame", 8, *steps)
-    top = df.groupBy("track_id").agg(F.max("smooth").alias("_top"), F.count(F.lit(1)).alias("_n"))
-    x = F.when(F.col("_n") < 8, F.col("onset")).when(F.col("_top") > 0, F.col("smooth") / F.col("_top")).otherwise(F.col("smooth"))
-    return df.join(top, "track_id").withColumn("x", x).drop("_top", "_n")
+    top = df.groupBy("track_id").agg(F.max("smooth").alias("_top"))
+    x = F.when(F.col("_top") > 0, F.col("smooth") / F.col("_top")).otherwise(F.col("smooth"))
+    return df.join(top, "track_id").withColumn("x", x).drop("_top")
 
 
 def lag_range(frame_us: int, min_bpm: int = MIN_BPM, max_bpm: int = MAX_BPM) -> tuple[int, int]:
@@ -77,26 +77,27 @@ def lag_products(prepared: DataFrame, frame_us: int, min_bpm: int = MIN_BPM, max
     )
     rows = F.array(*[F.struct(F.lit(k).alias("lag"), F.col(f"_s{k}").alias("s")) for k in lags])
     out = sums.select("track_id", "n", "peak", F.explode(rows).alias("r")).select("track_id", "n", "peak", "r.lag", "r.s")
-    fits = (F.col("n") >= MIN_TEMPO_FRAMES) & (F.col("peak") > 0) & (F.col("lag") <= F.col("n") - 1)
+    fits = (F.col("peak") > 0) & (F.col("lag") <= F.col("n") - 1)
     return out.filter(fits).select("track_id", "lag", (F.col("s") / (F.col("n") - F.col("lag"))).alias("product"), "n")
 
 
 def estimate_tempo(prepared: DataFrame, frame_us: int, min_bpm: int = MIN_BPM, max_bpm: int = MAX_BPM) -> DataFrame:
-    """Best lag per track under the tempo prior; tracks too short or silent get zero."""
+    """Best lag per track under the tempo prior; silent tracks, and those shorter than any lag, get zero."""
     lo, hi = lag_range(frame_us, min_bpm, max_bpm)
     products = lag_products(prepared, frame_us, min_bpm, max_bpm)
     seconds = frame_us / 1e6
     octaves = F.log2(F.lit(60.0) / (F.col("lag") * F.lit(seconds)) / PRIOR_CENTRE) / PRIOR_SIGMA
     score = F.col("product") * F.exp(F.lit(-0.5) * octaves * octaves)
     best = products.filter((F.col("n") - 1 > lo) & F.lit(hi > lo)).groupBy("track_id").agg(
-        F.max(F.struct(F.round(score, 12).alias("score"), (-F.col("lag")).alias("neg"))).alias("b")
+        F.max(F.struct(F.round(score, 12).alias("score"), (-F.col("lag")).alias("neg"))).alias("b"), F.max("n").alias("n")
     )
+    length = F.least(F.lit(1.0), F.col("n") / SURE_FRAMES)
     tracks = prepared.select("track_id").distinct()
     bpm = F.round(F.lit(60.0) / (-F.col("b.neg") * F.lit(seconds)), 1)
     return tracks.join(best, "track_id", "left").select(
         "track_id",
         F.coalesce(bpm, F.lit(0.0)).alias("bpm"),
-        F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("b.score") * 4)), F.lit(0.0)).alias("confidence"),
+        F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("b.score") * 4)) * length, F.lit(0.0)).alias("confidence"),
     )
 
 

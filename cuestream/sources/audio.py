@@ -13,11 +13,16 @@ from cuestream.plans.scan import sliding
 
 # File kinds by extension, and intake limits.
 AUDIO_EXTENSIONS = (
-    "mp3 mp2 wav wave flac m4a m4b aac ogg oga opus webm aiff aif aifc caf mp4 mov m4v 3gp 3g2 mkv mka avi amr gsm wma ape wv tta "
-    "mpc dsf dff eac3 ac3 dts qoa mod xm s3m it mpa m1a m2a au snd voc mpg mpeg"
-).split()
-IMAGE_EXTENSIONS = "png jpg jpeg webp avif gif".split()
-TEXT_EXTENSIONS = "lrc srt vtt ass ssa txt json".split()
+    "mp3", "mp2", "wav", "wave", "flac", "m4a", "m4b", "aac", "ogg", "oga", "opus", "webm", "aiff", "aif", "aifc", "caf", "mp4",
+    "mov", "m4v", "3gp", "3g2", "mkv", "mka", "avi", "amr", "gsm", "wma", "ape", "wv", "tta", "mpc", "dsf", "dff", "eac3", "ac3",
+    "dts", "qoa", "mod", "xm", "s3m", "it", "mpa", "m1a", "m2a", "au", "snd", "voc", "mpg", "mpeg",
+)
+IMAGE_EXTENSIONS = (
+    "png", "jpg", "jpeg", "webp", "avif", "gif",
+)
+TEXT_EXTENSIONS = (
+    "lrc", "srt", "vtt", "ass", "ssa", "txt", "json",
+)
 MAX_BYTES, SOFT_BYTES = 250 * 1024 * 1024, 80 * 1024 * 1024
 MAX_DURATION_US, SOFT_DURATION_US = 1_200_000_000, 360_000_000
 

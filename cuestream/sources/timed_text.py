@@ -27,6 +27,7 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
 
 def detect_format(name: Column, contents: Column, project_kind: str = PROJECT_KIND) -> Column:
     """Format by extension, then by the contents; ``.txt`` is never trusted."""
+    # What the formats begin with.
     ext = F.lower(F.substring_index(name, ".", -1))
     head = F.regexp_replace(contents, r"(?U)^[\s\x{FEFF}]+", "")
     kind = F.try_variant_get(F.try_parse_json(contents), "$.kind", "string")
@@ -76,6 +77,7 @@ def _words(pieces: Column, starts: Column, clean) -> Column:
     return F.when(n >= 2, words).otherwise(F.array().cast(WORDS))
 
 
+# LRC tags and times.
 LRC_META = r"(?i)^\[(ti|ar|al|by|re|ve|offset|length|au|hash|sign|qq|total|language):(.*)\]$"
 LRC_TIME = r"\[(\d{1,2}):(\d{1,2})(?:[.:](\d{1,3}))?\]"
 LRC_WORD = r"<(\d{1,2}):(\d{1,2})(?:[.:](\d{1,3}))?>"
@@ -143,6 +145,7 @@ def parse_lrc(files: DataFrame, apply_offset: bool = False) -> DataFrame:
     return _numbered(cues, "start_us", "line_no", "stamp_no")
 
 
+# Cue times of SRT and VTT.
 CUE_RANGE = r"(\d{1,2}):(\d{2}):(\d{2})[.,](\d{1,3})\s*-->\s*(\d{1,2}):(\d{2}):(\d{2})[.,](\d{1,3})"
 VTT_TIME = r"<(\d{1,2}):(\d{2}):(\d{2})\.(\d{1,3})>"
 
@@ -197,6 +200,7 @@ def skipped_blocks(files: DataFrame, fmt: str) -> DataFrame:
     return _blocks(files, fmt).groupBy("file").agg(F.coalesce(F.count_if(bad), F.lit(0)).alias("n_skipped"))
 
 
+# Karaoke marks of ASS.
 ASS_KARAOKE = r"\{\\[kK](?:f|o)?(\d+)\}([^{}]*)"
 
 
@@ -264,6 +268,7 @@ def malformed_dialogue(files: DataFrame) -> DataFrame:
     return _dialogue(files).groupBy("file").agg(F.coalesce(F.count_if(F.size("f") < 10), F.lit(0)).alias("n_warnings"))
 
 
+# Time units, and the names under which JSON keeps times and lists.
 UNITS = ("microseconds", "milliseconds", "seconds")
 TIME_NUMBER = r'"(?:start|end|time|timestamp)"\s*:\s*(-?\d+(?:\.\d+)?(?:[eE][+-]?\d+)?)'
 LISTS = ("lines", "lyrics", "cues", "segments")
@@ -348,6 +353,19 @@ def parse_timed_text(files: DataFrame) -> DataFrame:
     return out
 
 
+def import_files(files: DataFrame) -> DataFrame:
+    """A row for every file: format, number of cues, whether any is timed, and the share that is.
+
+    Project documents, which hold no cues, and files without a line have a row as well.
+    """
+    typed = files.select("file", detect_format(F.col("file"), F.col("contents")).alias("format"))
+    report = import_report(parse_timed_text(files))
+    return typed.join(report, "file", "left").select(
+        "file", "format", F.coalesce("n_cues", F.lit(0)).alias("n_cues"), F.coalesce("has_timings", F.lit(False)).alias("has_timings"),
+        F.coalesce("coverage", F.lit(0.0)).alias("coverage"),
+    )
+
+
 def import_report(cues: DataFrame) -> DataFrame:
     """Share of timed cues per file."""
     timed = F.col("start_us").isNotNull()
