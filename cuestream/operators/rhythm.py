@@ -97,7 +97,10 @@ def estimate_tempo(prepared: DataFrame, frame_us: int, min_bpm: int = MIN_BPM, m
     return tracks.join(best, "track_id", "left").select(
         "track_id",
         F.coalesce(bpm, F.lit(0.0)).alias("bpm"),
-        F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("b.score") * 4)) * length, F.lit(0.0)).alias("confidence"),
+        # without a lag there is no score, which least and greatest would pass over
+        F.when(F.col("b").isNull(), 0.0)
+        .otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("b.score") * 4)) * length)
+        .alias("confidence"),
     )
 
 
