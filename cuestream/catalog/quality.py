@@ -133,33 +133,55 @@ def dq03(spark, sf_dir):
     return out.select("project_id", "status", "from_version", F.array_join("steps", "; ").alias("steps"), mode.alias("voice_mode"))
 
 
-SPARSE = (
-    "{}",
-    '{"meta":{"title":"t"},"lyrics":{"lines":[{"words":[]},3]},"ui":{"mode":"simple"},"export":{},"design":{"brand":{}}}',
-    TEMPLATE,
-)
-FILLED = (
-    "meta,meta.title,meta.artist,meta.album,meta.language,meta.notes,sections,audio,voiceover,lyrics,ui",
-    "meta.artist,meta.album,meta.language,meta.notes,sections,audio,voiceover,lyrics.source,lyrics.originalText,lyrics.originalFileName,"
-    "lyrics.lines[0].locked,lyrics.lines[0].style,lyrics.lines[0].sectionId,lyrics.lines[0].speaker,lyrics.lines[0].translation,lyrics.lines[0].source,"
-    "ui.zoomPxPerSecond,ui.selection,ui.lastPlayheadUs,design.customSize,design.accent,design.brand.logoAssetId,"
-    "export.codec,export.globalOffsetUs,export.includeAudio,export.fileName",
-    "meta.artist",
-)
+#: Sparse documents put together from order columns; one text for Spark and for the check.
+_SPARSE_LINE = """concat('{{', concat_ws(',', CASE WHEN o_custkey % 4 = {k} THEN '"words":[]' END, CASE WHEN o_orderstatus = 'O' THEN '"speaker":null' END,
+  CASE WHEN o_totalprice > {price} THEN concat('"locked":', CASE WHEN o_custkey % 2 = 0 THEN 'true' ELSE 'false' END) END,
+  CASE WHEN o_custkey % 6 < {k} + 2 THEN concat('"style":{{"n":', o_custkey, '}},"sectionId":null') END), '}}')"""
+SPARSE = f"""CASE WHEN o_custkey % 37 = 3 THEN '[]' WHEN o_custkey % 41 = 7 THEN concat('{{"id":"', o_orderkey) ELSE concat('{{', concat_ws(',',
+  CASE WHEN o_orderstatus <> 'P' THEN concat('"meta":{{', concat_ws(',', CASE WHEN o_custkey % 2 = 0 THEN concat('"title":"t', o_custkey, '"') END,
+    CASE WHEN o_custkey % 3 = 0 THEN '"artist":null' END, CASE WHEN o_totalprice > 150000 THEN '"language":"de","notes":""' END), '}}') END,
+  CASE WHEN substr(o_orderpriority, 1, 1) IN ('1', '2') THEN '"sections":[],"audio":null' END,
+  CASE WHEN substr(o_orderpriority, 1, 1) = '3' THEN '"voiceover":{{"mode":"timed"}}' END,
+  CASE WHEN o_custkey % 5 <> 0 THEN concat('"lyrics":{{', concat_ws(',', CASE WHEN o_custkey % 7 < 4 THEN '"source":"asr"' END,
+    CASE WHEN o_totalprice < 100000 THEN '"originalText":"x"' END,
+    CASE WHEN o_custkey % 11 < 9 THEN concat('"lines":[', concat_ws(',', {_SPARSE_LINE.format(k=1, price=90000)}, CASE WHEN o_custkey % 3 = 1 THEN '3' END,
+      CASE WHEN o_custkey % 2 = 1 THEN {_SPARSE_LINE.format(k=2, price=160000)} END), ']') END), '}}') END,
+  CASE WHEN o_custkey % 7 > 2 THEN concat('"ui":{{', CASE WHEN o_orderstatus = 'F' THEN '"mode":"full","selection":null' ELSE '' END, '}}') END,
+  CASE WHEN o_custkey % 9 > 3 THEN concat('"design":{{', concat_ws(',', CASE WHEN o_custkey % 4 > 1 THEN '"brand":{{}}' END, CASE WHEN o_custkey % 8 = 2 THEN '"accent":"#fff"' END,
+    CASE WHEN o_custkey % 4 = 1 THEN '"brand":7' END), '}}') END,
+  CASE WHEN o_totalprice > 60000 THEN concat('"export":{{', CASE WHEN o_orderstatus = 'O' THEN '"codec":"vp9","includeAudio":false' ELSE '' END, '}}') END), '}}') END"""
+
+
+def _filled_sql() -> str:
+    """The report read from the JSON: which paths have no value, in order; lines one by one."""
+
+    def path(p: str) -> str:
+        gone = f"json_type(r, '$.{p}') IS NULL"
+        parent = p.rsplit(".", 1)[0] if "." in p else ""
+        if parent in ("design", "export", "design.brand"):
+            gone += f" AND json_type(r, '$.{parent}') = 'OBJECT'"
+        if parent in ("lyrics", "ui"):
+            gone += f" AND json_type(r, '$.{parent}') IS NOT NULL"
+        return f"CASE WHEN {gone} THEN '{p}' END"
+
+    first = "meta meta.title meta.artist meta.album meta.language meta.notes sections audio voiceover lyrics lyrics.source lyrics.originalText lyrics.originalFileName lyrics.lines"
+    late = "ui ui.mode ui.zoomPxPerSecond ui.selection ui.lastPlayheadUs design.customSize design.accent design.brand.logoAssetId export.codec export.globalOffsetUs export.includeAudio export.fileName"
+    names = ", ".join(f"CASE WHEN json_type(x, '$.{n}') IS NULL THEN '{n}' END" for n in "words locked style sectionId speaker translation source".split())
+    lines = f"""list_transform(CAST(r->'$.lyrics.lines' AS JSON[]), lambda x, i: CASE WHEN json_type(x) = 'OBJECT'
+      THEN array_to_string(list_transform(list_filter([{names}], lambda n: n IS NOT NULL), lambda n: 'lyrics.lines[' || (i - 1) || '].' || n), ',') END)"""
+    return f"""concat_ws(',', {", ".join(path(p) for p in first.split())}, nullif(array_to_string(list_filter({lines}, lambda x: x IS NOT NULL AND x <> ''), ','), ''), {", ".join(path(p) for p in late.split())})"""
 
 
 @query(
     "dq04_fill_defaults",
-    f"SELECT o_orderkey AS project_id, CASE o_orderkey % 3 WHEN 0 THEN '{FILLED[0]}' WHEN 1 THEN '{FILLED[1]}' ELSE '{FILLED[2]}' END AS filled, "
-    "CASE o_orderkey % 3 WHEN 0 THEN '' WHEN 1 THEN 't' ELSE '@TITLE' END AS title FROM orders",
+    f"WITH j AS (SELECT o_orderkey AS project_id, try_cast({SPARSE} AS JSON) AS r FROM orders) SELECT project_id, {_filled_sql()} AS filled, coalesce(r->>'$.meta.title', '') AS title, "
+    "coalesce(r->>'$.export.codec', 'h264') AS codec, coalesce(r->>'$.ui.mode', 'simple') AS mode FROM j",
 )
 def dq04(spark, sf_dir):
-    docs = F.array(*[F.lit(v) for v in SPARSE])
-    raw = A.table(spark, sf_dir, "orders").select(
-        F.col("o_orderkey").alias("project_id"), F.element_at(docs, (F.col("o_orderkey") % 3 + 1).cast("int")).alias("raw_json")
-    )
+    raw = A.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("project_id"), F.expr(SPARSE).alias("raw_json"))
     out = Q.fill_defaults(raw)
-    return out.select("project_id", F.array_join("filled", ",").alias("filled"), F.col("fields")["meta.title"].alias("title"))
+    fields = {name: F.col("fields")[p].alias(name) for name, p in (("title", "meta.title"), ("codec", "export.codec"), ("mode", "ui.mode"))}
+    return out.select("project_id", F.array_join("filled", ",").alias("filled"), *fields.values())
 
 
 SPECS = (
