@@ -184,28 +184,39 @@ def dq04(spark, sf_dir):
     return out.select("project_id", F.array_join("filled", ",").alias("filled"), *fields.values())
 
 
-SPECS = (
-    '{"version":1,"scenes":[{"text":"a"},{"text":"b","start":1,"end":2.5}]}',
-    '{"version":2,"scenes":[]}',
-    '{"scenes":[{"text":"a","start":3,"end":2},{"text":"","layout":"chart"}]}',
-    "{oops",
-    "",
-    '{"theme":"x","fps":5,"scenes":[{"text":"a","duration":"auto"},{"text":"b","duration":"soon","background":{"kind":"solid","glow":1}}]}',
-)
-SPEC_PATHS = ("", "version", "scenes[1].text,scenes[0].end,scenes[1].chart", "JSON", "(root)", "fps,scenes[1].background,scenes[1].duration")
+#: Specs put together from conversation columns; one text for Spark and for the check.
+SPEC_DOCS = """CASE WHEN conv_id % 23 = 4 AND turn = 0 THEN ' ' WHEN conv_id % 17 = 3 THEN concat('{oops', text)
+ELSE concat('{', concat_ws(',', CASE WHEN turn % 3 = 1 THEN concat('"version":', conv_id % 3) END, CASE WHEN conv_id % 2 = 0 THEN concat('"fps":', length(text) % 80) END,
+  CASE WHEN conv_id % 5 = 2 THEN concat('"voice":{"pauseMs":', length(text), ',"wpm":', length(text) % 500, '}') END,
+  CASE WHEN conv_id % 13 <> 6 THEN concat('"scenes":[', concat_ws(',',
+    concat('{"text":"', CASE WHEN length(text) % 7 = 1 THEN '' ELSE role END, '","start":', turn, ',"end":', length(text) % 6, '}'),
+    CASE WHEN turn > 0 THEN concat('{"text":"', role, '"', CASE WHEN conv_id % 4 = 1 THEN ',"layout":"chart"' ELSE '' END,
+      CASE WHEN conv_id % 8 < 3 THEN ',"chart":[{"label":"l","value":3}]' ELSE '' END,
+      CASE length(text) % 4 WHEN 0 THEN ',"duration":"auto"' WHEN 1 THEN ',"duration":"soon"' WHEN 2 THEN concat(',"duration":', length(text)) ELSE '' END, '}') END), ']') END), '}') END"""
 
 
 def spec_docs(spark, sf_dir):
-    docs = F.array(*[F.lit(v) for v in SPECS])
-    return A.table(spark, sf_dir, "conversations").select(
-        "conv_id", "turn", F.element_at(docs, ((F.col("conv_id") + F.col("turn")) % 6 + 1).cast("int")).alias("raw_json")
-    )
+    return A.table(spark, sf_dir, "conversations").select("conv_id", "turn", F.expr(SPEC_DOCS).alias("raw_json"))
 
 
-_PATH_CASE = " ".join(f"WHEN {i} THEN '{p}'" for i, p in enumerate(SPEC_PATHS))
+_EACH = "list_transform(scenes, lambda x, i: {})"
+_CROSSED = """array_to_string(list_filter([
+  CASE WHEN json_type(x, '$.duration') IS NOT NULL AND NOT coalesce(x->>'$.duration' = 'auto' OR TRY_CAST(x->>'$.duration' AS DOUBLE) BETWEEN 0.000001 AND 600, false) THEN 'scenes[' || (i - 1) || '].duration' END,
+  CASE WHEN TRY_CAST(x->>'$.end' AS DOUBLE) <= TRY_CAST(x->>'$.start' AS DOUBLE) THEN 'scenes[' || (i - 1) || '].end' END,
+  CASE WHEN x->>'$.layout' = 'chart' AND coalesce(json_array_length(x, '$.chart'), 0) < 1 THEN 'scenes[' || (i - 1) || '].chart' END], lambda n: n IS NOT NULL), ',')"""
 
 
-@query("dq05_validate_specs", f"SELECT conv_id, turn, (conv_id + turn) % 6 = 0 AS ok, CASE (conv_id + turn) % 6 {_PATH_CASE} END AS paths FROM conversations")
+@query(
+    "dq05_validate_specs",
+    f"""WITH d AS (SELECT conv_id, turn, {SPEC_DOCS} AS raw FROM conversations), j AS (SELECT *, try_cast(raw AS JSON) AS r FROM d),
+    s AS (SELECT *, CAST(r->'$.scenes' AS JSON[]) AS scenes, CAST(r->>'$.version' AS INTEGER) AS v, CAST(r->>'$.fps' AS INTEGER) AS fps, CAST(r->>'$.voice.wpm' AS INTEGER) AS wpm, CAST(r->>'$.voice.pauseMs' AS INTEGER) AS pause FROM j),
+    p AS (SELECT conv_id, turn, CASE WHEN trim(raw) = '' THEN '(root)' WHEN r IS NULL THEN 'JSON' WHEN v > {Q.SPEC_VERSION} THEN 'version'
+      ELSE concat_ws(',', CASE WHEN v < 1 THEN 'version' END, CASE WHEN fps NOT BETWEEN 12 AND 60 THEN 'fps' END, CASE WHEN pause > 5000 THEN 'voice.pauseMs' END, CASE WHEN wpm NOT BETWEEN 60 AND 360 THEN 'voice.wpm' END,
+        CASE WHEN scenes IS NULL THEN 'scenes' END,
+        nullif(array_to_string(list_filter({_EACH.format("CASE WHEN x->>'$.text' = '' THEN 'scenes[' || (i - 1) || '].text' END")}, lambda n: n IS NOT NULL), ','), ''),
+        nullif(array_to_string(list_filter({_EACH.format(_CROSSED)}, lambda n: n <> ''), ','), '')) END AS paths FROM s)
+    SELECT conv_id, turn, paths = '' AS ok, paths FROM p""",
+)
 def dq05(spark, sf_dir):
     out = Q.validate_specs(spec_docs(spark, sf_dir))
     return out.select("conv_id", "turn", "ok", F.array_join("issues.path", ",").alias("paths"))
