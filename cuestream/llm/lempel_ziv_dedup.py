@@ -172,7 +172,7 @@ def shared_anchors(docs: DataFrame, hot: int = HOT) -> DataFrame:
 
 # ---------------------------------------------------------------- phrases
 
-PHRASES = "key long, doc_id long, row long, firsts array<long>, n long, words binary"
+PHRASES = "key long, doc_id long, row long, first long, more array<long>, n long, words binary"
 RUN_BYTES = 64 << 20
 
 
@@ -212,12 +212,16 @@ class Held:
             self.known[(key, words)] = (doc, n, places)
 
     def rows(self) -> Iterator[tuple]:
+        """One per text and phrase: its first place there, and more places if there are any."""
         for (key, words), (doc, n, places) in self.known.items():
+            if len(places) == 1:
+                yield key, doc, *places[0], None, n, words
+                continue
             by_row: dict[int, list[int]] = {}
             for row, first in places:
                 by_row.setdefault(row, []).append(first)
-            for row, firsts in by_row.items():
-                yield key, doc, row, firsts, n, words
+            for row, (first, *more) in by_row.items():
+                yield key, doc, row, first, more, n, words
 
 
 def _windows(held: Held, late: list) -> Held:
@@ -237,12 +241,13 @@ def _phrases(candidates: DataFrame) -> DataFrame:
 
     def emit(plain: Held, frequent: Held, late: list) -> Iterator[pa.RecordBatch]:
         out = [*plain.rows(), *_windows(frequent, late).rows()]
-        out += [(None, doc, row, [first], last - first + 1, b"") for doc, row, first, last in merged(late)]
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.int64(), pa.binary())
+        out += [(None, doc, row, first, None, last - first + 1, b"") for doc, row, first, last in merged(late)]
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.int64(), pa.binary())
+        names = [f.split()[0] for f in PHRASES.split(", ")]
         for at in range(0, len(out), 20_000):
             some = out[at : at + 20_000]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([r[i] for r in some], kind) for i, kind in enumerate(kinds)], ["key", "doc_id", "row", "firsts", "n", "words"]
+                [pa.array(column, kind) for column, kind in zip(zip(*some, strict=True), kinds, strict=True)], names
             )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -320,31 +325,42 @@ def _parsed(phrases: DataFrame) -> DataFrame:
     """(doc_id, row, first, last): repeated windows by number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, doc_now, reference, waiting = None, None, None, []
+        # of one anchor: phrases of earlier documents, those of them that are not indexed yet, and those of the present one
+        now, doc_now, earlier, pending, waiting, reference = None, None, set(), [], [], None
         for batch in batches:
             out = []
-            columns = [batch.column(c).to_pylist() for c in ("key", "doc_id", "row", "firsts", "n", "words")]
-            for key, doc, row, firsts, n, raw in zip(*columns, strict=True):
+            columns = [batch.column(c).to_pylist() for c in ("key", "doc_id", "row", "first", "more", "n", "words")]
+            for key, doc, row, first, more, n, raw in zip(*columns, strict=True):
                 if key is None:
-                    out.append((doc, row, firsts[0], firsts[0] + n - 1))
+                    out.append((doc, row, first, first + n - 1))
                     continue
                 if key != now:
-                    now, doc_now, reference, waiting = key, doc, None, []
+                    now, doc_now, earlier, pending, waiting, reference = key, doc, set(), [], [], None
                 elif doc != doc_now:
+                    earlier.update(waiting)
+                    pending += waiting
+                    doc_now, waiting = doc, []
+                if raw in earlier:
+                    # one factor covers the phrase, and there is nothing new in it
+                    factors = ((0, n + WINDOW - 1),)
+                else:
+                    waiting.append(raw)
+                    if not earlier:
+                        continue
                     reference = reference or Reference()
-                    for earlier in waiting:
-                        words = earlier.split()
+                    for known in pending:
+                        words = known.split()
                         reference.add(words, list(reference.factors(words)))
-                    doc_now, waiting = doc, []
-                waiting.append(raw)
-                if reference is not None:
-                    for a, b in reference.factors(raw.split()):
-                        out.extend((doc, row, first + a, first + b - WINDOW) for first in firsts)
+                    pending = []
+                    factors = reference.factors(raw.split())
+                for a, b in factors:
+                    out.append((doc, row, first + a, first + b - WINDOW))
+                    out.extend((doc, row, at + a, at + b - WINDOW) for at in more or ())
             out = merged(out)
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.int64()) for i in range(4)], ["doc_id", "row", "first", "last"])
 
     # windows known to be repeated need no partner, so they stay spread
-    key = F.coalesce("key", F.xxhash64("doc_id", "row", "firsts"))
+    key = F.coalesce("key", F.xxhash64("doc_id", "row", "first"))
     dealt = phrases.repartition(key).sortWithinPartitions("key", "doc_id", "row")
     return dealt.mapInArrow(run, "doc_id long, row long, first long, last long")
 
