@@ -8,7 +8,7 @@ from cuestream import adapters as A
 from cuestream.catalog.registry import query
 from cuestream.catalog.sequences import TAP_STATES, tap_log
 from cuestream.catalog.sqlviews import SPANS
-from cuestream.sources.audio import CHUNK, mel_frames
+from cuestream.sources.audio import CHUNK, mel_frames, spectrum_rows
 from cuestream.streaming import metrics as ME
 from cuestream.streaming import presence as PR
 from cuestream.streaming import runner as RU
@@ -150,31 +150,55 @@ def str06(spark, sf_dir):
     return PR.presence_timeline(heartbeats(spark, sf_dir), 12 * HOUR)
 
 
+TRACKS = 4
+
+
 def value_chunks(spark, sf_dir):
-    """Event values in id order as one signal of 512-sample chunks; the last, partial chunk is left to the batch rule."""
-    ev = events_of(spark, sf_dir).select(F.floor(F.col("event_id") / CHUNK).alias("chunk_idx"), (F.col("event_id") % CHUNK).alias("k"), ((F.col("value") - 50) / 60).cast("float").alias("v"))
-    packed = ev.groupBy("chunk_idx").agg(F.array_sort(F.collect_list(F.struct("k", "v"))).alias("x"))
-    total = ev.agg(F.count(F.lit(1)).alias("n_samples")).scalar()
-    return packed.select(
-        F.lit(0).cast("long").alias("track_id"), "chunk_idx", F.transform("x", lambda s: s["v"]).alias("samples"), F.lit(22_050).cast("long").alias("sample_rate"), total.alias("n_samples")
+    """Event values in id order as 512-sample chunks, dealt to four tracks in turn."""
+    block = F.floor(F.col("event_id") / CHUNK)
+    ev = events_of(spark, sf_dir).select(
+        (block % TRACKS).alias("track_id"), F.floor(block / TRACKS).alias("chunk_idx"), (F.col("event_id") % CHUNK).alias("k"),
+        ((F.col("value") - 50) / 60).cast("float").alias("v"),
+    )
+    packed = ev.groupBy("track_id", "chunk_idx").agg(F.array_sort(F.collect_list(F.struct("k", "v"))).alias("x"))
+    total = ev.groupBy("track_id").agg(F.count(F.lit(1)).alias("n_samples"))
+    return packed.join(total, "track_id").select(
+        "track_id", "chunk_idx", F.transform("x", lambda s: s["v"]).alias("samples"), F.lit(22_050).cast("long").alias("sample_rate"), "n_samples"
     )
 
 
-@query("sig01_mel_frames")
-def sig01(spark, sf_dir):
-    """Mel band frames of the event-value signal, one row per frame and band."""
-    from cuestream.sources.audio import spectrum_rows
+#: Frames by Fourier sums: every bin of every windowed frame, the mean of each band's bins, and its logarithm in 255 steps.
+FRAME_PARTS = f"""s AS (SELECT event_id // {CHUNK} % {TRACKS} AS track_id, event_id // {CHUNK * TRACKS} AS chunk_idx, event_id % {CHUNK} AS k, CAST((value - 50) / 60 AS FLOAT)::DOUBLE AS v FROM events),
+size AS (SELECT track_id, count(*) AS n, max(chunk_idx) AS last FROM s GROUP BY track_id),
+x AS MATERIALIZED (SELECT track_id, chunk_idx AS frame, k AS n, v FROM s UNION ALL SELECT track_id, chunk_idx - 1, k + {CHUNK}, v FROM s WHERE chunk_idx > 0)"""
+FRAMES_SQL = """w AS (SELECT track_id, frame, n, v * 0.5 * (1 - cos(2 * pi() * n / 1023)) AS v FROM x SEMI JOIN wanted USING (track_id, frame)),
+bins AS MATERIALIZED (SELECT track_id, frame, q, sqrt(pow(sum(v * cos(2 * pi() * (q * n % 1024) / 1024)), 2) + pow(sum(v * sin(2 * pi() * (q * n % 1024) / 1024)), 2)) / 1024 AS e
+  FROM w, range(0, 513) t(q) GROUP BY track_id, frame, q),
+edges AS (SELECT b, CAST(greatest(1, least(512, floor(700 * (pow(10, 2595 * log10(1 + 22050 / 2.0::DOUBLE / 700) * b / 32 / 2595) - 1) / (22050 / 1024.0::DOUBLE) + 0.5))) AS BIGINT) AS lo FROM range(0, 33) t(b)),
+bands AS (SELECT l.b AS band, l.lo, greatest(l.lo + 1, h.lo) AS hi FROM edges l JOIN edges h ON h.b = l.b + 1),
+mel AS (SELECT track_id, frame, band, floor(least(255, greatest(0, 255 * log10(1 + avg(e) * 400) / 3)) + 0.5)::DOUBLE AS value FROM bins JOIN bands ON q >= lo AND q < hi GROUP BY track_id, frame, band)
+SELECT track_id, frame, band, value FROM mel"""
+
 
+@query(
+    "sig01_mel_frames",
+    f"WITH {FRAME_PARTS}, wanted AS (SELECT track_id, frame FROM x JOIN size USING (track_id) WHERE frame < greatest(1, floor((size.n - 1024) / {CHUNK}.0) + 1) GROUP BY ALL), {FRAMES_SQL}",
+)
+def sig01(spark, sf_dir):
+    """Mel band frames of the event-value signals, one row per frame and band."""
     return spectrum_rows(mel_frames(value_chunks(spark, sf_dir)))
 
 
-@query("str07_incremental_frames")
+@query(
+    "str07_incremental_frames",
+    f"WITH {FRAME_PARTS}, wanted AS (SELECT track_id, frame FROM x GROUP BY track_id, frame HAVING count(*) = 1024), {FRAMES_SQL}",
+)
 def str07(spark, sf_dir):
-    """The same frames from a stream of chunks with carried state."""
+    """The frames of whole chunks from a stream of chunks in several micro-batches, with carried state."""
     base = RU.work_dir(spark, "chunks")
-    value_chunks(spark, sf_dir).repartition(4, "chunk_idx").write.parquet(f"{base}/in")
+    value_chunks(spark, sf_dir).repartition(8, "track_id", "chunk_idx").write.parquet(f"{base}/in")
     stream = RU.stream_files(spark, f"{base}/in", spark.read.parquet(f"{base}/in"), max_files=2)
-    return RU.drain_to_table(SE.frame_stream(stream), "frames")
+    return spectrum_rows(RU.drain_to_table(SE.frame_stream(stream), "frames"))
 
 
 @query(

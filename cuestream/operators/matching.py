@@ -129,6 +129,18 @@ def relink_missing(projects: DataFrame, manifest: DataFrame, present: DataFrame)
     return df.withColumns({"linked_id": linked, "audio_missing": missing}).drop("_there", "_other")
 
 
+def fill_blank_names(projects: DataFrame, meta: DataFrame, key: str = "file", names: Sequence[str] = ("title", "artist")) -> DataFrame:
+    """Names of a project from its imported file where it has none; a name it has stays, blank ones become empty."""
+    found = meta.select(F.col(key).alias("_of"), *[F.col(n).alias(f"_{n}") for n in names])
+
+    def filled(name: str) -> Column:
+        own = F.when(~F.coalesce(F.col(name), F.lit("")).rlike(r"(?U)^[\s\x{FEFF}]*$"), F.col(name))
+        return F.coalesce(own, F.col(f"_{name}"), F.lit(""))
+
+    met = projects.join(found, F.col(key) == F.col("_of"), "left")
+    return met.withColumns({n: filled(n) for n in names}).drop("_of", *[f"_{n}" for n in names])
+
+
 def lookup_with_default(facts: DataFrame, dimension: DataFrame, key: str, dim_key: str, default_key) -> DataFrame:
     """Left lookup where an unknown key takes the default row of a dimension.
 

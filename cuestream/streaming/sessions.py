@@ -47,35 +47,48 @@ def tap_stream(log: DataFrame) -> DataFrame:
 FRAME_OUT = "track_id bigint, frame bigint, bands array<int>"
 
 
+#: Chunks of a track that one state looks after.
+RANGE = 64
+HELD = "idx array<bigint>, rate array<bigint>, done array<int>, samples array<array<float>>"
+AS_FIRST, AS_SECOND = 1, 2
+
+
 def frame_stream(chunks: DataFrame) -> DataFrame:
     """Spectral frames from a stream of 512-sample chunks ``(track_id, chunk_idx, sample_rate, samples)``.
 
-    A frame needs a chunk and its successor. A chunk stays in state until both
-    neighbours have met it, so chunks may arrive in any order.
+    A frame needs a chunk and its successor. A track is split into ranges of ``RANGE`` chunks,
+    each with a state of its own; the first chunk of a range goes to the range before as well,
+    as successor of its last. A chunk stays in state until both neighbours have met it, so
+    chunks may arrive in any order, and a state holds one range at most.
     """
 
     def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held: dict[int, list] = {int(k): v for k, v in json.loads(state.get[0]).items()} if state.exists else {}
+        track, part = key
+        held: dict[int, list] = {}
+        if state.exists:
+            held = {i: [r, d, x] for i, r, d, x in zip(*state.get, strict=True)}
         fresh: set[int] = set()
-        rate = 0
         for pdf in batches:
             for i, r, x in zip(pdf.chunk_idx, pdf.sample_rate, pdf.samples, strict=True):
-                held[int(i)] = [int(r), [float(v) for v in x], False, int(i) == 0]
+                other = AS_FIRST if i // RANGE != part else AS_SECOND if i % RANGE == 0 else 0
+                held[int(i)] = [int(r), other, [float(v) for v in x]]
                 fresh.add(int(i))
-                rate = int(r)
-        ready = sorted({f for i in fresh for f in (i - 1, i) if f in held and f + 1 in held})
-        ready = [f for f in ready if len(held[f][1]) == CHUNK and len(held[f + 1][1]) == CHUNK and not held[f][2]]
+        ready = sorted({f for i in fresh for f in (i - 1, i) if f in held and f + 1 in held and not held[f][1] & AS_FIRST})
+        ready = [f for f in ready if len(held[f][2]) == CHUNK and len(held[f + 1][2]) == CHUNK]
         if ready:
             frames = np.zeros((len(ready), FFT))
             for n, f in enumerate(ready):
-                frames[n] = held[f][1] + held[f + 1][1]
-                held[f][2], held[f + 1][3] = True, True
-                rate = held[f][0]
-            yield pd.DataFrame({"track_id": key[0], "frame": ready, "bands": list(frame_bands(frames, rate))})
-        state.update((json.dumps({i: v for i, v in held.items() if not (v[2] and v[3])}),))
-
-    keyed = chunks.select("track_id", "chunk_idx", "sample_rate", "samples").groupBy("track_id")
-    return keyed.applyInPandasWithState(update, FRAME_OUT, "held string", "append", GroupStateTimeout.NoTimeout)
+                frames[n] = held[f][2] + held[f + 1][2]
+                held[f][1] |= AS_FIRST
+                held[f + 1][1] |= AS_SECOND
+            yield pd.DataFrame({"track_id": track, "frame": ready, "bands": list(frame_bands(frames, held[ready[0]][0]))})
+        left = {i: v for i, v in held.items() if v[1] != AS_FIRST | AS_SECOND}
+        state.update((list(left), [v[0] for v in left.values()], [v[1] for v in left.values()], [v[2] for v in left.values()]))
+
+    home = F.floor(F.col("chunk_idx") / RANGE)
+    before = F.when((F.col("chunk_idx") % RANGE == 0) & (F.col("chunk_idx") > 0), home - 1)
+    dealt = chunks.select("track_id", "chunk_idx", "sample_rate", "samples", F.explode(F.array_compact(F.array(home, before))).alias("part"))
+    return dealt.groupBy("track_id", "part").applyInPandasWithState(update, FRAME_OUT, HELD, "append", GroupStateTimeout.NoTimeout)
 
 
 def peak_stream(samples: DataFrame, bucket: str = "10 milliseconds", lateness: str = "1 second") -> DataFrame:

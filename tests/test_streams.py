@@ -42,6 +42,20 @@ def test_frame_stream_equals_batch(spark, tmp_path):
     assert rows(out.select("track_id", "frame", text), "track_id", "frame", "b") == rows(mel_frames(chunks).select("track_id", "frame", text), "track_id", "frame", "b")
 
 
+def test_frame_stream_split_into_ranges(spark, tmp_path):
+    n = SE.RANGE * 2 + 9
+    rng = np.random.default_rng(3)
+    x = rng.normal(0, 0.3, 512 * n)
+    data = [(t, i, 512 * n, 22_050, [float(v) for v in x[i * 512 : (i + 1) * 512] * t]) for t in (1, 2) for i in range(n)]
+    chunks = spark.createDataFrame(data, "track_id long, chunk_idx long, n_samples long, sample_rate long, samples array<float>")
+    path = str(tmp_path / "chunks")
+    chunks.repartition(4, "chunk_idx").write.parquet(path)
+    out = RU.drain_to_table(SE.frame_stream(RU.stream_files(spark, path, chunks, max_files=1)), "frames")
+    text = F.array_join(F.col("bands").cast("array<string>"), ",").alias("b")
+    got = rows(out.select("track_id", "frame", text), "track_id", "frame", "b")
+    assert got == rows(mel_frames(chunks).select("track_id", "frame", text), "track_id", "frame", "b") and len(got) == 2 * (n - 1)
+
+
 def test_roll_up_stream_equals_batch_for_closed_windows(spark, sf_dir, tmp_path):
     ev = ME.sanitise_entries(ST.entries(ST.events_of(spark, sf_dir))).filter("reason is null")
     ev = ev.withColumn("ts", F.col("ts").cast("timestamp"))
