@@ -30,7 +30,7 @@ from cuestream.llm.shared import id_and_text, pieces
 
 PIECE_CHARS = 1 << 20
 #: Bytes that a Python worker spends on words it remembers; it starts anew beyond.
-MEMO_BYTES = 32 << 20
+MEMO_BYTES = 96 << 20
 MEMO_TOKEN_CHARS = 64
 
 
