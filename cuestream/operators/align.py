@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -12,125 +12,151 @@ from pyspark.sql import functions as F
 
 from cuestream.functions import text as X
 
-#: Width of the tables in which all pairs advance together; pairs beyond it take the bit-parallel way.
-TABLE_CHARS = 24
-
-
-def edit_distance(a: str, b: str) -> int:
-    """Levenshtein distance with a whole column of the table as bits of one integer."""
-    if not a or not b:
-        return len(a) + len(b)
-    full, top = (1 << len(a)) - 1, 1 << (len(a) - 1)
-    where: dict[str, int] = {}
-    for i, c in enumerate(a):
-        where[c] = where.get(c, 0) | 1 << i
-    up, down, score = full, 0, len(a)
-    for c in b:
-        same = where.get(c, 0)
-        across = (((same & up) + up) ^ up) | same
-        rise, fall = down | (full & ~(across | up)), up & across
-        score += bool(rise & top) - bool(fall & top)
-        rise, fall = (rise << 1 | 1) & full, fall << 1 & full
-        level = same | down
-        up, down = fall | (full & ~(level | rise)), rise & level
-    return score
-
-
-def token_similarity(left: list[str], right: list[str]) -> np.ndarray:
-    """Similarity of every pair of two token lists; edit distances advance for all pairs at once."""
-    def codes(tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        size = np.array([len(t) for t in tokens])
-        grid = np.zeros((len(tokens), TABLE_CHARS), dtype=np.int32)
-        for i, t in enumerate(tokens):
-            short = t[:TABLE_CHARS]
-            grid[i, : len(short)] = [ord(c) for c in short]
-        return grid, size
-
-    a, la = codes(left)
-    b, lb = codes(right)
-    n, m = len(left), len(right)
-    longest = np.maximum(la[:, None], lb[None, :])
-    width = int(min(TABLE_CHARS, lb.max(initial=0)))
-    row = np.broadcast_to(np.arange(width + 1, dtype=np.int32), (n, m, width + 1)).copy()
-    distance = np.where(la[:, None] == 0, lb[None, :], 0).astype(np.int32)
-    columns = np.minimum(lb, width)
-    for i in range(int(min(TABLE_CHARS, la.max(initial=0)))):
-        new = np.empty_like(row)
-        new[:, :, 0] = i + 1
-        for j in range(width):
-            cost = (a[:, None, i] != b[None, :, j]).astype(np.int32)
-            new[:, :, j + 1] = np.minimum(np.minimum(new[:, :, j], row[:, :, j + 1]) + 1, row[:, :, j] + cost)
-        row = new
-        done = la == i + 1
-        if done.any():
-            distance[done] = row[done][:, np.arange(m), columns]
-    score = np.maximum(0.0, 1.0 - distance / np.maximum(longest, 1))
-    score[(la[:, None] == 0) | (lb[None, :] == 0)] = 0.0
-    for i, j in zip(*np.nonzero(longest > TABLE_CHARS), strict=True):
-        x, y = left[i], right[j]
-        score[i, j] = max(0.0, 1.0 - edit_distance(x, y) / max(len(x), len(y))) if x and y else 0.0
-    score[(la[:, None] == 0) & (lb[None, :] == 0)] = 1.0
-    return score
+#: Bits of a group of packed tokens, whose edit distances to another token advance together.
+GROUP_BITS = 1 << 14
+#: Table cells held at a time: similarities that are kept, and moves of the alignment.
+CELLS = 1 << 20
+#: Aligned places in a result batch.
+BATCH_ROWS = 50_000
+ONES = np.array([bin(i).count("1") for i in range(256)], dtype=np.int32)
+
+
+class _Packed:
+    """Tokens side by side in one integer, whole bytes each; a clear bit above a token stops its carry."""
+
+    def __init__(self, tokens: list[str]):
+        self.size = np.array([len(t) for t in tokens])
+        room = self.size // 8 + 1
+        self.at = np.r_[0, np.cumsum(room[:-1])]
+        self.bytes = int(room.sum())
+        inside = np.arange(self.size.sum()) - np.repeat(np.cumsum(self.size) - self.size, self.size)
+        place = np.repeat(self.at * 8, self.size) + inside
+        self.full = self._number(place)
+        self.first = self._number(self.at * 8)
+        chars = np.frombuffer("".join(tokens).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        order = np.argsort(chars, kind="stable")
+        found, starts = np.unique(chars[order], return_index=True)
+        self.where = {chr(c): self._number(q) for c, q in zip(found.tolist(), np.split(place[order], starts[1:]), strict=True)}
+
+    def _number(self, places: np.ndarray) -> int:
+        bits = np.zeros(self.bytes * 8, dtype=np.uint8)
+        bits[places] = 1
+        return int.from_bytes(np.packbits(bits, bitorder="little").tobytes(), "little")
+
+    def distances(self, token: str) -> np.ndarray:
+        """Levenshtein distance of ``token`` to each of the tokens, a column of all their tables as bits at a time."""
+        full, first, where = self.full, self.first, self.where
+        up, down = full, 0
+        for c in token:
+            same = where.get(c, 0)
+            across = (((same & up) + up) ^ up) | same
+            rise, fall = down | (full & ~(across | up)), up & across
+            rise, fall = ((rise << 1) & full) | first, (fall << 1) & full
+            level = same | down
+            up, down = fall | (full & ~(level | rise)), rise & level
+        count = [np.add.reduceat(ONES[np.frombuffer(x.to_bytes(self.bytes, "little"), dtype=np.uint8)], self.at) for x in (up, down)]
+        return len(token) + count[0] - count[1]
 
 
 class _Similarities:
-    """Rows of similarities of one side's tokens to the other's, computed for a block of rows at a time."""
+    """Similarities of a token to all of a list: 1 - edits / length of the longer one, 0 if just one is empty.
+
+    Lengths are counted in characters; edits in characters, or with ``unit`` of "bytes" in
+    bytes of UTF-8, as some SQL engines do.
+    """
 
-    def __init__(self, left: list[str], right: list[str]):
-        self.left, self.right = left, right
-        self.names = sorted(set(right))
+    def __init__(self, right: list[str], unit: str = "characters"):
+        if unit not in ("characters", "bytes"):
+            raise ValueError(f"unknown unit {unit}")
+        self.unit = unit
+        self.names = sorted(set(right), key=lambda t: (len(t), t))
         at = {t: k for k, t in enumerate(self.names)}
         self.where = np.array([at[t] for t in right])
-        self.cells = max(1, 2_000_000 // (len(self.names) * (TABLE_CHARS + 1)))
-
-    def block(self, start: int, end: int) -> Callable[[int], np.ndarray]:
-        """Row of left token i (start <= i < end) against all right tokens."""
-        names = sorted(set(self.left[start:end]))
-        at = {t: k for k, t in enumerate(names)}
-        table = np.vstack([token_similarity(names[k : k + self.cells], self.names) for k in range(0, len(names), self.cells)])
-        return lambda i: table[at[self.left[i]], self.where]
-
-
-def align_tokens(left: list[str], right: list[str], match: float = 2.0, gap: float = -1.0) -> list[tuple[int, int, float]]:
+        self.size = np.array([len(t) for t in self.names])
+        self.empty = int(bool(self.names) and not self.names[0])
+        units = [self._units(t) for t in self.names[self.empty :]]
+        self.groups, start, bits = [], 0, 0
+        for k, t in enumerate(units):
+            bits += len(t) + 8
+            if bits > GROUP_BITS or k == len(units) - 1:
+                self.groups.append(_Packed(units[start : k + 1]))
+                start, bits = k + 1, 0
+        self.known: dict[str, np.ndarray] = {}
+
+    def _units(self, token: str) -> str:
+        return token if self.unit == "characters" else token.encode().decode("latin-1")
+
+    def names_row(self, token: str) -> np.ndarray:
+        if not token:
+            return (self.size == 0).astype(float)
+        units = self._units(token)
+        edits = np.concatenate([np.zeros(self.empty), *[g.distances(units) for g in self.groups]])
+        row = np.maximum(0.0, 1.0 - edits / np.maximum(self.size, len(token)))
+        row[: self.empty] = 0.0
+        return row
+
+    def row(self, token: str) -> np.ndarray:
+        """Similarities to the whole list; rows of distinct tokens are kept while there is room."""
+        got = self.known.get(token)
+        if got is None:
+            got = self.names_row(token)[self.where]
+            if (len(self.known) + 1) * len(self.where) <= CELLS:
+                self.known[token] = got
+        return got
+
+
+def token_similarity(left: list[str], right: list[str], unit: str = "characters") -> np.ndarray:
+    """Similarity of every pair of two token lists."""
+    similar = _Similarities(right, unit)
+    return np.array([similar.row(t) for t in left]).reshape(len(left), len(right))
+
+
+def align_tokens(left: list[str], right: list[str], match: float = 2.0, gap: float = -1.0, unit: str = "characters") -> list[tuple[int, int, float]]:
     """Needleman-Wunsch pairs (left index or -1, right index or -1, similarity), in order.
 
-    Scores are kept of every so many rows, and the moves between two of them are computed
-    again on the way back, so memory is about 2 sqrt(rows) rows. Ties prefer the diagonal,
-    then skipping a left token.
+    Small tables of moves are kept whole. Of larger ones, scores are kept of every so many
+    rows, and the moves between two of them are computed again on the way back, so memory is
+    about 2 sqrt(rows) rows. Ties prefer the diagonal, then skipping a left token.
     """
     n, m = len(left), len(right)
     if not n or not m:
         return [(i, -1, 0.0) for i in range(n)] + [(-1, j, 0.0) for j in range(m)]
-    similar = _Similarities(left, right)
+    similar = _Similarities(right, unit)
     steps = np.arange(m + 1) * gap
 
-    def advance(i: int, score: np.ndarray, sim: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def advance(i: int, score: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        sim = similar.row(left[i])
         diag = score[:-1] + np.where(sim >= 0.5, sim * match, sim * match - (1 - sim) * match)
         up = score[1:] + gap
-        new = np.maximum.accumulate(np.r_[(i + 1) * gap, np.maximum(diag, up)] - steps) + steps
+        new = np.empty(m + 1)
+        new[0] = (i + 1) * gap
+        np.maximum(diag, up, out=new[1:])
+        new -= steps
+        np.maximum.accumulate(new, out=new)
+        new += steps
         return new, diag, up
 
-    size = math.isqrt(n - 1) + 1
-    score, kept = steps.copy(), []
-    for start in range(0, n, size):
+    size = max(math.isqrt(n - 1) + 1, min(n, CELLS // m))
+    starts = range(0, n, size)
+    kept = [steps.copy()]
+    for start in starts[:-1]:
+        score = kept[-1]
+        for i in range(start, start + size):
+            score, _, _ = advance(i, score)
         kept.append(score)
-        row = similar.block(start, min(start + size, n))
-        for i in range(start, min(start + size, n)):
-            score, _, _ = advance(i, score, row(i))
     out: list[tuple[int, int, float]] = []
     j = m
-    for k in range(len(kept) - 1, -1, -1):
-        start, end, score = k * size, min((k + 1) * size, n), kept[k]
-        row, moves = similar.block(start, end), []
+    for start, score in zip(reversed(starts), reversed(kept), strict=True):
+        end = min(start + size, n)
+        moves = np.empty((end - start, m), dtype=np.int8)
         for i in range(start, end):
-            new, diag, up = advance(i, score, row(i))
-            moves.append(np.where(np.abs(new[1:] - diag) < 1e-9, 0, np.where(np.abs(new[1:] - up) < 1e-9, 1, 2)).astype(np.int8))
-            score = new
+            score, diag, up = advance(i, score)
+            moves[i - start] = np.where(np.abs(score[1:] - diag) < 1e-9, 0, np.where(np.abs(score[1:] - up) < 1e-9, 1, 2))
         i = end
         while i > start:
-            move = moves[i - 1 - start][j - 1] if j else 1
+            move = moves[i - 1 - start, j - 1] if j else 1
             if move == 0:
-                out.append((i - 1, j - 1, float(row(i - 1)[j - 1])))
+                out.append((i - 1, j - 1, float(similar.row(left[i - 1])[j - 1])))
                 i, j = i - 1, j - 1
             elif move == 1:
                 out.append((i - 1, -1, 0.0))
@@ -142,7 +168,14 @@ def align_tokens(left: list[str], right: list[str], match: float = 2.0, gap: flo
     return out[::-1]
 
 
-def align_pairs(pairs: DataFrame, keys: Sequence[str], left: str, right: str) -> DataFrame:
+def dealt(pairs: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Pairs dealt over all cores: the work of a pair is far more than its bytes, by which Spark would merge them into few tasks."""
+    spark = pairs.sparkSession
+    tasks = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return pairs.repartition(tasks, *keys)
+
+
+def align_pairs(pairs: DataFrame, keys: Sequence[str], left: str, right: str, unit: str = "characters") -> DataFrame:
     """Align the two token arrays of each row; one output row per aligned position.
 
     Every pair is one row, so Spark spreads pairs over tasks and no grouping is needed.
@@ -150,21 +183,38 @@ def align_pairs(pairs: DataFrame, keys: Sequence[str], left: str, right: str) ->
     keys = list(keys)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def joined(pdf: pd.DataFrame, at: list[int], got: list[np.ndarray]) -> pd.DataFrame:
+            size = [len(g) for g in got]
+            out = pd.DataFrame(np.concatenate(got), columns=["left_idx", "right_idx", "score"])
+            out = out.astype({"left_idx": "int64", "right_idx": "int64"})
+            named = {k: np.repeat(pdf[k].iloc[at].to_numpy(), size) for k in keys}
+            return out.assign(**named, pos=np.concatenate([np.arange(n) for n in size]))
+
         for pdf in batches:
-            for i in range(len(pdf)):
-                got = align_tokens(list(pdf[left].iat[i]), list(pdf[right].iat[i]))
-                if not got:
-                    continue
-                out = pd.DataFrame(got, columns=["left_idx", "right_idx", "score"])
-                yield out.assign(**{k: pdf[k].iat[i] for k in keys}, pos=np.arange(len(out)))
+            at: list[int] = []
+            found: list[np.ndarray] = []
+            held = 0
+            for i, (a, b) in enumerate(zip(pdf[left], pdf[right], strict=True)):
+                got = align_tokens(list(a), list(b), unit=unit)
+                if got:
+                    at.append(i)
+                    found.append(np.array(got))
+                    held += len(got)
+                if held >= BATCH_ROWS:
+                    yield joined(pdf, at, found)
+                    at, found, held = [], [], 0
+            if found:
+                yield joined(pdf, at, found)
 
     fields = ", ".join(f"{k} {pairs.schema[k].dataType.simpleString()}" for k in keys)
-    return pairs.select(*keys, left, right).mapInPandas(
+    return dealt(pairs.select(*keys, left, right), keys).mapInPandas(
         run, f"left_idx bigint, right_idx bigint, score double, {fields}, pos bigint"
     )
 
 
-def align(left: DataFrame, right: DataFrame, keys: Sequence[str], left_token: str, right_token: str, order: str = "idx") -> DataFrame:
+def align(
+    left: DataFrame, right: DataFrame, keys: Sequence[str], left_token: str, right_token: str, order: str = "idx", unit: str = "characters"
+) -> DataFrame:
     """Align two token tables per key, with caller-chosen key and token columns."""
     def packed(df: DataFrame, token: str, name: str) -> DataFrame:
         items = F.array_sort(F.collect_list(F.struct(order, F.col(token).alias("t"))))
@@ -173,7 +223,7 @@ def align(left: DataFrame, right: DataFrame, keys: Sequence[str], left_token: st
     both = packed(left, left_token, "_l").join(packed(right, right_token, "_r"), list(keys), "full")
     empty = F.array().cast("array<string>")
     both = both.withColumns({"_l": F.coalesce("_l", empty), "_r": F.coalesce("_r", empty)})
-    return align_pairs(both, keys, "_l", "_r")
+    return align_pairs(both, keys, "_l", "_r", unit)
 
 
 def alignment_score(pairs: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -208,7 +258,7 @@ def candidate_pairs(left: DataFrame, right: DataFrame, size: int = 5, min_shared
     return shared.filter(F.col("shared") >= min_shared)
 
 
-def align_corpus(left: DataFrame, right: DataFrame, size: int = 5, accept: float = 0.4) -> DataFrame:
+def align_corpus(left: DataFrame, right: DataFrame, size: int = 5, accept: float = 0.4, unit: str = "characters") -> DataFrame:
     """Align every blocked pair of two text tables and keep word pairs above the threshold.
 
     ``left(left_id, text)``, ``right(right_id, text)``.
@@ -217,5 +267,5 @@ def align_corpus(left: DataFrame, right: DataFrame, size: int = 5, accept: float
     rt = right.select("right_id", F.split(X.norm_match("text"), " ").alias("tokens"))
     pairs = candidate_pairs(lt, rt, size)
     rows = pairs.join(lt.withColumnRenamed("tokens", "_l"), "left_id").join(rt.withColumnRenamed("tokens", "_r"), "right_id")
-    aligned = align_pairs(rows, ["left_id", "right_id"], "_l", "_r")
+    aligned = align_pairs(rows, ["left_id", "right_id"], "_l", "_r", unit)
     return aligned.filter(F.col("score") >= accept)
