@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cuestream.functions import text as X
-from cuestream.operators.align import align_tokens, shingles, windows
+from cuestream.operators.align import BATCH_ROWS, align_tokens, dealt, shingles, windows
 from cuestream.operators.ordered import fill_unmatched_words
 from cuestream.operators.postprocess import PostProcessOptions, post_process
 from cuestream.plans.session import cut_lineage
@@ -82,29 +82,36 @@ def line_words(lines: DataFrame) -> DataFrame:
 TIMES = "track_id string, cue_id bigint, word_idx bigint, start_us bigint, end_us bigint, confidence double, score double"
 
 
-def transfer_times(pairs: DataFrame, accept: float = ACCEPT) -> DataFrame:
+def transfer_times(pairs: DataFrame, accept: float = ACCEPT, unit: str = "characters") -> DataFrame:
     """Every word of ``said`` with the times of the word it is aligned with, or nulls, and the track's score.
 
     ``pairs``: track_id, ``said`` (cue_id, word_idx, norm in order) and ``heard`` (norm, start_us,
     end_us, confidence in order), both of one recording. The score is the mean similarity
-    over all aligned places.
+    over all aligned places; ``unit`` is what edits of a word are counted in.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def joined(rows: list[tuple]) -> pd.DataFrame:
+            out = pd.DataFrame(rows, columns=[f.split()[0] for f in TIMES.split(", ")])
+            return out.astype({"start_us": "Int64", "end_us": "Int64", "confidence": "Float64"})
+
         for pdf in batches:
+            rows: list[tuple] = []
             for track, said, heard in zip(pdf.track_id, pdf.said, pdf.heard, strict=True):
-                got = align_tokens([w["norm"] for w in said], [w["norm"] for w in heard])
+                got = align_tokens([w["norm"] for w in said], [w["norm"] for w in heard], unit=unit)
                 score = sum(s for _, _, s in got) / len(got) if got else 0.0
-                rows = []
                 for i, j, s in got:
                     if i >= 0:
                         w, t = said[i], heard[j] if j >= 0 and s >= accept else None
                         times = (t["start_us"], max(t["start_us"], t["end_us"]), min(0.95, s * t["confidence"])) if t is not None else (None,) * 3
                         rows.append((track, w["cue_id"], w["word_idx"], *times, score))
-                out = pd.DataFrame(rows, columns=[f.split()[0] for f in TIMES.split(", ")])
-                yield out.astype({"start_us": "Int64", "end_us": "Int64", "confidence": "Float64"})
+                if len(rows) >= BATCH_ROWS:
+                    yield joined(rows)
+                    rows = []
+            if rows:
+                yield joined(rows)
 
-    return pairs.select(F.col("track_id").cast("string"), "said", "heard").mapInPandas(run, TIMES)
+    return dealt(pairs.select(F.col("track_id").cast("string"), "said", "heard"), ["track_id"]).mapInPandas(run, TIMES)
 
 
 def _packed(words: DataFrame, order: list[str], fields: list[str], name: str) -> DataFrame:
@@ -113,7 +120,9 @@ def _packed(words: DataFrame, order: list[str], fields: list[str], name: str) ->
     return words.groupBy("track_id").agg(F.transform(items, lambda x: F.struct(*[x[f].alias(f) for f in fields])).alias(name))
 
 
-def reconcile(lines: DataFrame, transcript: DataFrame, accept: float = ACCEPT, options: PostProcessOptions | None = PostProcessOptions()) -> tuple[DataFrame, DataFrame]:
+def reconcile(
+    lines: DataFrame, transcript: DataFrame, accept: float = ACCEPT, options: PostProcessOptions | None = PostProcessOptions(), unit: str = "characters"
+) -> tuple[DataFrame, DataFrame]:
     """Lines and words with the transcript's times.
 
     ``lines(track_id, cue_id, text, start_us, end_us)`` with cue ids in line order,
@@ -128,7 +137,7 @@ def reconcile(lines: DataFrame, transcript: DataFrame, accept: float = ACCEPT, o
     pairs = _packed(words, ["cue_id", "word_idx"], ["cue_id", "word_idx", "norm"], "said").join(
         _packed(heard, ["idx"], ["norm", "start_us", "end_us", "confidence"], "heard"), "track_id"
     )
-    timed = transfer_times(pairs, accept)
+    timed = transfer_times(pairs, accept, unit)
     score = timed.groupBy("track_id").agg(F.max("score").alias("score"))
     at = lines.select("track_id", "cue_id", F.col("start_us").alias("line_us"))
     sure = F.col("start_us").isNotNull()
