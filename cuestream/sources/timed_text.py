@@ -7,8 +7,11 @@ few ordered steps use plain windows. Words come as arrays of
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cuestream.functions import text as X
 from cuestream.functions.timecode import parse_clock, us_from_ms, us_from_seconds
@@ -63,7 +66,8 @@ def _words(pieces: Column, starts: Column, clean) -> Column:
     """Words from the text between marks; each ends at the next mark, the last at its own start.
 
     Text, start and next start are zipped first, so the lambda touches each
-    element once and never recomputes an array.
+    element once. ``pieces`` and ``starts`` should be columns of their own: they are
+    read several times, and an expression would be computed each time.
     """
     n = F.size(starts)
     zipped = F.arrays_zip(
@@ -121,7 +125,9 @@ def lrc_meta(files: DataFrame) -> DataFrame:
     )
 
 
-def _numbered(cues: DataFrame, *order: str) -> DataFrame:
+def _numbered(cues: DataFrame, *order: str, words: Column | None = None) -> DataFrame:
+    """Cues in order with their number; ``words`` stands in for words that are made afterwards."""
+    cues = cues if words is None else cues.withColumn("words", words)
     scan = OrderedScan.over(cues, ["file"], list(order), hot=False).add(cue_seq=position())
     return scan.done().withColumn("cue_seq", F.col("cue_seq") - 1).select(*CUE_COLUMNS)
 
@@ -133,7 +139,8 @@ def parse_lrc(files: DataFrame, apply_offset: bool = False) -> DataFrame:
     rest = X.compose(F.regexp_replace("line", rf"^.*{LRC_TIME}", ""))
     df = df.withColumn("rest", rest).withColumn("text", X.clean_display(F.regexp_replace("rest", LRC_WORD, "")))
     df = df.filter(F.col("text") != "")
-    words = _words(F.split("rest", LRC_WORD), _lrc_times(F.col("rest"), LRC_WORD), F.trim)
+    df = df.withColumns({"pieces": F.split("rest", LRC_WORD), "starts": _lrc_times(F.col("rest"), LRC_WORD)})
+    words = _words(F.col("pieces"), F.col("starts"), F.trim)
     cues = df.withColumn("words", words).select(
         "file", "line_no", "text", "words", F.posexplode("stamps").alias("stamp_no", "start_us")
     )
@@ -187,7 +194,8 @@ def parse_srt_vtt(files: DataFrame, fmt: str) -> DataFrame:
             F.arrays_zip(*[p.alias(n) for p, n in zip(parts, "hmsf", strict=True)]),
             lambda t: (((_number(t["h"]) * 60 + _number(t["m"])) * 60 + _number(t["s"])) * 1000 + _number(t["f"])) * 1000,
         )
-        words = _words(F.split("raw", VTT_TIME), starts, lambda x: X.clean_display(strip_tags(x)))
+        df = df.withColumns({"pieces": F.split("raw", VTT_TIME), "starts": starts})
+        words = _words(F.col("pieces"), F.col("starts"), lambda x: X.clean_display(strip_tags(x)))
     else:
         words = F.array().cast(WORDS)
     cues = df.select("file", "block_no", "text", us(1).alias("start_us"), us(5).alias("end_us"), words.alias("words"))
@@ -207,24 +215,29 @@ ASS_KARAOKE = r"\{\\[kK](?:f|o)?(\d+)\}([^{}]*)"
 def strip_overrides(text: Column) -> Column:
     s = F.regexp_replace(text, r"\{[^}]*\}", "")
     s = F.regexp_replace(s, r"(?i)\\N", "\n")
-    return F.regexp_replace(s, r"\\h", " ")
+    return F.when(text.rlike(r"[{\\]"), F.regexp_replace(s, r"\\h", " ")).otherwise(text)
 
 
-def karaoke_words(text: Column, start: Column) -> Column:
+@F.pandas_udf(T.ArrayType(T.LongType()))
+def _running_sums(values: pd.Series) -> pd.Series:
+    return values.map(np.cumsum, na_action="ignore")
+
+
+def karaoke_lengths(text: Column) -> Column:
+    return F.transform(F.regexp_extract_all(text, F.lit(ASS_KARAOKE), F.lit(1)), lambda n: _number(n) * 10_000)
+
+
+def karaoke_words(text: Column, start: Column, lengths: Column | None = None) -> Column:
     """Words of karaoke tags; a tag without text still moves the time on."""
-    pairs = F.arrays_zip(
-        F.regexp_extract_all(text, F.lit(ASS_KARAOKE), F.lit(1)).alias("cs"),
-        F.regexp_extract_all(text, F.lit(ASS_KARAOKE), F.lit(2)).alias("t"),
-    )
+    lengths = karaoke_lengths(text) if lengths is None else lengths
+    shown = F.transform(F.regexp_extract_all(text, F.lit(ASS_KARAOKE), F.lit(2)), lambda t: X.clean_display(strip_overrides(t)))
+    zipped = F.arrays_zip(shown.alias("t"), lengths.alias("n"), _running_sums(lengths).alias("e"))
+    zero = F.coalesce(start, F.lit(0)).cast("long")
 
-    def step(acc: Column, p: Column) -> Column:
-        end = acc["at"] + _number(p["cs"]) * 10_000
-        shown = X.clean_display(strip_overrides(p["t"]))
-        word = F.struct(shown.alias("text"), acc["at"].alias("start_us"), end.alias("end_us"))
-        return F.struct(end.alias("at"), F.when(shown != "", F.array_append(acc["out"], word)).otherwise(acc["out"]).alias("out"))
+    def word(z: Column) -> Column:
+        return F.struct(z["t"].alias("text"), (zero + z["e"] - z["n"]).alias("start_us"), (zero + z["e"]).alias("end_us"))
 
-    zero = F.struct(F.coalesce(start, F.lit(0)).cast("long").alias("at"), F.array().cast(WORDS).alias("out"))
-    return F.aggregate(pairs, zero, step)["out"]
+    return F.transform(F.filter(zipped, lambda z: z["t"] != ""), word).cast(WORDS)
 
 
 def _ass_rows(files: DataFrame) -> DataFrame:
@@ -253,9 +266,11 @@ def parse_ass(files: DataFrame) -> DataFrame:
         X.clean_display(strip_overrides(text)).alias("text"),
         start.alias("start_us"),
         end.alias("end_us"),
-        karaoke_words(text, start).alias("words"),
+        text.alias("sung"),
     ).filter(F.col("text") != "")
-    return _numbered(cues.withColumn("_at", F.coalesce("start_us", F.lit(0))), "_at", "line_no")
+    numbered = _numbered(cues.withColumn("_at", F.coalesce("start_us", F.lit(0))), "_at", "line_no", words=F.col("sung"))
+    timed = numbered.withColumn("_n", karaoke_lengths(F.col("words")))
+    return timed.withColumn("words", karaoke_words(F.col("words"), F.col("start_us"), F.col("_n"))).drop("_n")
 
 
 def ass_meta(files: DataFrame) -> DataFrame:
