@@ -181,8 +181,7 @@ def src06(spark, sf_dir):
 
 @query("src06_ass_notes", "SELECT doc_id AS file, 'Doc ' || doc_id AS title, CAST(1 AS BIGINT) AS n_warnings FROM documents")
 def src06_notes(spark, sf_dir):
-    files = ass_files(spark, sf_dir)
-    return TT.ass_meta(files).join(TT.malformed_dialogue(files), "file", "left")
+    return TT.ass_notes(ass_files(spark, sf_dir))
 
 
 @query(

@@ -283,6 +283,20 @@ def malformed_dialogue(files: DataFrame) -> DataFrame:
     return _dialogue(files).groupBy("file").agg(F.coalesce(F.count_if(F.size("f") < 10), F.lit(0)).alias("n_warnings"))
 
 
+def ass_notes(files: DataFrame) -> DataFrame:
+    """Title of every file that has one, with its malformed dialogue lines, from one pass over the lines."""
+    section, line = F.col("section"), F.col("line")
+    titled = (section == "script info") & line.rlike("(?i)^title *:")
+    spoken = (section == "events") & line.rlike("(?i)^Dialogue:")
+    payload = F.regexp_replace("line", "^[^:]*:", "")
+    notes = _ass_rows(files).filter(titled | spoken).groupBy("file").agg(
+        F.max_by(F.trim(payload), F.when(titled, F.col("line_no"))).alias("title"),
+        F.sum(F.when(spoken, (F.size(F.split(payload, ",", 10)) < 10).cast("long"))).alias("n_warnings"),
+        F.count_if(titled).alias("_titles"),
+    )
+    return notes.filter(F.col("_titles") > 0).drop("_titles")
+
+
 # Time units, and the names under which JSON keeps times and lists.
 UNITS = ("microseconds", "milliseconds", "seconds")
 TIME_NUMBER = r'"(?:start|end|time|timestamp)"\s*:\s*(-?\d+(?:\.\d+)?(?:[eE][+-]?\d+)?)'
