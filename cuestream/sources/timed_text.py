@@ -7,11 +7,8 @@ few ordered steps use plain windows. Words come as arrays of
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from cuestream.functions import text as X
 from cuestream.functions.timecode import parse_clock, us_from_ms, us_from_seconds
@@ -218,11 +215,6 @@ def strip_overrides(text: Column) -> Column:
     return F.when(text.rlike(r"[{\\]"), F.regexp_replace(s, r"\\h", " ")).otherwise(text)
 
 
-@F.pandas_udf(T.ArrayType(T.LongType()))
-def _running_sums(values: pd.Series) -> pd.Series:
-    return values.map(np.cumsum, na_action="ignore")
-
-
 def karaoke_lengths(text: Column) -> Column:
     return F.transform(F.regexp_extract_all(text, F.lit(ASS_KARAOKE), F.lit(1)), lambda n: _number(n) * 10_000)
 
@@ -231,7 +223,7 @@ def karaoke_words(text: Column, start: Column, lengths: Column | None = None) ->
     """Words of karaoke tags; a tag without text still moves the time on."""
     lengths = karaoke_lengths(text) if lengths is None else lengths
     shown = F.transform(F.regexp_extract_all(text, F.lit(ASS_KARAOKE), F.lit(2)), lambda t: X.clean_display(strip_overrides(t)))
-    zipped = F.arrays_zip(shown.alias("t"), lengths.alias("n"), _running_sums(lengths).alias("e"))
+    zipped = F.arrays_zip(shown.alias("t"), lengths.alias("n"), X.running_sums(lengths).alias("e"))
     zero = F.coalesce(start, F.lit(0)).cast("long")
 
     def word(z: Column) -> Column:
