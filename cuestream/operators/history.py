@@ -14,15 +14,18 @@ it; levels above the final depth are undone.
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cuestream.plans.groups import fold_groups, numbers
+from cuestream.plans.groups import NO_KEY, fold_groups, long_groups, numbers
 
 CHUNK = 4096
+SMALL_CHUNKS = 16
 DO, UNDO, REDO = 0, 1, 2
 
 
@@ -97,6 +100,46 @@ def _numbered(log: DataFrame) -> DataFrame:
     return rows.withColumn("chunk", F.floor(F.col("seq") / CHUNK))
 
 
+def _replay_small(rows: DataFrame, limit: int | None) -> DataFrame:
+    """Logs read one after the other, each on a plain stack."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, past, future, settled = None, [], [], 0
+        for batch in batches:
+            ids, seqs, flags = [], [], []
+
+            def done() -> None:
+                ids.extend([None if now == NO_KEY else now] * len(past))
+                seqs.extend(past)
+                flags.extend([i >= settled for i in range(len(past))])
+
+            tracks = pc.fill_null(batch.column("track_id").cast(pa.int64()), NO_KEY).to_pylist()
+            for track, seq, op in zip(tracks, batch.column("seq").to_pylist(), batch.column("op").to_pylist(), strict=True):
+                if track != now:
+                    if now is not None:
+                        done()
+                    now, past, future, settled = track, [], [], 0
+                if op == DO:
+                    past.append(seq)
+                    future.clear()
+                elif op == UNDO and len(past) > settled:
+                    future.append(past.pop())
+                elif op == REDO and future:
+                    past.append(future.pop())
+                if limit is not None and len(past) - settled > limit:
+                    settled = len(past) - limit
+            yield _effective(ids, seqs, flags)
+        if now is not None:
+            yield _effective([None if now == NO_KEY else now] * len(past), past, [i >= settled for i in range(len(past))])
+
+    def _effective(ids: list, seqs: list, flags: list) -> pa.RecordBatch:
+        columns = [pa.array(ids, pa.int64()), pa.array(seqs, pa.int64()), pa.array(flags, pa.bool_())]
+        return pa.RecordBatch.from_arrays(columns, ["track_id", "seq", "undoable"])
+
+    dealt = rows.select("track_id", "seq", "op").repartition("track_id").sortWithinPartitions("track_id", "seq")
+    return dealt.mapInArrow(run, "track_id long, seq long, undoable boolean")
+
+
 def replay_history(log: DataFrame, limit: int | None = None) -> DataFrame:
     """Commands in effect after undos and redos: ``(track_id, seq, undoable)``.
 
@@ -104,7 +147,7 @@ def replay_history(log: DataFrame, limit: int | None = None) -> DataFrame:
     a log; a batch is one ``do`` row. With a ``limit``, older commands stay in effect but
     cannot be undone; without one, every command can.
     """
-    rows = _numbered(log)
+    short, rows = long_groups(_numbered(log), "track_id", SMALL_CHUNKS * CHUNK)
 
     def tabulate(key: tuple, table: pa.Table) -> pa.RecordBatch:
         packed = ChunkTable(numbers(table, "op"), limit).pack()
@@ -168,4 +211,5 @@ def replay_history(log: DataFrame, limit: int | None = None) -> DataFrame:
     reached = fold_groups(told, ["track_id", "chunk"], ["seq"], "track_id long, level long, seq long", levels)
     last = reached.groupBy("track_id", "level").agg(F.max("seq").alias("seq"))
     met = last.join(ends, F.col("track_id").eqNullSafe(F.col("of")) & (F.col("level") <= F.col("depth")))
-    return met.select("track_id", "seq", (F.col("level") > F.col("settled")).alias("undoable"))
+    cut = met.select("track_id", "seq", (F.col("level") > F.col("settled")).alias("undoable"))
+    return _replay_small(short, limit).unionByName(cut)

@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 NO_KEY = -(1 << 63)
 Arrays = dict[str, np.ndarray]
@@ -58,5 +59,16 @@ def fold_groups(
     return dealt.select(*names).mapInArrow(run, schema)
 
 
+def long_groups(rows: DataFrame, key: str, limit: int) -> tuple[DataFrame, DataFrame]:
+    """Rows of groups of up to ``limit`` rows, and those of longer ones; null is a group of its own.
+
+    Only the keys of longer groups are broadcast, one for each ``limit`` rows at most.
+    """
+    longer = rows.groupBy(F.col(key).alias("_long")).count().filter(F.col("count") > limit).select("_long", F.lit(True).alias("_hot"))
+    marked = rows.join(F.broadcast(longer), F.col(key).eqNullSafe(F.col("_long")), "left")
+    short = marked.filter(F.col("_hot").isNull()).select(*rows.columns)
+    return short, marked.filter(F.col("_hot")).select(*rows.columns)
+
+
 def numbers(table: pa.Table, name: str) -> np.ndarray:
     return table.column(name).to_numpy()

@@ -7,6 +7,7 @@ import pytest
 
 from conftest import rows
 from cuestream.operators import history as H
+from cuestream.plans.groups import fold_groups
 
 SCHEMA = "track_id long, seq long, op string, extra string"
 
@@ -70,3 +71,25 @@ def test_building_starts_no_job_and_empty_log(spark):
     df = H.replay_history(empty)
     assert len(tracker.getJobIdsForGroup(None)) == before
     assert df.collect() == []
+
+
+@pytest.mark.parametrize("limit", [None, 0, 3])
+def test_short_logs_are_not_cut(spark, monkeypatch, limit):
+    """A log whose few commands lie in many ranges of numbers is one group, not one for each range."""
+    data = log(7, 400, (5, 3, 2, 1))
+    spread_out = [(t, 5000 * seq, op, x) for t, seq, op, x in data]
+    cut = []
+    monkeypatch.setattr(H, "fold_groups", lambda df, *a: cut.append(df) or fold_groups(df, *a))
+    got = rows(H.replay_history(spark.createDataFrame(spread_out, SCHEMA), limit), "track_id", "seq", "undoable")
+    assert got == plain(spread_out, limit)
+    assert all(df.count() == 0 for df in cut)
+
+
+def test_short_and_long_logs_together(spark, monkeypatch):
+    monkeypatch.setattr(H, "CHUNK", 8)
+    data = log(3, 900, (4, 3, 3, 0))
+    sizes = [sum(r[0] == t for r in data) for t in (1, 2, None)]
+    assert min(sizes) < 300 < max(sizes)
+    monkeypatch.setattr(H, "SMALL_CHUNKS", 300 // 8)
+    got = rows(H.replay_history(spark.createDataFrame(data, SCHEMA), 4), "track_id", "seq", "undoable")
+    assert got == plain(data, 4)
