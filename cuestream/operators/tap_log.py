@@ -10,6 +10,9 @@ A pass over a session's chunks then holds the real stack, compares, and applies
 does as a whole; a chunk whose guess was wrong is run again there, from its own commands,
 which travel along compressed. The result is that of the plain run in any case; the work per
 command is done by chunks, in parallel.
+
+Most sessions are short. One of up to ``SMALL_CHUNKS`` chunks' worth of commands is the plain
+run, as it is read; only longer ones are cut.
 """
 
 from __future__ import annotations
@@ -23,9 +26,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cuestream.functions.timecode import ms
-from cuestream.plans.groups import fold_groups, numbers
+from cuestream.plans.groups import fold_groups, long_groups, numbers
 
 CHUNK = 4096
+SMALL_CHUNKS = 16
 CLOSE = ms(40)
 GAP = ms(150)
 KINDS = ("TAP", "REDO_LAST_TAP", "UNDO", "RESET", "SET_COMPENSATION", "SET_GAP", "NUDGE")
@@ -187,13 +191,63 @@ class Session:
         self.apply(effect.run(kinds, *rest).pack())
 
 
+COMMANDS = ("kind", "time_us", "line_index", "amount")
+TAPS = "track_id bigint, line_index bigint, time_us bigint, tap_seq bigint, compensation_us bigint, gap_us bigint"
+
+
 def fold_tap_log(log: DataFrame, line_counts: DataFrame) -> DataFrame:
     """Final taps per session of a command log ``(track_id, seq, type, time_us, line_index, amount)``.
 
-    A reset forgets all but the two settings, so only the commands after the last one are
-    folded and the settings before it come from an aggregate. Memory of the last pass is the
-    stack of one session, not its commands.
+    In a long log a reset forgets all but the two settings, so only the commands after the last
+    one are folded and the settings before it come from an aggregate. Memory of the last pass is
+    the stack of one session, not its commands.
     """
+    short, cut = long_groups(log, "track_id", SMALL_CHUNKS * CHUNK)
+    return _fold_short(short, line_counts).unionByName(_fold_long(cut, line_counts))
+
+
+def _numbered(log: DataFrame) -> DataFrame:
+    kind = F.array_position(F.array(*[F.lit(k) for k in KINDS]), F.col("type")) - 1
+    return log.select(
+        "track_id", F.col("seq").cast("long").alias("seq"), kind.cast("long").alias("kind"),
+        *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in COMMANDS[1:]],
+    ).filter("kind >= 0")
+
+
+def _fold_short(log: DataFrame, line_counts: DataFrame) -> DataFrame:
+    """Sessions read one after the other; a row with the number of lines comes before the commands."""
+    none = F.lit(None).cast("long")
+    lines = line_counts.select("track_id", F.col("n_lines").cast("long").alias("lines"), none.alias("seq"), *[none.alias(c) for c in COMMANDS])
+    mixed = lines.filter("lines is not null").unionByName(_numbered(log).withColumn("lines", none)).filter("track_id is not null")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, state = None, None
+        for batch in batches:
+            out = []
+            for track, lines, kind, *rest in zip(*[batch.column(c).to_pylist() for c in ("track_id", "lines", *COMMANDS)], strict=True):
+                if track != now:
+                    if state is not None:
+                        out.append((now, state))
+                    now, state = track, None
+                if lines is not None:
+                    state = TapState(lines)
+                elif state is not None:
+                    state.apply(KINDS[kind], *rest)
+            yield _taken(out)
+        if state is not None:
+            yield _taken([(now, state)])
+
+    def _taken(sessions: list[tuple[int, TapState]]) -> pa.RecordBatch:
+        found = [(track, *tap, s.compensation, s.gap) for track, s in sessions for tap in s.taps]
+        return pa.RecordBatch.from_arrays(
+            [pa.array([r[i] for r in found], pa.int64()) for i in range(6)], [f.split()[0] for f in TAPS.split(", ")]
+        )
+
+    dealt = mixed.withColumn("track_id", F.col("track_id").cast("long")).repartition("track_id")
+    return dealt.sortWithinPartitions("track_id", F.col("lines").isNull(), "seq").mapInArrow(run, TAPS)
+
+
+def _fold_long(log: DataFrame, line_counts: DataFrame) -> DataFrame:
     last = log.groupBy("track_id").agg(F.max(F.when(F.col("type") == "RESET", F.col("seq"))).alias("_reset"))
     seen = log.join(last, "track_id")
     live = F.col("_reset").isNull() | (F.col("seq") > F.col("_reset"))
@@ -203,17 +257,12 @@ def fold_tap_log(log: DataFrame, line_counts: DataFrame) -> DataFrame:
             for kind, name in (("SET_COMPENSATION", "_comp"), ("SET_GAP", "_gap"))
         ]
     )
-    kind = F.array_position(F.array(*[F.lit(k) for k in KINDS]), F.col("type")) - 1
     told = line_counts.select("track_id", F.col("n_lines").cast("long").alias("lines")).join(old, "track_id", "left")
     starts = told.select(
         "track_id", "lines", F.coalesce("_comp", F.lit(0)).cast("long").alias("comp"), F.coalesce("_gap", F.lit(GAP)).cast("long").alias("gap")
     )
-    rows = seen.filter(live).select(
-        "track_id", F.col("seq").cast("long").alias("seq"), kind.cast("long").alias("kind"),
-        *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("time_us", "line_index", "amount")],
-    ).filter("kind >= 0")
-    rows = rows.withColumn("chunk", F.floor(F.col("seq") / CHUNK))
-    commands = ("kind", "time_us", "line_index", "amount")
+    rows = _numbered(seen.filter(live)).withColumn("chunk", F.floor(F.col("seq") / CHUNK))
+    commands = COMMANDS
 
     def sketch(key: tuple, table: pa.Table) -> pa.RecordBatch:
         """Net change of the number of taps and its lowest point, far from both ends, and the last settings."""
@@ -281,8 +330,7 @@ def fold_tap_log(log: DataFrame, line_counts: DataFrame) -> DataFrame:
         if session is not None:
             yield _taps(now, session)
 
-    schema = "track_id bigint, line_index bigint, time_us bigint, tap_seq bigint, compensation_us bigint, gap_us bigint"
-    return done.repartition("track_id").sortWithinPartitions("track_id", "chunk").mapInArrow(chain, schema)
+    return done.repartition("track_id").sortWithinPartitions("track_id", "chunk").mapInArrow(chain, TAPS)
 
 
 def _taps(track: int | None, s: Session) -> pa.RecordBatch:

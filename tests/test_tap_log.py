@@ -6,6 +6,7 @@ import pytest
 
 from conftest import rows
 from cuestream.operators import tap_log as T
+from cuestream.plans.groups import fold_groups
 
 SCHEMA = "track_id long, seq long, type string, time_us long, line_index long, amount long"
 
@@ -41,6 +42,27 @@ def test_chunks_match_the_plain_run(spark, monkeypatch, weights, lines):
     assert rows(got, "track_id", "line_index", "time_us", "tap_seq", "compensation_us", "gap_us") == plain(data, lines)
 
 
+@pytest.mark.parametrize("small", [0, 8, 100])
+def test_short_and_long_sessions_together(spark, monkeypatch, small):
+    monkeypatch.setattr(T, "CHUNK", 32)
+    monkeypatch.setattr(T, "SMALL_CHUNKS", small)
+    data = [*log(5, 700, (9, 2, 3, 0.05, 1, 1, 2, 1)), (3, 0, "TAP", 5, 0, 0), (None, 0, "TAP", 5, 0, 0)]
+    counts = spark.createDataFrame([(1, 1000), (2, 7), (4, 3), (5, None)], "track_id long, n_lines long")
+    got = T.fold_tap_log(spark.createDataFrame(data, SCHEMA), counts)
+    assert rows(got, "track_id", "line_index", "time_us", "tap_seq", "compensation_us", "gap_us") == plain(data, {1: 1000, 2: 7})
+
+
+def test_short_sessions_are_not_cut(spark, monkeypatch):
+    """A session whose few commands lie in many ranges of numbers is one group, not one for each range."""
+    data = [(r[0], 5000 * r[1], *r[2:]) for r in log(6, 300, (9, 2, 3, 0.05, 1, 1, 2, 1))]
+    cut = []
+    monkeypatch.setattr(T, "fold_groups", lambda df, *a: cut.append(df) or fold_groups(df, *a))
+    counts = spark.createDataFrame([(1, 1000), (2, 7)], "track_id long, n_lines long")
+    got = T.fold_tap_log(spark.createDataFrame(data, SCHEMA), counts)
+    assert rows(got, "track_id", "line_index", "time_us", "tap_seq", "compensation_us", "gap_us") == plain(data, {1: 1000, 2: 7})
+    assert cut[0].count() == 0
+
+
 def test_effects_hold_or_say_that_they_do_not():
     rng = random.Random(8)
     applied = 0
