@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 
 from pyspark.sql import functions as F
 
@@ -62,9 +63,8 @@ def project_docs(spark, sf_dir):
         '"@FPS"': F.when(k == 2, "90").otherwise("30"),
         "@ID": F.col("o_orderkey").cast("string"),
     }
-    raw = F.lit(TEMPLATE)
-    for mark, value in fills.items():
-        raw = F.replace(raw, F.lit(mark), value)
+    parts = re.split(f"({'|'.join(map(re.escape, fills))})", TEMPLATE)
+    raw = F.concat(*[fills[p] if p in fills else F.lit(p) for p in parts])
     return spread(A.table(spark, sf_dir, "orders")).select(
         F.col("o_orderkey").alias("project_id"), F.when(k == 7, F.lit("[1]")).otherwise(raw).alias("raw_json")
     )

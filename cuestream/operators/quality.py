@@ -1,7 +1,7 @@
 """Document checks: rule trees over JSON, versions, defaults, keys, kinds, export settings.
 
-A document is parsed once into a VARIANT; a rule tree is compiled into column
-expressions that collect issues, so a row never leaves the JVM.
+A document is parsed once into a VARIANT and opened once into a struct of its leaves; a rule
+tree is compiled into column expressions that collect issues, so a row never leaves the JVM.
 """
 
 from __future__ import annotations
@@ -100,65 +100,91 @@ def _show(value: float) -> str:
     return str(int(value)) if float(value).is_integer() else str(value)
 
 
-def _value_checks(rule: Rule, read: str, path: str) -> list[str]:
-    """SQL of range and membership checks of a value whose type is already right."""
-
-    def check(condition: str, message: str, code: str) -> str:
-        return f"CASE WHEN {condition} THEN {_issue_sql(path, message, code)} END"
-
+def _value_checks(rule: Rule, value: str, path: str) -> list[tuple[str, str]]:
+    """SQL of range and membership checks of a value whose type is already right, each with its issue."""
     out = []
     if rule.kind == "number":
-        n = read.format("double")
         if rule.whole:
-            out.append(check(f"{n} <> floor({n})", "'Expected integer, received float'", "invalid_type"))
+            out.append((f"{value} <> floor({value})", _issue_sql(path, "'Expected integer, received float'", "invalid_type")))
         if rule.low is not None:
             sign, words = ("<=", "greater than") if rule.above else ("<", "greater than or equal to")
-            out.append(check(f"{n} {sign} {rule.low}", f"'Number must be {words} {_show(rule.low)}'", "too_small"))
-        if rule.high is not None:
-            out.append(check(f"{n} > {rule.high}", f"'Number must be less than or equal to {_show(rule.high)}'", "too_big"))
-    elif rule.kind == "string":
-        n = f"length({read.format('string')})"
-        if rule.low:
-            out.append(check(f"{n} < {rule.low}", f"'String must contain at least {rule.low} character(s)'", "too_small"))
+            out.append((f"{value} {sign} {rule.low}", _issue_sql(path, f"'Number must be {words} {_show(rule.low)}'", "too_small")))
         if rule.high is not None:
-            out.append(check(f"{n} > {rule.high}", f"'String must contain at most {rule.high} character(s)'", "too_big"))
+            out.append((f"{value} > {rule.high}", _issue_sql(path, f"'Number must be less than or equal to {_show(rule.high)}'", "too_big")))
     elif rule.kind == "enum":
-        value = read.format("string")
         said = f"concat({_quote(f'Invalid enum value. Expected {_names(rule.values)}, received ')}, {_quote(chr(39))}, {value}, {_quote(chr(39))})"
-        out.append(check(f"{value} NOT IN ({', '.join(map(_quote, rule.values))})", said, "invalid_enum_value"))
-    elif rule.kind == "array":
-        n = f"size({read.format('array<variant>')})"
+        out.append((f"{value} NOT IN ({', '.join(map(_quote, rule.values))})", _issue_sql(path, said, "invalid_enum_value")))
+    elif rule.kind in ("string", "array"):
+        head, unit, n = ("String", "character(s)", f"length({value})") if rule.kind == "string" else ("Array", "element(s)", f"size({value})")
         if rule.low:
-            out.append(check(f"{n} < {rule.low}", f"'Array must contain at least {rule.low} element(s)'", "too_small"))
+            out.append((f"{n} < {rule.low}", _issue_sql(path, f"'{head} must contain at least {rule.low} {unit}'", "too_small")))
         if rule.high is not None:
-            out.append(check(f"{n} > {rule.high}", f"'Array must contain at most {rule.high} element(s)'", "too_big"))
+            out.append((f"{n} > {rule.high}", _issue_sql(path, f"'{head} must contain at most {rule.high} {unit}'", "too_big")))
     return out
 
 
-def rule_sql(rule: Rule, root: str, at: str, path: str, brackets: bool, depth: int = 0) -> str:
-    """SQL for the array of issues of the value at ``root`` + ``at``, children included, in rule order.
+def _bound_type(rule: Rule) -> str:
+    """Type that opens a document down to its leaves in one step; what is of another kind becomes null."""
+    if rule.kind == "object" and rule.fields:
+        return f"struct<{','.join(f'`{name}`:{_bound_type(child)}' for name, child in rule.fields.items())}>"
+    return {"array": "array<variant>", "object": "map<string,variant>"}.get(rule.kind, "variant")
+
+
+def _field(path: str, name: str) -> str:
+    """SQL of the path of a field; paths outside arrays are literals."""
+    if path == "''":
+        return f"'{name}'"
+    return f"{path[:-1]}.{name}'" if path.startswith("'") else f"concat({path}, '.{name}')"
+
+
+class Scope:
+    """A document or array element: its variant, and lists of what its leaves hold, each read once."""
 
-    Every node reads its value by one path from the nearest bound variant (the
-    document, or an array element), so the expression grows linearly with the tree.
+    TYPES = {"number": "double", "string": "string", "enum": "string"}
+
+    def __init__(self, root: str, of: str):
+        self.root, self.of = root, of
+        self.lists: dict[str, list[str]] = {"kind": [], "double": [], "string": []}
+
+    def read(self, name: str, value: str) -> str:
+        self.lists[name].append(value)
+        return f"{self.of}{name}[{len(self.lists[name]) - 1}]"
+
+    def leaf(self, rule: Rule, held: str) -> tuple[str, str | None]:
+        """SQL of the kind of a leaf and of its value as the type its checks want."""
+        want = self.TYPES.get(rule.kind)
+        return self.read("kind", held), want and self.read(want, held)
+
+    def columns(self) -> dict[str, str]:
+        """SQL of the lists. One function over an array of leaves is short code, which the JVM compiles well."""
+        each = {"kind": "schema_of_variant(y)", "double": "try_variant_get(y, '$', 'double')", "string": "try_variant_get(y, '$', 'string')"}
+        return {name: f"transform(array({', '.join(held)}), y -> {each[name]})" for name, held in self.lists.items() if held}
+
+
+def rule_sql(rule: Rule, scope: Scope, at: str, held: str, path: str, brackets: bool, depth: int = 0) -> str:
+    """SQL for the array of issues of one value, children included, in rule order.
+
+    ``held`` is the value as part of the opened document (or array element): an object is a
+    struct, an array an array, a leaf a variant. A struct or array that is null is missing or
+    of another kind; only then is the value read again, from the variant of the scope at ``at``,
+    to name its kind. The type of a whole object, which lists all it holds, is never asked for.
     """
-    read = f"try_variant_get({root}, '${at}', '{{}}')"
-    kind = f"schema_of_variant({read.format('variant')})"
+    leaf = rule.kind not in ("object", "array")
+    read = f"try_variant_get({scope.root}, '${at}', '{{}}')"
+    kind, value = scope.leaf(rule, held) if leaf else (f"schema_of_variant({read.format('variant')})", held)
     want = {"enum": "string"}.get(rule.kind, rule.kind)
-    label = f"if({path} = '', '(root)', {path})"
+    label = "'(root)'" if path == "''" else path
     none = f"cast(array() AS {ISSUE})"
     expected = _names(rule.values) if rule.kind == "enum" else rule.kind
     wrong = f"array({_issue_sql(label, f'concat({_quote(f"Expected {expected}, received ")}, {TYPE_NAME.format(t=kind)})', 'invalid_type')})"
-    has_type = {
-        "number": f"{kind} RLIKE '^(BIGINT|DOUBLE|FLOAT|DECIMAL)'",
-        "object": f"{kind} LIKE 'OBJECT%'",
-        "array": f"{kind} LIKE 'ARRAY%'",
-    }.get(want, f"{kind} = '{want.upper()}'")
-    checks = _value_checks(rule, read, label)
-    right = [f"array_compact(array({', '.join(checks)}))"] if checks else []
+    checks = _value_checks(rule, value, label) if value else []
+    right = []
+    if checks:
+        found = ", ".join(f"CASE WHEN {condition} THEN {issue} END" for condition, issue in checks)
+        right.append(f"CASE WHEN {' OR '.join(condition for condition, _ in checks)} THEN array_compact(array({found})) ELSE {none} END")
     if rule.kind == "object":
         for name, child in rule.fields.items():
-            sub = f"concat_ws('.', nullif({path}, ''), '{name}')"
-            right.append(rule_sql(child, root, f"{at}.{name}", sub, brackets, depth))
+            right.append(rule_sql(child, scope, f"{at}.{name}", f"{held}.`{name}`", _field(path, name), brackets, depth))
         if rule.strict:
             extra = f"array_except(map_keys({read.format('map<string,variant>')}), array({', '.join(map(_quote, rule.fields))}))"
             said = f"concat({_quote('Unrecognized key(s) in object: ' + chr(39))}, array_join({extra}, {_quote(chr(39) + ', ' + chr(39))}), {_quote(chr(39))})"
@@ -166,16 +192,29 @@ def rule_sql(rule: Rule, root: str, at: str, path: str, brackets: bool, depth: i
     if rule.kind == "array":
         x, i = f"x{depth}", f"i{depth}"
         index = f"'[', {i}, ']'" if brackets else f"'.', {i}"
-        item = rule_sql(rule.item, x, "", f"concat({path}, {index})", brackets, depth + 1)
-        right.append(f"flatten(transform({read.format('array<variant>')}, ({x}, {i}) -> {item}))")
+        inside = Scope(f"{x}.v", f"{x}.")
+        item = rule_sql(rule.item, inside, "", f"{x}.s", f"concat({path}, {index})", brackets, depth + 1)
+        opened = f"transform({held}, {x} -> named_struct('v', {x}, 's', try_variant_get({x}, '$', '{_bound_type(rule.item)}')))"
+        listed = "".join(f", '{name}', {reads}" for name, reads in inside.columns().items())
+        opened = f"transform({opened}, {x} -> named_struct('v', {x}.v, 's', {x}.s{listed}))"
+        right.append(f"flatten(transform({opened}, ({x}, {i}) -> {item}))")
     inner = right[0] if len(right) == 1 else f"concat({', '.join(right)})" if right else none
     missing = none if rule.optional else f"array({_issue_sql(label, chr(39) + 'Required' + chr(39), 'invalid_type')})"
     null = f"WHEN {kind} = 'VOID' THEN {none} " if rule.nullable else ""
+    if not leaf:
+        return f"CASE WHEN {held} IS NOT NULL THEN {inner} WHEN {kind} IS NULL THEN {missing} {null}ELSE {wrong} END"
+    numeric = f"({kind} = 'BIGINT' OR {kind} = 'DOUBLE' OR {kind} = 'FLOAT' OR {kind} LIKE 'DECIMAL%')"
+    has_type = numeric if want == "number" else f"{kind} = '{want.upper()}'"
     return f"CASE WHEN {kind} IS NULL THEN {missing} {null}WHEN {has_type} THEN {inner} ELSE {wrong} END"
 
 
-def rule_issues(rule: Rule, brackets: bool) -> Column:
-    return F.expr(rule_sql(rule, DOCUMENT, "", "''", brackets)).cast(ISSUE)
+def with_issues(parsed: DataFrame, rule: Rule, brackets: bool) -> DataFrame:
+    """Add the issues of the parsed document as ``_issues``."""
+    opened = parsed.withColumn("_s", F.expr(f"try_variant_get({DOCUMENT}, '$', '{_bound_type(rule)}')"))
+    scope = Scope(DOCUMENT, "_s_")
+    issues = rule_sql(rule, scope, "", "_s", "''", brackets)
+    lists = {f"_s_{name}": F.expr(reads) for name, reads in scope.columns().items()}
+    return opened.withColumns(lists).withColumn("_issues", F.expr(issues).cast(ISSUE)).drop("_s", *lists)
 
 
 us = num(low=0)
@@ -388,9 +427,9 @@ def _parsed(docs: DataFrame) -> DataFrame:
 def validate_documents(docs: DataFrame, rule: Rule = PROJECT, brackets: bool = False) -> DataFrame:
     """Add ``issues`` (all of them, in rule order) and ``ok``; bad JSON is one issue at the root."""
     broken = F.array(_issue(F.lit("(root)"), "Invalid JSON", "invalid_json")).cast(ISSUE)
-    found = rule_issues(rule, brackets)
-    df = _parsed(docs).withColumn("issues", F.when(F.col("_v").isNull(), broken).otherwise(found))
-    return df.withColumn("ok", F.size("issues") == 0).drop("_v")
+    df = with_issues(_parsed(docs), rule, brackets)
+    df = df.withColumn("issues", F.when(F.col("_v").isNull(), broken).otherwise(F.col("_issues")))
+    return df.withColumn("ok", F.size("issues") == 0).drop("_v", "_issues")
 
 
 def unknown_keys(docs: DataFrame, known: list[str], strict: bool) -> DataFrame:
@@ -506,7 +545,7 @@ def fill_defaults(docs: DataFrame) -> DataFrame:
 def validate_specs(docs: DataFrame, kind: str = SPEC_KIND) -> DataFrame:
     """Spec verdicts: empty, broken or too new text first, then rules and cross-field checks."""
     rule = Rule(**{**SPEC.__dict__, "fields": {"kind": enum(kind).opt(), **SPEC.fields}})
-    df = _parsed(docs)
+    df = with_issues(_parsed(docs), rule, True)
     v = F.col("_v")
 
     def one(path: str, message: Column | str, code: str) -> Column:
@@ -538,7 +577,7 @@ def validate_specs(docs: DataFrame, kind: str = SPEC_KIND) -> DataFrame:
 
     scenes = F.try_variant_get(v, "$.scenes", "array<variant>")
     cross = F.coalesce(F.flatten(F.transform(scenes, crossed)), F.array().cast(ISSUE))
-    found = F.concat(rule_issues(rule, True), cross)
+    found = F.concat("_issues", cross)
     issues = (
         F.when(F.trim("raw_json") == "", one("(root)", "Spec is empty — paste JSON or choose a template.", "empty"))
         .when(v.isNull(), one("JSON", "Invalid JSON syntax.", "invalid_json"))
@@ -546,7 +585,7 @@ def validate_specs(docs: DataFrame, kind: str = SPEC_KIND) -> DataFrame:
         .otherwise(found)
     )
     out = df.withColumn("issues", issues)
-    return out.withColumn("ok", F.size("issues") == 0).drop("_v")
+    return out.withColumn("ok", F.size("issues") == 0).drop("_v", "_issues")
 
 
 def route_documents(docs: DataFrame, spec_kind: str = SPEC_KIND, project_kind: str = PROJECT_KIND) -> DataFrame:
