@@ -32,8 +32,8 @@ def register_functions(spark: SparkSession) -> list[str]:
     """Define the SQL functions in this session and return their names."""
     spark.udf.register("cue_fold_text", X._fold)
     spark.udf.register("cue_nfc", X._nfc)
-    hard = f"(t RLIKE {_lit(X.PLAIN_LATIN)} AND t RLIKE {_lit(f'[^{X.FOLD_COVERED}]')})"
-    odd = f"t RLIKE {_lit(f'[^{X.NFC_SAFE}]')}"
+    hard = f"(octet_length(t) > char_length(t) AND t RLIKE {_lit(X.PLAIN_LATIN)} AND t RLIKE {_lit(f'[^{X.FOLD_COVERED}]')})"
+    odd = f"(octet_length(t) > char_length(t) AND t RLIKE {_lit(X.ABOVE_LATIN)} AND t RLIKE {_lit(f'[^{X.NFC_SAFE}]')})"
     fast = f"trim(regexp_replace(translate(t, {_lit(X.FOLD_FROM)}, {_lit(X.FOLD_TO)}), ' {{2,}}', ' '))"
     shown = f"CASE WHEN {odd} THEN cue_nfc(CASE WHEN {odd} THEN t END) ELSE t END"
     for pattern, repl in ((X.ZERO_WIDTH, ""), ("\r\n?", "\n"), ("\t", "    "), (" {2,}", " "), (r"(?U)[^\S\n]*\n[^\S\n]*", "\n"), (X.EDGE_SPACE, "")):
@@ -43,9 +43,10 @@ def register_functions(spark: SparkSession) -> list[str]:
         f"CASE WHEN a = b THEN 1D WHEN a = '' OR b = '' THEN 0D "
         f"ELSE greatest(0D, 1D - levenshtein(a, b) / {longest}) END"
     )
-    voiced = r"regexp_replace(regexp_replace(s, '[^a-z ]', ''), '(?:[b-df-hj-km-np-tv-xz]es|ed|[b-df-hj-km-np-tv-xz]e)(?= |$)', '')"
     words = "CASE WHEN s = '' THEN 0 ELSE length(s) - length(replace(s, ' ', '')) + 1 END"
-    syll = f"CAST(greatest(1, regexp_count({voiced}, '[aeiouy]{{1,2}}') + {words} - regexp_count({voiced}, '[b-df-hj-np-tv-xz]*[aeiouy][a-z]*')) AS BIGINT)"
+    latin = "CASE WHEN s RLIKE '[^a-z ]' THEN regexp_replace(s, '[^a-z ]', '') ELSE s END"
+    more = f"get(transform(array({latin}), x -> regexp_count(x, {_lit(X.HEARD + '{1,2}')}) - regexp_count(x, {_lit(X.HEARD + '[a-z]*')})), 0)"
+    syll = f"CAST(greatest(1, {words} + {more}) AS BIGINT)"
     reading = (
         "greatest(1600000L, CAST(floor((regexp_count(t, '(?U)\\\\S+') / greatest(60D, least(360D, wpm)) * 60 + regexp_count(t, '[,;:—–]') * 0.14D "
         "+ greatest(0, regexp_count(t, '[.!?]') - 1) * 0.24D + 0.35D) * 1000000D + 0.5D) AS BIGINT))"
