@@ -30,7 +30,7 @@ def agg04(spark, sf_dir):
     WINDOW w AS (PARTITION BY track_id, sig) QUALIFY n >= 2""",
 )
 def agg05(spark, sf_dir):
-    return AS.repetition_groups(signed_lines(spark, sf_dir))
+    return AS.repetition_groups(signed_lines(spark, sf_dir), hot=False)
 
 
 @query(

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cuestream.functions.timecode import round_half_up
-from cuestream.plans.scan import top_k
+from cuestream.plans.scan import OrderedScan, group_count, group_min, top_k
 
 KEYS = ["track_id"]
 FIELD, RECORD = "\x1f", "\x1e"
@@ -25,15 +25,11 @@ def repeated_signatures(lines: DataFrame, min_length: int = 3) -> DataFrame:
     return long_enough.groupBy("track_id", "sig").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= 2)
 
 
-def repetition_groups(lines: DataFrame, min_length: int = 3) -> DataFrame:
+def repetition_groups(lines: DataFrame, min_length: int = 3, hot: bool | None = None) -> DataFrame:
     """Ids of every repeated line, one row per id, with its group's size and first id."""
-    long_enough = lines.filter(F.length("sig") >= min_length)
-    groups = (
-        long_enough.groupBy("track_id", "sig")
-        .agg(F.count(F.lit(1)).alias("n"), F.min("seq").alias("first_seq"))
-        .filter(F.col("n") >= 2)
-    )
-    return long_enough.select("track_id", "sig", "seq").join(groups, ["track_id", "sig"])
+    long_enough = lines.filter(F.length("sig") >= min_length).select("track_id", "sig", "seq")
+    scan = OrderedScan.over(long_enough, ["track_id", "sig"], ["seq"], hot=hot).add(n=group_count(), first_seq=group_min("seq"))
+    return scan.done().filter(F.col("n") >= 2)
 
 
 def content_signature(lines: DataFrame, voice_b: str | None = None) -> DataFrame:
