@@ -158,8 +158,11 @@ def src05(spark, sf_dir):
 
 def ass_files(spark, sf_dir):
     def line(raw, i):
-        tokens = X.highlight_tokens(F.translate(raw, "{}\\", "()/"))
-        sung = F.array_join(F.transform(tokens, lambda w, k: F.concat(F.lit("{\\kf"), (k % 7 + 1).cast("string"), F.lit("}"), w)), " ")
+        plain = raw
+        for old, new in zip("{}\\", "()/", strict=True):
+            plain = F.replace(plain, F.lit(old), F.lit(new))
+        marks = F.array(*[F.lit(f"{{\\kf{n}}}") for n in range(1, 8)])
+        sung = F.array_join(F.transform(X.highlight_tokens(plain), lambda w, k: F.concat(F.get(marks, k % 7), w)), " ")
         return F.concat(
             F.lit("Dialogue: 0,"), C.ass_stamp(at(i)), F.lit(","), C.ass_stamp(at(i) + LENGTH), F.lit(",Default,,0,0,0,,"), sung
         )

@@ -85,11 +85,13 @@ LRC_WORD = r"<(\d{1,2}):(\d{1,2})(?:[.:](\d{1,3}))?>"
 
 
 def _lrc_times(line: Column, pattern: str) -> Column:
-    parts = [F.regexp_extract_all(line, F.lit(pattern), F.lit(k)) for k in (1, 2, 3)]
-    return F.transform(
-        F.arrays_zip(*[p.alias(n) for p, n in zip(parts, "msf", strict=True)]),
-        lambda t: (_number(t["m"]) * 60 + _number(t["s"])) * 1_000_000 + _millis(t["f"]) * 1_000,
-    )
+    """Times of all marks; the line is searched once, the parts of a mark in the mark."""
+
+    def us(mark: Column) -> Column:
+        m, s, f = (F.regexp_extract(mark, pattern, k) for k in (1, 2, 3))
+        return (_number(m) * 60 + _number(s)) * 1_000_000 + _millis(f) * 1_000
+
+    return F.transform(F.regexp_extract_all(line, F.lit(pattern), F.lit(0)), us)
 
 
 def _lrc_lines(files: DataFrame) -> DataFrame:
@@ -129,13 +131,25 @@ def _numbered(cues: DataFrame, *order: str, words: Column | None = None) -> Data
     return scan.done().withColumn("cue_seq", F.col("cue_seq") - 1).select(*CUE_COLUMNS)
 
 
+def _lrc_stamped(lines: Column) -> Column:
+    """Lines with stamps and text, read inside the cell: a filter over rows would compute what it reads again."""
+    sung = F.filter(F.transform(lines, X.trim_line), lambda t: (t != "") & ~_is_meta(t))
+    stamped = F.transform(
+        sung,
+        lambda t, i: F.struct(i.alias("line_no"), _lrc_times(t, LRC_TIME).alias("stamps"), F.regexp_replace(t, rf"^.*{LRC_TIME}", "").alias("rest")),
+    )
+    shown = F.transform(
+        F.filter(stamped, lambda x: F.size(x["stamps"]) > 0),
+        lambda x: F.struct(x["line_no"], x["stamps"], x["rest"], X.clean_display(F.regexp_replace(x["rest"], LRC_WORD, "")).alias("text")),
+    )
+    return F.filter(shown, lambda x: x["text"] != "")
+
+
 def parse_lrc(files: DataFrame, apply_offset: bool = False) -> DataFrame:
     """LRC and enhanced LRC: one cue per stamp, text from behind the last stamp."""
-    df = _lrc_lines(files).filter(~_is_meta(F.col("line")))
-    df = df.withColumn("stamps", _lrc_times(F.col("line"), LRC_TIME)).filter(F.size("stamps") > 0)
-    rest = X.compose(F.regexp_replace("line", rf"^.*{LRC_TIME}", ""))
-    df = df.withColumn("rest", rest).withColumn("text", X.clean_display(F.regexp_replace("rest", LRC_WORD, "")))
-    df = df.filter(F.col("text") != "")
+    # no mark and no line end is part of a composed character, so files are composed as a whole
+    df = files.select("file", X.compose("contents").alias("contents"))
+    df = df.select("file", F.inline(_lrc_stamped(_lines(F.col("contents")))))
     df = df.withColumns({"pieces": F.split("rest", LRC_WORD), "starts": _lrc_times(F.col("rest"), LRC_WORD)})
     words = _words(F.col("pieces"), F.col("starts"), F.trim)
     cues = df.withColumn("words", words).select(
@@ -205,7 +219,8 @@ def skipped_blocks(files: DataFrame, fmt: str) -> DataFrame:
     return _blocks(files, fmt).groupBy("file").agg(F.coalesce(F.count_if(bad), F.lit(0)).alias("n_skipped"))
 
 
-# Karaoke marks of ASS.
+# Section headers and karaoke marks of ASS.
+ASS_SECTION = r"^\[(.*)\]$"
 ASS_KARAOKE = r"\{\\[kK](?:f|o)?(\d+)\}([^{}]*)"
 
 
@@ -236,7 +251,7 @@ def _ass_rows(files: DataFrame) -> DataFrame:
     """Non-header lines with the section they stand in."""
     df = files.select("file", F.posexplode(_lines(X.compose("contents"))).alias("line_no", "raw"))
     df = df.withColumn("line", X.trim_all(F.col("raw"))).filter(F.col("line") != "")
-    header = F.when(F.col("line").rlike(r"^\[.*\]$"), F.lower(F.regexp_extract("line", r"^\[(.*)\]$", 1)))
+    header = F.when(F.col("line").rlike(ASS_SECTION), F.lower(F.regexp_extract("line", ASS_SECTION, 1)))
     scan = OrderedScan.over(df.withColumn("_h", header), ["file"], ["line_no"], hot=False).add(section=last_upto("_h"))
     return scan.done().filter(F.col("_h").isNull()).drop("_h")
 
@@ -247,19 +262,38 @@ def _dialogue(files: DataFrame) -> DataFrame:
     return rows.withColumn("f", F.split(payload, ",", 10))
 
 
+def _ass_cues(lines: Column, heads: Column) -> Column:
+    """Dialogue lines with text that stand in an events section, read inside the cell.
+
+    ``heads`` are the places of the section headers among the ``lines``.
+    """
+    spans = F.arrays_zip(heads.alias("at"), F.slice(heads, F.lit(2), F.size(heads)).alias("next"))
+
+    def held(span: Column) -> Column:
+        name = F.lower(F.regexp_extract(F.get(lines, span["at"]), ASS_SECTION, 1))
+        inner = F.slice(lines, span["at"] + 2, F.coalesce(span["next"], F.size(lines)) - span["at"] - 1)
+        return F.when(name == "events", inner).otherwise(F.array().cast("array<string>"))
+
+    spoken = F.filter(F.flatten(F.transform(spans, held)), lambda t: t.rlike("(?i)^Dialogue:"))
+    fields = F.transform(spoken, lambda t, i: F.struct(i.alias("line_no"), F.split(F.regexp_replace(t, "^[^:]*:", ""), ",", 10).alias("f")))
+
+    def cue(x: Column) -> Column:
+        sung = F.get(x["f"], F.lit(9))
+        start, end = parse_clock(F.get(x["f"], F.lit(1))), parse_clock(F.get(x["f"], F.lit(2)))
+        shown = X.clean_display(X.once(sung, strip_overrides))
+        return F.struct(x["line_no"], shown.alias("text"), start.alias("start_us"), end.alias("end_us"), sung.alias("sung"))
+
+    return F.filter(F.transform(F.filter(fields, lambda x: F.size(x["f"]) == 10), cue), lambda x: x["text"] != "")
+
+
 def parse_ass(files: DataFrame) -> DataFrame:
     """Dialogue lines; the tenth field keeps its commas."""
-    df = _dialogue(files).filter(F.size("f") == 10)
-    text = F.get("f", F.lit(9))
-    start, end = parse_clock(F.get("f", F.lit(1))), parse_clock(F.get("f", F.lit(2)))
-    cues = df.select(
-        "file",
-        "line_no",
-        X.clean_display(strip_overrides(text)).alias("text"),
-        start.alias("start_us"),
-        end.alias("end_us"),
-        text.alias("sung"),
-    ).filter(F.col("text") != "")
+    df = files.select("file", X.compose("contents").alias("contents"))
+    lines = F.filter(F.transform(_lines(F.col("contents")), X.trim_line), lambda t: t != "")
+    df = df.select("file", lines.alias("lines"))
+    heads = F.array_compact(F.transform("lines", lambda t, i: F.when(t.rlike(ASS_SECTION), i)))
+    df = df.select("file", "lines", heads.alias("heads"))
+    cues = df.select("file", F.inline(_ass_cues(F.col("lines"), F.col("heads"))))
     numbered = _numbered(cues.withColumn("_at", F.coalesce("start_us", F.lit(0))), "_at", "line_no", words=F.col("sung"))
     timed = numbered.withColumn("_n", karaoke_lengths(F.col("words")))
     return timed.withColumn("words", karaoke_words(F.col("words"), F.col("start_us"), F.col("_n"))).drop("_n")
