@@ -9,36 +9,83 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cuestream.functions import text as X
 from cuestream.functions.timecode import ms, round_half_up
 from cuestream.operators.estimate import estimate_line_timings, weight_tenths
 from cuestream.operators.postprocess import PostProcessOptions, post_process
 from cuestream.operators.tap_log import TapState, fold_tap_log  # noqa: F401
-from cuestream.plans.scan import OrderedScan, first_after, group_count, last_before, position, prev_row, sum_upto
+from cuestream.plans.scan import OrderedScan, first_after, prev_row, sum_upto
 
 KEYS = ["track_id"]
 MIN_ANCHOR_GAP = ms(380)
 
 
+def fill_words_in_cell(words: Column, first: Column, last: Column) -> Column:
+    """``fill_unmatched_words`` for the words of one cue between ``first`` and ``last``.
+
+    ``words`` is an array of structs with ``start_us``, ``end_us``, ``confidence`` and ``source`` in
+    word order, and should be a column of its own. Words of unknown source drop out.
+    """
+    timed = F.filter(words, lambda w: w["source"].isNotNull())
+
+    def nearest(times: Column, at: Column, edge: Column) -> Column:
+        """The time at a place; where it is null, of the nearest before that has one."""
+        known = F.filter(F.slice(times, F.lit(1), at), lambda t: t.isNotNull())
+        return F.coalesce(F.get(times, at - 1), F.try_element_at(known, F.lit(-1)), edge)
+
+    def filled(run: Column, left: Column, right: Column) -> Column:
+        n, span = F.size(run), F.greatest(F.lit(0), right - left)
+
+        def word(w: Column, k: Column) -> Column:
+            start, end = left + round_half_up(span * k / n), left + round_half_up(span * (k + 1) / n)
+            return w.withField("start_us", start).withField("end_us", F.greatest(start, end)).withField("confidence", F.lit(0.3))
+
+        return F.transform(run, word)
+
+    def cue(t: Column) -> Column:
+        sure = F.array_compact(F.transform(t, lambda w, i: F.when(w["source"] != "estimate", i)))
+        return F.struct(t.alias("t"), sure.alias("at"))
+
+    def runs(c: Column) -> Column:
+        t, at = c["t"], c["at"]
+        known = F.transform(at, lambda i: F.get(t, i))
+        n = F.size(at)
+        ends, starts = F.transform(known, lambda w: w["end_us"]), F.reverse(F.transform(known, lambda w: w["start_us"]))
+        # a run lies before each matched word, and one behind the last
+        borders = F.transform(F.concat(at, F.array(F.size(t))), lambda to, j: F.struct(to.alias("to"), j.alias("j")))
+        before = F.concat(F.array(F.lit(-1)), at)
+
+        def parts(lists: Column) -> Column:
+            def run(x: Column) -> Column:
+                begin = F.get(lists["before"], x["j"])
+                left, right = nearest(lists["ends"], x["j"], first), nearest(lists["starts"], n - x["j"], last)
+                return X.once(
+                    F.struct(F.slice(t, begin + 2, x["to"] - begin - 1).alias("run"), left.alias("l"), right.alias("r")),
+                    lambda y: filled(y["run"], y["l"], y["r"]),
+                )
+
+            return F.concat(known, F.flatten(F.transform(borders, run)))
+
+        return X.once(F.struct(ends.alias("ends"), starts.alias("starts"), before.alias("before")), parts)
+
+    return X.once(X.once(timed, cue), runs)
+
+
 def fill_unmatched_words(words: DataFrame, cues: DataFrame) -> DataFrame:
-    """Spread runs of estimate words evenly between the matched words around them."""
+    """Spread runs of estimate words evenly between the matched words around them.
+
+    The words of a cue came out of one cell; they meet there again, and are timed as an array.
+    Matched words without a cue stay, others have nothing to lie between.
+    """
     cue = ["track_id", "cue_id"]
-    spans = cues.select(*cue, F.col("start_us").alias("_c0"), F.col("end_us").alias("_c1"))
-    df = words.join(spans, cue)
-    sure = F.col("source") != "estimate"
-    scan = OrderedScan.over(df, cue, ["word_idx"], hot=False).add(
-        _left=last_before(F.when(sure, F.col("end_us"))),
-        _right=first_after(F.when(sure, F.col("start_us"))),
-        _island=sum_upto(sure.cast("int")),
-    )
-    open_words = scan.done().filter(~sure)
-    run = OrderedScan.over(open_words, [*cue, "_island"], ["word_idx"], hot=False).add(_k=position(), _n=group_count())
-    left, right = F.coalesce("_left", "_c0"), F.coalesce("_right", "_c1")
-    span = F.greatest(F.lit(0), right - left)
-    start = left + round_half_up(span * (F.col("_k") - 1) / F.col("_n"))
-    end = left + round_half_up(span * F.col("_k") / F.col("_n"))
-    filled = run.done().withColumns({"_s": start, "_e": F.greatest(start, end)})
-    new = filled.select(*[F.col({"start_us": "_s", "end_us": "_e"}.get(c, c)).alias(c) if c != "confidence" else F.lit(0.3).alias(c) for c in words.columns])
-    return words.filter(sure).unionByName(new)
+    fields = [c for c in words.columns if c not in cue]
+    ordered = F.array_sort(F.collect_list(F.struct("word_idx", *[c for c in fields if c != "word_idx"])))
+    packed = words.groupBy(*cue).agg(ordered.alias("_words"))
+    spans = cues.select(*cue, F.col("start_us").alias("_c0"), F.col("end_us").alias("_c1"), F.lit(True).alias("_met"))
+    df = packed.join(spans, cue, "left")
+    alone = F.filter("_words", lambda w: w["source"] != "estimate")
+    timed = F.when(F.col("_met"), fill_words_in_cell(F.col("_words"), F.col("_c0"), F.col("_c1"))).otherwise(alone)
+    return df.select(*cue, F.inline(timed)).select(*words.columns)
 
 
 def choose_anchors(times: np.ndarray, strengths: np.ndarray, expected: np.ndarray) -> list[int]:
