@@ -349,8 +349,11 @@ def scale_time(value: Column, unit: Column) -> Column:
 
 def _time(variant: Column, path: str, unit: Column) -> Column:
     """A number, a clock string or a numeric string as microseconds."""
-    text = F.try_variant_get(variant, path, "string")
-    return F.coalesce(parse_clock(text), scale_time(text.try_cast("double"), unit))
+
+    def us(text: Column) -> Column:
+        return F.coalesce(parse_clock(text), scale_time(text.try_cast("double"), unit))
+
+    return X.once(F.try_variant_get(variant, path, "string"), us)
 
 
 def parse_json(files: DataFrame) -> DataFrame:
@@ -366,7 +369,11 @@ def parse_json(files: DataFrame) -> DataFrame:
     unit = infer_unit(F.array_max(numbers), F.try_variant_get("_v", "$.timeUnit", "string"))
     df = df.withColumn("unit", unit).select("file", "unit", F.posexplode(entries).alias("entry_no", "e"))
     raw = F.coalesce(F.try_variant_get("e", "$.text", "string"), F.try_variant_get("e", "$.line", "string"), F.lit(""))
-    df = df.withColumns({"text": X.norm_display(raw), "start_us": _time(F.col("e"), "$.start", F.col("unit")), "end_us": _time(F.col("e"), "$.end", F.col("unit"))})
+    # text and times are made once for a list of one cue, which is emptied if it has no text
+    df = df.withColumn("raw", raw).withColumn("raw", X.compose("raw"))
+    start, end = (_time(F.col("e"), f"$.{name}", F.col("unit")) for name in ("start", "end"))
+    cue = F.struct(X.clean_display(F.col("raw")).alias("text"), start.alias("start_us"), end.alias("end_us"))
+    df = df.select("file", "unit", "entry_no", "e", F.inline(F.filter(F.array(cue), lambda x: x["text"] != "")))
 
     def step(acc: Column, w: Column) -> Column:
         shown = X.clean_display(F.coalesce(F.try_variant_get(w, "$.text", "string"), F.lit("")))
@@ -380,7 +387,7 @@ def parse_json(files: DataFrame) -> DataFrame:
 
     zero = F.struct(F.coalesce("start_us", F.lit(0)).cast("long").alias("at"), F.array().cast(WORDS).alias("out"))
     words = F.aggregate(F.coalesce(F.try_variant_get("e", "$.words", "array<variant>"), none), zero, step)["out"]
-    return _numbered(df.filter(F.col("text") != "").withColumn("words", words), "entry_no")
+    return _numbered(df.withColumn("words", words), "entry_no")
 
 
 def parse_txt(files: DataFrame) -> DataFrame:
