@@ -33,7 +33,7 @@ def register_functions(spark: SparkSession) -> list[str]:
     spark.udf.register("cue_fold_text", X._fold)
     spark.udf.register("cue_nfc", X._nfc)
     hard = f"(octet_length(t) > char_length(t) AND t RLIKE {_lit(X.PLAIN_LATIN)} AND t RLIKE {_lit(f'[^{X.FOLD_COVERED}]')})"
-    odd = f"(octet_length(t) > char_length(t) AND t RLIKE {_lit(X.ABOVE_LATIN)} AND t RLIKE {_lit(f'[^{X.NFC_SAFE}]')})"
+    odd = f"(octet_length(t) > char_length(t) AND t RLIKE {_lit(X.NFC_UNSAFE)})"
     fast = f"trim(regexp_replace(translate(t, {_lit(X.FOLD_FROM)}, {_lit(X.FOLD_TO)}), ' {{2,}}', ' '))"
     shown = f"CASE WHEN {odd} THEN cue_nfc(CASE WHEN {odd} THEN t END) ELSE t END"
     for pattern, repl in ((X.ZERO_WIDTH, ""), ("\r\n?", "\n"), ("\t", "    "), (" {2,}", " "), (r"(?U)[^\S\n]*\n[^\S\n]*", "\n"), (X.EDGE_SPACE, "")):

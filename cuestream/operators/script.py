@@ -140,51 +140,49 @@ def classify_blocks(blocks: DataFrame) -> DataFrame:
     )
 
 
-def _prose_scenes(prose: DataFrame, mode: str) -> DataFrame:
-    """Scene rows of prose blocks under one of the three split modes."""
+SCENES = "array<struct<part:int,sub:int,layout:string,text:string,speaker:string,value:string>>"
+
+
+def _prose_scenes(full: Column, mode: str) -> Column:
+    """Scenes of a prose block under one of the three split modes, inside its cell."""
     none = F.lit(None).cast("string")
-    if mode == "paragraphs":
-        chunks = F.array(F.array_join("full", " "))
-    elif mode == "lines":
-        chunks = F.col("full")
-    else:
-        dialogue = F.exists("full", lambda x: x.rlike(X.SPEAKER))
-        chunks = F.when(dialogue, F.col("full")).otherwise(F.array(F.array_join("full", " ")))
-    df = prose.select("track_id", "block", F.posexplode(chunks).alias("part", "chunk"))
-    if mode == "lines":
-        c = F.col("chunk")
+    joined = F.array(F.array_join(full, " "))
+    chunks = {"paragraphs": joined, "lines": full}.get(mode)
+    if chunks is None:
+        chunks = F.when(F.exists(full, lambda x: x.rlike(X.SPEAKER)), full).otherwise(joined)
+
+    def line(c: Column, part: Column) -> Column:
         stat, heading = c.rlike(STAT_TAG), c.rlike(HEADING)
-        who = X.speaker_prefix("chunk")
+        who = X.speaker_prefix(c)
         text = (
             F.when(stat, F.trim(F.regexp_extract(c, STAT_TAG, 2)))
             .when(heading, F.trim(F.regexp_replace(c, r"^#{1,2}\s+", "")))
             .otherwise(who["text"])
         )
         layout = F.when(stat, "stat").when(heading, "title")
-        out = df.select(
-            "track_id", "block", "part", F.lit(0).alias("sub"), layout.alias("layout"), text.alias("text"),
-            F.when(~stat & ~heading, who["speaker"]).alias("speaker"),
-            F.when(stat, F.trim(F.regexp_extract(c, STAT_TAG, 1))).alias("value"),
-        )
-    else:
-        df = df.withColumn("w", X.speaker_prefix("chunk"))
-        pieces = X.sentences(F.col("w.text")) if mode == "sentences" else F.array(F.col("w.text"))
-        out = df.select("track_id", "block", "part", "w.speaker", F.posexplode(pieces).alias("sub", "text"))
-        out = out.withColumns({"layout": none, "value": none})
-    return out.filter(F.col("text") != "")
+        value = F.when(stat, F.trim(F.regexp_extract(c, STAT_TAG, 1)))
+        return F.array(F.struct(part, F.lit(0), layout, text, F.when(~stat & ~heading, who["speaker"]), value)).cast(SCENES)
+
+    def spoken(c: Column, part: Column) -> Column:
+        def pieces(who: Column) -> Column:
+            texts = X.sentences(who["text"]) if mode == "sentences" else F.array(who["text"])
+            return F.transform(texts, lambda t, sub: F.struct(part, sub, none, t, who["speaker"], none)).cast(SCENES)
+
+        return X.once(X.speaker_prefix(c), pieces)
+
+    scenes = F.flatten(F.transform(chunks, line if mode == "lines" else spoken))
+    return F.filter(scenes, lambda x: x["text"] != "")
 
 
 def script_scenes(scripts: DataFrame, mode: str = "sentences") -> DataFrame:
     """All scenes of each script in reading order, numbered by ``seq`` from zero."""
     from cuestream.plans.scan import position
 
+    # blocks of all kinds in one pass: two filters over them would find and class the blocks twice
     blocks = classify_blocks(script_blocks(scripts))
-    none = F.lit(None).cast("string")
+    rich = F.array(F.struct(F.lit(0), F.lit(0), "layout", "text", "speaker", "value")).cast(SCENES)
+    scenes = F.when(F.col("layout") == "prose", _prose_scenes(F.col("full"), mode)).otherwise(rich)
+    rows = blocks.select("track_id", "block", "kicker", "items", "subtext", F.inline(scenes))
     cols = ["track_id", "block", "part", "sub", "layout", "text", "speaker", "kicker", "value", "items", "subtext"]
-    rich = blocks.filter(F.col("layout") != "prose").withColumns({"part": F.lit(0), "sub": F.lit(0)}).select(*cols)
-    prose = _prose_scenes(blocks.filter(F.col("layout") == "prose"), mode).withColumns(
-        {"kicker": none, "items": F.lit(None).cast("array<string>"), "subtext": none}
-    )
-    rows = rich.unionByName(prose.select(*cols))
-    out = OrderedScan.over(rows, ["track_id"], ["block", "part", "sub"], hot=False).add(seq=position()).done()
+    out = OrderedScan.over(rows.select(*cols), ["track_id"], ["block", "part", "sub"], hot=False).add(seq=position()).done()
     return out.withColumn("seq", F.col("seq") - 1).drop("part", "sub")
