@@ -23,23 +23,26 @@ on its own. Only the named columns are read.
 
 from __future__ import annotations
 
+import heapq
 import math
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cuestream.llm.shared import keep, pieces, utf8
+from cuestream.llm.shared import keep, pieces
 
 HEAD = 1 << 18
 PIECE_BYTES = 6 << 20
-FLUSH = 200_000
+COUNT_BYTES = 16 << 20
 REPLICA_TOKENS = 4_000_000
+WAITING = 1 << 21  # words of texts that wait for others to be trained beside
+SCORED_AT_ONCE = 8192
 LOG10 = math.log(10.0)
 
 
@@ -47,6 +50,31 @@ def tokens_of(text: bytes) -> list[bytes]:
     return text.lower().split()
 
 
+def words_of(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """Words of all texts of a column, one after another, and how many each has; as ``tokens_of`` for each."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(column, "")))
+    found = lists.flatten().cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary())
+    real = pc.binary_length(found).to_numpy(zero_copy_only=False) > 0  # not so at blank ends of a text
+    upto = np.concatenate(([0], np.cumsum(real)))[lists.offsets.to_numpy()]
+    return found.filter(pa.array(real)), np.diff(upto)
+
+
+def numbers_of(found: pa.Array, words: pa.Array) -> np.ndarray:
+    """Place of each word in ``words``, -1 if it has none."""
+    return pc.fill_null(pc.index_in(found, value_set=words.cast(found.type)), -1).to_numpy(zero_copy_only=False)
+
+
+def with_ends(numbers: np.ndarray, sizes: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of words of texts, and sizes, with the end after each text."""
+    sizes = sizes + 1
+    ends = np.cumsum(sizes) - 1
+    out = np.full(len(numbers) + len(sizes), end, numbers.dtype)
+    word = np.ones(len(out), bool)
+    word[ends] = False
+    out[word] = numbers
+    return out, sizes
+
+
 # ---------------------------------------------------------------- counts
 
 
@@ -54,25 +82,20 @@ def count_tokens(docs: DataFrame, text: str = "text") -> DataFrame:
     """Rows (token binary, n): words of all texts; an empty token counts the ends."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter[bytes] = Counter()
+        ends = 0
         for batch in batches:
-            for part in pieces(batch, PIECE_BYTES):
-                for t in utf8(part.column("text")):
-                    counts.update(tokens_of(t))
-                counts[b""] += part.num_rows
-                if len(counts) > FLUSH:
-                    yield _pairs(counts)
-                    counts.clear()
-        yield _pairs(counts)
+            for part in pieces(batch, COUNT_BYTES):
+                counts = pc.value_counts(words_of(part.column("text"))[0])
+                yield _pairs(counts.field("values"), counts.field("counts"))
+                ends += part.num_rows
+        yield _pairs([b""], [ends])
 
     slim = docs.select(F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
     return slim.mapInArrow(run, "token binary, n long").groupBy("token").agg(F.sum("n").alias("n"))
 
 
-def _pairs(counts: Counter[bytes]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(
-        [pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], ["token", "n"]
-    )
+def _pairs(tokens, numbers) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(tokens).cast(pa.binary()), pa.array(numbers, pa.int64())], ["token", "n"])
 
 
 # ---------------------------------------------------------------- network
@@ -122,53 +145,60 @@ class GatedNet:
         self.w["word_b"] = np.log(np.maximum(n, 1e-9) / np.maximum(n.sum(1, keepdims=True), 1e-9)).astype(np.float32)
         return self
 
+    def copy(self) -> GatedNet:
+        out = object.__new__(GatedNet)
+        out.__dict__.update(self.__dict__, w={k: v.copy() for k, v in self.w.items()})
+        return out
+
     def run(self, words: np.ndarray, fresh: np.ndarray, state: np.ndarray):
         """Hidden states before each word. words, fresh: (lanes, steps); fresh marks the first word of a text.
 
         ``words`` holds the input of each step: the word before the predicted one.
         """
-        out, last = self.forward(words, fresh, state)
-        return out.transpose(1, 0, 2), last
+        out, last = self.forward(words, fresh, state.T)
+        return out.transpose(2, 0, 1), last.T
 
     def forward(self, words: np.ndarray, fresh: np.ndarray, state: np.ndarray, trace: dict | None = None):
-        """``run`` with the steps in front; ``trace`` takes what the way back needs."""
+        """``run`` with steps in front and lanes last, (steps, hidden, lanes), so that the parts of a step lie in one piece.
+
+        ``trace`` takes what the way back needs.
+        """
         w, h = self.w, self.shape.hidden
         lanes, steps = words.shape
-        table = w["embed"] @ w["x"] + w["b"]
-        at = words.T
-        gates, new = np.ascontiguousarray(table[:, : 2 * h])[at], np.ascontiguousarray(table[:, 2 * h :])[at]
-        to_gates, to_new = np.ascontiguousarray(w["h"][:, : 2 * h]), np.ascontiguousarray(w["h"][:, 2 * h :])
-        out = np.empty((steps, lanes, h), table.dtype)
-        before, inner = (np.empty_like(out), np.empty_like(out)) if trace is not None else (None, None)
+        # the logistic function takes the exponential of -x, the tangent that of 2x
+        sign = np.repeat(np.array([-1, 2], w["x"].dtype), (2 * h, h))
+        taken = w["embed"].take(words.T, axis=0)
+        parts = np.matmul((w["x"] * sign).T, taken.transpose(0, 2, 1))
+        parts += (w["b"] * sign)[:, None]
+        inner = np.ascontiguousarray((w["h"] * sign).T)
+        out = np.empty((steps, h, lanes), parts.dtype)
+        state = state.astype(parts.dtype)
+        before, back = (np.empty_like(out), np.empty_like(parts)) if trace is not None else (None, None)
+        room = np.empty_like(parts[0])
         starts = fresh.any(axis=0).tolist()
         with np.errstate(over="ignore"):
             for t in range(steps):
                 if starts[t]:
-                    state = state * ~fresh[:, t, None]
+                    state = state * ~fresh[:, t]
+                if trace is not None:
+                    before[t], room = state, back[t]
+                np.matmul(inner, state, out=room)
+                g, c, rc = parts[t, : 2 * h], parts[t, 2 * h :], room[2 * h :]
                 # logistic function and tangent by exponentials, which numpy has in vector form
-                g = gates[t]
-                g += state @ to_gates
-                np.negative(g, out=g)
+                g += room[: 2 * h]
                 np.exp(g, out=g)
                 g += 1
                 np.reciprocal(g, out=g)
-                z, c = g[:, :h], new[t]
-                rc = state @ to_new
-                if trace is not None:
-                    before[t], inner[t] = state, rc
-                rc *= g[:, h:]
-                c += rc
-                c *= 2
+                c += rc * g[h:]
                 np.exp(c, out=c)
                 c += 1
                 np.divide(-2, c, out=c)
                 c += 1
-                state = state - c
-                state *= z
+                state = np.subtract(state, c, out=out[t])
+                state *= g[:h]
                 state += c
-                out[t] = state
         if trace is not None:
-            trace.update(before=before, z=gates[:, :, :h], g=gates[:, :, h:], c=new, rc=inner)
+            trace.update(before=before, z=parts[:, :h], g=parts[:, h : 2 * h], c=parts[:, 2 * h :], rc=back[:, 2 * h :], taken=taken)
         return out, state
 
     def log_probs(self, hidden: np.ndarray, target: np.ndarray, grads: dict | None = None):
@@ -177,190 +207,313 @@ class GatedNet:
         Rows are worked off by class. States lie between -1 and 1, so exponents are bounded by
         the weights; they are clipped all the same.
         """
-        w, per = self.w, self.per
-        cls = target // per
-        order = np.argsort(cls, kind="stable")
-        hidden, cls, word = hidden[order], cls[order], (target % per)[order]
+        w, h = self.w, hidden.shape[1]
+        order = np.argsort(target.astype(np.min_scalar_type(self.mask.size)), kind="stable")
+        target = target[order]
+        cls = target // self.per
         edges = np.searchsorted(cls, np.arange(self.classes + 1)).tolist()
-        rows = np.arange(len(order))
-
-        def softmax(x: np.ndarray, at: np.ndarray, k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            """Log of the share of column ``k``, and exponentials less one there: their gradient."""
-            np.minimum(x, 60, out=x)
-            found = x[at, k]
+        # a last column of ones carries the biases
+        rows = np.ones((len(order), h + 1), hidden.dtype)
+        rows[:, :h] = hidden.take(order, axis=0)
+        by_class = np.empty((self.classes, h + 1), hidden.dtype)
+        by_class[:, :h], by_class[:, h] = w["class"].T, w["class_b"]
+        by_word = np.empty((self.classes, self.per, h + 1), hidden.dtype)
+        by_word[:, :, :h], by_word[:, :, h] = w["word"].transpose(0, 2, 1), w["word_b"] + self.mask
+        ones = np.ones(max(self.classes, self.per), hidden.dtype)
+        reach = max(1, float(np.abs(rows).max(initial=0)))
+
+        def scores(weights: np.ndarray, rows: np.ndarray, out: np.ndarray) -> np.ndarray:
+            """Exponentials of each choice, and their sum for each row into ``out``."""
+            x = weights @ rows.T
+            if clip:
+                np.minimum(x, 60, out=x)
             np.exp(x, out=x)
-            total = x @ np.ones(x.shape[1], x.dtype)
-            if grads is not None:
-                x /= total[:, None]
-                x[at, k] -= 1
-            return found - np.log(total), x
+            np.matmul(ones[: len(x)], x, out=out)
+            return x
+
+        def chosen(weights: np.ndarray) -> np.ndarray:
+            found = np.einsum("ij,ij->i", rows, weights)
+            return np.minimum(found, 60) if clip else found
 
-        logp, d = softmax(hidden @ w["class"] + w["class_b"], rows, cls)
+        clip = any((np.abs(x[..., :h]).sum(-1) + x[..., h]).max() * reach > 60 for x in (by_class, by_word))
+        total = np.empty((2, len(rows)), rows.dtype)
+        x = scores(by_class, rows, total[0])
+        mine = by_class.take(cls, axis=0), by_word.reshape(-1, h + 1).take(target, axis=0)
         dh = None
         if grads is not None:
-            grads["class"] += hidden.T @ d
-            grads["class_b"] += d.sum(0)
-            dh = d @ w["class"].T
-        biases = w["word_b"] + self.mask
+            share = np.reciprocal(total[0])[:, None]
+            more = x @ (rows * share)
+            # the gradient of a choice is its share, less one for the target
+            there = np.flatnonzero(np.diff(edges))
+            if len(there):
+                more[there] -= np.add.reduceat(rows, np.array(edges)[there], axis=0)
+            grads["class"] += more[:, :h].T
+            grads["class_b"] += more[:, h]
+            dh = x.T @ by_class[:, :h]
+            dh *= share
+            dh -= mine[0][:, :h]
+            dh -= mine[1][:, :h]
+            more = np.zeros(by_word.shape, by_word.dtype)
         for c in range(self.classes):
-            part = slice(edges[c], edges[c + 1])
             if edges[c] == edges[c + 1]:
                 continue
-            x = hidden[part]
-            more, d = softmax(x @ w["word"][c] + biases[c], rows[: len(x)], word[part])
-            logp[part] += more
+            part = slice(edges[c], edges[c + 1])
+            x = scores(by_word[c], rows[part], total[1, part])
             if grads is not None:
-                grads["word"][c] += x.T @ d
-                grads["word_b"][c] += d.sum(0)
-                dh[part] += d @ w["word"][c].T
+                share = np.reciprocal(total[1, part])[:, None]
+                np.matmul(x, rows[part] * share, out=more[c])
+                back = x.T @ by_word[c, :, :h]
+                back *= share
+                dh[part] += back
+        logp = chosen(mine[0]) + chosen(mine[1]) - np.log(total).sum(0)
         out = np.empty_like(logp)
         out[order] = logp
         if dh is None:
             return out, None
+        first = firsts(target)
+        more.reshape(-1, h + 1)[target[first]] -= np.add.reduceat(rows, first, axis=0) if len(first) else 0
+        grads["word"] += more[:, :, :h].transpose(0, 2, 1)
+        grads["word_b"] += more[:, :, h]
         back = np.empty_like(dh)
         back[order] = dh
         return out, back
 
-    def step(self, words, fresh, target, real, state):
-        """Gradients of one window, back through its steps only; the state goes on to the next window."""
+    def step(self, words, fresh, target, real, state, grads: dict | None = None):
+        """Gradients of one window, back through its steps only; the state goes on to the next window.
+
+        They are added to ``grads``, arrays as those of the weights, if given.
+        """
         w, h = self.w, self.shape.hidden
         trace: dict = {}
-        out, last = self.forward(words, fresh, state, trace)
-        grads = {k: np.zeros_like(v) for k, v in w.items()}
-        flat = real.T.reshape(-1)
-        hidden = out.reshape(-1, h)
-        logp, dh_flat = self.log_probs(hidden[flat], target.T.reshape(-1)[flat], grads)
-        dh = np.zeros_like(hidden)
-        dh[flat] = dh_flat
-        dh = dh.reshape(out.shape)
+        out, last = self.forward(words, fresh, state.T, trace)
+        grads = {k: np.zeros_like(v) for k, v in w.items()} if grads is None else grads
+        hidden = np.ascontiguousarray(out.transpose(0, 2, 1)).reshape(-1, h)
+        flat, goal = real.T.reshape(-1), target.T.reshape(-1)
+        if flat.all():
+            logp, dh = self.log_probs(hidden, goal, grads)
+        else:
+            logp, some = self.log_probs(hidden[flat], goal[flat], grads)
+            dh = np.zeros_like(hidden)
+            dh[flat] = some
+        steps, lanes = len(out), out.shape[2]
+        dh = np.ascontiguousarray(dh.reshape(steps, lanes, h).transpose(0, 2, 1))
         before, z, g, c, rc = (trace[k] for k in ("before", "z", "g", "c", "rc"))
-        # what a step's gradient is multiplied by on its way to each part
+        # what a step's gradient is multiplied by on its way to each part; rc was taken twice
         to_z, to_c, to_g = (before - c) * z * (1 - z), (1 - z) * (1 - c * c), rc * g * (1 - g)
-        steps, lanes = out.shape[:2]
-        dr, dc = np.empty((steps, lanes, 3 * h), out.dtype), np.empty_like(out)
-        after, back = np.zeros_like(state), np.ascontiguousarray(w["h"].T)
+        to_g *= 0.5
+        dr, dc = np.empty((steps, 3 * h, lanes), out.dtype), np.empty_like(out)
+        after, inner = np.zeros_like(out[0]), w["h"]
         starts = fresh.any(axis=0).tolist()
         for t in range(steps - 1, -1, -1):
-            d = dh[t]
+            d, r = dh[t], dr[t]
             d += after
             np.multiply(d, to_c[t], out=dc[t])
-            np.multiply(d, to_z[t], out=dr[t, :, :h])
-            np.multiply(dc[t], to_g[t], out=dr[t, :, h : 2 * h])
-            np.multiply(dc[t], g[t], out=dr[t, :, 2 * h :])
+            np.multiply(d, to_z[t], out=r[:h])
+            np.multiply(dc[t], to_g[t], out=r[h : 2 * h])
+            np.multiply(dc[t], g[t], out=r[2 * h :])
             d *= z[t]
-            after = dr[t] @ back
+            np.matmul(inner, r, out=after)
             after += d
             if starts[t]:
-                after *= (~fresh[:, t])[:, None]
-        grads["h"] += before.reshape(-1, h).T @ dr.reshape(-1, 3 * h)
-        dr[:, :, 2 * h :] = dc
-        flat_dx = dr.reshape(-1, 3 * h)
-        flat_words = words.T.reshape(-1)
-        grads["x"] += w["embed"][flat_words].T @ flat_dx
-        grads["b"] += flat_dx.sum(0)
+                after *= ~fresh[:, t]
+        grads["h"] += np.matmul(before, dr.transpose(0, 2, 1)).sum(0)
+        dr[:, 2 * h :] = dc
+        dx = dr.transpose(0, 2, 1)
+        grads["x"] += np.matmul(trace["taken"].transpose(0, 2, 1), dx).sum(0)
+        grads["b"] += dr.sum(axis=(0, 2))
+        flat_words = words.T.reshape(-1).astype(np.min_scalar_type(len(w["embed"])))
         order = np.argsort(flat_words, kind="stable")
-        names, first = np.unique(flat_words[order], return_index=True)
-        grads["embed"][names] = np.add.reduceat(flat_dx[order], first, axis=0) @ w["x"].T
-        return grads, logp, last
+        sorted_words = flat_words[order]
+        first = firsts(sorted_words)
+        to_words = np.matmul(dx, w["x"].T).reshape(-1, h)
+        grads["embed"][sorted_words[first]] += np.add.reduceat(to_words.take(order, axis=0), first, axis=0)
+        return grads, logp, last.T
+
 
-    def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k != "adam"}
+def firsts(x: np.ndarray) -> np.ndarray:
+    """Where each value of a sorted array begins."""
+    return np.flatnonzero(np.concatenate((np.ones(min(1, len(x)), bool), x[1:] != x[:-1])))
 
 
 class Trainer:
-    """Adam over windows of lanes; each lane reads texts one after another."""
+    """Adam over windows of lanes; each lane reads texts one after another.
+
+    Once half of the lanes have no text left, the others wait, with their states, for the
+    texts read next; ``finish`` reads what is left. So windows are full but for the last.
+    """
 
     def __init__(self, net: GatedNet):
         self.net, self.t = net, 0
-        self.m = {k: np.zeros_like(v) for k, v in net.w.items()}
-        self.v = {k: np.zeros_like(v) for k, v in net.w.items()}
+        # all weights lie in one array, and the parts of the network are views of it
+        self.flat = np.concatenate([x.reshape(-1) for x in net.w.values()])
+        self.grad, self.m, self.v, self.room = (np.zeros_like(self.flat) for _ in range(4))
+        net.w, self.grads = self.views(self.flat), self.views(self.grad)
+        self.waiting: tuple[Runs, np.ndarray] | None = None
+
+    def views(self, flat: np.ndarray) -> dict[str, np.ndarray]:
+        ends = np.cumsum([x.size for x in self.net.w.values()])[:-1]
+        return {k: part.reshape(x.shape) for (k, x), part in zip(self.net.w.items(), np.split(flat, ends), strict=True)}
 
     def texts(self, texts: list[np.ndarray]) -> int:
+        flat, sizes = joined(texts)
+        return self.read(flat, sizes) + self.finish()
+
+    def read(self, flat: np.ndarray, sizes: np.ndarray) -> int:
+        """Words of texts, one after another; returns the number of words learned from."""
+        return self.windows(Runs.of(flat, sizes, len(self.net.w["embed"]) - 1), False)
+
+    def finish(self) -> int:
+        return self.windows(None, True) if self.waiting else 0
+
+    def windows(self, runs: Runs | None, last: bool) -> int:
         s, net = self.net.shape, self.net
-        words, fresh, target, real, _ = lay_out(texts, s.lanes, len(net.w["embed"]) - 1)
-        state = np.zeros((len(words), s.hidden), np.float32)
-        for at in range(0, words.shape[1], s.window):
-            n = int(real[:, at].sum())  # lanes are sorted by length
-            part = (slice(0, n), slice(at, at + s.window))
-            grads, _, state = net.step(words[part], fresh[part], target[part], real[part], state[:n])
-            self.update(grads, s.lanes * s.window)  # windows of few lanes weigh less
-        return int(real.sum())
-
-    def update(self, grads, n: int) -> None:
+        held, states = self.waiting or (None, np.zeros((0, s.hidden), np.float32))
+        lanes = Lanes(runs, s.lanes, held)
+        state = np.zeros((len(lanes.length), s.hidden), np.float32)
+        state[: len(states)] = states
+        state, at, seen, self.waiting = state[lanes.order], 0, 0, None
+        while n := lanes.busy(at):
+            if not last and 2 * n < s.lanes and lanes.left(at) <= WAITING:
+                self.waiting = lanes.rest(at), state[:n]
+                break
+            words, fresh, target, real, _ = lanes.window(at, s.window)
+            self.grad[:] = 0
+            _, logp, state = net.step(words, fresh, target, real, state[:n], self.grads)
+            self.update(s.lanes * s.window)  # windows of few lanes weigh less
+            seen, at = seen + len(logp), at + s.window
+        return seen
+
+    def update(self, n: int) -> None:
         self.t += 1
-        norm = math.sqrt(sum(float((g * g).sum()) for g in grads.values())) / n
+        g, room = self.grad, self.room
+        norm = math.sqrt(float(g @ g)) / n
         scale = min(1.0, 1.0 / max(norm, 1e-9)) / n
         rate, spread = self.net.shape.rate / (1 - 0.9**self.t), 1 / math.sqrt(1 - 0.99**self.t)
-        for k, g in grads.items():
-            g *= np.float32(scale)
-            m, v = self.m[k], self.v[k]
-            m *= np.float32(0.9)
-            m += np.float32(0.1) * g
-            g *= g
-            v *= np.float32(0.99)
-            v += np.float32(0.01) * g
-            np.sqrt(v, out=g)
-            g *= np.float32(spread)
-            g += np.float32(1e-6)
-            np.divide(m, g, out=g)
-            g *= np.float32(rate)
-            self.net.w[k] -= g
+        self.m *= np.float32(0.9)
+        np.multiply(g, np.float32(0.1 * scale), out=room)
+        self.m += room
+        g *= g
+        g *= np.float32(0.01 * scale * scale)
+        self.v *= np.float32(0.99)
+        self.v += g
+        np.sqrt(self.v, out=g)
+        g *= np.float32(spread)
+        g += np.float32(1e-6)
+        np.divide(self.m, g, out=g)
+        g *= np.float32(rate)
+        self.flat -= g
 
 
-def lay_out(texts: list[np.ndarray], lanes: int, start: int):
-    """Texts on lanes: the longest first, each on the lane that is shortest so far; long lanes come first.
+def joined(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    return np.concatenate([np.zeros(0, np.int32), *texts]).astype(np.int32), np.array([len(t) for t in texts], np.int64)
+
 
-    Returns inputs, first-word marks, targets, which steps are real, and each text's (lane, from, to).
+@dataclass
+class Runs:
+    """Runs of steps, one after another: the input of each step, the word after it, and where a text begins."""
+
+    words: np.ndarray
+    target: np.ndarray
+    fresh: np.ndarray
+    sizes: np.ndarray
+
+    @classmethod
+    def of(cls, flat: np.ndarray, sizes: np.ndarray, start: int) -> Runs:
+        """One run per text."""
+        flat = flat.astype(np.int32, copy=False)
+        fresh = np.zeros(len(flat), bool)
+        fresh[(np.cumsum(sizes) - sizes)[sizes > 0]] = True
+        words = np.empty_like(flat)
+        words[1:] = flat[:-1]
+        words[fresh] = start
+        return cls(words, flat, fresh, sizes)
+
+
+class Lanes:
+    """Runs on lanes: the longest first, each on the lane that is shortest so far; long lanes come first.
+
+    Run ``k`` of ``held`` is the first of lane ``k``. Steps are kept lane after lane without padding;
+    ``order`` has the lane that came to each place, ``texts`` the runs in the order of their steps
+    (those of ``held`` are counted first).
     """
-    longest = max((len(t) for t in texts), default=1)
-    # one very long text among short ones: more lanes would be padding, and memory
-    lanes = max(1, min(lanes, len(texts), 4 * -(-sum(map(len, texts)) // longest)))
-    length = [0] * lanes
-    place: list = [None] * len(texts)
-    import heapq
-
-    heap = [(0, k) for k in range(lanes)]
-    for i in sorted(range(len(texts)), key=lambda i: -len(texts[i])):
-        used, k = heapq.heappop(heap)
-        place[i] = (k, used, used + len(texts[i]))
-        length[k] = used + len(texts[i])
-        heapq.heappush(heap, (length[k], k))
-    order = sorted(range(lanes), key=lambda k: -length[k])
-    moved = {k: i for i, k in enumerate(order)}
-    place = [(moved[k], a, b) for k, a, b in place]
-    steps = max([*length, 1])
-    target = np.zeros((lanes, steps), np.int64)
-    real = np.zeros((lanes, steps), bool)
-    fresh = np.zeros((lanes, steps), bool)
-    for t, (k, a, b) in zip(texts, place, strict=True):
-        target[k, a:b] = t
-        real[k, a:b] = True
-        fresh[k, a] = True
-    words = np.empty_like(target)
-    words[:, 1:] = target[:, :-1]
-    words[:, 0] = start
-    words[fresh] = start
-    return words, fresh, target, real, place
+
+    def __init__(self, runs: Runs | None, lanes: int, held: Runs | None = None):
+        both = [x for x in (held, runs) if x is not None]
+        words, target, fresh, sizes = (np.concatenate([getattr(x, k) for x in both]) for k in ("words", "target", "fresh", "sizes"))
+        known = len(held.sizes) if held is not None else 0
+        lanes = max(1, known, min(lanes, len(sizes)))
+        length, lane = [*sizes[:known].tolist(), *[0] * (lanes - known)], np.arange(len(sizes))
+        heap = [(used, k) for k, used in enumerate(length)]
+        heapq.heapify(heap)
+        longest = known + np.argsort(-sizes[known:], kind="stable")
+        for i, n in zip(longest.tolist(), sizes[longest].tolist(), strict=True):
+            used, k = heap[0]
+            lane[i] = k
+            length[k] = used + n
+            heapq.heapreplace(heap, (used + n, k))
+        length = np.array(length, np.int64)
+        self.order = np.argsort(-length, kind="stable")
+        self.length = length[self.order]
+        self.first = np.cumsum(self.length) - self.length
+        place = np.empty_like(self.order)
+        place[self.order] = np.arange(lanes)
+        dealt = np.concatenate((np.arange(known), longest))
+        self.texts = dealt[np.argsort(place[lane[dealt]], kind="stable")]
+        self.sizes = sizes[self.texts]
+        begin = (np.cumsum(sizes) - sizes)[self.texts] - (np.cumsum(self.sizes) - self.sizes)
+        take = np.repeat(begin, self.sizes) + np.arange(len(target))
+        self.words, self.target, self.fresh = words[take], target[take], fresh[take]
+
+    def busy(self, at: int) -> int:
+        """How many lanes have a step ``at``; they are the first ones."""
+        return int(np.searchsorted(-self.length, -at))
+
+    def left(self, at: int) -> int:
+        return int(np.maximum(self.length - at, 0).sum())
+
+    def rest(self, at: int) -> Runs:
+        """What the lanes have from ``at`` on, one run each."""
+        n = self.busy(at)
+        cuts = [slice(a + at, a + m) for a, m in zip(self.first[:n].tolist(), self.length[:n].tolist(), strict=True)]
+        return Runs(*(np.concatenate([x[c] for c in cuts]) for x in (self.words, self.target, self.fresh)), self.length[:n] - at)
+
+    def window(self, at: int, steps: int):
+        """Steps from ``at`` on, of the lanes that have one: inputs, first-word marks, targets, which are real, and their places."""
+        n = self.busy(at)
+        upto = at + np.arange(min(steps, int(self.length[0]) - at))
+        real = upto < self.length[:n, None]
+        places = np.minimum(self.first[:n, None] + upto, len(self.target) - 1)
+        return self.words[places], self.fresh[places], self.target[places], real, places
+
+
+def lay_out(texts: list[np.ndarray], lanes: int, start: int):
+    """Texts on lanes, as one window: inputs, first-word marks, targets, which steps are real, and their places."""
+    return Lanes(Runs.of(*joined(texts), start), lanes).window(0, sum(map(len, texts)))
 
 
 def score_texts(net: GatedNet, texts: list[np.ndarray], lanes: int = 256) -> np.ndarray:
     """Natural log-likelihood of each text, the state carried from its first word to its end."""
-    if not texts:
-        return np.zeros(0)
-    words, fresh, target, real, place = lay_out(texts, lanes, len(net.w["embed"]) - 1)
-    state = np.zeros((len(words), net.shape.hidden), np.float32)
-    logp = np.zeros(words.shape)
-    for at in range(0, words.shape[1], 32):
-        n = int(real[:, at].sum())
-        part = (slice(0, n), slice(at, at + 32))
-        out, state = net.forward(words[part], fresh[part], state[:n])
-        flat = real[part].T.reshape(-1)
-        got, _ = net.log_probs(out.reshape(-1, net.shape.hidden)[flat], target[part].T.reshape(-1)[flat])
-        inner = np.zeros(flat.shape)
-        inner[flat] = got
-        logp[part] = inner.reshape(real[part].T.shape).T
-    sums = np.concatenate((np.zeros((len(words), 1)), np.cumsum(logp, axis=1)), axis=1)
-    return np.array([sums[k, b] - sums[k, a] for k, a, b in place])
+    return score_words(net, *joined(texts), lanes) if texts else np.zeros(0)
+
+
+def score_words(net: GatedNet, flat: np.ndarray, sizes: np.ndarray, lanes: int = 256) -> np.ndarray:
+    """``score_texts`` of texts that lie one after another."""
+    h = net.shape.hidden
+    rows = Lanes(Runs.of(flat, sizes, len(net.w["embed"]) - 1), lanes)
+    state, logp, at = np.zeros((h, len(rows.length)), np.float32), np.zeros(len(flat)), 0
+    while n := rows.busy(at):
+        # the fewer lanes, the more steps
+        words, fresh, target, real, places = rows.window(at, max(32, SCORED_AT_ONCE // n))
+        out, state = net.forward(words, fresh, state[:, :n])
+        flat_real = real.T.reshape(-1)
+        hidden = np.ascontiguousarray(out.transpose(0, 2, 1)).reshape(-1, h)[flat_real]
+        logp[places.T.reshape(-1)[flat_real]], _ = net.log_probs(hidden, target.T.reshape(-1)[flat_real])
+        at += words.shape[1]
+    sums = np.concatenate(([0.0], np.cumsum(logp)))
+    ends = np.cumsum(rows.sizes)
+    out = np.empty(len(sizes))
+    out[rows.texts] = sums[ends] - sums[ends - rows.sizes]
+    return out
 
 
 # ---------------------------------------------------------------- corpus level
@@ -419,6 +572,21 @@ def text_ids(v: Vocabulary, tokens: list[bytes]) -> np.ndarray:
     return np.array([*[get(t, unknown) for t in tokens], v.ids[b""]], dtype=np.int64)
 
 
+def model_words(v: Vocabulary) -> pa.Array:
+    """The model's words by number; that of the unknown is one no text holds."""
+    words = [b" "] * (len(v.ids) + 1)
+    for t, i in v.ids.items():
+        words[i] = t
+    return pa.array(words, pa.binary())
+
+
+def piece_ids(v: Vocabulary, words: pa.Array, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The model's numbers of texts, one after another, and their sizes; as ``text_ids`` for each. words: as of ``model_words``."""
+    found, sizes = words_of(column)
+    numbers = numbers_of(found, words)
+    return with_ends(np.where(numbers < 0, v.unknown, numbers), sizes, v.ids[b""])
+
+
 COPIES = "replica long, seen long, weights binary"
 
 
@@ -428,11 +596,6 @@ def _copy_row(replica: int, seen: int, weights: np.ndarray) -> pa.RecordBatch:
     )
 
 
-class _Places(dict):
-    def __missing__(self, word: bytes) -> int:
-        return -1
-
-
 class HeadTable:
     """Words of the broadcast head by place, and what each adds to the sums of a text.
 
@@ -441,21 +604,26 @@ class HeadTable:
 
     def __init__(self, v: Vocabulary):
         words = [b"", *(w for w in v.counts if w != b"")]
-        self.places = _Places((w, i) for i, w in enumerate(words))
+        self.words = pa.array(words, pa.binary())
         counts = [v.counts.get(w, 0) for w in words]
         self.base = np.array([*map(v.base, counts), 0.0])
         self.more = np.array([*(0.0 if w in v.ids else v.outside(n) for w, n in zip(words, counts, strict=True)), 0.0])
         self.known = np.array([*(int(n > 0) for n in counts), 0], np.int64)
-        self.model_id = np.array([*(v.ids.get(w, v.unknown) for w in words), v.unknown], np.int64)
-        del self.places[b""]
+        self.model_id = np.array([*(v.ids.get(w, v.unknown) for w in words), v.unknown], np.int32)
 
-    def __getstate__(self):
-        # one string of all words in order of their places; no word holds a blank
-        return {**self.__dict__, "places": b" ".join(self.places)}
 
-    def __setstate__(self, state):
-        self.__dict__.update(state)
-        self.places = _Places((w, i + 1) for i, w in enumerate(state["places"].split()))
+def _left(found: pa.Array, sizes: np.ndarray, places: np.ndarray) -> pa.ListArray:
+    """Per text, the words of place -1 with their number."""
+    at = np.flatnonzero(places < 0)
+    of = np.repeat(np.arange(len(sizes)), sizes)[at]
+    rows = pa.table({"of": of, "token": found.take(pa.array(at)).cast(pa.binary())}).group_by(["of", "token"], use_threads=False)
+    rows = rows.aggregate([([], "count_all")]).combine_chunks()
+    of = rows.column("of").to_numpy()
+    order = pa.array(np.argsort(of, kind="stable"))
+    upto = np.concatenate(([0], np.cumsum(np.bincount(of, minlength=len(sizes)))))
+    token, n = (pa.concat_arrays(rows.column(k).chunks).take(order) if rows.num_rows else pa.array([], kind)
+                for k, kind in (("token", pa.binary()), ("count_all", pa.int64())))
+    return pa.ListArray.from_arrays(pa.array(upto, pa.int32()), pa.StructArray.from_arrays([token, n], ["token", "n"]))
 
 
 def _weighted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -496,10 +664,12 @@ def train(
         model = spark.sparkContext.broadcast(net)
 
         def run(batches: Iterator[pa.RecordBatch], model=model) -> Iterator[pa.RecordBatch]:
-            trainer, seen = Trainer(model.value), 0
+            # a copy: a later task of the same worker process is handed the same object
+            trainer, known, seen = Trainer(model.value.copy()), model_words(words.value), 0
             for batch in batches:
                 for part in pieces(batch, PIECE_BYTES):
-                    seen += trainer.texts([text_ids(words.value, tokens_of(t)) for t in utf8(part.column("text"))])
+                    seen += trainer.read(*piece_ids(words.value, known, part.column("text")))
+            seen += trainer.finish()
             if seen:
                 flat = np.concatenate([x.reshape(-1) for x in trainer.net.w.values()]).astype(np.float32)
                 yield _copy_row(TaskContext.get().partitionId(), seen, flat)
@@ -541,30 +711,22 @@ def score(docs: DataFrame, counts: DataFrame, v: Vocabulary, net: GatedNet, doc_
         head, net = model.value
         for batch in batches:
             for part in pieces(batch, PIECE_BYTES):
-                places, sizes, rare = [], [], []
-                for t in utf8(part.column("text")):
-                    tokens = tokens_of(t)
-                    at = [*map(head.places.__getitem__, tokens), 0]
-                    places += at
-                    sizes.append(len(at))
-                    # place -1 is that of words outside the head
-                    left = Counter(w for w, p in zip(tokens, at, strict=False) if p < 0) if -1 in at else {}
-                    rare.append([{"token": w, "n": n} for w, n in left.items()])
-                flat, edges = np.array(places, np.int64), np.cumsum([0, *sizes])[:-1]
-                del places
-                ids = head.model_id[flat]
-                texts = np.split(ids, edges[1:])
-                model_score = score_texts(net, texts) / LOG10
+                found, counts = words_of(part.column("text"))
+                places = numbers_of(found, head.words)
+                left = _left(found, counts, places)
+                flat, sizes = with_ends(places, counts, 0)
+                edges = np.cumsum(sizes) - sizes
+                model_score = score_words(net, head.model_id[flat], sizes) / LOG10
                 base, more, hits = (np.add.reduceat(x[flat], edges) for x in (head.base, head.more, head.known))
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column("row_no"),
                         part.column("doc_id"),
-                        pa.array(np.array(sizes, np.int64)),
+                        pa.array(sizes),
                         pa.array(hits),
                         pa.array(base),
                         pa.array(model_score + more),
-                        pa.array(rare, pa.list_(pa.struct([("token", pa.binary()), ("n", pa.int64())]))),
+                        left,
                     ],
                     ["row_no", "doc_id", "n_tokens", "n_known", "base_score", "score", "rare"],
                 )

@@ -161,3 +161,75 @@ def test_training_is_the_same_in_another_layout(spark):
     v = L.vocabulary(L.keep(L.count_tokens(docs), "counts"), shape)
     a, b = (L.train(d, v, shape, replicas=5) for d in (docs.repartition(7, "text"), docs.orderBy(docs.doc_id.desc())))
     assert all((a.w[k] == b.w[k]).all() for k in a.w)
+
+
+def test_long_texts_wait_for_others_and_keep_their_state():
+    rng = np.random.default_rng(4)
+    shape = L.Shape(hidden=5, words=12, classes=3, window=6, lanes=8, rate=0.0)
+    net = L.GatedNet(11, shape)
+    parts = [[rng.integers(0, 11, n) for n in (300, *rng.integers(1, 30, 40))] for _ in range(10)]
+    trainer, step, sums = L.Trainer(net), net.step, []
+
+    def noted(*args):
+        grads, logp, last = step(*args)
+        sums.append((len(logp), float(logp.sum())))
+        return grads, logp, last
+
+    net.step = noted
+    seen = [trainer.read(*L.joined(p)) for p in parts]
+    seen.append(trainer.finish())
+    flat = [t for p in parts for t in p]
+    words = sum(map(len, flat))
+    assert sum(seen) == sum(n for n, _ in sums) == words
+    # at a rate of 0 the windows give what the texts have from first word to end
+    assert math.isclose(sum(s for _, s in sums), L.score_texts(net, flat).sum(), rel_tol=1e-4)
+    # long texts of several parts are read beside each other
+    assert len(sums) < 2 * words / (shape.lanes * shape.window)
+    assert len(sums) < sum(-(-max(map(len, p)) // shape.window) for p in parts)
+
+
+def test_words_are_those_of_plain_splitting():
+    import pyarrow as pa
+
+    texts = ["  A  b\x0bc\x0cD\r\n", None, "", " ", "a\x1cb \x85x y z ÉİA", "\x00 a\x00", "x" * 70000, "a b\tc"]
+    for kind in (pa.string(), pa.large_string()):
+        found, sizes = L.words_of(pa.array([*texts, "cut"], kind).slice(1))
+        want = [L.tokens_of((t or "").encode()) for t in [*texts[1:], "cut"]]
+        assert found.to_pylist() == [w for t in want for w in t] and sizes.tolist() == [len(t) for t in want]
+        v = L.Vocabulary({}, {b"": 2, b"a": 0, b"c": 3}, 1, 0, 0, 0, 0)
+        flat, sizes = L.piece_ids(v, L.model_words(v), pa.array(texts, kind))
+        ids = [L.text_ids(v, L.tokens_of((t or "").encode())) for t in texts]
+        assert flat.tolist() == np.concatenate(ids).tolist() and sizes.tolist() == list(map(len, ids))
+
+
+def test_scores_with_large_weights():
+    rng = np.random.default_rng(6)
+    net = L.GatedNet(11, SMALL)
+    net.w = {k: v * 12 for k, v in net.w.items()}  # exponents could pass the clip, so it is applied
+    texts = [rng.integers(0, 11, n) for n in (50, 1, 9)]
+    for text, got in zip(texts, L.score_texts(net, texts, lanes=2), strict=True):
+        assert math.isclose(got, plain_score(net, text), rel_tol=1e-3)
+
+
+def test_each_replica_starts_from_the_network_of_its_round(spark):
+    from pyspark.sql import functions as F
+
+    docs = spark.createDataFrame(ROWS, "doc_id long, text string")
+    shape = L.Shape(words=10, classes=2, hidden=4)
+    v = L.vocabulary(L.keep(L.count_tokens(docs), "counts"), shape)
+    got = L.train(docs, v, shape, replicas=40)  # more than there are workers: some train for several
+    net = L.GatedNet(len(v.ids) + 1, shape).start_from(L.model_counts(v))
+    slim = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    mark = F.xxhash64("doc_id", "text")
+    for k in range(shape.rounds):
+        mine = slim.filter(F.pmod(F.xxhash64("doc_id", F.lit("train")), F.lit(shape.rounds)) == k)
+        tasks = {}
+        for r in mine.repartition(40, mark).sortWithinPartitions(mark, "doc_id").select("text", F.spark_partition_id().alias("p")).collect():
+            tasks.setdefault(r.p, []).append(L.text_ids(v, L.tokens_of(r.text.encode())))
+        copies = []
+        for texts in tasks.values():
+            one = net.copy()
+            copies.append((L.Trainer(one).texts(texts), one.w))
+        net.w = {x: sum(n * w[x].astype(float) for n, w in copies) / sum(n for n, _ in copies) for x in net.w}
+        net.w = {x: a.astype(np.float32) for x, a in net.w.items()}
+    assert all(np.allclose(net.w[x], got.w[x], rtol=1e-4, atol=1e-5) for x in net.w)
