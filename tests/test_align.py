@@ -72,3 +72,38 @@ def test_pairs_are_dealt_over_the_cores(spark):
     out = AL.align_pairs(pairs, ["k"], "a", "b")
     assert out.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
     assert sorted(map(tuple, AL.alignment_score(out, ["k"]).collect())) == [(k, 0.5) for k in range(200)]
+
+
+def test_distances_of_many_pairs_at_once(monkeypatch):
+    rng = random.Random(7)
+    monkeypatch.setattr(AL, "LANES", 5)
+    for letters, longest in (("ab", 200), ("abß日𝄞", 70), ("abc", 129)):
+        tokens = sorted(filter(None, words(rng, 30, letters, longest)), key=len) + ["a" * 200, "b" * 256]
+        i, j = AL.np.triu_indices(len(tokens), 1)
+        want = [plain_distance(tokens[a], tokens[b]) for a, b in zip(i, j)]
+        assert AL._distances(tokens, i, j).tolist() == want
+        monkeypatch.setattr(AL, "PLACES", 0)
+        assert AL._distances(tokens, i, j).tolist() == want
+        monkeypatch.undo()
+
+
+def test_lists_aligned_together_equal_single_ones(monkeypatch):
+    rng = random.Random(8)
+    pairs = [(words(rng, rng.randint(0, 9), "abßé", 90), words(rng, rng.randint(0, 9), "abßé", 9)) for _ in range(40)]
+    for unit in ("characters", "bytes"):
+        single = []
+        for a, b in pairs:
+            similar = AL._Similarities(b, unit)  # rows one by one
+            single.append(AL.align_tokens(a, b, unit=unit, similar=similar))
+        for chars in (1, 300, 1 << 20):
+            monkeypatch.setattr(AL, "PILE_CHARS", chars)
+            assert list(AL.align_many(iter(pairs), unit)) == single
+
+
+def test_each_pair_of_tokens_is_compared_once(monkeypatch):
+    counted, plain = [], AL._distances
+    monkeypatch.setattr(AL, "_distances", lambda t, i, j: counted.append(len(i)) or plain(t, i, j))
+    lines = [f"line {k} of a text" * (k % 3 + 1) for k in range(20)]
+    AL.align_tokens(lines, sorted(lines, reverse=True))
+    assert counted == [190]
+    assert [s for _, _, s in AL.align_tokens(lines, lines)] == [1.0] * 20
