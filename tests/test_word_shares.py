@@ -45,6 +45,22 @@ def scans(df):
     return df._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD")
 
 
+def test_refreshed_words_are_read_once(spark):
+    cues = spark.createDataFrame([(1, 0, "a b", 0, 10), (1, 1, "c d", 10, 20), (1, 2, "e", 20, 30), (1, 2, "f", 30, 40), (None, 3, "g", 0, 4)], CUES)
+    words = spark.createDataFrame(
+        [(1, 0, 1, "B", 6, 7, "asr"), (1, 0, 0, "A", 1, 2, "estimate"), (1, 1, 0, "C", 11, 12, "estimate"), (1, 1, 1, "D", 13, 14, None),
+         (1, 2, 0, "E", 21, 22, "human"), (1, 7, 0, "Z", 1, 2, "human"), (1, 8, 0, "Y", 1, 2, "estimate"), (None, 3, 0, "G", 1, 2, "human")], WORDS)
+    out = E.refresh_words(cues, words)
+    assert scans(out) == 2
+    got = sorted((r.track_id or 0, r.cue_id, r.word_idx, r.text, r.start_us, r.end_us) for r in out.collect())
+    assert got == [
+        (0, 3, 0, "g", 0, 4), (1, 0, 0, "A", 1, 2), (1, 0, 1, "B", 6, 7), (1, 1, 0, "c", 10, 15), (1, 1, 1, "d", 15, 20),
+        (1, 2, 0, "E", 21, 22), (1, 7, 0, "Z", 1, 2),
+    ]
+    kept = {(r.cue_id, r.text) for r in E.refresh_words(cues, words, preserve_words=False).collect()}
+    assert kept == {(0, "a"), (0, "b"), (1, "c"), (1, "d"), (2, "E"), (3, "g"), (7, "Z")}
+
+
 def test_usable_words_are_read_once(spark):
     cues = spark.createDataFrame([(1, k, "a bb", 10, 40) for k in range(9)] + [(1, 9, "", 0, 5), (1, 10, None, 0, 5)], CUES)
     lists = {
