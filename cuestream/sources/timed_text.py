@@ -7,8 +7,12 @@ few ordered steps use plain windows. Words come as arrays of
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cuestream.functions import text as X
 from cuestream.functions.timecode import parse_clock, us_from_ms, us_from_seconds
@@ -172,41 +176,135 @@ def strip_tags(text: Column) -> Column:
     return F.regexp_replace(text, r"<[^>]+>", "")
 
 
-def _blocks(files: DataFrame, fmt: str) -> DataFrame:
-    body = F.regexp_replace(F.regexp_replace("contents", "\r\n?", "\n"), r"^\x{FEFF}", "")
-    blocks = files.select("file", F.posexplode(F.split(X.compose(body), r"\n{2,}")).alias("block_no", "block"))
-    df = blocks.withColumn("body", F.filter(F.split("block", "\n"), lambda x: X.trim_all(x) != ""))
-    df = df.filter(F.size("body") > 0)
+# Bytes of which a word is made that needs no cleaning.
+_PLAIN = np.zeros(256, dtype=bool)
+_PLAIN[[c for c in range(ord("!"), ord("~") + 1) if chr(c) not in "<>"]] = True
+_MARKED = T.StructType(
+    [
+        T.StructField("text", T.ArrayType(T.StringType())),
+        T.StructField("start_us", T.ArrayType(T.LongType())),
+        T.StructField("end_us", T.ArrayType(T.LongType())),
+        T.StructField("plain", T.BooleanType()),
+    ]
+)
+
+
+@F.arrow_udf(_MARKED)
+def _vtt_marked(raw: pa.Array) -> pa.Array:
+    """Text behind each mark ``VTT_TIME``, less blanks at its end, its start and the next start, if there are two marks.
+
+    All texts of a batch are searched at once, as bytes; ``plain`` says that no word needs cleaning.
+    """
+    rows = pc.fill_null(raw, "").cast(pa.large_string())
+    off = np.frombuffer(rows.buffers()[1], dtype=np.int64)[rows.offset : rows.offset + len(rows) + 1] if len(rows) else np.zeros(1, dtype=np.int64)
+    d = np.frombuffer(rows.buffers()[2] or b"", dtype=np.uint8)[off[0] : off[-1]]
+    off = off - off[0]
+    d = np.r_[d, np.zeros(16, dtype=np.uint8)]
+    digit = (d >= ord("0")) & (d <= ord("9"))
+
+    def number(at: np.ndarray) -> np.ndarray:
+        return d[at].astype(np.int64) - ord("0")
+
+    c = np.flatnonzero(d == ord("<"))
+    one, two = digit[c + 1] & (d[c + 2] == ord(":")), digit[c + 1] & digit[c + 2] & (d[c + 3] == ord(":"))
+    q = c + 1 + np.where(one, 1, 2)
+    form = (one | two) & digit[q + 1] & digit[q + 2] & (d[q + 3] == ord(":"))
+    c, q = c[form], q[form]
+    form = digit[q + 4] & digit[q + 5] & (d[q + 6] == ord(".")) & digit[q + 7]
+    c, q = c[form], q[form]
+    size = np.where(d[q + 8] == ord(">"), 1, np.where(digit[q + 8] & (d[q + 9] == ord(">")), 2, np.where(digit[q + 8] & digit[q + 9] & (d[q + 10] == ord(">")), 3, 0)))
+    row = np.searchsorted(off, c, side="right") - 1
+    behind = q + 8 + size
+    form = (size > 0) & (behind <= off[row + 1])
+    c, q, size, row, behind = (x[form] for x in (c, q, size, row, behind))
+    form = np.bincount(row, minlength=len(rows))[row] > 1
+    c, q, size, row, behind = (x[form] for x in (c, q, size, row, behind))
+    hours = np.where(q - c == 3, number(c + 1) * 10, 0) + number(q - 1)
+    seconds = (hours * 60 + number(q + 1) * 10 + number(q + 2)) * 60 + number(q + 4) * 10 + number(q + 5)
+    rest = number(q + 7)
+    for k in (1, 2):
+        rest = np.where(size > k, rest * 10 + number(q + 7 + k), rest)
+    start = (seconds * 1000 + rest) * 1000
+    last = np.r_[row[1:] != row[:-1], True][: len(row)]
+    end = np.where(last, start, np.r_[start[1:], 0][: len(row)])
+    until = np.where(last, off[row + 1], np.r_[c[1:], 0][: len(row)])
+    solid = np.maximum.accumulate(np.where(d == ord(" "), -1, np.arange(len(d))))
+    until = np.maximum(behind, solid[until - 1] + 1)
+    odd = np.r_[0, np.cumsum(~_PLAIN[d])]
+    plain = np.bincount(row, weights=odd[until] > odd[behind], minlength=len(rows)) == 0
+    full = until > behind
+    row, start, end, behind, until = (x[full] for x in (row, start, end, behind, until))
+    edge = np.zeros(len(d) + 1, dtype=np.int8)
+    edge[behind] = 1
+    edge[until] -= 1  # a text may begin where none ends: a mark lies between two
+    data = d[np.cumsum(edge[:-1], dtype=np.int8) > 0]
+    ends = pa.array(np.r_[0, np.cumsum(np.bincount(row, minlength=len(rows)))], pa.int32())
+    text = pa.StringArray.from_buffers(len(row), pa.py_buffer(np.r_[0, np.cumsum(until - behind)].astype(np.int32).tobytes()), pa.py_buffer(data.tobytes()))
+    lists = [pa.ListArray.from_arrays(ends, x) for x in (text, pa.array(start), pa.array(end))]
+    return pa.StructArray.from_arrays([*lists, pa.array(plain)], fields=[pa.field(f, x.type) for f, x in zip(("text", "start_us", "end_us", "plain"), [*lists, pa.array(plain)], strict=True)])
+
+
+def _vtt_words(marked: Column) -> Column:
+    """Words of a column made by ``_vtt_marked``; most need no cleaning."""
+    words = F.arrays_zip(*[marked[c].alias(c) for c in ("text", "start_us", "end_us")])
+
+    def clean(w: Column) -> Column:
+        return F.struct(X.clean_display(strip_tags(w["text"])).alias("text"), w["start_us"], w["end_us"])
+
+    cleaned = F.filter(F.transform(words, clean), lambda w: w["text"] != "")
+    return F.when(marked["plain"], words.cast(WORDS)).otherwise(cleaned.cast(WORDS))
+
+
+def _block_list(contents: Column, fmt: str) -> Column:
+    """Blocks with their range and text, read inside the cell: a filter over rows would compute what it reads again."""
+
+    def lines(block: Column, i: Column) -> Column:
+        shown = F.filter(F.split(block, "\n"), lambda t: t.rlike(r"(?U)[^\s\x{FEFF}]"))
+        return F.struct(i.alias("block_no"), shown.alias("body"))
+
+    def headless(x: Column) -> Column:
+        headed = F.startswith(F.get(x["body"], F.lit(0)), F.lit("WEBVTT"))
+        return F.struct(x["block_no"], F.when(headed, F.slice(x["body"], F.lit(2), F.size(x["body"]))).otherwise(x["body"]).alias("body"))
+
+    def ranged(x: Column) -> Column:
+        at = F.array_position(F.transform(x["body"], lambda t: t.rlike(CUE_RANGE)), True).cast("int")
+        return F.struct(x["block_no"], x["body"], at.alias("at"))
+
+    def block(x: Column) -> Column:
+        after = F.slice(x["body"], x["at"] + 1, F.size(x["body"]))
+
+        def shown(t: Column) -> Column:
+            plain = F.array_join(F.transform(t, strip_tags), " ")
+            return F.struct(
+                x["block_no"], x["at"], F.array_join(t, " ").alias("raw"), X.clean_display(plain).alias("text"), F.get(x["body"], x["at"] - 1).alias("range")
+            )
+
+        return X.once(after, shown)
+
+    listed = F.filter(F.transform(F.split(contents, r"\n{2,}"), lines), lambda x: F.size(x["body"]) > 0)
     if fmt == "vtt":
-        headed = F.startswith(F.get("body", F.lit(0)), F.lit("WEBVTT"))
-        df = df.withColumn("body", F.when(headed, F.slice("body", F.lit(2), F.size("body"))).otherwise(F.col("body")))
-        df = df.filter(F.size("body") > 0)
-    df = df.filter(~F.get("body", F.lit(0)).rlike("^(NOTE|STYLE)"))
-    at = F.array_position(F.transform("body", lambda x: x.rlike(CUE_RANGE)), True).cast("int")
-    after = F.slice("body", at + 1, F.size("body"))
-    shown = F.array_join(F.transform(after, strip_tags), " ")
-    return df.withColumns(
-        {"at": at, "raw": F.array_join(after, " "), "text": X.clean_display(shown), "range": F.get("body", at - 1)}
-    )
+        listed = F.filter(F.transform(listed, headless), lambda x: F.size(x["body"]) > 0)
+    listed = F.filter(listed, lambda x: ~F.get(x["body"], F.lit(0)).rlike("^(NOTE|STYLE)"))
+    return F.transform(F.transform(listed, ranged), block)
+
+
+def _composed(files: DataFrame) -> DataFrame:
+    body = F.regexp_replace(F.regexp_replace("contents", "\r\n?", "\n"), r"^\x{FEFF}", "")
+    return files.select("file", body.alias("contents")).select("file", X.compose("contents").alias("contents"))
 
 
 def parse_srt_vtt(files: DataFrame, fmt: str) -> DataFrame:
     """SubRip and WebVTT blocks with a usable range and text."""
-    df = _blocks(files, fmt).filter((F.col("at") > 0) & (F.col("text") != ""))
+    usable = F.filter(_block_list(F.col("contents"), fmt), lambda x: (x["at"] > 0) & (x["text"] != ""))
+    df = _composed(files).select("file", F.inline(usable))
 
     def us(k: int) -> Column:
         g = [F.regexp_extract("range", CUE_RANGE, k + i) for i in range(4)]
         return (((_number(g[0]) * 60 + _number(g[1])) * 60 + _number(g[2])) * 1000 + _millis(g[3])) * 1000
 
     if fmt == "vtt":
-        parts = [F.regexp_extract_all("raw", F.lit(VTT_TIME), F.lit(k)) for k in (1, 2, 3, 4)]
-        # the milliseconds of word marks are a plain number, not a fraction
-        starts = F.transform(
-            F.arrays_zip(*[p.alias(n) for p, n in zip(parts, "hmsf", strict=True)]),
-            lambda t: (((_number(t["h"]) * 60 + _number(t["m"])) * 60 + _number(t["s"])) * 1000 + _number(t["f"])) * 1000,
-        )
-        df = df.withColumns({"pieces": F.split("raw", VTT_TIME), "starts": starts})
-        words = _words(F.col("pieces"), F.col("starts"), lambda x: X.clean_display(strip_tags(x)))
+        df = df.withColumn("marked", _vtt_marked("raw"))
+        words = _vtt_words(F.col("marked"))
     else:
         words = F.array().cast(WORDS)
     cues = df.select("file", "block_no", "text", us(1).alias("start_us"), us(5).alias("end_us"), words.alias("words"))
@@ -216,7 +314,8 @@ def parse_srt_vtt(files: DataFrame, fmt: str) -> DataFrame:
 def skipped_blocks(files: DataFrame, fmt: str) -> DataFrame:
     """Blocks per file that had no usable range or no text."""
     bad = (F.col("at") == 0) | (F.col("text") == "")
-    return _blocks(files, fmt).groupBy("file").agg(F.coalesce(F.count_if(bad), F.lit(0)).alias("n_skipped"))
+    blocks = _composed(files).select("file", F.inline(_block_list(F.col("contents"), fmt)))
+    return blocks.groupBy("file").agg(F.coalesce(F.count_if(bad), F.lit(0)).alias("n_skipped"))
 
 
 # Section headers and karaoke marks of ASS.
