@@ -3,7 +3,7 @@
 A recording's lines and transcript are aligned as wholes; words without evidence are spread
 between those that have some, and confidence says which is which. For many transcripts and
 many texts, pairs are found first: a transcript must hold a share of a text's shingles.
-Equal texts and equal transcripts are one each while pairs are looked for, and of a text
+Texts and transcripts with equal shingles are one each while pairs are looked for, and of a text
 only its rarest shingles are looked up, so many that a transcript with the share has one of
 them; a shingle that is everywhere is met only by texts that have nothing rarer.
 """
@@ -25,49 +25,63 @@ from cuestream.plans.session import cut_lineage
 SHINGLE = 5
 SHARE = 0.5
 ACCEPT = 0.4
+#: Hashes that are sent to every task.
+MOST_SENT = 1 << 20
 
 
 # ---------------------------------------------------------------- which transcripts hold which texts
 
 
 def _classes(df: DataFrame, ident: str) -> tuple[DataFrame, DataFrame]:
-    """(rep, tokens) of distinct token lists, and (ident, rep)."""
-    marked = df.select(ident, "tokens", F.xxhash64("tokens").alias("k1"), F.xxhash64(F.lit(1), "tokens").alias("k2"))
+    """(rep, s) of distinct lists of hashes, and (ident, rep)."""
+    marked = df.select(ident, "s", F.xxhash64("s").alias("k1"), F.xxhash64(F.lit(1), "s").alias("k2"))
     first = marked.groupBy("k1", "k2").agg(F.min(ident).alias("rep"))
     named = marked.join(first, ["k1", "k2"])
-    return named.filter(F.col(ident) == F.col("rep")).select("rep", "tokens").dropDuplicates(["rep"]), named.select(ident, "rep")
+    return named.filter(F.col(ident) == F.col("rep")).select("rep", "s").dropDuplicates(["rep"]), named.select(ident, "rep")
 
 
 def _hashes(shingle_list: Column) -> Column:
-    return F.array_sort(F.array_distinct(F.transform(shingle_list, lambda s: F.xxhash64(s))))
+    return F.transform(shingle_list, lambda s: F.xxhash64(s))
+
+
+def _known(df: DataFrame, known: DataFrame) -> DataFrame:
+    """Rows whose ``h`` is known; the known are sent to all tasks while they are few, else both sides are dealt by ``h``."""
+    return df.join(F.broadcast(known) if known.count() <= MOST_SENT else known, "h", "left_semi")
 
 
 def containing_pairs(left: DataFrame, right: DataFrame, size: int = SHINGLE, share: float = SHARE) -> DataFrame:
     """Pairs ``(left_id, right_id, shared)`` where the left tokens hold at least ``share`` of the right's shingles.
 
     ``left(left_id, tokens)``, ``right(right_id, tokens)``. A right side of fewer than ``size``
-    words is one shingle, which may stand anywhere in the left side.
+    words is one shingle, which may stand anywhere in the left side. The left tokens are read
+    once: of a left side only the shingles that a right side has are kept.
     """
     full = F.size("tokens") > 0
-    lc, lm = _classes(left.filter(full), "left_id")
-    rc, rm = _classes(right.filter(full), "right_id")
-    items = rc.select(F.col("rep").alias("r"), _hashes(shingles(F.col("tokens"), size)).alias("s"))
-    known = items.select(F.explode("s").alias("h")).distinct()
-    # windows of every length that a short text can have; those that no text has go at once
-    held = F.flatten(F.array(*[windows(F.col("tokens"), n) for n in range(1, size + 1)]))
-    posted = lc.select(F.col("rep").alias("l"), F.explode(_hashes(held)).alias("h")).join(known, "h", "left_semi")
+    wanted = cut_lineage(
+        right.filter(full).select("right_id", F.least(F.size("tokens"), F.lit(size)).alias("n"), F.array_sort(F.array_distinct(_hashes(shingles(F.col("tokens"), size)))).alias("s"))
+    )
+    lengths = sorted(r["n"] for r in wanted.select("n").distinct().collect())  # as many as ``size`` at most
+    known = wanted.select(F.explode("s").alias("h")).distinct()
+    # windows of every length that a short text has; those that no text has go at once
+    held = F.flatten(F.array(F.array().cast("array<string>"), *[windows(F.col("tokens"), n) for n in lengths]))
+    met = _known(left.filter(full).select("left_id", F.explode(_hashes(held)).alias("h")), cut_lineage(known))
+    have = cut_lineage(met.groupBy("left_id").agg(F.array_sort(F.collect_set("h")).alias("s")))
+    lc, lm = _classes(have, "left_id")
+    rc, rm = _classes(wanted, "right_id")
+    items = rc.select(F.col("rep").alias("r"), "s")
+    posted = lc.select(F.col("rep").alias("l"), F.explode("s").alias("h"))
     often = posted.groupBy("h").agg(F.count(F.lit(1)).alias("n"))
     ranked = items.select("r", F.size("s").alias("k"), F.explode("s").alias("h")).join(often, "h", "left")
     # the shingles of one text, which came out of one cell
     place = F.row_number().over(Window.partitionBy("r").orderBy(F.coalesce("n", F.lit(0)), "h"))
     need = F.ceil(F.lit(share) * F.col("k"))
     rare = ranked.withColumn("place", place).filter(F.col("place") <= F.col("k") - need + 1).select("r", "h")
-    met = posted.join(rare, "h").select("l", "r").distinct()
-    sets = lc.select(F.col("rep").alias("l"), _hashes(held).alias("have"))
-    counted = met.join(items, "r").join(sets, "l").select("l", "r", F.size(F.array_intersect("s", "have")).alias("shared"), F.size("s").alias("k"))
+    pairs = posted.join(rare, "h").select("l", "r").distinct()
+    sets = lc.select(F.col("rep").alias("l"), F.col("s").alias("have"))
+    counted = pairs.join(items, "r").join(sets, "l").select("l", "r", F.size(F.array_intersect("s", "have")).alias("shared"), F.size("s").alias("k"))
     good = counted.filter((F.col("shared") > 0) & (F.col("shared") >= F.lit(share) * F.col("k"))).select("l", "r", "shared")
-    pairs = good.join(lm.withColumnRenamed("rep", "l"), "l").join(rm.withColumnRenamed("rep", "r"), "r")
-    return pairs.select("left_id", "right_id", F.col("shared").cast("long").alias("shared"))
+    named = good.join(lm.withColumnRenamed("rep", "l"), "l").join(rm.withColumnRenamed("rep", "r"), "r")
+    return named.select("left_id", "right_id", F.col("shared").cast("long").alias("shared"))
 
 
 # ---------------------------------------------------------------- times
@@ -166,6 +180,12 @@ def reconcile(
     return new_lines, new_words
 
 
+def _folded(words: DataFrame, ident: str, order: list[str], text: str) -> DataFrame:
+    """(ident, tokens) with the matching forms of the words of each id, in order."""
+    listed = words.groupBy(ident).agg(F.array_sort(F.collect_list(F.struct(*order, F.col(text).alias("t")))).alias("x"))
+    return listed.select(ident, X.fold_words(F.transform("x", lambda x: x["t"])).alias("tokens"))
+
+
 def reconcile_corpus(transcripts: DataFrame, items: DataFrame, share: float = SHARE, **how) -> tuple[DataFrame, DataFrame]:
     """``reconcile`` of every text with every transcript that holds it.
 
@@ -174,13 +194,9 @@ def reconcile_corpus(transcripts: DataFrame, items: DataFrame, share: float = SH
     result are named ``left_id:right_id``.
     """
     said = items.select("right_id", "cue_id", F.posexplode(X.highlight_tokens("text")).alias("word_idx", "word"))
-    listed = F.array_sort(F.collect_list(F.struct("cue_id", "word_idx", X.norm_match("word").alias("t"))))
-    right = said.groupBy("right_id").agg(F.transform(listed, lambda x: x["t"]).alias("tokens"))
-    left = transcripts.groupBy("left_id").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("idx", X.norm_match("text").alias("t")))), lambda x: x["t"]).alias("tokens")
-    )
-    # both are read several times
-    left = cut_lineage(left)
+    right = _folded(said, "right_id", ["cue_id", "word_idx"], "word")
+    left = _folded(transcripts, "left_id", ["idx"], "text")
+    # read for the transcripts and for the texts
     pairs = cut_lineage(containing_pairs(left, right, share=share).select("left_id", "right_id"))
     track = F.concat_ws(":", "left_id", "right_id").alias("track_id")
     heard = transcripts.join(pairs, "left_id").select(track, "idx", "text", "start_us", "end_us", "confidence")

@@ -3,10 +3,12 @@
 import random
 import tracemalloc
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from conftest import rows
+from cuestream.functions import text as X
 from cuestream.operators import align as AL
 from cuestream.operators import reconcile as R
 
@@ -90,3 +92,33 @@ def test_long_alignment_takes_little_memory():
     tracemalloc.stop()
     assert [i for i, _, _ in got if i >= 0] == list(range(3000)) and [j for _, j, _ in got if j >= 0] == list(range(len(b)))
     assert sum(s for _, _, s in got) > 0.85 * len(a) and peak < 60 << 20
+
+
+def test_folded_words_match_the_rule(spark):
+    rng = random.Random(6)
+    words = ["".join(rng.choice("aZ09'`’-_ .é\tßÉ日ﬁ\x00\x1fΣς\xad\xa0‐") for _ in range(rng.randint(0, 6))) for _ in range(5000)] + [None, ""]
+    lists = [words[i : i + 7] for i in range(0, len(words), 7)] + [None, [], [None], ["é"]]
+    for begin, end in ((0, None), (3, 50), (5, 5)):
+        got = X.fold_words.func(pa.array(lists, pa.list_(pa.string()))[begin:end]).to_pylist()
+        assert got == [[None if t is None else X.fold_text(t) for t in r or []] for r in lists[begin:end]]
+    df = spark.createDataFrame([(t,) for t in words], "t string")
+    same = df.select(X.norm_match("t").alias("a"), F.get(X.fold_words(F.array("t")), F.lit(0)).alias("b"))
+    assert all(r.a == r.b for r in same.collect())
+
+
+def test_transcripts_are_read_once_while_pairs_are_looked_for(spark, monkeypatch):
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("array<string>")
+    def seen(tokens):
+        read.add(1)
+        return tokens
+
+    left = spark.createDataFrame([(k, f"a b c d e f g {k}".split()) for k in range(20)], "left_id long, tokens array<string>")
+    left = left.select("left_id", seen("tokens").alias("tokens"))
+    right = spark.createDataFrame([(1, "b c d e f".split()), (2, "x y".split())], "right_id long, tokens array<string>")
+    for most in (R.MOST_SENT, 0):
+        monkeypatch.setattr(R, "MOST_SENT", most)
+        before = read.value
+        assert sorted(map(tuple, R.containing_pairs(left, right).collect())) == [(k, 1, 1) for k in range(20)]
+        assert read.value - before <= 40  # a filter and the list itself
